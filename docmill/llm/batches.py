@@ -62,8 +62,10 @@ def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], list]],
     ddl: str,
+    rows_at_once: int = 2048,
 ) -> DataFrame:
-    """Run ``make()(batch)`` over every Arrow batch of ``df``.
+    """Run ``make()(batch)`` over every Arrow batch of ``df``, in slices of
+    ``rows_at_once`` rows.
 
     ``make`` is called once in each task, so whatever it loads (vocabularies,
     automata, models) is loaded there.  The function that it returns gives one
@@ -79,14 +81,15 @@ def map_batches(
                 continue
             if work is None:
                 work = make()
-            columns = work(batch)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
-                    for c, f in zip(columns, arrow)
-                ],
-                schema=arrow,
-            )
+            for at in range(0, batch.num_rows, rows_at_once):
+                columns = work(batch.slice(at, rows_at_once))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
+                        for c, f in zip(columns, arrow)
+                    ],
+                    schema=arrow,
+                )
 
     return df.mapInArrow(run, schema)
 

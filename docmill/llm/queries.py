@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe_codec import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .token_count import token_counts
 
@@ -24,8 +26,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_round_trip(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op9_bpe_codec": op9_bpe_codec,
         "op3_exact_dedup": op3_exact_dedup,
         "op7_token_counts": op7_token_counts,
     }
