@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
+from .license_scan import license_scan
 from .exact_dedup import exact_dedup
 from .token_count import token_counts
 
@@ -38,8 +39,13 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_license_scan": op10_license_scan,
         "op9_bpe_codec": op9_bpe_codec,
         "op3_exact_dedup": op3_exact_dedup,
         "op7_token_counts": op7_token_counts,
