@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
 from .license_scan import license_scan
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .token_count import token_counts
 
@@ -43,8 +44,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_decontaminate": op5_decontaminate,
         "op10_license_scan": op10_license_scan,
         "op9_bpe_codec": op9_bpe_codec,
         "op3_exact_dedup": op3_exact_dedup,
