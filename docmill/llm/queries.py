@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .bpe_codec import bpe_round_trip
 from .license_scan import license_scan
 from .decontaminate import decontaminate
+from .quality import quality_scores, train
+from .secret_scan import BASE, base_spans, secret_scan, span_list
 from .exact_dedup import exact_dedup
 from .token_count import token_counts
 
@@ -56,8 +58,38 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned, judged = secret_scan(_table(spark, sf_dir, "documents"))
+    added = (
+        judged.filter((F.col("kind_number") >= len(BASE)) & (F.col("verdict") == "live"))
+        .groupBy("row")
+        .agg(F.collect_list(F.struct("start", "kind_number", "end")).alias("added"))
+    )
+    rows = scanned.join(added, "row", "left").withColumn("base", base_spans())
+
+    def count(kind: int):
+        return F.size(F.filter("kinds", lambda k: k == kind)).cast("long")
+
+    none = F.filter("base", lambda s: F.lit(False))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        span_list(F.concat("base", F.coalesce("added", none))).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_secret_scan": op6_secret_scan,
+        "op8_quality": op8_quality,
         "op5_decontaminate": op5_decontaminate,
         "op10_license_scan": op10_license_scan,
         "op9_bpe_codec": op9_bpe_codec,
