@@ -13,6 +13,7 @@ from .license_scan import license_scan
 from .decontaminate import decontaminate
 from .quality import quality_scores, train
 from .secret_scan import BASE, base_spans, secret_scan, span_list
+from .warc import round_trip
 from .exact_dedup import exact_dedup
 from .token_count import token_counts
 
@@ -86,8 +87,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, _table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op6_secret_scan": op6_secret_scan,
         "op8_quality": op8_quality,
         "op5_decontaminate": op5_decontaminate,
@@ -100,6 +108,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
 ORACLE_SQL = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload FROM pages
+        ), t AS (
+            SELECT page_id, strlen(payload) AS n, sha1(payload) AS digest,
+                   max(page_id) OVER (PARTITION BY payload) AS last_id
+            FROM p
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END
+                   AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+        FROM t
+    """,
     "op3_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id,
