@@ -14,6 +14,7 @@ from .decontaminate import decontaminate
 from .quality import quality_scores, train
 from .secret_scan import BASE, base_spans, secret_scan, span_list
 from .warc import round_trip
+from .url_filter import url_verdicts
 from .exact_dedup import exact_dedup
 from .token_count import token_counts
 
@@ -93,8 +94,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages")).drop("alias_class")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_filter": op2_url_filter,
         "op1_warc": op1_warc,
         "op6_secret_scan": op6_secret_scan,
         "op8_quality": op8_quality,
