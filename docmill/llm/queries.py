@@ -12,9 +12,10 @@ from .bpe_codec import bpe_round_trip
 from .license_scan import license_scan
 from .decontaminate import decontaminate
 from .quality import quality_scores, train
-from .secret_scan import BASE, base_spans, secret_scan, span_list
+from .secret_scan import added_spans, base_spans, secret_scan, span_list
 from .warc import round_trip
 from .url_filter import url_verdicts
+from .simhash import simhash_classes
 from .exact_dedup import exact_dedup
 from .token_count import token_counts
 
@@ -67,12 +68,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned, judged = secret_scan(_table(spark, sf_dir, "documents"))
-    added = (
-        judged.filter((F.col("kind_number") >= len(BASE)) & (F.col("verdict") == "live"))
-        .groupBy("row")
-        .agg(F.collect_list(F.struct("start", "kind_number", "end")).alias("added"))
-    )
-    rows = scanned.join(added, "row", "left").withColumn("base", base_spans())
+    rows = scanned.join(added_spans(judged), "row", "left").withColumn("base", base_spans())
 
     def count(kind: int):
         return F.size(F.filter("kinds", lambda k: k == kind)).cast("long")
@@ -98,8 +94,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages")).drop("alias_class")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_simhash": op4_simhash,
         "op2_url_filter": op2_url_filter,
         "op1_warc": op1_warc,
         "op6_secret_scan": op6_secret_scan,

@@ -8,7 +8,8 @@ only ever kept as hashes.
 
 Detectors of the fixed base kinds always keep their spans.  The further kinds
 (provider prefixes, bearer headers, web tokens, credentials in addresses,
-private keys) add a span only where the ownership says live-looking.
+private keys) add a span only where the ownership says live-looking.  A base
+finding that is live-looking adds one more span of kind ``live`` over its value.
 
 The counts are sums of partial counts, so a value in a third of all rows meets
 in no single task; verdicts go back to the rows by a join that Spark splits
@@ -74,7 +75,7 @@ _HINTS = {
 }
 
 #: Kinds in the order in which spans with the same start are listed.
-KINDS = [k[0] for k in BASE + MORE]
+KINDS = [k[0] for k in BASE + MORE] + ["live"]
 
 #: A value that this many distinct owners hold is a copied example.
 EXAMPLE_OWNERS = 3
@@ -88,15 +89,16 @@ def entropy(value: str) -> float:
     return -sum(c / n * log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def findings_of(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, kind number, end, value) of every match that is long enough."""
+def findings_of(text: str) -> list[tuple[int, int, int, int, int, str]]:
+    """(start, kind number, end, value's start and end, value) of every match
+    whose value is long enough."""
     found = []
     for number, (kind, pattern, group, least) in enumerate(BASE + MORE):
         if kind in _HINTS and not any(h in text for h in _HINTS[kind]):
             continue
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
-                found.append((m.start(), number, m.end(), m.group(group)))
+                found.append((m.start(), number, m.end(), *m.span(group), m.group(group)))
     found.sort()
     return found
 
@@ -113,8 +115,10 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str) -> DataFram
                 [[f[1] for f in x] for x in all_found],
                 [[f[0] for f in x] for x in all_found],
                 [[f[2] for f in x] for x in all_found],
-                [[hashlib.sha256(f[3].encode()).hexdigest()[:32] for f in x] for x in all_found],
-                [[entropy(f[3]) >= LIVE_ENTROPY for f in x] for x in all_found],
+                [[f[3] for f in x] for x in all_found],
+                [[f[4] for f in x] for x in all_found],
+                [[hashlib.sha256(f[5].encode()).hexdigest()[:32] for f in x] for x in all_found],
+                [[entropy(f[5]) >= LIVE_ENTROPY for f in x] for x in all_found],
             ]
 
         return work
@@ -128,7 +132,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str) -> DataFram
         rows,
         make,
         "id long, repo string, kinds array<int>, starts array<long>, ends array<long>,"
-        " digests array<string>, irregular array<boolean>",
+        " value_starts array<long>, value_ends array<long>, digests array<string>, irregular array<boolean>",
     )
     return found.withColumn("row", F.monotonically_increasing_id())
 
@@ -150,17 +154,20 @@ def secret_scan(
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: the scanned documents (``row``, ``id`` and their findings as
     arrays), and the findings one by one (``row``, ``kind``, ``start``, ``end``,
-    ``digest``, ``n_repos``, ``n_owners``, ``verdict``: example, live or
+    the value's own ``value_start`` and ``value_end``, its ``digest``, ``n_repos``, ``n_owners``, ``verdict``: example, live or
     unclear)."""
     scanned = saved(scan(docs, id_col, text_col, repo_col), "secret-scan")
+    arrays = ["kinds", "starts", "ends", "value_starts", "value_ends", "digests", "irregular"]
     flat = scanned.select(
-        "row", "repo", F.explode(F.arrays_zip("kinds", "starts", "ends", "digests", "irregular")).alias("f")
+        "row", "repo", F.explode(F.arrays_zip(*arrays)).alias("f")
     ).select(
         "row",
         "repo",
         F.col("f.kinds").alias("kind_number"),
         F.col("f.starts").alias("start"),
         F.col("f.ends").alias("end"),
+        F.col("f.value_starts").alias("value_start"),
+        F.col("f.value_ends").alias("value_end"),
         F.col("f.digests").alias("digest"),
         F.col("f.irregular").alias("irregular"),
     )
@@ -175,6 +182,8 @@ def secret_scan(
         "kind_number",
         "start",
         "end",
+        "value_start",
+        "value_end",
         "digest",
         "n_repos",
         "n_owners",
@@ -195,6 +204,17 @@ def span_list(spans: Column) -> Column:
     )
 
 
+def added_spans(judged: DataFrame) -> DataFrame:
+    """(row, added): what the ownership adds to the base spans of a document."""
+    base = F.col("kind_number") < len(BASE)
+    span = F.struct(
+        F.when(base, F.col("value_start")).otherwise(F.col("start")).alias("start"),
+        F.when(base, F.lit(len(KINDS) - 1)).otherwise(F.col("kind_number")).alias("kind_number"),
+        F.when(base, F.col("value_end")).otherwise(F.col("end")).alias("end"),
+    )
+    return judged.filter(F.col("verdict") == "live").groupBy("row").agg(F.collect_set(span).alias("added"))
+
+
 def base_spans() -> Column:
     """The base findings of a scanned row as (start, kind_number, end) structs."""
     zipped = F.arrays_zip("starts", "kinds", "ends")
