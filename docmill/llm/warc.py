@@ -4,8 +4,9 @@
 compress each file as a single gzip stream, the monolithic form in which
 archives are found in the wild.  ``normalise_archives`` inflates each such
 stream once, rewrites every record as a gzip member of its own and writes a
-sidecar index (archive, offset, length and the record's headers).
-``read_archives`` cuts each member out of its archive by that index.
+sidecar index (archive, record id and type, offset, length).
+``read_archives`` reads all members one after another, ``read_records`` those
+that the index names for some record ids.
 
 All files are read and written by Spark, so they can lie in any store that
 Spark reaches, and a task that is lost and repeated leaves no partial file.  A
@@ -195,31 +196,57 @@ def _member(data: bytes) -> bytes:
     return press.compress(data) + press.flush()
 
 
-_NORMALISED = struct_of(
-    "archive string, content binary, record_ids array<string>, types array<string>,"
-    " offsets array<long>, lengths array<long>"
-)
+def members(content: bytes, step: int = 1 << 14) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, inflated bytes) of each gzip member that isn't empty."""
+    offset = 0
+    while offset < len(content):
+        stream, at, parts = zlib.decompressobj(31), offset, []
+        while not stream.eof:
+            if at >= len(content):
+                raise ValueError("the archive ends inside a member")
+            parts.append(stream.decompress(content[at : at + step]))
+            at += step
+        end = min(at, len(content)) - len(stream.unused_data)
+        data = b"".join(parts)
+        if data:
+            yield offset, end - offset, data
+        offset = end
+
+
+_ARCHIVE = struct_of("archive string, content binary")
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One archive in, one normalised archive with its index out."""
-    schema = arrow_schema(_NORMALISED)
+    """One archive in, one normalised archive out."""
+    schema = arrow_schema(_ARCHIVE)
     for batch in batches:
         for i in range(batch.num_rows):
             name = batch.column("path")[i].as_py().rsplit("/", 1)[-1].split(".")[0]
-            members, ids, types, offsets, lengths, at = [], [], [], [], [], 0
-            for headers, data in raw_records(batch.column("content")[i].as_py()):
-                member = _member(data)
-                members.append(member)
-                ids.append(headers.get("warc-record-id", ""))
-                types.append(headers.get("warc-type", ""))
-                offsets.append(at)
-                lengths.append(len(member))
-                at += len(member)
-            row = [[name], [b"".join(members)], [ids], [types], [offsets], [lengths]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, type=f.type) for v, f in zip(row, schema)], schema=schema
-            )
+            content = b"".join(_member(data) for _, data in raw_records(batch.column("content")[i].as_py()))
+            yield _batch([[name], [content]], schema)
+
+
+_ENTRY = struct_of("archive string, record_id string, record_type string, offset long, length long")
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each record stands in a normalised archive."""
+    schema = arrow_schema(_ENTRY)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            out: list[list] = [[] for _ in schema]
+            for offset, length, data in members(batch.column("content")[i].as_py()):
+                headers = _headers(data.partition(b"\r\n\r\n")[0])
+                row = (
+                    batch.column("archive")[i].as_py(),
+                    headers.get("warc-record-id", ""),
+                    headers.get("warc-type", ""),
+                    offset,
+                    length,
+                )
+                for column, value in zip(out, row):
+                    column.append(value)
+            yield _batch(out, schema)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -232,28 +259,24 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _normalised(spark: SparkSession, path: str) -> DataFrame:
+    name = F.regexp_extract("path", r"/archive=([^/]*)/", 1)
+    return _files(spark, f"{path}/archives").select(name.alias("archive"), "content")
+
+
 def normalise_archives(spark: SparkSession, path: str, out: str) -> None:
     """Rewrite the archives under ``path`` as ``out/archives`` (one member per
     record) and ``out/index`` (a row per record)."""
-    done = saved(_files(spark, path).mapInArrow(_normalise, _NORMALISED), "warc-normalised")
     (
-        done.select(F.col("content").cast("string").alias("value"), "archive")
+        _files(spark, path)
+        .mapInArrow(_normalise, _ARCHIVE)
+        .select(F.col("content").cast("string").alias("value"), "archive")
         .write.partitionBy("archive")
         .option("encoding", "ISO-8859-1")
         .option("lineSep", _EMPTY_MEMBER.decode("latin-1"))
         .text(f"{out}/archives")
     )
-    index = done.select(
-        "archive", F.posexplode(F.arrays_zip("record_ids", "types", "offsets", "lengths")).alias("seq", "r")
-    ).select(
-        "archive",
-        "seq",
-        F.col("r.record_ids").alias("record_id"),
-        F.col("r.types").alias("record_type"),
-        F.col("r.offsets").alias("offset"),
-        F.col("r.lengths").alias("length"),
-    )
-    index.write.parquet(f"{out}/index")
+    _normalised(spark, out).mapInArrow(_index, _ENTRY).write.parquet(f"{out}/index")
 
 
 _READ = struct_of(
@@ -267,35 +290,47 @@ def _page_id(uri: str | None) -> int | None:
     return int(tail) if tail else None
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _record(data: bytes) -> tuple:
+    """One record's row of ``_READ``."""
+    head, _, block = data.partition(b"\r\n\r\n")
+    headers = _headers(head)
+    http, _, payload = block[: int(headers["content-length"])].partition(b"\r\n\r\n")
+    revisit = headers["warc-type"] == "revisit"
+    return (
+        _page_id(headers["warc-record-id"]),
+        headers.get("warc-target-uri"),
+        payload,
+        int(_headers(http)["content-length"]) if revisit else len(payload),
+        headers["warc-payload-digest"].partition(":")[2] if revisit else hashlib.sha1(payload).hexdigest(),
+        headers["warc-type"],
+        _page_id(headers.get("warc-refers-to")),
+    )
+
+
+def _rows(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(_READ)
+    out: list[list] = [[] for _ in schema]
+    for data in records:
+        for column, value in zip(out, _record(data)):
+            column.append(value)
+        if len(out[0]) >= 1000:
+            yield _batch(out, schema)
+    if out[0]:
+        yield _batch(out, schema)
+
+
+def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield from _rows(data for _, _, data in members(batch.column("content")[i].as_py()))
+
+
+def _read_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             content = batch.column("content")[i].as_py()
-            out: list[list] = [[] for _ in schema]
-            for entry in sorted(batch.column("entries")[i].as_py(), key=lambda e: e["offset"]):
-                data = zlib.decompress(content[entry["offset"] : entry["offset"] + entry["length"]], 31)
-                head, _, block = data.partition(b"\r\n\r\n")
-                headers = _headers(head)
-                http, _, payload = block[: int(headers["content-length"])].partition(b"\r\n\r\n")
-                revisit = headers["warc-type"] == "revisit"
-                row = (
-                    _page_id(headers["warc-record-id"]),
-                    headers.get("warc-target-uri"),
-                    payload,
-                    int(_headers(http)["content-length"]) if revisit else len(payload),
-                    headers["warc-payload-digest"].partition(":")[2]
-                    if revisit
-                    else hashlib.sha1(payload).hexdigest(),
-                    headers["warc-type"],
-                    _page_id(headers.get("warc-refers-to")),
-                )
-                for column, value in zip(out, row):
-                    column.append(value)
-                if len(out[0]) >= 1000:
-                    yield _batch(out, schema)
-            if out[0]:
-                yield _batch(out, schema)
+            entries = sorted((e["offset"], e["length"]) for e in batch.column("entries")[i].as_py())
+            yield from _rows(zlib.decompress(content[o : o + n], 31) for o, n in entries)
 
 
 def _batch(out: list[list], schema: pa.Schema) -> pa.RecordBatch:
@@ -306,19 +341,24 @@ def _batch(out: list[list], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the normalised archives under ``path``, by the index.
+    """Every record of the normalised archives under ``path``, member by member.
 
     Length and digest are measured on a response's payload; a revisit has
     those of the payload it stands for in its headers."""
-    name = F.regexp_extract("path", r"/archive=([^/]*)/", 1)
-    files = _files(spark, f"{path}/archives").select(name.alias("archive"), "content")
+    return _normalised(spark, path).mapInArrow(_read_all, _READ)
+
+
+def read_records(spark: SparkSession, path: str, record_ids: DataFrame) -> DataFrame:
+    """The records whose ids (column ``record_id``) are asked for: the index
+    says where each stands, and only those members are inflated."""
     entries = (
-        spark.read.schema("archive string, seq int, record_id string, record_type string, offset long, length long")
+        spark.read.schema(_ENTRY)
         .parquet(f"{path}/index")
+        .join(record_ids.select("record_id").distinct(), "record_id", "left_semi")
         .groupBy("archive")
         .agg(F.collect_list(F.struct("offset", "length")).alias("entries"))
     )
-    return files.join(entries, "archive").mapInArrow(_read, _READ)
+    return _normalised(spark, path).join(entries, "archive").mapInArrow(_read_some, _READ)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
