@@ -9,8 +9,8 @@ fingerprints within the radius differ in their distances to the vantage points
 by at most the radius *in sum over all levels*.  That triangle bound prunes.
 
 * The trunk, the first levels of the tree, deals the nodes over shards by their
-  distances to the trunk's vantage points.  Its depth grows with the number of
-  nodes.
+  distances to the trunk's vantage points, and goes deeper where a cell has
+  more than ``SHARD_NODES`` nodes.
 * A node is stored in one shard.  As a query it goes to that shard and to each
   other shard whose boundary its radius overlaps, with what is left of the
   radius (each two shards are matched in one direction only).
@@ -31,7 +31,6 @@ empty result; columns other than the id and the text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -46,19 +45,19 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 
-#: Nodes that a trunk of some depth should leave in its fullest shard.
-SHARD_NODES = 20_000
+#: A trunk cell with more nodes is split by one more level, if any is left.
+SHARD_NODES = 50_000
 
-#: Nodes in a leaf, and pairs compared at once.
-LEAF = 48
-PAIRS_AT_ONCE = 1 << 20
+#: Nodes in a leaf, and pairs compared at once (few enough for a core's cache).
+LEAF = 96
+PAIRS_AT_ONCE = 1 << 16
 
-#: The trunk's masks have 16 bits each, at most three of them; each is cut from
-#: the lowest bits that are left.  The levels below have 4 bits each.
-_TRUNK_BITS, _MOST_TRUNK, _BRANCH_BITS = 16, 3, 4
-
-#: The largest share of evenly spread nodes at one distance over 16 bits.
-_FULLEST = 0.197
+#: First bit and number of bits of the trunk's masks; a distance or the lack of
+#: one is a digit of base ``_PLACES`` in a shard's number.  The levels below the
+#: trunk take the bits above its last mask, a few at a time.
+_TRUNK = [(0, 16), (16, 16), (32, 8), (40, 8), (48, 8)]
+_PLACES = 18
+_BRANCH_BITS = 4
 
 
 # -- fingerprints -----------------------------------------------------------
@@ -111,39 +110,62 @@ def _distance(fps: np.ndarray, vantage: np.uint64, mask: np.uint64) -> np.ndarra
 
 
 class Trunk:
-    """The levels that deal nodes over shards; a shard is a path of distances."""
+    """The levels that deal nodes over shards; a shard is a path of distances.
+
+    Every path goes through the first ``base`` levels; below, only the cells
+    in ``split`` are divided once more."""
 
-    def __init__(self, nodes: int, radius: int = RADIUS):
-        self.depth = 1
-        while self.depth < _MOST_TRUNK and nodes * _FULLEST**self.depth > SHARD_NODES:
-            self.depth += 1
+    def __init__(self, radius: int = RADIUS, split: set[int] | None = None):
         self.radius = radius
-        # Any vantage points will do: the bound holds for all.
-        self.masks = [_mask(_TRUNK_BITS * i, _TRUNK_BITS) for i in range(self.depth)]
+        self.base = 2 if radius <= RADIUS else 1
+        self.split = split or set()
+        # Any vantage point will do: the bound holds for all.
         self.vantage = np.uint64(0x5555_3333_0F0F_00FF)
-        base = _TRUNK_BITS + 1
-        steps = [
-            s
-            for s in product(range(-radius, radius + 1), repeat=self.depth)
-            if sum(map(abs, s)) <= radius and s >= (0,) * self.depth
-        ]
-        self._steps = [np.array(s) for s in steps]
-        self._weights = np.array([base**i for i in range(self.depth)])
-
-    def place(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+    @staticmethod
+    def depth(shard: int) -> int:
+        """Levels of a shard's path."""
+        n = 0
+        while shard:
+            shard, n = shard // _PLACES, n + 1
+        return n
+
+    def _deeper(self, shards: np.ndarray, level: int) -> np.ndarray:
+        if level < self.base:
+            return np.ones(len(shards), bool)
+        return np.isin(shards, list(self.split)) if level < len(_TRUNK) and self.split else np.zeros(len(shards), bool)
+
+    def place(self, fps: np.ndarray, asking: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shard, node, budget): a row for each shard that a node is asked of;
-        a negative budget marks the row that stores it."""
-        path = np.stack([_distance(fps, self.vantage, m) for m in self.masks], 1)
-        shards, nodes, budgets = [path @ self._weights], [fps], [np.full(len(fps), -1)]
-        for step in self._steps:
-            if not step.any():
-                continue
-            there = path + step
-            inside = ((there >= 0) & (there <= _TRUNK_BITS)).all(1)
-            shards.append(there[inside] @ self._weights)
-            nodes.append(fps[inside])
-            budgets.append(np.full(int(inside.sum()), self.radius - int(np.abs(step).sum())))
-        return np.concatenate(shards), np.concatenate(nodes), np.concatenate(budgets)
+        a negative budget marks the row that stores it.
+
+        Of two nodes the one that is nearer to the vantage point of the first
+        level where their paths part is asked of the other's shard."""
+        shard = np.zeros(len(fps), np.int64)
+        budget, home = np.full(len(fps), self.radius), np.ones(len(fps), bool)
+        done = []
+        for level in range(len(_TRUNK) + 1):
+            deeper = self._deeper(shard, level)
+            done.append((shard[~deeper], fps[~deeper], np.where(home, -1, budget)[~deeper]))
+            shard, fps, budget, home = (x[deeper] for x in (shard, fps, budget, home))
+            if not len(fps):
+                break
+            first, bits = _TRUNK[level]
+            here = _distance(fps, self.vantage, _mask(first, bits))
+            parts = []
+            for step in range(-self.radius, self.radius + 1) if asking else (0,):
+                there = here + step
+                take = (there >= 0) & (there <= bits) & (abs(step) <= budget) & (~home | (step >= 0))
+                parts.append(
+                    (
+                        shard[take] + (there[take] + 1) * _PLACES**level,
+                        fps[take],
+                        budget[take] - abs(step),
+                        home[take] & (step == 0),
+                    )
+                )
+            shard, fps, budget, home = (np.concatenate(x) for x in zip(*parts))
+        return tuple(np.concatenate(x) for x in zip(*done))
 
 
 class Forest:
@@ -213,7 +235,7 @@ class VantageTree:
                 self._forest.link(a[differ], b[differ])
 
 
-def shard_links(fps: np.ndarray, budget: np.ndarray, radius: int, trunk_depth: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(fps: np.ndarray, budget: np.ndarray, radius: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of one shard as (fingerprint, least fingerprint of its tree)."""
     order = np.argsort(fps, kind="stable")
     fps, budget = fps[order], budget[order]
@@ -222,37 +244,56 @@ def shard_links(fps: np.ndarray, budget: np.ndarray, radius: int, trunk_depth: i
     stored = number[budget < 0]
     asked = np.concatenate([stored, number[budget >= 0]])
     left = np.concatenate([np.full(len(stored), radius), budget[budget >= 0]])
-    VantageTree(values, forest, radius, _TRUNK_BITS * trunk_depth).search(stored, asked, left)
+    VantageTree(values, forest, radius, sum(_TRUNK[depth - 1])).search(stored, asked, left)
     roots = forest.roots()
     moved = np.flatnonzero(roots != np.arange(len(values)))
     return values[moved], values[roots[moved]]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fp`` that span the same
-    classes as all pairs within ``radius`` bits."""
-    trunk = Trunk(nodes.count(), radius)
+def grow_trunk(nodes: DataFrame, radius: int) -> Trunk:
+    """Split cells, level by level, until none has too many nodes.  Only the
+    numbers of overfull cells come to the driver: less than one for each
+    ``SHARD_NODES`` nodes."""
+    split: set[int] = set()
+    for level in range(Trunk(radius).base, len(_TRUNK)):
+        cells = _placed(nodes, Trunk(radius, split), asking=False).groupBy("shard").count()
+        full = {r[0] for r in cells.filter(F.col("count") > SHARD_NODES).collect() if Trunk.depth(r[0]) == level}
+        if not full:
+            break
+        split |= full
+    return Trunk(radius, split)
+
 
+def _placed(nodes: DataFrame, trunk: Trunk, asking: bool) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 fps = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
-                shard, fp, budget = trunk.place(fps)
+                shard, fp, budget = trunk.place(fps, asking)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard, pa.int64()), pa.array(fp.view(np.int64)), pa.array(budget, pa.int32())],
-                    schema=arrow_schema(placed_schema),
+                    schema=arrow_schema(schema),
                 )
 
+    schema = struct_of("shard long, fp long, budget int")
+    return nodes.select("fp").mapInArrow(place, schema)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between distinct fingerprints ``fp`` that span the same
+    classes as all pairs within ``radius`` bits."""
+    trunk = grow_trunk(nodes, radius)
+
     def join(table: pa.Table) -> pa.Table:
         fps = table.column("fp").to_numpy().view(np.uint64)
         budget = table.column("budget").to_numpy()
         if not (budget < 0).any():
             fps, budget = fps[:0], budget[:0]
-        a, b = shard_links(fps, budget, radius, trunk.depth)
+        shard = table.column("shard")[0].as_py()
+        a, b = shard_links(fps, budget, radius, Trunk.depth(shard))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    placed_schema = struct_of("shard long, fp long, budget int")
-    placed = nodes.select("fp").mapInArrow(place, placed_schema)
+    placed = _placed(nodes, trunk, asking=True)
     return placed.groupBy("shard").applyInArrow(join, struct_of("a long, b long"))
 
 
