@@ -136,6 +136,29 @@ def _merge(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def search_shards(texts: list[bytes], phrases: Phrases, spans: list[list], items: list[set] | None) -> list[int]:
+    """Put what is found in ``texts`` into ``spans`` and ``items``, shard by
+    shard; the number of words of each text comes back."""
+    counts = []
+    shard = _Shard(phrases)
+
+    def settle() -> None:
+        for doc, start, end, window in shard.search():
+            spans[doc].append([start, end])
+            if items is not None:
+                items[doc].update(phrases.owners[window])
+        shard.clear()
+
+    for doc, text in enumerate(texts):
+        words = alnum_words(text)
+        counts.append(len(words))
+        shard.add(doc, words)
+        if shard.size >= SHARD_WORDS:
+            settle()
+    settle()
+    return counts
+
+
 _COLUMNS = "id long, text string, n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
@@ -150,22 +173,7 @@ def _pass(rows: DataFrame, phrases: Phrases, keep_text: bool) -> DataFrame:
                 for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist())
             ]
             items = [set(x) for x in batch.column("items").to_pylist()]
-            counts = []
-            shard = _Shard(phrases)
-
-            def settle() -> None:
-                for doc, start, end, window in shard.search():
-                    spans[doc].append([start, end])
-                    items[doc].update(phrases.owners[window])
-                shard.clear()
-
-            for doc, text in enumerate(texts):
-                words = alnum_words(text)
-                counts.append(len(words))
-                shard.add(doc, words)
-                if shard.size >= SHARD_WORDS:
-                    settle()
-            settle()
+            counts = search_shards(texts, phrases, spans, items)
             spans = [_merge(s) if len(s) > 1 else s for s in spans]
             return [
                 batch.column("id"),
@@ -217,3 +225,28 @@ def decontaminate(
         "starts",
         "ends",
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, all columns kept."""
+    schema = docs.schema
+    window, share = options.get("window", WINDOW), options.get("share", 20)
+    named = benchmark.select(
+        F.col(options.get("item_col", "item_id")).cast("string"),
+        F.col(options.get("item_text_col", "text")).cast("string"),
+    )
+    blocks = list(phrase_blocks(named, window))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                rows = batch.slice(at, 2048)
+                texts = utf8(rows, text_col)
+                spans: list[list] = [[] for _ in texts]
+                for phrases in blocks:
+                    counts = search_shards(texts, phrases, spans, None)
+                hits = [sum(b - a for a, b in _merge(s)) for s in spans]
+                clean = [not blocks or not n or share * n < c for n, c in zip(hits, counts if blocks else hits)]
+                yield rows.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(work, schema)

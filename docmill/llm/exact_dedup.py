@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .batches import arrow_schema, struct_of
 from .storage import saved
@@ -108,6 +109,76 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield flush()
 
 
+_H, _ID, _EDGE = "__docmill_hash", "__docmill_id", "__docmill_edge"
+
+
+def _leads_of(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first row of each run of a sorted partition, all columns kept.
+
+    Rows are marked whose hash is the partition's first or last one, since
+    their run may go on in another partition."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = key = text = None
+        waiting: list[pa.RecordBatch] = []  # leads under the current hash
+
+        def marked(rows: pa.RecordBatch, edge: bool) -> pa.RecordBatch:
+            at = rows.schema.get_field_index(_H)
+            kept = [i for i in range(rows.num_columns) if i != at]
+            return pa.RecordBatch.from_arrays(
+                [*(rows.column(i) for i in kept), pa.array([edge] * rows.num_rows, pa.bool_())],
+                names=[*(rows.schema.names[i] for i in kept), _EDGE],
+            )
+
+        for batch in batches:
+            hashes = batch.column(_H).to_pylist()
+            leads = []
+            for i, (h, t) in enumerate(zip(hashes, batch.column(text_col).to_pylist())):
+                t = t or ""
+                if h != key or t != text:
+                    leads.append(i)
+                    first = h if first is None else first
+                key, text = h, t
+            moved = [w for w in waiting if w.column(_H)[0].as_py() != key]
+            waiting = [w for w in waiting if w.column(_H)[0].as_py() == key]
+            for rows in moved:
+                yield marked(rows, False)
+            for edge, chosen in (
+                (True, [i for i in leads if hashes[i] == first]),
+                (False, [i for i in leads if hashes[i] not in (first, key)]),
+            ):
+                if chosen:
+                    yield marked(batch.take(pa.array(chosen)), edge)
+            held = [i for i in leads if hashes[i] == key and key != first]
+            if held:
+                waiting.append(batch.take(pa.array(held)))
+        for rows in waiting:
+            yield marked(rows, True)
+
+    return work
+
+
+def drop_exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min"
+) -> DataFrame:
+    """``docs`` with one row of each group of equal texts (null: empty), all
+    columns kept: the content sort itself carries the rows, and only the runs at
+    partition ends, a few rows for each partition, are compared once more."""
+    order = F.desc_nulls_last if keep == "max" else F.asc_nulls_last
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({_H: F.xxhash64(text), _ID: F.col(id_col).cast("long")})
+    ordered = keyed.repartitionByRange(
+        F.substring(text, 1, PREFIX), F.col(_H), order(_ID)
+    ).sortWithinPartitions(F.substring(text, 1, PREFIX), F.col(_H), text, order(_ID))
+    schema = T.StructType(
+        [f for f in keyed.schema.fields if f.name != _H] + [T.StructField(_EDGE, T.BooleanType())]
+    )
+    leads = saved(ordered.mapInArrow(_leads_of(text_col), schema), "content-sort")
+    first = Window.partitionBy(text).orderBy(order(_ID))
+    edges = leads.filter(F.col(_EDGE)).withColumn(_H, F.row_number().over(first)).filter(F.col(_H) == 1)
+    return leads.filter(~F.col(_EDGE)).unionByName(edges.drop(_H)).drop(_EDGE, _ID)
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",

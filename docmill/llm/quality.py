@@ -21,6 +21,7 @@ columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -162,3 +163,17 @@ def quality_scores(
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``, all columns kept."""
+    schema = docs.schema
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = model.compressors() if len(model.weights) else []
+        for batch in batches:
+            if batch.num_rows:
+                good = model.score(utf8(batch, text_col), compressors) >= least
+                yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(work, schema)

@@ -43,6 +43,7 @@ from .storage import saved
 
 SHINGLE = 4
 RADIUS = 4
+BROADCAST_ROWS = 300_000
 SEED = 42
 
 #: A trunk cell with more nodes is split by one more level, if any is left.
@@ -84,18 +85,30 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def radius_for(similarity: float) -> int:
+    """Bits in which two texts are expected to differ whose shingle sets have
+    this Jaccard similarity: their counts then have the cosine 2s / (1 + s),
+    and a random hyperplane parts them with probability arccos / pi."""
+    return int(64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row; the fingerprint's bits as a signed long."""
+    """(id, h, fp) of every row: the text's hash, and the fingerprint's bits as
+    a signed long."""
 
     def make():
         def work(batch: pa.RecordBatch) -> list:
             found = [fingerprint(t, shingle) for t in utf8(batch, "text")]
-            return [batch.column("id"), pa.array(np.array(found, np.uint64).view(np.int64))]
+            return [batch.column("id"), batch.column("h"), pa.array(np.array(found, np.uint64).view(np.int64))]
 
         return work
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(rows, make, "id long, fp long")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(text_col).alias("h"),
+        F.col(text_col).cast("string").alias("text"),
+    )
+    return map_batches(rows, make, "id long, h long, fp long")
 
 
 # -- the tree ---------------------------------------------------------------
@@ -300,6 +313,19 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 # -- classes ----------------------------------------------------------------
 
 
+def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """(id, h, fp, component_id) of every row."""
+    prints = saved(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
+    found = connected_components(links(nodes, radius))
+    placed = nodes.join(found, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")
+    )
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_print = placed.join(least, "component").select("fp", "component_id", "component")
+    return prints.join(of_print, "fp")
+
+
 def simhash_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -309,16 +335,38 @@ def simhash_classes(
 ) -> DataFrame:
     """Per row: id, ``fingerprint`` (16 hex digits) and ``component_id`` (the
     least id reachable over links, its own included)."""
-    prints = saved(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    found = connected_components(links(nodes, radius))
-    placed = nodes.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = placed.join(least, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(
+    return _classed(docs, id_col, text_col, shingle, radius).select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """``docs`` with one document of each class, all columns kept.
+
+    Links are fingerprints over ``shingle`` words within the radius for
+    ``similarity``.  The document with the least id stays (of several, that
+    with the least text hash; rows equal in both stay together).  The others
+    are taken out by an anti-join, broadcast only while they are at most
+    ``BROADCAST_ROWS``."""
+    rows = _classed(docs, id_col, text_col, shingle, radius_for(similarity)).select("id", "h", "component")
+    rows = saved(rows.distinct(), "simhash-classes")
+    # A null id comes after all others.
+    rank = F.struct(F.col("id").isNull(), "id", "h")
+    best = rows.groupBy("component").agg(F.min(rank).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    gone = saved(
+        rows.join(best, "component").filter(rank != F.col("best")).select(
+            F.col("id").alias("gone_id"), F.col("h").alias("gone_h")
+        ),
+        "simhash-gone",
+    )
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = (F.xxhash64(docs[text_col]) == F.col("gone_h")) & docs[id_col].cast("long").eqNullSafe(F.col("gone_id"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
