@@ -1,0 +1 @@
+"""Operators over documents and chunks."""

@@ -1,0 +1 @@
+"""Whole-table plans: the lifecycle and the query catalogue."""

@@ -1,4 +1,9 @@
-"""Named queries over the driver's tables, with the SQL that checks them."""
+"""Named queries over the driver's tables, with the SQL that checks them.
+
+The tables hold no Markdown, so header queries read ``markdown_view``: one text
+per conversation, its turns in order under headers of several levels, one kind
+of turn with a code fence.
+"""
 
 from __future__ import annotations
 
@@ -7,29 +12,692 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ChunkConfig, StoreConfig
+from ..functions import text as tx
+from ..functions.html import first_heading, html_to_markdown
+from ..functions.vector import cosine_similarity
+from ..operators import inspect, store
+from ..operators.chunking import as_chunks, chunk_stats, explode_chunks, with_chunks
+from ..operators.combine import combine_small, final_metadata
+from ..operators.experimental import chunk_text
+from ..operators.headers import header_context, split_by_headers
+from ..operators.semantic import vector_breaks
+from ..schema import DOCUMENTS, STATUSES
+from ..sources import documents as sources
+from ..sources.pdf import join_pages
+from ..sources.route import source_kind
+from .lifecycle import process, reopen
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- views ------------------------------------------------------------------
+
+_TURN_SQL = r"""
+    CASE turn % 4
+        WHEN 1 THEN '#### Detail ' || turn || chr(10) || chr(10) || text
+        WHEN 2 THEN '```' || chr(10) || '# fenced' || chr(10) || '```' || chr(10) || chr(10) || text
+        ELSE '## Turn ' || turn || ' ' || role || chr(10) || chr(10) || text
+    END
+"""
+
+_VIEW_SQL = rf"""
+    md AS (
+        SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10)
+               || string_agg({_TURN_SQL}, chr(10) || chr(10) ORDER BY turn) AS md
+        FROM conversations GROUP BY conv_id
+    )
+"""
+
+
+def markdown_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, md)."""
+    turn = F.expr(_TURN_SQL.replace("chr(10)", "char(10)"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", turn.alias("body"))))
+    body = F.array_join(F.transform(turns, lambda t: t["body"]), "\n\n")
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(body.alias("body"))
+    return rows.select("conv_id", F.concat(F.lit("# Conversation "), "conv_id", F.lit("\n\n"), "body").alias("md"))
+
+
+def _turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, chunks): turns as chunks under two header levels."""
+    headers = F.create_map(
+        F.lit("Header 1"),
+        F.concat(F.lit("Conversation "), "conv_id"),
+        F.lit("Header 2"),
+        F.col("role"),
+    )
+    chunk = F.struct(F.col("text").alias("content"), F.to_json(headers).alias("headers"))
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", chunk.alias("c")))).alias("turns")
+    )
+    sections = F.transform(
+        "turns",
+        lambda t: F.struct(
+            t["c"]["content"].alias("content"),
+            F.from_json(t["c"]["headers"], "map<string,string>").alias("headers"),
+        ),
+    )
+    return rows.select("conv_id", as_chunks(sections).alias("chunks"))
+
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+# -- scans, routing, filters ------------------------------------------------
 
 
+@_query(
+    r"""
+    SELECT lang, count(*) AS n_docs, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS n_words,
+           sum(length(text))::BIGINT AS n_chars_total,
+           round(sum(len(regexp_extract_all(text, '\S+'))) / count(*), 6) AS avg_words
+    FROM documents WHERE regexp_matches(text, '\S') GROUP BY lang
+    """
+)
 def doc_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_count("text", F.lit(r"(?U)\S+"))
+    words = tx.word_count("text").cast("long")
     return (
-        _docs(spark, sf_dir)
+        _table(spark, sf_dir, "documents")
+        .filter(~tx.is_blank("text"))
         .groupBy("lang")
-        .agg(F.count("*").alias("n_docs"), F.sum(words).cast("long").alias("n_words"))
+        .agg(
+            F.count("*").alias("n_docs"),
+            F.sum(words).alias("n_words"),
+            F.sum(tx.char_count("text").cast("long")).alias("n_chars_total"),
+            F.round(F.sum(words) / F.count("*"), 6).alias("avg_words"),
+        )
     )
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"doc_text_stats": doc_text_stats}
+@_query(
+    r"""
+    SELECT page_id, CASE WHEN regexp_matches(url, '^(?i)https?://') THEN 'html'
+                         WHEN lower(url) LIKE '%.pdf' THEN 'pdf' ELSE 'unsupported' END AS kind
+    FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN upper(url) WHEN 1 THEN url
+                 WHEN 2 THEN 'file' || page_id || '.PDF' ELSE 'file' || page_id || '.docx' END AS url FROM pages)
+    """
+)
+def source_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.expr(
+        "CASE page_id % 4 WHEN 0 THEN upper(url) WHEN 1 THEN url"
+        " WHEN 2 THEN concat('file', page_id, '.PDF') ELSE concat('file', page_id, '.docx') END"
+    )
+    return _table(spark, sf_dir, "pages").select("page_id", source_kind(source).alias("kind"))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "doc_text_stats": r"""
-            SELECT lang, count(*) AS n_docs,
-                   sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS n_words
-            FROM documents GROUP BY lang
-        """,
+@_query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 42")
+def doc_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.by_id(_table(spark, sf_dir, "documents"), 42, "doc_id").select("doc_id", "lang", "source", "n_chars")
+
+
+@_query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def doc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+@_query("SELECT doc_id, length(text) > 2000 AS is_oversized FROM documents")
+def oversized_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return inspect.oversized(docs, 2000, "text").select("doc_id", "is_oversized")
+
+
+@_query("SELECT doc_id, substr(text, 2001, 8000) AS preview FROM documents")
+def text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.preview(_table(spark, sf_dir, "documents"), "text").select("doc_id", "preview")
+
+
+# -- titles and headers -----------------------------------------------------
+
+
+@_query(
+    rf"""
+    WITH {_VIEW_SQL}, shifted AS (
+        SELECT conv_id, repeat('x' || chr(10), (conv_id % 14)::INT) || md AS md FROM md
+    )
+    SELECT conv_id, CASE WHEN conv_id % 14 < 10 THEN 'Conversation ' || conv_id ELSE 'Untitled' END AS title
+    FROM shifted
+    """
+)
+def title_first10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.repeat(F.lit("x\n"), (F.col("conv_id") % 14).cast("int"))
+    shifted = markdown_view(spark, sf_dir).select("conv_id", F.concat(lead, "md").alias("md"))
+    return shifted.select("conv_id", tx.title_in_first_lines("md").alias("title"))
+
+
+@_query(rf"WITH {_VIEW_SQL} SELECT conv_id, trim(regexp_extract(md, '(?m)^#\s+(.+)$', 1)) AS title FROM md")
+def title_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown_view(spark, sf_dir).select("conv_id", tx.title_anywhere("md").alias("title"))
+
+
+@_query(
+    rf"""
+    WITH {_VIEW_SQL}, l AS (
+        SELECT conv_id, unnest(regexp_extract_all(md, '(?m)^#{{1,6}}\s+.+$')) AS line FROM md
+    )
+    SELECT conv_id, length(regexp_extract(line, '^#+')) AS level, trim(regexp_extract(line, '^#+\s+(.+)$', 1)) AS title,
+           count(*) AS n
+    FROM l GROUP BY ALL
+    """
+)
+def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.explode(F.regexp_extract_all("md", F.lit(r"(?mdU)^#{1,6}\s+.+$"), 0))
+    rows = markdown_view(spark, sf_dir).select("conv_id", lines.alias("line"))
+    return (
+        rows.select(
+            "conv_id",
+            F.length(F.regexp_extract("line", "^#+", 0)).cast("long").alias("level"),
+            tx.strip(F.regexp_extract("line", r"(?dU)^#+\s+(.+)$", 1)).alias("title"),
+        )
+        .groupBy("conv_id", "level", "title")
+        .agg(F.count("*").alias("n"))
+    )
+
+
+@_query(
+    rf"""
+    WITH {_VIEW_SQL}, h AS (
+        SELECT conv_id, unnest(regexp_extract_all(md, '(?m)^#{{1,6}}\s+.+$')) AS line,
+               generate_subscripts(regexp_extract_all(md, '(?m)^#{{1,6}}\s+.+$'), 1) AS i
+        FROM md
+    ), t AS (
+        SELECT conv_id, i, length(regexp_extract(line, '^#+')) AS level,
+               trim(regexp_extract(line, '^#+\s+(.+)$', 1)) AS title
+        FROM h
+    )
+    SELECT conv_id, level, title FROM t
+    WHERE NOT EXISTS (
+        SELECT 1 FROM t AS later
+        WHERE later.conv_id = t.conv_id AND later.i > t.i AND later.level <= t.level
+    )
+    """
+)
+def header_context_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = F.explode(header_context("md"))
+    rows = markdown_view(spark, sf_dir).select("conv_id", headers.alias("key", "title"))
+    return rows.select("conv_id", F.split_part("key", F.lit(" "), F.lit(2)).cast("long").alias("level"), "title")
+
+
+@_query()
+def header_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.posexplode(split_by_headers("md", 6)).alias("ordinal", "s")
+    rows = markdown_view(spark, sf_dir).select("conv_id", found)
+    return rows.select("conv_id", "ordinal", "s.content", F.to_json("s.headers").alias("headers"))
+
+
+@_query(
+    rf"""
+    WITH {_VIEW_SQL}
+    SELECT conv_id, trim(regexp_replace(md, '(?m)^#+\s.*$', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS body FROM md
+    """
+)
+def strip_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown_view(spark, sf_dir).select("conv_id", tx.strip_header_lines("md").alias("body"))
+
+
+@_query(
+    """
+    SELECT conv_id, turn, '# Conversation ' || conv_id || chr(10) || '## ' || role || chr(10) AS header_text
+    FROM conversations
+    """
+)
+def header_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = F.create_map(
+        F.lit("Header 2"), F.col("role"), F.lit("Header 1"), F.concat(F.lit("Conversation "), "conv_id")
+    )
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.header_lines(headers).alias("header_text"))
+
+
+# -- chunks -----------------------------------------------------------------
+
+
+@_query(
+    """
+    SELECT conv_id, turn,
+           row_number() OVER (PARTITION BY conv_id ORDER BY length(text) > 400, turn) - 1 AS new_index
+    FROM conversations
+    """
+)
+def reorder_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.struct("turn", (F.length("text") > 400).alias("big"))
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    moved = F.concat(F.filter("t", lambda x: ~x["big"]), F.filter("t", lambda x: x["big"]))
+    placed = rows.select("conv_id", F.posexplode(moved).alias("new_index", "x"))
+    return placed.select("conv_id", "x.turn", F.col("new_index").cast("long").alias("new_index"))
+
+
+def _combine_sql(most: int, least: int, tiny: int) -> str:
+    """The merge rules as a recursive walk over the turns of a conversation."""
+    words = r"len(regexp_extract_all(n.text, '\S+'))"
+    pending = (
+        "list_append(s.out, {'content': s.content, 'h1': s.h1, 'h2': s.h2, 'combined': s.parts > 1})"
+    )
+    merged_h1 = "CASE WHEN s.h1 = n.h1 THEN s.h1 END"
+    merged_h2 = "CASE WHEN s.h2 = n.h2 THEN s.h2 END"
+    merged = (
+        "list_append(s.out, {'content': s.content || chr(10) || chr(10) || n.text,"
+        f" 'h1': {merged_h1}, 'h2': {merged_h2}, 'combined': true}})"
+    )
+    alone = "{'content': n.text, 'h1': n.h1, 'h2': n.h2, 'combined': false}"
+    takes = f"s.mode = 'small' AND s.size + length(n.text) <= {most}"
+    ends = f"(s.mode = 'tiny' OR ({takes} AND s.size + length(n.text) >= {least}))"
+    flushed = f"CASE WHEN s.mode = 'none' THEN s.out ELSE {pending} END"
+    return rf"""
+    WITH RECURSIVE n AS (
+        SELECT conv_id, turn, text, 'Conversation ' || conv_id AS h1, role AS h2,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
+               count(*) OVER (PARTITION BY conv_id) AS total
+        FROM conversations
+    ), s AS (
+        SELECT DISTINCT conv_id, 0::BIGINT AS i, total, 'none' AS mode, 0::BIGINT AS size, ''::VARCHAR AS content,
+               NULL::VARCHAR AS h1, NULL::VARCHAR AS h2, 0::BIGINT AS parts,
+               []::STRUCT(content VARCHAR, h1 VARCHAR, h2 VARCHAR, combined BOOLEAN)[] AS out
+        FROM n
+        UNION ALL
+        SELECT s.conv_id, n.i, s.total,
+               CASE WHEN {ends} THEN 'none' WHEN {takes} THEN 'small'
+                    WHEN {words} < {tiny} THEN 'tiny' WHEN {words} >= {least} THEN 'none' ELSE 'small' END,
+               CASE WHEN {takes} THEN s.size + length(n.text) ELSE {words} END,
+               CASE WHEN {takes} THEN s.content || chr(10) || chr(10) || n.text ELSE n.text END,
+               CASE WHEN {takes} THEN {merged_h1} ELSE n.h1 END,
+               CASE WHEN {takes} THEN {merged_h2} ELSE n.h2 END,
+               CASE WHEN {takes} THEN s.parts + 1 ELSE 1 END,
+               CASE WHEN {ends} THEN {merged} WHEN {takes} THEN s.out
+                    WHEN {words} >= {least} AND {words} >= {tiny} THEN list_append({flushed}, {alone})
+                    ELSE {flushed} END
+        FROM s JOIN n ON n.conv_id = s.conv_id AND n.i = s.i + 1
+    ), done AS (
+        SELECT conv_id, {flushed} AS out FROM s WHERE i = total
+    )
+    SELECT conv_id, unnest(range(len(out)))::BIGINT AS chunk_index, unnest(list_transform(out, lambda c: c.content)) AS content,
+           unnest(list_transform(out, lambda c: c.h1)) AS h1, unnest(list_transform(out, lambda c: c.h2)) AS h2,
+           unnest(list_transform(out, lambda c: c.combined)) AS combined
+    FROM done
+    """
+
+
+def _combined(spark: SparkSession, sf_dir: str, config: ChunkConfig) -> DataFrame:
+    rows = _turn_chunks(spark, sf_dir).select("conv_id", combine_small("chunks", config).alias("chunks"))
+    flat = rows.select("conv_id", F.posexplode("chunks").alias("chunk_index", "c"))
+    return flat.select(
+        "conv_id",
+        F.col("chunk_index").cast("long").alias("chunk_index"),
+        "c.content",
+        F.try_element_at("c.headers", F.lit("Header 1")).alias("h1"),
+        F.try_element_at("c.headers", F.lit("Header 2")).alias("h2"),
+        F.coalesce("c.is_combined", F.lit(False)).alias("combined"),
+    )
+
+
+@_query(_combine_sql(2000, 700, 50))
+def combine_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _combined(spark, sf_dir, ChunkConfig())
+
+
+@_query(_combine_sql(300, 100, 20))
+def combine_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _combined(spark, sf_dir, ChunkConfig(max_size=300, min_size=100, tiny_chunk_threshold=20))
+
+
+@_query(
+    r"""
+    SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS chunk_index,
+           len(regexp_extract_all(text, '\S+'))::INT AS word_count, length(text)::INT AS char_count,
+           role AS primary_header, 2 AS header_level,
+           'Talk ' || conv_id || ' > Conversation ' || conv_id || ' > ' || role AS section_path
+    FROM conversations
+    """
+)
+def final_chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(F.lit("Talk "), "conv_id")
+    rows = _turn_chunks(spark, sf_dir).select("conv_id", final_metadata(F.col("chunks"), title).alias("chunks"))
+    return explode_chunks(rows, "conv_id").select(
+        "conv_id", "chunk_index", "word_count", "char_count", "primary_header", "header_level", "section_path"
+    )
+
+
+@_query(
+    r"""
+    SELECT conv_id, count(*) AS total_chunks, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS total_words,
+           round(sum(len(regexp_extract_all(text, '\S+'))) / count(*), 6) AS avg_chunk_size
+    FROM conversations GROUP BY conv_id
+    """
+)
+def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(F.lit("Talk "), "conv_id")
+    rows = _turn_chunks(spark, sf_dir).select("conv_id", final_metadata(F.col("chunks"), title).alias("chunks"))
+    stats = chunk_stats(explode_chunks(rows, "conv_id"), "conv_id")
+    return stats.withColumn("avg_chunk_size", F.round("avg_chunk_size", 6))
+
+
+@_query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chunker over the Markdown view."""
+    chunked = with_chunks(markdown_view(spark, sf_dir), "md", None)
+    return explode_chunks(chunked, "conv_id").withColumn("headers", F.to_json("headers"))
+
+
+@_query(
+    """
+    SELECT min(n_chars) AS min_size, max(n_chars) AS max_size,
+           (SELECT doc_id FROM documents ORDER BY n_chars, doc_id LIMIT 1) AS min_index,
+           (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1) AS max_index
+    FROM documents
+    """
+)
+def min_max_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.size_extremes(_table(spark, sf_dir, "documents"), "n_chars", "doc_id")
+
+
+@_query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 25")
+def smallest25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.smallest(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+
+
+@_query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 5")
+def largest5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.largest(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+
+
+@_query("SELECT doc_id, length(text)::INT AS char_count FROM documents WHERE doc_id % 3 = 0")
+def flag_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.when(F.col("doc_id") % 3 == 0, True)
+    docs = _table(spark, sf_dir, "documents").withColumn("is_semantic_split", flag)
+    return inspect.flagged(docs).select("doc_id", F.length("text").alias("char_count"))
+
+
+@_query(
+    """
+    SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS chunk_index,
+           text AS page_content, 'Conversation ' || conv_id AS header_1
+    FROM conversations
+    """
+)
+def serialise_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turn_chunks(spark, sf_dir).select("conv_id", final_metadata(F.col("chunks"), F.lit("t")).alias("chunks"))
+    back = rows.select("conv_id", store.deserialise(store.serialise("chunks")).alias("chunks"))
+    flat = explode_chunks(back, "conv_id")
+    return flat.select("conv_id", "chunk_index", "page_content", F.element_at("headers", "Header 1").alias("header_1"))
+
+
+@_query(
+    """
+    SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id
+    """
+)
+def page_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "conversations").withColumnRenamed("turn", "page_no")
+    return join_pages(pages, "conv_id")
+
+
+# -- embedding and vectors --------------------------------------------------
+
+
+@_query(
+    """
+    SELECT conv_id, turn, (turn // 3 + 1)::BIGINT AS batch_num,
+           ceil((max(turn) OVER (PARTITION BY conv_id) + 1) / 3)::BIGINT AS total_batches
+    FROM conversations
+    """
+)
+def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    total = turns.groupBy("conv_id").agg((F.max("turn") + 1).alias("total"))
+    number, batches = store.batch_of("turn", "total", 3)
+    return turns.join(total, "conv_id").select(
+        "conv_id", "turn", number.alias("batch_num"), batches.alias("total_batches")
+    )
+
+
+@_query(
+    """
+    SELECT conv_id AS document_id, count(*) AS expected, count(*) AS embedded, false AS mismatch
+    FROM conversations GROUP BY conv_id
+    """
+)
+def embed_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(F.lit("Talk "), "conv_id")
+    rows = _turn_chunks(spark, sf_dir).select(
+        "conv_id", title.alias("title"), final_metadata(F.col("chunks"), title).alias("chunks")
+    )
+    vectors = store.embed_chunks(rows, StoreConfig("unused", batch_size=3), "conv_id", "title")
+    return store.embedded_counts(vectors)
+
+
+@_query("SELECT 'documents' AS collection_name, 'hashing-64' AS model_name, 100 AS batch_size, true AS use_jsonb")
+def collection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.collection_info(spark, StoreConfig("unused"))
+
+
+@_query("SELECT DISTINCT source, source || '_vdb' AS collection_name FROM documents")
+def collection_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _table(spark, sf_dir, "documents").select("source").distinct()
+    return names.withColumn("collection_name", store.collection_of("source"))
+
+
+_VEC0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
+
+
+@_query(
+    f"""
+    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_VEC0}), 6) AS similarity FROM embeddings
+    """
+)
+def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    first = sources.by_id(vectors, 0, "vec_id").select(F.col("embedding").alias("q"))  # one row
+    joined = vectors.crossJoin(F.broadcast(first))
+    return joined.select("vec_id", F.round(cosine_similarity(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+
+
+@_query(
+    f"""
+    SELECT vec_id, round(s, 6) AS similarity
+    FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {_VEC0}) AS s FROM embeddings)
+    ORDER BY s DESC, vec_id LIMIT 10
+    """
+)
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    query = sources.by_id(vectors, 0, "vec_id").first()["embedding"]
+    near = store.nearest(vectors, query, 10, "vec_id", "embedding")
+    return near.withColumn("similarity", F.round("similarity", 6))
+
+
+@_query(
+    r"""
+    SELECT doc_id, len(string_split(regexp_replace(text, '([.?!])\s+', '\1' || chr(31), 'g'), chr(31))) AS n_sentences
+    FROM documents
+    """
+)
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(tx.sentences("text")).cast("long").alias("n_sentences"))
+
+
+@_query(
+    """
+    WITH d AS (
+        SELECT label, vec_id, round(1 - list_cosine_similarity(
+                   lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[], embedding::DOUBLE[]), 9) AS distance
+        FROM embeddings
+    ), t AS (SELECT label, round(quantile_cont(distance, 0.95), 9) AS threshold FROM d GROUP BY label)
+    SELECT label, vec_id, round(distance, 6) AS distance, coalesce(distance > threshold, false) AS breaks,
+           sum(coalesce(distance > threshold, false)::INT) OVER (PARTITION BY label ORDER BY vec_id)::BIGINT AS piece
+    FROM d JOIN t USING (label)
+    """
+)
+def semantic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_breaks(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return found.select("label", "vec_id", F.round("distance", 6).alias("distance"), "breaks", "piece")
+
+
+# -- lifecycle --------------------------------------------------------------
+
+_STATUS_SQL = "['" + "', '".join(STATUSES) + "'][(doc_id % 8)::INT + 1]"
+
+
+def _with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, STATUSES))
+    status = F.element_at(names, (F.col("doc_id") % 8 + 1).cast("int"))
+    return _table(spark, sf_dir, "documents").select("doc_id", status.alias("status"))
+
+
+@_query(
+    f"""
+    SELECT doc_id, {_STATUS_SQL} AS status, doc_id % 8 IN (0, 1) AS parses, doc_id % 8 IN (0, 1, 2) AS chunks,
+           doc_id % 8 IN (0, 1, 2, 4) AS embeds
+    FROM documents
+    """
+)
+def status_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parses = F.col("status").isin("pending", "parsing")
+    chunks = parses | (F.col("status") == "parsed")
+    embeds = chunks | (F.col("status") == "chunked")
+    return _with_status(spark, sf_dir).select(
+        "doc_id", "status", parses.alias("parses"), chunks.alias("chunks"), embeds.alias("embeds")
+    )
+
+
+@_query(
+    """
+    SELECT user_id AS id, max_by(event_type, event_id) AS status, max_by(props, event_id) AS details
+    FROM events GROUP BY user_id
+    """
+)
+def status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("id"),
+        F.col("event_type").alias("status"),
+        F.col("props").alias("details"),
+        F.col("event_id").alias("seq"),
+    )
+    return sources.latest_status(log)
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"))
+    return sources.not_embedded(_table(spark, sf_dir, "documents"), stored, "doc_id").select("doc_id")
+
+
+@_query(
+    """
+    SELECT v.vec_id AS id, d.lang,
+           CASE WHEN d.doc_id IS NULL THEN 'No document found with ID ' || v.vec_id END AS resume_error
+    FROM (SELECT vec_id + 150 AS vec_id FROM embeddings) v LEFT JOIN documents d ON d.doc_id = v.vec_id
+    """
+)
+def resume_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = _table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 150).alias("id"))
+    found = sources.resume(_table(spark, sf_dir, "documents"), wanted, "doc_id")
+    number = F.coalesce("doc_id", F.regexp_extract("resume_error", r"(\d+)$", 1).cast("long"))
+    return found.select(number.alias("id"), "lang", "resume_error")
+
+
+@_query(
+    f"""
+    SELECT doc_id AS id, CASE doc_id % 8 WHEN 7 THEN 'pending' WHEN 3 THEN 'parsed' WHEN 5 THEN 'chunked'
+           ELSE {_STATUS_SQL} END AS status
+    FROM documents
+    """
+)
+def retry_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_status(spark, sf_dir).select(
+        F.col("doc_id").alias("id"),
+        "status",
+        F.lit("old").alias("status_details"),
+        F.current_timestamp().alias("updated_at"),
+    )
+    return reopen(docs).select("id", "status")
+
+
+def _page_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages as pending documents, and their Markdown."""
+    pages = _table(spark, sf_dir, "pages").dropDuplicates(["url"])
+    values = {
+        "id": F.col("page_id"),
+        "title": F.col("url"),
+        "status": F.lit("pending"),
+        "file_path": F.when(F.col("page_id") % 5 == 0, "note.docx").otherwise(F.col("url")),
+        "created_at": F.current_timestamp(),
+        "updated_at": F.current_timestamp(),
     }
+    docs = pages.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields])
+    contents = pages.select(F.col("url").alias("file_path"), html_to_markdown("html").alias("markdown"))
+    return docs, contents
+
+
+@_query(
+    """
+    SELECT page_id AS id, CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status,
+           CASE WHEN page_id % 5 = 0 THEN 'Parsing failed: Unsupported file type for: note.docx' END AS failure
+    FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1
+    """
+)
+def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through the whole lifecycle."""
+    docs, contents = _page_documents(spark, sf_dir)
+    done, _ = process(docs, contents, StoreConfig("unused"))
+    failed = F.when(F.col("status") == "failed", F.col("status_details"))
+    return done.select("id", "status", failed.alias("failure"))
+
+
+@_query()
+def ingest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors that the whole lifecycle makes of all pages."""
+    docs, contents = _page_documents(spark, sf_dir)
+    _, vectors = process(docs, contents, StoreConfig("unused"))
+    return vectors.select("vector_id", "document_id", "chunk_index", F.length("chunk_text").alias("chars"), "error")
+
+
+# -- pages ------------------------------------------------------------------
+
+
+@_query("SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS heading FROM pages")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", first_heading("html").alias("heading"))
+
+
+@_query()
+def html_to_md(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", html_to_markdown("html").alias("markdown"))
+
+
+# -- alternative chunkers ---------------------------------------------------
+
+
+@_query()
+def recursive_markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = F.posexplode(chunk_text("md", "markdown")).alias("ordinal", "piece")
+    return markdown_view(spark, sf_dir).select("conv_id", pieces)
+
+
+@_query()
+def budget_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = F.posexplode(chunk_text("text", "semantic")).alias("ordinal", "piece")
+    return _table(spark, sf_dir, "documents").select("doc_id", pieces)

@@ -1,0 +1 @@
+"""Readers of stored and fetched sources."""

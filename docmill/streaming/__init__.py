@@ -1,0 +1 @@
+"""Incremental ingestion."""
