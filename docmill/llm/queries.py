@@ -9,44 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
-from .license_scan import license_scan
 from .decontaminate import decontaminate
+from .exact_dedup import exact_dedup
+from .license_scan import license_scan
 from .quality import quality_scores, train
 from .secret_scan import added_spans, base_spans, secret_scan, span_list
-from .warc import round_trip
-from .url_filter import url_verdicts
 from .simhash import simhash_classes
-from .exact_dedup import exact_dedup
 from .token_count import token_counts
+from .url_filter import RULES, url_verdicts
+from .warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, _table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
 
 
-def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages")).drop("alias_class")
 
 
-def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_round_trip(
-        _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
-    )
-    return coded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
-def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(_table(spark, sf_dir, "documents"))
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(_table(spark, sf_dir, "documents"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +54,6 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return quality_scores(docs, train(docs, _table(spark, sf_dir, "labels")))
-
-
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned, judged = secret_scan(_table(spark, sf_dir, "documents"))
     rows = scanned.join(added_spans(judged), "row", "left").withColumn("base", base_spans())
@@ -84,36 +72,75 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(spark, _table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_verdicts(_table(spark, sf_dir, "pages")).drop("alias_class")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
-def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_classes(_table(spark, sf_dir, "documents"))
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_round_trip(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op4_simhash": op4_simhash,
-        "op2_url_filter": op2_url_filter,
         "op1_warc": op1_warc,
+        "op2_url_filter": op2_url_filter,
+        "op3_exact_dedup": op3_exact_dedup,
+        "op4_simhash": op4_simhash,
+        "op5_decontaminate": op5_decontaminate,
         "op6_secret_scan": op6_secret_scan,
+        "op7_token_counts": op7_token_counts,
         "op8_quality": op8_quality,
-        "op5_decontaminate": op5_decontaminate,
-        "op10_license_scan": op10_license_scan,
         "op9_bpe_codec": op9_bpe_codec,
-        "op3_exact_dedup": op3_exact_dedup,
-        "op7_token_counts": op7_token_counts,
+        "op10_license_scan": op10_license_scan,
     }
 
 
-#: DuckDB SQL for the queries that SQL can express over whole tables.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_WORDS = (
+    "regexp_extract_all("
+    + _LOWER.format("coalesce(text, '')")
+    + r", '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"
+)
+
+
+def _rule_sql(host: str, path: str, answer: str) -> str:
+    """The longest rule that fits, as a CASE in the order of length."""
+    cases = []
+    for verdict, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
+        fits = f"({host} = '{h}' OR suffix({host}, '.{h}')) AND prefix({path}, '{p}')"
+        cases.append(f"WHEN {fits} THEN '{h + p if answer == 'rule' else verdict}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+def _host_sql(url: str) -> str:
+    return _LOWER.format(f"coalesce(regexp_extract({url}, '://([^/?#]*)', 1), '')")
+
+
+def _path_sql(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '://[^/?#]*([^?#]*)', 1), '')"
+
+
+#: DuckDB SQL for the queries that SQL can express over whole tables.  That of
+#: op2 reads canonical links in their plain form only.
 ORACLE_SQL = {
     "op1_warc": """
         WITH p AS (
@@ -129,6 +156,27 @@ ORACLE_SQL = {
                CASE WHEN n >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
         FROM t
     """,
+    "op2_url_filter": f"""
+        WITH RECURSIVE named AS (
+            SELECT url AS a, regexp_extract(unnest(regexp_extract_all(
+                       html, '(?i)<link [^>]*rel="canonical"[^>]*>')), 'href="([^"]*)"', 1) AS b
+            FROM pages
+        ), edges AS (
+            SELECT a, b FROM named WHERE b <> '' UNION SELECT b, a FROM named WHERE b <> ''
+        ), reach AS (
+            SELECT a, a AS b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b
+        ), classes AS (
+            SELECT a AS url, bool_or({_rule_sql(_host_sql("b"), _path_sql("b"), "verdict")} = 'block') AS blocks,
+                   bool_or({_rule_sql(_host_sql("b"), _path_sql("b"), "verdict")} = 'allow') AS allows
+            FROM reach GROUP BY a
+        ), p AS (
+            SELECT page_id, url, {_host_sql("url")} AS host, {_path_sql("url")} AS path FROM pages
+        )
+        SELECT page_id, host, path, {_rule_sql("host", "path", "rule")} AS rule,
+               coalesce({_rule_sql("host", "path", "verdict")},
+                        CASE WHEN blocks AND NOT coalesce(allows, false) THEN 'block' END, 'allow') AS verdict
+        FROM p LEFT JOIN classes USING (url)
+    """,
     "op3_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id,
@@ -138,4 +186,34 @@ ORACLE_SQL = {
                sha256(text) AS text_sha256
         FROM t
     """,
+    "op5_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item_id, least(13, len(ws)) AS n,
+                   unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2),
+                          lambda i: array_to_string(ws[i:i + least(13, len(ws)) - 1], ' '))) AS w
+            FROM b WHERE len(ws) > 0
+        ),
+        grams AS (
+            SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i,
+                   unnest(list_transform(range(1, len(ws) - n + 2),
+                          lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS w
+            FROM d, (SELECT DISTINCT n FROM windows) WHERE len(ws) >= n
+        ),
+        found AS (SELECT doc_id, i, n, item_id FROM grams JOIN windows USING (n, w)),
+        hits AS (
+            SELECT doc_id, count(DISTINCT k) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id
+        ),
+        items AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                   string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+            FROM found GROUP BY doc_id
+        )
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }
