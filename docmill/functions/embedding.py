@@ -9,10 +9,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+@lru_cache(maxsize=200_000)
+def _token_hash(token: str) -> tuple[int, float]:
+    """A token's hash, without its first bit, and the sign that this bit gives."""
+    h = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "big")
+    return h & ((1 << 63) - 1), 1.0 if h >> 63 else -1.0
+
+
 class HashingEmbedder:
     """Signed token counts by the tokens' md5, scaled to length one."""
 
@@ -25,8 +33,8 @@ class HashingEmbedder:
     def _one(self, text: str) -> list[float]:
         out = [0.0] * self.dimensions
         for token in re.findall(r"\w+", text.lower()):
-            h = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "big")
-            out[h % self.dimensions] += 1.0 if h >> 63 else -1.0
+            h, sign = _token_hash(token)
+            out[h % self.dimensions] += sign
         size = sum(x * x for x in out) ** 0.5
         return [x / size for x in out] if size else out
 

@@ -34,14 +34,12 @@ _EMBEDDED = T.ArrayType(
 )
 
 
-def embed_chunks(docs: DataFrame, config: StoreConfig, id_col: str = "id", title_col: str = "title") -> DataFrame:
-    """One row per chunk of ``docs``: the vector table's columns, the title, and
-    ``error``.
+def with_embeddings(docs: DataFrame, config: StoreConfig, when: Column | None = None) -> DataFrame:
+    """``docs`` with ``embedded``: a vector or an error for each of its chunks.
 
     A document's chunks are embedded in slices of ``batch_size``; a slice that
-    fails gets the error on all its rows and no vectors, and the next slices go
-    on.  Vector ids are made of document and chunk, so embedding again replaces
-    rather than doubles."""
+    fails gets the error on all its entries and no vectors, and the next slices
+    go on.  Rows where ``when`` doesn't hold aren't embedded."""
     size, model = config.batch_size, config.model_name
 
     @F.udf(_EMBEDDED, useArrow=True)
@@ -58,10 +56,18 @@ def embed_chunks(docs: DataFrame, config: StoreConfig, id_col: str = "id", title
         return out
 
     texts = F.transform("chunks", lambda c: c["page_content"])
+    # Marked as nondeterministic so that it is computed once, see split_by_headers.
+    return docs.withColumn("embedded", run.asNondeterministic()(texts if when is None else F.when(when, texts)))
+
+
+def embedded_rows(docs: DataFrame, config: StoreConfig, id_col: str = "id", title_col: str = "title") -> DataFrame:
+    """One row per embedded chunk of ``docs``: the vector table's columns, the
+    title, and ``error``.  Vector ids are made of document and chunk, so embedding
+    again replaces rather than doubles."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("document_id"),
         F.col(title_col).alias("original_doc_title"),
-        F.explode(F.arrays_zip("chunks", run(texts).alias("embedded"))).alias("x"),
+        F.explode(F.when(F.col("embedded").isNotNull(), F.arrays_zip("chunks", "embedded"))).alias("x"),
     )
     index = F.col("x.chunks.chunk_index")
     return rows.select(
@@ -76,6 +82,11 @@ def embed_chunks(docs: DataFrame, config: StoreConfig, id_col: str = "id", title
     )
 
 
+def embed_chunks(docs: DataFrame, config: StoreConfig, id_col: str = "id", title_col: str = "title") -> DataFrame:
+    """The embedded chunks of ``docs``, one row each; no shuffle."""
+    return embedded_rows(with_embeddings(docs, config), config, id_col, title_col)
+
+
 def embedded_counts(rows: DataFrame) -> DataFrame:
     """Per document: chunks expected and embedded, and whether they differ."""
     counts = rows.groupBy("document_id").agg(

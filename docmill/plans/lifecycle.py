@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import ChunkConfig, StoreConfig
 from ..functions.text import title_anywhere
 from ..operators.chunking import with_chunks
-from ..operators.store import embed_chunks, embedded_counts
+from ..operators.store import embedded_rows, with_embeddings
 from ..sources.route import source_kind
 
 #: Where a document that stands in the middle of a stage begins again on retry.
@@ -40,9 +40,9 @@ def set_status(docs: DataFrame, when: Column, status: Column | str, details: Col
 
 def parse(docs: DataFrame, contents: DataFrame) -> DataFrame:
     """Take the Markdown of pending documents from ``contents`` (``file_path``,
-    ``markdown``), which the sources make."""
-    unique = contents.groupBy("file_path").agg(F.max("markdown").alias("_content"))
-    joined = docs.join(unique, "file_path", "left").select(*docs.columns, "_content")
+    ``markdown``), which the sources make, one row for each path."""
+    joined = docs.join(contents.withColumnRenamed("markdown", "_content"), "file_path", "left")
+    joined = joined.select(*docs.columns, "_content")
     open_ = F.col("status").isin("pending", "parsing")
     error = F.when(
         source_kind("file_path") == "unsupported", F.concat(F.lit("Unsupported file type for: "), "file_path")
@@ -85,18 +85,16 @@ def embed(docs: DataFrame, config: StoreConfig) -> tuple[DataFrame, DataFrame]:
 
     A document counts as completed even if some of its batches failed; the
     details give how many chunks were embedded."""
-    ready = docs.filter((F.col("status") == "chunked") & (F.size("chunks") > 0))
-    vectors = embed_chunks(ready, config)
-    counts = embedded_counts(vectors).select(F.col("document_id").alias("id"), "embedded")
-    joined = docs.join(counts, "id", "left").select(*docs.columns, "embedded")
     open_ = F.col("status") == "chunked"
+    done = with_embeddings(docs, config, open_ & (F.size("chunks") > 0))
+    stored = F.coalesce(F.size(F.filter("embedded", lambda e: e["vector"].isNotNull())), F.lit(0))
     empty = F.coalesce(F.size("chunks"), F.lit(0)) <= 0
-    text = F.concat(F.lit("Successfully embedded "), F.coalesce("embedded", F.lit(0)).cast("string"), F.lit(" chunks."))
+    text = F.concat(F.lit("Successfully embedded "), stored.cast("string"), F.lit(" chunks."))
     missing = F.concat(F.lit("Cannot embed doc "), F.col("id").cast("string"), F.lit(", chunks are missing."))
     out = set_status(
-        joined, open_, F.when(empty, "failed").otherwise("completed"), F.when(empty, missing).otherwise(text)
+        done, open_, F.when(empty, "failed").otherwise("completed"), F.when(empty, missing).otherwise(text)
     )
-    return out.drop("embedded"), vectors
+    return out.drop("embedded"), embedded_rows(done, config)
 
 
 def reopen(docs: DataFrame) -> DataFrame:

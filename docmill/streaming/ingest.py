@@ -34,7 +34,8 @@ def ingest_pages(
         docs = rows.select(
             *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields]
         )
-        contents = rows.select(F.col("url").alias("file_path"), html_to_markdown("html").alias("markdown"))
+        one = rows.dropDuplicates(["url"])
+        contents = one.select(F.col("url").alias("file_path"), html_to_markdown("html").alias("markdown"))
         done, vectors = process(docs, contents, store, config)
         done.write.mode("overwrite").parquet(f"{documents_path}/batch={number}")
         vectors.write.mode("overwrite").parquet(f"{store.path}/batch={number}")
