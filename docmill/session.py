@@ -1,7 +1,11 @@
-"""A session with the settings that the plans were tuned for."""
+"""Sessions: settings for one machine, and this package on the executors."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +21,19 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("docmill")
     return builder.config(map=settings | conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package's source to the Python workers of all executors, once
+    for each Spark context.  Spark's own file server hands it out, so it works
+    wherever the driver was started and whatever is installed on the workers."""
+    context = spark.sparkContext
+    if getattr(context, "_docmill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="docmill-")) / "docmill.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._docmill_shipped = True

@@ -46,6 +46,29 @@ def new_documents(sources: DataFrame, first_id: int, source_col: str = "source")
     )
 
 
+def create_documents(rows: DataFrame, first_id: int) -> DataFrame:
+    """Given rows (title, markdown, and if at hand tags, doc_metadata as JSON,
+    description) as documents with ids from ``first_id`` on and all defaults."""
+    now = F.current_timestamp()
+    given = {c: F.col(c) for c in ("title", "markdown", "tags", "doc_metadata", "description") if c in rows.columns}
+    values = given | {
+        "id": F.lit(first_id) + F.monotonically_increasing_id(),
+        "status": F.lit("pending"),
+        "created_at": now,
+        "updated_at": now,
+    }
+    if rows.filter(F.col("title").isNull()).limit(1).count():
+        raise ValueError("a document needs a title")
+    return rows.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields])
+
+
+def log_status(docs: DataFrame, seq: int, id_col: str = "id") -> DataFrame:
+    """The documents' statuses as rows of the append-only log, under ``seq``."""
+    return docs.select(
+        id_col, "status", F.col("status_details").alias("details"), F.lit(seq).cast("long").alias("seq")
+    )
+
+
 def not_embedded(docs: DataFrame, embeddings: DataFrame, id_col: str = "id") -> DataFrame:
     """Documents without any stored vector."""
     return docs.join(embeddings.select(F.col("document_id").alias(id_col)), id_col, "left_anti")

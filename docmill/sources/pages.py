@@ -36,3 +36,10 @@ def fetched(urls: DataFrame, url_col: str = "url", get: Callable[[str], str | No
             yield pd.DataFrame({"url": batch["url"], "html": [get(u) for u in batch["url"]]})
 
     return urls.select(F.col(url_col).alias("url")).mapInPandas(run, "url string, html string")
+
+
+def write_markdown(pages: DataFrame, path: str, id_col: str = "page_id") -> None:
+    """One folder of text files for each page under ``path``, named by its id."""
+    pages.select(F.col(id_col), F.col("markdown").alias("value")).filter("value is not null").write.partitionBy(
+        id_col
+    ).text(path)

@@ -9,7 +9,7 @@ from docmill.operators import store
 from docmill.plans.lifecycle import process, reopen
 from docmill.schema import DOCUMENTS, STATUSES, valid_status
 from docmill.sources import documents as sources
-from docmill.sources.pages import fetched, pages_as_markdown
+from docmill.sources.pages import fetched, pages_as_markdown, write_markdown
 from docmill.sources.pdf import join_pages, page_preview, pdf_pages
 
 
@@ -33,6 +33,24 @@ def test_stored_and_fetched_pages(spark):
     assert {r[0]: r[1] for r in got} == {"http://a": "<p>x", "http://b": None}
 
 
+def test_markdown_files(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "# A\n\nb"), (2, None)], "page_id long, markdown string")
+    write_markdown(pages, str(tmp_path / "md"))
+    files = list((tmp_path / "md").rglob("part-*"))
+    assert [(f.parent.name, f.read_text()) for f in files] == [("page_id=1", "# A\n\nb\n")]
+
+
+def test_created_documents_and_log(spark):
+    rows = spark.createDataFrame([("A", "# A", ["x"]), ("B", None, None)], "title string, markdown string, tags array<string>")
+    docs = sources.create_documents(rows, 7)
+    assert {(r["title"], r["status"]) for r in docs.collect()} == {("A", "pending"), ("B", "pending")}
+    assert docs.agg(F.min("id")).first()[0] >= 7
+    with pytest.raises(ValueError):
+        sources.create_documents(rows.withColumn("title", F.lit(None).cast("string")), 1)
+    log = sources.log_status(docs, 1).union(sources.log_status(docs.withColumn("status", F.lit("parsed")), 2))
+    assert {r["status"] for r in sources.latest_status(log).collect()} == {"parsed"}
+
+
 def test_pdf_pages(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"one|two|three")
     (tmp_path / "bad.PDF").write_bytes(b"!")
