@@ -19,6 +19,7 @@ from docmill.llm.exact_dedup import drop_exact_duplicates
 from docmill.llm.quality import keep_good, train
 from docmill.llm.simhash import drop_near_duplicates
 from docmill.llm.storage import saved
+from docmill.session import ship
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +56,25 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     )
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", quality_classifier),
-    ("exact dedup", exact_dedup),
-    ("simhash near-dedup", near_dedup),
-    ("benchmark decontamination", decontamination),
-    ("bpe encoding", bpe_encoding),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    """The stage, run after the package was given to the executors."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", _shipped(quality_classifier)),
+    ("exact dedup", _shipped(exact_dedup)),
+    ("simhash near-dedup", _shipped(near_dedup)),
+    ("benchmark decontamination", _shipped(decontamination)),
+    ("bpe encoding", _shipped(bpe_encoding)),
 ]
 
 #: SQL can express neither the classifier nor the tokenizer.
