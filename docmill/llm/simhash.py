@@ -13,7 +13,8 @@ by at most the radius *in sum over all levels*.  That triangle bound prunes.
   more than ``SHARD_NODES`` nodes.
 * A node is stored in one shard.  As a query it goes to that shard and to each
   other shard whose boundary its radius overlaps, with what is left of the
-  radius (each two shards are matched in one direction only).
+  radius (each two shards are matched in one direction only).  The queries of a
+  shard are dealt over ``SLICES`` tasks.
 * In a shard, the tree goes on over the remaining masks, with vantage points
   from the shard's own nodes, down to small leaves, where the surviving pairs
   are compared in full.
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import arrow_schema, map_batches, struct_of, utf8
+from .batches import arrow_schema, map_batches, release, struct_of, utf8
 from .components import connected_components
 from .storage import saved
 
@@ -49,6 +50,10 @@ SEED = 42
 #: A trunk cell with more nodes is split by one more level, if any is left.
 SHARD_NODES = 50_000
 
+#: The nodes asked of a shard are dealt over this many slices, each of which
+#: holds all the shard's stored nodes; one task does one slice.
+SLICES = 4
+
 #: Nodes in a leaf, and pairs compared at once (few enough for a core's cache).
 LEAF = 96
 PAIRS_AT_ONCE = 1 << 16
@@ -148,6 +153,17 @@ class Trunk:
             return np.ones(len(shards), bool)
         return np.isin(shards, list(self.split)) if level < len(_TRUNK) and self.split else np.zeros(len(shards), bool)
 
+    def slices(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slice, node, budget) rows, with slices numbered within shards.  A
+        stored node has a negative budget and stands in each slice of its shard;
+        each shard that it is asked of, its own too, has it in one slice."""
+        shard, node, budget = self.place(fps)
+        stored = budget < 0
+        asked_of = (node ^ (node >> np.uint64(32))) % np.uint64(SLICES)
+        asked = (shard * SLICES + asked_of.astype(np.int64), node, np.where(stored, self.radius, budget))
+        copies = [(shard[stored] * SLICES + i, node[stored], budget[stored]) for i in range(SLICES)]
+        return tuple(np.concatenate(x) for x in zip(asked, *copies))
+
     def place(self, fps: np.ndarray, asking: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shard, node, budget): a row for each shard that a node is asked of;
         a negative budget marks the row that stores it.
@@ -249,15 +265,14 @@ class VantageTree:
 
 
 def shard_links(fps: np.ndarray, budget: np.ndarray, radius: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one shard as (fingerprint, least fingerprint of its tree)."""
+    """Links of one slice as (fingerprint, least fingerprint of its tree)."""
     order = np.argsort(fps, kind="stable")
     fps, budget = fps[order], budget[order]
     values, number = np.unique(fps, return_inverse=True)
     forest = Forest(len(values))
-    stored = number[budget < 0]
-    asked = np.concatenate([stored, number[budget >= 0]])
-    left = np.concatenate([np.full(len(stored), radius), budget[budget >= 0]])
-    VantageTree(values, forest, radius, sum(_TRUNK[depth - 1])).search(stored, asked, left)
+    asking = budget >= 0
+    tree = VantageTree(values, forest, radius, sum(_TRUNK[depth - 1]))
+    tree.search(number[~asking], number[asking], budget[asking])
     roots = forest.roots()
     moved = np.flatnonzero(roots != np.arange(len(values)))
     return values[moved], values[roots[moved]]
@@ -280,9 +295,10 @@ def grow_trunk(nodes: DataFrame, radius: int) -> Trunk:
 def _placed(nodes: DataFrame, trunk: Trunk, asking: bool) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             for at in range(0, batch.num_rows, 4096):
                 fps = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
-                shard, fp, budget = trunk.place(fps, asking)
+                shard, fp, budget = trunk.slices(fps) if asking else trunk.place(fps, asking=False)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard, pa.int64()), pa.array(fp.view(np.int64)), pa.array(budget, pa.int32())],
                     schema=arrow_schema(schema),
@@ -298,12 +314,13 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     trunk = grow_trunk(nodes, radius)
 
     def join(table: pa.Table) -> pa.Table:
+        release()
         fps = table.column("fp").to_numpy().view(np.uint64)
         budget = table.column("budget").to_numpy()
         if not (budget < 0).any():
             fps, budget = fps[:0], budget[:0]
         shard = table.column("shard")[0].as_py()
-        a, b = shard_links(fps, budget, radius, Trunk.depth(shard))
+        a, b = shard_links(fps, budget, radius, Trunk.depth(shard // SLICES))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     placed = _placed(nodes, trunk, asking=True)

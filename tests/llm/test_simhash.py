@@ -43,13 +43,13 @@ def test_trees_find_all_classes(radius, most):
         shards, n = np.unique(S.Trunk(radius, split).place(fps, False)[0], return_counts=True)
         full = {int(s) for s, k in zip(shards, n) if k > most and S.Trunk.depth(int(s)) == level}
         split |= full
-    shard, fp, budget = S.Trunk(radius, split).place(fps)
-    assert (budget < 0).sum() == len(fps)
+    shard, fp, budget = S.Trunk(radius, split).slices(fps)
+    assert (budget < 0).sum() == S.SLICES * len(fps)
     a, b = [], []
     for s in np.unique(shard):
         here = shard == s
         if (budget[here] < 0).any():
-            x, y = S.shard_links(fp[here], budget[here], radius, S.Trunk.depth(int(s)))
+            x, y = S.shard_links(fp[here], budget[here], radius, S.Trunk.depth(int(s) // S.SLICES))
             a.append(x)
             b.append(y)
     i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1))
