@@ -77,8 +77,7 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
+            release()
             if work is None:
                 work = make()
             for at in range(0, batch.num_rows, rows_at_once):
@@ -94,6 +93,12 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give back what Arrow keeps of memory that it no longer uses; workers live
+    on between tasks, and two of them share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [b or b"" for b in batch.column(name).cast(pa.binary()).to_pylist()]

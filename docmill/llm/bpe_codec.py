@@ -35,14 +35,14 @@ from .bpe import SAFE_TEXT, byte_alphabet
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Words and pairs that a worker remembers; beyond that it starts afresh.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 250_000
 REMEMBERED_PAIRS = 2_000_000
 
 #: Longer words are encoded each time they occur.
 LONGEST_REMEMBERED = 64
 
 #: Characters of text whose words are looked up together.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 250_000
 
 _PAIR = 1 << 20  # tokens are numbered below this
 _NEVER = 1 << 60  # the rank of a pair that doesn't merge
@@ -325,5 +325,5 @@ def bpe_round_trip(
         return work
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = map_batches(rows, make, "id long, n_tokens long, ids binary, decoded string", rows_at_once=512)
+    out = map_batches(rows, make, "id long, n_tokens long, ids binary, decoded string", rows_at_once=256)
     return out.withColumnRenamed("id", id_col)

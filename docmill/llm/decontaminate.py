@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import map_batches, utf8
+from .batches import map_batches, release, utf8
 from .fm_index import FmIndex
 from .words import alnum_words
 
@@ -239,6 +239,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             for at in range(0, batch.num_rows, 2048):
                 rows = batch.slice(at, 2048)
                 texts = utf8(rows, text_col)

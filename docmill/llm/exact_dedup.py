@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import arrow_schema, struct_of
+from .batches import arrow_schema, release, struct_of
 from .storage import saved
 
 #: Characters of the text in the sort key before its hash.  They only set the
@@ -131,6 +131,7 @@ def _leads_of(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             )
 
         for batch in batches:
+            release()
             hashes = batch.column(_H).to_pylist()
             leads = []
             for i, (h, t) in enumerate(zip(hashes, batch.column(text_col).to_pylist())):

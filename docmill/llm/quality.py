@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import map_batches, utf8
+from .batches import map_batches, release, utf8
 
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 32_768
@@ -172,6 +172,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", leas
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors() if len(model.weights) else []
         for batch in batches:
+            release()
             if batch.num_rows:
                 good = model.score(utf8(batch, text_col), compressors) >= least
                 yield batch.filter(pa.array(good))

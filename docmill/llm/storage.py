@@ -30,22 +30,13 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there, without lineage.
-
-    The files stand in a place that outlives executors, so nothing before the
-    cut has to be computed again when one is lost.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table under the shared folder: smaller than a
-    checkpoint, pruned by column when read, and read by Spark alone."""
+    """``df`` written as a Parquet table under the shared folder, and read from
+    there without lineage.
+
+    The files outlive executors, so nothing before the cut has to be computed
+    again when one is lost; they are smaller than a checkpoint's, and only the
+    columns in use are read.  They stay until the folder is cleaned."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
