@@ -132,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = (
         texts.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
         .join(F.broadcast(chosen), "id")
-        .select("id", "n", "quality", "text")
+        .groupBy("id", "n", "quality")  # of rows with the same id, one
+        .agg(F.min("text").alias("text"))
         .toArrow()
         .to_pylist()
     )
