@@ -5,8 +5,9 @@ neighbour of a node to the least node in its neighbourhood, a small star does
 so for the smaller neighbours; alternating them ends, after a number of rounds
 that grows with the logarithm of the component's size, with each node linked to
 the least node of its component.  Minima are taken by partial aggregation, so
-the star around a hot node meets in no single task; joins on a hot node are
-split by Spark.  Every round is cut off in the shared folder.
+the star around a hot node meets in no single task.  The minima are written
+before they are joined back: with plain exchanges on both sides Spark can split
+the join of a hot node, which it can't while one side is an aggregate.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    least = saved(least.select("u", F.least("u", "m").alias("m")), "components-least")
     # Only larger neighbours move: edges (v, u) with v > u, that is, b = u.
     return (
         edges.join(least, F.col("b") == F.col("u"))
@@ -37,7 +38,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = saved(edges.groupBy("a").agg(F.min("b").alias("m")), "components-least")
     moved = (
         edges.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u"))
         .filter("b <> m")

@@ -335,11 +335,16 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius:
     prints = saved(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     found = connected_components(links(nodes, radius))
-    placed = nodes.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
+    # Linked nodes and their classes' least ids are written before they are
+    # joined: with plain exchanges on both sides Spark can split a hot class.
+    members = saved(
+        nodes.join(found, F.col("fp") == F.col("node")).select("fp", "least", "component"), "simhash-members"
+    )
+    least = saved(members.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-least")
+    linked = members.join(least, "component").select("fp", "component_id", "component")
+    of_print = nodes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("component")
     )
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = placed.join(least, "component").select("fp", "component_id", "component")
     return prints.join(of_print, "fp")
 
 
