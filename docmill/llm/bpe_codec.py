@@ -35,7 +35,7 @@ from .bpe import SAFE_TEXT, byte_alphabet
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Words and pairs that a worker remembers; beyond that it starts afresh.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 400_000
 REMEMBERED_PAIRS = 2_000_000
 
 #: Longer words are encoded each time they occur.
