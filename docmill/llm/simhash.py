@@ -382,7 +382,10 @@ def drop_near_duplicates(
     rows = saved(rows.distinct(), "simhash-classes")
     # A null id comes after all others.
     rank = F.struct(F.col("id").isNull(), "id", "h")
-    best = rows.groupBy("component").agg(F.min(rank).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    best = saved(
+        rows.groupBy("component").agg(F.min(rank).alias("best"), F.count("*").alias("n")).filter("n > 1"),
+        "simhash-best",
+    )
     gone = saved(
         rows.join(best, "component").filter(rank != F.col("best")).select(
             F.col("id").alias("gone_id"), F.col("h").alias("gone_h")
