@@ -22,6 +22,10 @@ by at most the radius *in sum over all levels*.  That triangle bound prunes.
 A shard gives a spanning forest of its links, never all pairs, and distributed
 connected components put the forests together.
 
+Where texts are dropped (``drop_near_duplicates``), distances only propose
+pairs, and each link is verified by the similarity of the whole texts' sets of
+shingles before components are made.
+
 Edge cases: null, empty and blank texts have fingerprint zero and are linked
 like any other; a text of fewer words than a shingle is one shingle; rows with
 a null id join their group, whose class is the least id that isn't null (null
@@ -31,7 +35,8 @@ empty result; columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,9 @@ RADIUS = 4
 BROADCAST_ROWS = 300_000
 SEED = 42
 
+#: Share of the pairs at the similarity asked for that candidates must hold.
+FOUND = 0.999
+
 #: A trunk cell with more nodes is split by one more level, if any is left.
 SHARD_NODES = 50_000
 
@@ -69,20 +77,24 @@ _BRANCH_BITS = 4
 # -- fingerprints -----------------------------------------------------------
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles, repeats included."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The 64-bit hashes of a text's word shingles, repeats included."""
     import xxhash
 
     words = text.lower().split()  # both work on ASCII alone
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - k + 1)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingles, zero for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -90,6 +102,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text's word shingles, repeats included."""
+    return print_of(shingle_hashes(text, shingle))
+
+
 def radius_for(similarity: float) -> int:
     """Bits in which two texts are expected to differ whose shingle sets have
     this Jaccard similarity: their counts then have the cosine 2s / (1 + s),
@@ -97,6 +114,14 @@ def radius_for(similarity: float) -> int:
     return int(64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def candidate_radius(similarity: float, share: float = FOUND) -> int:
+    """The least radius that holds this share of the pairs at the similarity,
+    whose distances are binomial around the expected one."""
+    apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    held = np.cumsum([comb(64, k) * apart**k * (1 - apart) ** (64 - k) for k in range(65)])
+    return int(np.argmax(held >= min(share, held[-1])))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """(id, h, fp) of every row: the text's hash, and the fingerprint's bits as
     a signed long."""
@@ -202,6 +227,7 @@ class Forest:
 
     def __init__(self, n: int):
         self._up = list(range(n))
+        self.edges: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
         up = self._up
@@ -211,24 +237,72 @@ class Forest:
         return x
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist()):
-            x, y = self.root(x), self.root(y)
-            if x < y:
-                self._up[y] = x
-            elif y < x:
-                self._up[x] = y
+        for i, j in zip(a.tolist(), b.tolist()):
+            x, y = self.root(i), self.root(j)
+            if x != y:
+                self._up[max(x, y)] = min(x, y)
+                self.edges.append((i, j))
 
     def roots(self) -> np.ndarray:
         return np.array([self.root(x) for x in range(len(self._up))], np.int64)
 
 
+class Pairs:
+    """All links between numbered nodes that may join two classes.
+
+    ``label`` names a node's class so far, ``n`` is the size of its shingle set
+    and ``parity`` that set's ``parity_of``."""
+
+    def __init__(self, label: np.ndarray, n: np.ndarray, parity: list[bytes], similarity: float):
+        self._label, self._n, self._similarity = label, n, similarity
+        self._width = np.array([len(x) for x in parity], np.int64)
+        self._row, self._folded = np.empty(len(n), np.int64), {}
+        for width in np.unique(self._width).tolist():
+            at = np.flatnonzero(self._width == width)
+            self._row[at] = np.arange(len(at))
+            whole = np.frombuffer(b"".join([parity[i] for i in at.tolist()]), np.uint8).reshape(-1, width)
+            self._folded[width, width] = whole
+        self._a, self._b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def _parities(self, nodes: np.ndarray, width: int, to: int) -> np.ndarray:
+        if (width, to) not in self._folded:
+            x = self._folded[width, width]
+            while x.shape[1] > to:
+                half = x.shape[1] // 2
+                x = x[:, :half] ^ x[:, half:]
+            self._folded[width, to] = x
+        return self._folded[width, to][self._row[nodes]]
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        label, n, s = self._label, self._n, self._similarity - 1e-9
+        take = (label[a] != label[b]) & (n[a] >= s * n[b]) & (n[b] >= s * n[a])
+        a, b = a[take], b[take]
+        if not len(a):
+            return
+        most = (n[a] + n[b]) * (1 - self._similarity) / (1 + self._similarity) + 1e-9
+        shapes = self._width[a] << 32 | self._width[b]
+        for shape in np.unique(shapes).tolist():
+            v, w = shape >> 32, shape & 0xFFFFFFFF
+            here = np.flatnonzero(shapes == shape)
+            step = max(1, (1 << 22) // min(v, w))
+            for at in range(0, len(here), step):
+                some = here[at : at + step]
+                x, y = self._parities(a[some], v, min(v, w)), self._parities(b[some], w, min(v, w))
+                may = some[np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most[some]]
+                self._a.append(a[may])
+                self._b.append(b[may])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(self._a), np.concatenate(self._b)
+
+
 class VantageTree:
     """The part of the tree within one shard, searched while it is built.
 
     ``fps`` are all fingerprints, ``stored`` the numbers of the shard's own
-    nodes.  Links are put into ``forest``."""
+    nodes.  Links are put into ``forest``, a Forest or Pairs."""
 
-    def __init__(self, fps: np.ndarray, forest: Forest, radius: int, first_bit: int):
+    def __init__(self, fps: np.ndarray, forest: Forest | Pairs, radius: int, first_bit: int):
         self._fps, self._forest, self._radius = fps, forest, radius
         self._masks = [_mask(b, min(_BRANCH_BITS, 64 - b)) for b in range(first_bit, 64, _BRANCH_BITS)]
 
@@ -264,8 +338,11 @@ class VantageTree:
                 self._forest.link(a[differ], b[differ])
 
 
-def shard_links(fps: np.ndarray, budget: np.ndarray, radius: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one slice as (fingerprint, least fingerprint of its tree)."""
+def shard_links(
+    fps: np.ndarray, budget: np.ndarray, radius: int, depth: int, as_found: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one slice as (fingerprint, least fingerprint of its tree), or,
+    ``as_found``, those pairs within the radius that span the same trees."""
     order = np.argsort(fps, kind="stable")
     fps, budget = fps[order], budget[order]
     values, number = np.unique(fps, return_inverse=True)
@@ -273,11 +350,35 @@ def shard_links(fps: np.ndarray, budget: np.ndarray, radius: int, depth: int) ->
     asking = budget >= 0
     tree = VantageTree(values, forest, radius, sum(_TRUNK[depth - 1]))
     tree.search(number[~asking], number[asking], budget[asking])
+    if as_found:
+        pairs = np.array(forest.edges, np.int64).reshape(-1, 2)
+        return values[pairs[:, 0]], values[pairs[:, 1]]
     roots = forest.roots()
     moved = np.flatnonzero(roots != np.arange(len(values)))
     return values[moved], values[roots[moved]]
 
 
+def shard_pairs(
+    fps: np.ndarray,
+    budget: np.ndarray,
+    keys: np.ndarray,
+    carried: Callable[[np.ndarray], tuple],
+    radius: int,
+    depth: int,
+    similarity: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of keys of one slice within the radius that ``Pairs`` keeps;
+    ``carried`` gives label, size and parity of the rows asked for."""
+    values, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    found = Pairs(*carried(first), similarity)
+    asking = budget >= 0
+    tree = VantageTree(fps[first], found, radius, sum(_TRUNK[depth - 1]))
+    tree.search(number[~asking], number[asking], budget[asking])
+    a, b = found.pairs()
+    both = np.unique(np.minimum(a, b) * len(values) + np.maximum(a, b))
+    return values[both // len(values)], values[both % len(values)]
+
+
 def grow_trunk(nodes: DataFrame, radius: int) -> Trunk:
     """Split cells, level by level, until none has too many nodes.  Only the
     numbers of overfull cells come to the driver: less than one for each
@@ -292,25 +393,39 @@ def grow_trunk(nodes: DataFrame, radius: int) -> Trunk:
     return Trunk(radius, split)
 
 
-def _placed(nodes: DataFrame, trunk: Trunk, asking: bool) -> DataFrame:
+def _placed(nodes: DataFrame, trunk: Trunk, asking: bool, carried: str = "") -> DataFrame:
+    """The nodes dealt over shards, with the ``carried`` columns ("name type,
+    ..."); with these, several nodes may have one fingerprint."""
+    columns = ["fp", *(c.split()[0] for c in carried.split(",") if c)]
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             release()
             for at in range(0, batch.num_rows, 4096):
-                fps = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
-                shard, fp, budget = trunk.slices(fps) if asking else trunk.place(fps, asking=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int64()), pa.array(fp.view(np.int64)), pa.array(budget, pa.int32())],
-                    schema=arrow_schema(schema),
-                )
-
-    schema = struct_of("shard long, fp long, budget int")
-    return nodes.select("fp").mapInArrow(place, schema)
-
-
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+                part = batch.slice(at, 4096)
+                fps = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                values, n = np.unique(fps, return_counts=True) if carried else (fps, None)
+                shard, fp, budget = trunk.slices(values) if asking else trunk.place(values, asking=False)
+                out, rest = [shard, fp.view(np.int64), budget], []
+                if carried:
+                    # Each row is repeated for the nodes of its fingerprint.
+                    value = np.searchsorted(values, fp)
+                    times = n[value]
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    where = np.argsort(fps, kind="stable")[np.repeat((np.cumsum(n) - n)[value], times) + nth]
+                    out = [np.repeat(x, times) for x in out]
+                    rest = [part.column(c).take(pa.array(where)) for c in columns[1:]]
+                arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays + rest, schema=arrow_schema(schema))
+
+    schema = struct_of("shard long, fp long, budget int" + (f", {carried}" if carried else ""))
+    return nodes.select(columns).mapInArrow(place, schema)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, as_found: bool = False) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that span the same
-    classes as all pairs within ``radius`` bits."""
+    classes as all pairs within ``radius`` bits; ``as_found``, each of them is
+    itself such a pair."""
     trunk = grow_trunk(nodes, radius)
 
     def join(table: pa.Table) -> pa.Table:
@@ -320,13 +435,36 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         if not (budget < 0).any():
             fps, budget = fps[:0], budget[:0]
         shard = table.column("shard")[0].as_py()
-        a, b = shard_links(fps, budget, radius, Trunk.depth(shard // SLICES))
+        a, b = shard_links(fps, budget, radius, Trunk.depth(shard // SLICES), as_found)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     placed = _placed(nodes, trunk, asking=True)
     return placed.groupBy("shard").applyInArrow(join, struct_of("a long, b long"))
 
 
+def open_pairs(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): the keys of all pairs of nodes within ``radius`` bits, but for
+    those of one class and those whose sizes or parities forbid the similarity.
+    ``nodes`` has ``fp``, ``key``, ``label``, ``n`` and ``parity``."""
+    trunk = grow_trunk(nodes, radius)
+
+    def join(table: pa.Table) -> pa.Table:
+        release()
+        fps = table.column("fp").to_numpy().view(np.uint64)
+        budget, keys = table.column("budget").to_numpy(), table.column("key").to_numpy()
+        depth = Trunk.depth(table.column("shard")[0].as_py() // SLICES)
+
+        def carried(rows: np.ndarray) -> tuple:
+            label, n = (table.column(c).to_numpy()[rows] for c in ("label", "n"))
+            return label, n, table.column("parity").take(pa.array(rows)).to_pylist()
+
+        a, b = shard_pairs(fps, budget, keys, carried, radius, depth, similarity)
+        return pa.table({"a": a, "b": b})
+
+    placed = _placed(nodes, trunk, True, "key long, label long, n long, parity binary")
+    return placed.groupBy("shard").applyInArrow(join, struct_of("a long, b long")).distinct()
+
+
 # -- classes ----------------------------------------------------------------
 
 
@@ -364,6 +502,133 @@ def simhash_classes(
     )
 
 
+# -- verified classes -------------------------------------------------------
+
+
+def parity_of(hashes: np.ndarray) -> bytes:
+    """A bit for each of at least as many buckets as there are hashes, a power
+    of two: whether the bucket holds an odd number of them."""
+    buckets = max(64, 1 << (len(hashes) - 1).bit_length())
+    held = np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, m: int, x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether sets of these sizes and parities can have the similarity.
+
+    A bucket whose parities differ holds a hash of one set only, and of sets
+    with Jaccard similarity s such hashes are (n + m)(1 - s)/(1 + s)."""
+    if min(n, m) < similarity * max(n, m) - 1e-9:
+        return False
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    apart = int(np.bitwise_count(a ^ b).sum())
+    return apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, h, fp, key, n, parity) of every row: the text's hash, and of its set
+    of shingles the fingerprint, a hash, the size and the parities."""
+
+    def make():
+        import xxhash
+
+        def work(batch: pa.RecordBatch) -> list:
+            fp, key, n, parity = [], [], [], []
+            for text in utf8(batch, "text"):
+                hashes = np.unique(shingle_hashes(text, shingle))
+                fp.append(print_of(hashes))
+                key.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) >> 1)
+                n.append(len(hashes))
+                parity.append(parity_of(hashes))
+            fps = pa.array(np.array(fp, np.uint64).view(np.int64))
+            return [batch.column("id"), batch.column("h"), fps, key, n, parity]
+
+        return work
+
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(text_col).alias("h"),
+        F.col(text_col).cast("string").alias("text"),
+    )
+    return map_batches(rows, make, "id long, h long, fp long, key long, n long, parity binary")
+
+
+def _of_pairs(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with the columns of both keys, as ``a_column`` and ``b_column``."""
+    for side in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+    return pairs
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Those (a, b) of keys whose shingle sets have the Jaccard similarity.
+
+    Sizes and parities rule out most others at little cost; only the texts of
+    what they leave are cut into shingles again and compared in full."""
+
+    def sift():
+        def work(batch: pa.RecordBatch) -> list:
+            names = ("a_n", "b_n", "a_parity", "b_parity")
+            rows = zip(*[batch.column(c).to_pylist() for c in names])
+            keep = pa.array([may_be_similar(*row, similarity) for row in rows], pa.bool_())
+            return [batch.column("a").filter(keep), batch.column("b").filter(keep)]
+
+        return work
+
+    kept = saved(map_batches(_of_pairs(pairs, sets, "n", "parity"), sift, "a long, b long"), "simhash-pairs")
+
+    def cut():
+        def work(batch: pa.RecordBatch) -> list:
+            grams = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in utf8(batch, "text")]
+            return [batch.column("key"), pa.array(grams, pa.list_(pa.int64()))]
+
+        return work
+
+    ends = kept.select("a").union(kept.select("b")).distinct().withColumnRenamed("a", "key")
+    wanted = saved(ends.join(sets.select("key", "h"), "key"), "simhash-wanted")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, "h").select("key", "text")
+    grams = saved(map_batches(texts, cut, "key long, grams array<long>", 256).dropDuplicates(["key"]), "simhash-grams")
+    common = F.size(F.array_intersect("a_grams", "b_grams"))
+    either = F.size("a_grams") + F.size("b_grams") - common
+    return _of_pairs(kept, grams, "grams").filter(common / either >= similarity).select("a", "b")
+
+
+def similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, h, component) of every row: the classes of verified links.
+
+    First the links of a forest at the expected distance are verified, which
+    joins most of a large class at one comparison a document.  Then all pairs
+    within ``candidate_radius`` that these classes leave apart are."""
+    prints = saved(shingle_sets(docs, id_col, text_col, shingle), "simhash")
+    sets = prints.groupBy("key").agg(
+        F.min("fp").alias("fp"), F.min("h").alias("h"), F.min("n").alias("n"), F.min("parity").alias("parity")
+    )
+    sets = saved(sets, "simhash-sets")
+    nodes = saved(sets.groupBy("fp").agg(F.min("key").alias("key")), "simhash-nodes")
+    one = lambda fp, key: nodes.select(F.col("fp").alias(fp), F.col("key").alias(key))
+    trees = links(nodes, radius_for(similarity), as_found=True).withColumnsRenamed({"a": "x", "b": "y"})
+    trees = trees.join(one("x", "a"), "x").join(one("y", "b"), "y").select("a", "b")
+    stars = sets.join(one("fp", "a"), "fp").filter("a <> key").select("a", F.col("key").alias("b"))
+    check = lambda pairs: saved(verified(pairs, sets, docs, text_col, shingle, similarity), "simhash-links")
+    first = check(trees.union(stars).distinct())
+
+    classes = connected_components(first).withColumnRenamed("node", "key")
+    classed = sets.join(classes, "key", "left").select(
+        "key", "fp", "n", "parity", F.coalesce("component", "key").alias("label")
+    )
+    far = open_pairs(saved(classed, "simhash-classed"), candidate_radius(similarity), similarity)
+    second = check(far)
+
+    found = saved(connected_components(first.union(second)), "simhash-members").withColumnRenamed("node", "key")
+    return prints.join(found, "key", "left").select("id", "h", F.coalesce("component", "key").alias("component"))
+
+
 def drop_near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -373,12 +638,13 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one document of each class, all columns kept.
 
-    Links are fingerprints over ``shingle`` words within the radius for
-    ``similarity``.  The document with the least id stays (of several, that
+    Links are pairs whose sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``similarity`` or more; candidates are fingerprints of these
+    sets within ``candidate_radius``.  The document with the least id stays (of several, that
     with the least text hash; rows equal in both stay together).  The others
     are taken out by an anti-join, broadcast only while they are at most
     ``BROADCAST_ROWS``."""
-    rows = _classed(docs, id_col, text_col, shingle, radius_for(similarity)).select("id", "h", "component")
+    rows = similar_classes(docs, id_col, text_col, shingle, similarity)
     rows = saved(rows.distinct(), "simhash-classes")
     # A null id comes after all others.
     rank = F.struct(F.col("id").isNull(), "id", "h")

@@ -91,3 +91,39 @@ def test_one_document_of_each_class_stays(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 50, 51, 52, 53, 54, 90]
     assert S.drop_near_duplicates(df.limit(0)).count() == 0
     assert S.radius_for(0.8) == 9 and S.radius_for(1.0) == 0
+
+
+def test_links_are_verified_by_similarity(spark):
+    """Near copies far apart in bits go, documents close in bits stay."""
+    import random
+
+    rng = random.Random(5)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows, similar = [], {}
+    for i in range(60):
+        base = fresh(rng.choice([60, 120, 240]))
+        changed = list(base)
+        for k in rng.sample(range(len(base)), rng.choice([1, 2, 3, 4, 6]) * len(base) // 120 + 1):
+            changed[k] = f"new{i}x{k}"
+        x, y = (set(zip(*[w[j:] for j in range(5)])) for w in (base, changed))
+        similar[2 * i + 1] = len(x & y) / len(x | y) >= 0.8
+        rows += [(2 * i, " ".join(base), "s"), (2 * i + 1, " ".join(changed), "s")]
+    prints = [S.fingerprint(t.encode(), 5) for _, t, _ in rows]
+    near = {2 * i + 1: (prints[2 * i] ^ prints[2 * i + 1]).bit_count() <= 9 for i in range(60)}
+    assert any(similar[k] and not near[k] for k in near) and any(near[k] and not similar[k] for k in near)
+    left = {r["doc_id"] for r in S.drop_near_duplicates(documents(spark, rows)).collect()}
+    assert left == {i for i, _, _ in rows} - {k for k, s in similar.items() if s}
+
+
+def test_parities_never_rule_out_similar_sets():
+    rng = np.random.default_rng(3)
+    ruled = 0
+    for n in [1, 4, 5, 9, 63, 64, 65, 300, 5000]:
+        for apart in (0, n // 9, n // 4, n):
+            pool = rng.integers(0, 2**63, n + apart, dtype=np.uint64)
+            x, y = np.unique(pool[:n]), np.unique(pool[apart:])
+            s = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+            may = S.may_be_similar(len(x), len(y), S.parity_of(x), S.parity_of(y), 0.8)
+            assert may or s < 0.8
+            ruled += not may
+    assert ruled >= 9
