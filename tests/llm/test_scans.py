@@ -119,3 +119,14 @@ def test_spans_come_back_without_broadcast(spark, monkeypatch):
     want = sorted(map(str, L.license_scan(df).collect()))
     monkeypatch.setattr(L, "BROADCAST_SPANS", 0)
     assert sorted(map(str, L.license_scan(df).collect())) == want
+
+
+def test_edited_statements_are_verified(spark):
+    """Statements with a fifth of their words replaced, each time breaking many k-grams."""
+    edits = {"unlicense": (2, 7), "mpl-2": (2, 5, 8), "bsd": (2, 5, 8, 11)}
+    rows = []
+    for i, (label, at) in enumerate(edits.items()):
+        words_ = next(s for l, s, _ in L.TEMPLATES if l == label).split()
+        rows.append((i, " ".join("changed" if k in at else w for k, w in enumerate(words_)), "s"))
+    got = {r["doc_id"]: r["labels"] for r in L.license_scan(documents(spark, rows)).collect()}
+    assert got == dict(enumerate(edits))
