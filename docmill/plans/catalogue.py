@@ -637,18 +637,21 @@ def retry_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pages as pending documents, and their Markdown."""
-    pages = _table(spark, sf_dir, "pages").dropDuplicates(["url"])
+    """Every page as a pending document, and its Markdown.
+
+    Pages may share a url or have none, so a path is made of url and page_id."""
+    pages = _table(spark, sf_dir, "pages")
+    path = F.concat(F.coalesce("url", F.lit("https://")), F.lit("#"), F.col("page_id").cast("string"))
     values = {
         "id": F.col("page_id"),
-        "title": F.col("url"),
+        "title": F.coalesce("url", F.lit("")),
         "status": F.lit("pending"),
-        "file_path": F.when(F.col("page_id") % 5 == 0, "note.docx").otherwise(F.col("url")),
+        "file_path": F.when(F.col("page_id") % 5 == 0, "note.docx").otherwise(path),
         "created_at": F.current_timestamp(),
         "updated_at": F.current_timestamp(),
     }
     docs = pages.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields])
-    contents = pages.select(F.col("url").alias("file_path"), html_to_markdown("html").alias("markdown"))
+    contents = pages.select(path.alias("file_path"), html_to_markdown("html").alias("markdown"))
     return docs, contents
 
 
@@ -660,9 +663,12 @@ def _page_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """
 )
 def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages through the whole lifecycle."""
+    """All pages through the whole lifecycle; as in the SQL, the page with the
+    least page_id answers for each url."""
     docs, contents = _page_documents(spark, sf_dir)
     done, _ = process(docs, contents, StoreConfig("unused"))
+    shown = _table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("id")).select("id")
+    done = done.join(shown, "id", "left_semi")
     failed = F.when(F.col("status") == "failed", F.col("status_details"))
     return done.select("id", "status", failed.alias("failure"))
 

@@ -173,3 +173,21 @@ def test_tables_are_created_once(spark):
     store.init_tables(spark, "docmill_test")
     store.init_tables(spark, "docmill_test")
     assert {t.name for t in spark.catalog.listTables("docmill_test")} == {"documents", "embeddings"}
+
+
+def test_pages_that_share_a_url_are_all_ingested(spark, tmp_path):
+    import duckdb
+
+    from docmill.plans import catalogue
+
+    urls = ["http://a", "http://a", "http://b", None, None, "http://a", "http://c"]
+    rows = [(11 + i, u, f"<h1>P{i}</h1><p>text {i}</p>") for i, u in enumerate(urls)]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows[::-1], "page_id long, url string, html string").coalesce(1).write.parquet(path)
+    vectors = catalogue.queries()["ingest_vectors"](spark, str(tmp_path)).collect()
+    assert sorted(r["document_id"] for r in vectors) == [11, 12, 13, 14, 16, 17]
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from '{path}/*.parquet'")
+    want = db.sql(catalogue.oracle_sql()["ingest_pages"]).fetchall()
+    got = catalogue.queries()["ingest_pages"](spark, str(tmp_path)).select("id", "status", "failure").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
