@@ -59,7 +59,7 @@ MORE = [
     ("prefixed", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})"), 0, 16),
     ("bearer", re.compile(r"\bBearer\x20+([A-Za-z0-9._~+/-]{20,}=*)"), 1, 20),
     ("webtoken", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 30),
-    ("login", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{6,128})@"), 1, 6),
+    ("login", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:([^\s/@]{6,})@"), 1, 6),
     ("privatekey", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----([A-Za-z0-9+/=\s]{40,})"), 1, 40),
 ]
 

@@ -130,3 +130,9 @@ def test_edited_statements_are_verified(spark):
         rows.append((i, " ".join("changed" if k in at else w for k, w in enumerate(words_)), "s"))
     got = {r["doc_id"]: r["labels"] for r in L.license_scan(documents(spark, rows)).collect()}
     assert got == dict(enumerate(edits))
+
+
+def test_long_logins_are_found():
+    for user, password in (("u" * 65, "secret1x"), ("user", "p4" * 80), ("u" * 300, "p4" * 500)):
+        text = f"see https://{user}:{password}@host/x"
+        assert [(X.KINDS[f[1]], f[5]) for f in X.findings_of(text)] == [("login", password)]
