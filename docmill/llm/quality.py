@@ -1,12 +1,15 @@
 """Quality by compression: two zstandard dictionaries, one built from good and
 one from bad labelled texts.
 
-A text is compressed whole with either dictionary.  The difference of the two
-sizes, normalised by the text's length, says which class it resembles; a
-logistic calibration over that difference, the mean compressed share of the
-text and its log length (with their products) turns it into a score.  The
-dictionaries are built from one part of the labelled sample and the calibration
-is fitted on the other, so that it sees texts which the dictionaries don't hold.
+A text is cut into blocks of ``BLOCK_BYTES`` bytes, so that the dictionary tells
+on all of it and not on its beginning only, and every block is compressed with
+either dictionary.  The difference of the two sizes, summed over the blocks and
+normalised by the text's length, says which class the text resembles; a logistic
+calibration with that one feature and an intercept turns it into a score.
+
+The labelled sample is cut in two halves.  Each half builds a pair of
+dictionaries whose calibration is fitted on the other half, so on texts that
+these dictionaries don't hold; a score is made of the mean of both log odds.
 
 The sample is bounded: per class the ``SAMPLE_ROWS`` labelled training rows
 with the smallest hash of their id, of at most ``SAMPLE_BYTES`` each.  Labels
@@ -21,12 +24,12 @@ columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_batches, release, utf8
@@ -34,13 +37,17 @@ from .batches import map_batches, release, utf8
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 32_768
 
-#: Of the sample, this many rows of each class at most build the dictionaries.
-#: Size, level and the columns of ``_design`` were picked by comparing settings
-#: on held-out rows of one small table; the README has figures on other rows.
+#: Of the sample, this many rows of each class at most build a dictionary.
 DICTIONARY_ROWS = 1000
-DICTIONARY_BYTES = 16_000
+
+#: Picked by two-fold cross-validation inside the training rows of one table.
+DICTIONARY_BYTES = 64_000
+BLOCK_BYTES = 512
 LEVEL = 3
 
+#: Weight of the penalty on the slope, for each row.
+RIDGE = 1e-3
+
 
 def held_out(id_col: str) -> Column:
     """Whether a row may not be learned from: crc32 of the id as text, mod 3, is 1."""
@@ -50,96 +57,132 @@ def held_out(id_col: str) -> Column:
 
 @dataclass
 class QualityModel:
-    """Two dictionaries and the calibration; plain values, so it pickles."""
+    """Pairs of dictionaries (good, bad), each with its calibration (intercept,
+    slope); plain values, so it pickles.  Without any, scores are ``share``."""
 
-    good: bytes
-    bad: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
     share: float
+    parts: list[tuple[bytes, bytes, float, float]]
 
-    def compressors(self) -> list:
-        import zstandard as zs
+    def scorer(self) -> Callable[[list[bytes]], np.ndarray]:
+        pairs = [compressors(good, bad) for good, bad, _, _ in self.parts]
 
-        return [
-            zs.ZstdCompressor(
-                level=LEVEL,
-                dict_data=zs.ZstdCompressionDict(d),
-                write_content_size=False,
-                write_checksum=False,
-                write_dict_id=False,
-            )
-            for d in (self.good, self.bad)
-        ]
+        def score(texts: list[bytes]) -> np.ndarray:
+            if not pairs:
+                return np.full(len(texts), self.share)
+            odds = [a + b * size_differences(texts, p) for p, (_, _, a, b) in zip(pairs, self.parts)]
+            return 1 / (1 + np.exp(-np.clip(np.mean(odds, axis=0), -30, 30)))
 
-    def score(self, texts: list[bytes], compressors: list) -> np.ndarray:
-        if not len(self.weights):
-            return np.full(len(texts), self.share)
-        z = (_design(texts, compressors) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+        return score
 
 
-def _design(texts: list[bytes], compressors: list) -> np.ndarray:
-    """Normalised size difference, mean compressed share, log length, products."""
-    good, bad = (np.array([len(c.compress(t)) for t in texts], float) for c in compressors)
-    n = np.array([len(t) for t in texts], float) + 16
-    d, r, length = (bad - good) / n, (good + bad - 20) / n / 2, np.log(n)
-    columns = [d, r, length, d * d, r * r, length * length, d * r, d * length, r * length]
-    return np.stack([np.ones_like(d), *columns], axis=1)
+def compressors(good: bytes, bad: bytes) -> list:
+    import zstandard as zs
+
+    return [
+        zs.ZstdCompressor(
+            level=LEVEL,
+            dict_data=zs.ZstdCompressionDict(d),
+            write_content_size=False,
+            write_checksum=False,
+            write_dict_id=False,
+        )
+        for d in (good, bad)
+    ]
+
+
+def size_differences(texts: list[bytes], pair: list) -> np.ndarray:
+    """Bytes that the bad dictionary needs more than the good one, for each
+    byte of the text (a few bytes are added, so that tiny texts stay near 0)."""
+    good, bad = (c.compress for c in pair)
+    out = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        blocks = [text[at : at + BLOCK_BYTES] for at in range(0, len(text), BLOCK_BYTES)]
+        out[i] = sum(len(bad(b)) - len(good(b)) for b in blocks) / (len(text) + 16)
+    return out
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts' own end where they are too few."""
+    """A dictionary trained on the texts' blocks, or the texts' own end where
+    they are too few."""
     import zstandard as zs
 
+    texts = texts[:DICTIONARY_ROWS]
+    blocks = [t[at : at + BLOCK_BYTES] for t in texts for at in range(0, len(t), BLOCK_BYTES)]
     try:
-        return zs.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
+        return zs.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes()
     except zs.ZstdError:
         return b"".join(texts)[-DICTIONARY_BYTES:]
 
 
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(intercept, slope) of a logistic regression on one standardised feature.
+
+    The penalised loss is strictly convex in the slope, and each Newton step is
+    halved until it lowers the loss enough, so the fit can't run away."""
+    mean, scale = x.mean(), x.std() or 1.0
+    z = np.stack([np.ones(len(x)), (x - mean) / scale], axis=1)
+    ridge = np.diag([1e-9, RIDGE]) * len(y)
+    loss = lambda w: np.logaddexp(0, z @ w).sum() - y @ (z @ w) + 0.5 * w @ ridge @ w
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        slope = z.T @ (p - y) + ridge @ w
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, slope)
+        now, gain, part = loss(w), slope @ step, 1.0
+        if gain <= 1e-12 * len(y):
+            break
+        while loss(w - part * step) > now - 1e-4 * part * gain and part > 1e-9:
+            part /= 2
+        w = w - part * step
+    return float(w[0] - w[1] * mean / scale), float(w[1] / scale)
+
+
 def fit(rows: list[tuple[bytes, int]]) -> QualityModel:
-    """Build the dictionaries and the calibration from labelled texts."""
+    """Build the dictionaries and the calibrations from labelled texts; of equal
+    texts with the same label one counts, lest a copy stands in both halves."""
+    rows = list(dict.fromkeys(rows))
     classes = [[t for t, q in rows if q == 1], [t for t, q in rows if q != 1]]
-    share = (len(classes[0]) + 1) / (len(rows) + 2)
+    model = QualityModel((len(classes[0]) + 1) / (len(rows) + 2), [])
     if min(map(len, classes)) < 4:
-        return QualityModel(b"", b"", np.empty(0), np.empty(0), np.empty(0), share)
-    cut = [min(DICTIONARY_ROWS, len(c) // 2) for c in classes]
-    good, bad = (_dictionary(c[:k]) for c, k in zip(classes, cut))
-    model = QualityModel(good, bad, np.empty(0), np.empty(0), np.empty(0), share)
-    texts = [t for c, k in zip(classes, cut) for t in c[k:]]
-    y = np.repeat([1.0, 0.0], [len(c) - k for c, k in zip(classes, cut)])
-    x = _design(texts, model.compressors())
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    mean[0], scale[0] = 0, 1
-    z = (x - mean) / scale
-    ridge = 1e-4 * len(y) * np.eye(z.shape[1])
-    w = np.zeros(z.shape[1])
-    for _ in range(40):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
-    model.mean, model.scale, model.weights = mean, scale, w
+        return model
+    for half in (0, 1):
+        pair = [_dictionary(c[1 - half :: 2]) for c in classes]
+        seen = [c[half::2] for c in classes]
+        x = size_differences(seen[0] + seen[1], compressors(*pair))
+        y = np.repeat([1.0, 0.0], list(map(len, seen)))
+        model.parts.append((*pair, *calibrate(x, y)))
     return model
 
 
+def _smallest(marked: DataFrame, quality: int, n: int) -> DataFrame:
+    """The ``SAMPLE_ROWS`` rows of one class with the smallest hash of their id.
+
+    Of ``n`` rows only those below a hash that about four times as many lie
+    under are sorted, so that no task gets the labels of a whole class."""
+    rows = marked.filter(F.col("quality") == quality)
+    if n > 4 * SAMPLE_ROWS:
+        share = 4 * SAMPLE_ROWS / n
+        rows = rows.filter(F.xxhash64("id") < int(share * 2**64) - 2**63)
+    return rows.distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Fit on the bounded sample of labelled training rows."""
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
-    marked = marked.filter(F.col("id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("id")).distinct()
-    by_hash = Window.partitionBy("quality").orderBy(F.xxhash64("id"), "id")
-    chosen = marked.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= SAMPLE_ROWS)
+    marked = marked.filter(F.col("id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("id"))
+    sizes = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
+    chosen = _smallest(marked, 1, sizes.get(1, 0)).unionByName(_smallest(marked, 0, sizes.get(0, 0)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # At most 2 x SAMPLE_ROWS ids and labels are broadcast.
     sample = (
         texts.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
         .join(F.broadcast(chosen), "id")
-        .groupBy("id", "n", "quality")  # of rows with the same id, one
-        .agg(F.min("text").alias("text"))
+        .groupBy("id", "quality")  # of rows with the same id, one
+        .agg(F.min("text").alias("text"), F.xxhash64("id").alias("h"))
         .toArrow()
         .to_pylist()
     )
-    sample.sort(key=lambda r: (r["n"], r["id"], r["text"] or ""))
+    sample.sort(key=lambda r: (r["h"], r["id"], r["quality"]))
     return fit([((r["text"] or "").encode(), r["quality"]) for r in sample])
 
 
@@ -148,13 +191,13 @@ def quality_scores(
 ) -> DataFrame:
     """Per row: id, ``held_out``, ``score`` (0 to 1) and ``predicted``.
 
-    No shuffle: each text is compressed twice where it lies."""
+    No shuffle: each text is compressed where it lies, by every dictionary."""
 
     def make():
-        compressors = model.compressors() if len(model.weights) else []
+        score = model.scorer()
 
         def work(batch: pa.RecordBatch) -> list:
-            return [batch.column("id"), model.score(utf8(batch, "text"), compressors).tolist()]
+            return [batch.column("id"), score(utf8(batch, "text")).tolist()]
 
         return work
 
@@ -173,11 +216,11 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", leas
     schema = docs.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = model.compressors() if len(model.weights) else []
+        score = model.scorer()
         for batch in batches:
             release()
             if batch.num_rows:
-                good = model.score(utf8(batch, text_col), compressors) >= least
+                good = score(utf8(batch, text_col)) >= least
                 yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(work, schema)

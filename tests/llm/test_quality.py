@@ -1,9 +1,16 @@
+import os
 import random
 import zlib
 
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
 from helpers import TEXTS, documents
 
-from docmill.llm.quality import keep_good, quality_scores, train
+from docmill.llm import quality
+from docmill.llm.quality import calibrate, fit, keep_good, quality_scores, train
+
+TABLES = "/root/testdata/sf0.1"
 
 
 def corpus(n=900):
@@ -63,3 +70,43 @@ def test_edge_cases(spark):
     assert len(same) == 1
     assert quality_scores(docs.limit(0), model).count() == 0
     assert keep_good(docs.limit(0), model).count() == 0
+
+
+def labelled(held_out):
+    """(text, label) of the training or the held-out rows of the largest table."""
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in pq.read_table(f"{TABLES}/documents.parquet").to_pylist()}
+    rows = pq.read_table(f"{TABLES}/labels.parquet").to_pylist()
+    split = lambda i: (zlib.crc32(str(i).encode()) % 3 == 1) == held_out
+    return [(texts[r["doc_id"]], r["quality"]) for r in rows if r["doc_id"] in texts and split(r["doc_id"])]
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the driver's tables")
+@pytest.mark.parametrize("kind", ["orders", "resamples"])
+def test_fit_is_stable(kind):
+    """No order or resample of the training rows gives a bad fit."""
+    rows, judged = [r for r in labelled(False) if len(r[0]) <= quality.SAMPLE_BYTES], labelled(True)
+    truth = np.array([q for _, q in judged])
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        chosen = rng.permutation(len(rows)) if kind == "orders" else rng.integers(0, len(rows), len(rows))
+        scores = fit([rows[i] for i in chosen]).scorer()([t for t, _ in judged])
+        assert ((scores >= 0.5) == truth).mean() >= 0.95, seed
+
+
+def test_calibration_always_ends():
+    rng = np.random.default_rng(0)
+    cases = [(np.r_[np.zeros(5), np.ones(5)], np.repeat([0.0, 1.0], 5)), (np.zeros(8), np.repeat([0.0, 1.0], 4))]
+    cases += [(rng.standard_cauchy(200) * 10.0**k, (rng.random(200) < 0.9).astype(float)) for k in range(-6, 7)]
+    for x, y in cases:
+        a, b = calibrate(x, y)
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+        assert np.isfinite([a, b]).all() and abs(p.mean() - y.mean()) < 1e-3
+
+
+def test_sample_is_the_smallest_hashes(spark, monkeypatch):
+    """The cut by hash before the sort takes nothing from the sample."""
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 50)
+    marked = spark.range(3000).selectExpr("id", "cast(id % 2 as int) quality")
+    got = [r["id"] for r in quality._smallest(marked.union(marked), 1, 3000).collect()]
+    want = marked.filter("quality = 1").selectExpr("id", "xxhash64(id) h").orderBy("h", "id").limit(50).collect()
+    assert sorted(got) == sorted(r["id"] for r in want)
