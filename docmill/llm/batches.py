@@ -107,3 +107,12 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     """The texts of a string column; null counts as empty."""
     return [s or "" for s in batch.column(name).to_pylist()]
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores as it takes to differ from all
+    ``columns`` (names are compared as Spark does, whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -10,11 +10,12 @@ by at most the radius *in sum over all levels*.  That triangle bound prunes.
 
 * The trunk, the first levels of the tree, deals the nodes over shards by their
   distances to the trunk's vantage points, and goes deeper where a cell has
-  more than ``SHARD_NODES`` nodes.
+  more than ``SHARD_NODES`` nodes.  When all bits are used up it begins again
+  with the bits in another order and a fresh budget.
 * A node is stored in one shard.  As a query it goes to that shard and to each
   other shard whose boundary its radius overlaps, with what is left of the
-  radius (each two shards are matched in one direction only).  The queries of a
-  shard are dealt over ``SLICES`` tasks.
+  radius (each two shards are matched in one direction only).  Where a shard is
+  asked more than ``ASKED_ROWS`` nodes, these are dealt over several slices.
 * In a shard, the tree goes on over the remaining masks, with vantage points
   from the shard's own nodes, down to small leaves, where the surviving pairs
   are compared in full.
@@ -23,14 +24,17 @@ A shard gives a spanning forest of its links, never all pairs, and distributed
 connected components put the forests together.
 
 Where texts are dropped (``drop_near_duplicates``), distances only propose
-pairs, and each link is verified by the similarity of the whole texts' sets of
-shingles before components are made.
+pairs, and a link is a pair whose whole sets of shingles are similar enough.
+There the fingerprints are first partitioned by another distance, that of their
+sets from the empty set, which is the set's size: sizes of similar sets differ by
+a known factor at most, so a set meets those of its own and the next band only.
 
 Edge cases: null, empty and blank texts have fingerprint zero and are linked
 like any other; a text of fewer words than a shingle is one shingle; rows with
 a null id join their group, whose class is the least id that isn't null (null
 if there is none); repeated rows get the same class; an empty table gives an
-empty result; columns other than the id and the text are ignored.
+empty result; columns other than the id and the text are ignored, or kept where
+rows are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import arrow_schema, map_batches, release, struct_of, utf8
+from .batches import arrow_schema, map_batches, release, struct_of, unused, utf8
 from .components import connected_components
 from .storage import saved
 
@@ -55,23 +59,32 @@ SEED = 42
 #: Share of the pairs at the similarity asked for that candidates must hold.
 FOUND = 0.999
 
-#: A trunk cell with more nodes is split by one more level, if any is left.
+#: A trunk cell with more nodes is split by one more level.
 SHARD_NODES = 50_000
 
-#: The nodes asked of a shard are dealt over this many slices, each of which
-#: holds all the shard's stored nodes; one task does one slice.
-SLICES = 4
+#: Nodes asked of a shard that one task looks for; each slice of them has all
+#: the shard's stored nodes.
+ASKED_ROWS = 60_000
 
 #: Nodes in a leaf, and pairs compared at once (few enough for a core's cache).
 LEAF = 96
 PAIRS_AT_ONCE = 1 << 16
 
-#: First bit and number of bits of the trunk's masks; a distance or the lack of
-#: one is a digit of base ``_PLACES`` in a shard's number.  The levels below the
-#: trunk take the bits above its last mask, a few at a time.
-_TRUNK = [(0, 16), (16, 16), (32, 8), (40, 8), (48, 8)]
+#: Sets, and bytes that come with them, which one task of a band holds twice at
+#: most: stored and asked.
+PART_NODES = 100_000
+PART_BYTES = 48_000_000
+
+#: First bit and number of bits of the trunk's masks; after the last one the
+#: bits are turned by ``_TURN`` places and the masks begin again.  A distance or
+#: the lack of one is a digit of base ``_PLACES`` in a shard's number, which has
+#: room for ``_DEEPEST`` digits and the slice.
+_TRUNK = [(0, 16), (16, 16), (32, 8), (40, 8), (48, 8), (56, 8)]
+_TURN = 21
 _PLACES = 18
+_DEEPEST = 12
 _BRANCH_BITS = 4
+_SLICES = 1 << 12
 
 
 # -- fingerprints -----------------------------------------------------------
@@ -107,13 +120,6 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return print_of(shingle_hashes(text, shingle))
 
 
-def radius_for(similarity: float) -> int:
-    """Bits in which two texts are expected to differ whose shingle sets have
-    this Jaccard similarity: their counts then have the cosine 2s / (1 + s),
-    and a random hyperplane parts them with probability arccos / pi."""
-    return int(64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def candidate_radius(similarity: float, share: float = FOUND) -> int:
     """The least radius that holds this share of the pairs at the similarity,
     whose distances are binomial around the expected one."""
@@ -152,6 +158,12 @@ def _distance(fps: np.ndarray, vantage: np.uint64, mask: np.uint64) -> np.ndarra
     return np.bitwise_count((fps ^ vantage) & mask).astype(np.int64)
 
 
+def _turned(fps: np.ndarray, times: int) -> np.ndarray:
+    """The fingerprints with their bits rotated ``times`` turns."""
+    by = np.uint64(_TURN * times % 64)
+    return (fps << by) | (fps >> (np.uint64(64) - by)) if by else fps
+
+
 class Trunk:
     """The levels that deal nodes over shards; a shard is a path of distances.
 
@@ -162,6 +174,7 @@ class Trunk:
         self.radius = radius
         self.base = 2 if radius <= RADIUS else 1
         self.split = split or set()
+        self._split = np.array(sorted(self.split), np.int64)
         # Any vantage point will do: the bound holds for all.
         self.vantage = np.uint64(0x5555_3333_0F0F_00FF)
 
@@ -176,18 +189,7 @@ class Trunk:
     def _deeper(self, shards: np.ndarray, level: int) -> np.ndarray:
         if level < self.base:
             return np.ones(len(shards), bool)
-        return np.isin(shards, list(self.split)) if level < len(_TRUNK) and self.split else np.zeros(len(shards), bool)
-
-    def slices(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slice, node, budget) rows, with slices numbered within shards.  A
-        stored node has a negative budget and stands in each slice of its shard;
-        each shard that it is asked of, its own too, has it in one slice."""
-        shard, node, budget = self.place(fps)
-        stored = budget < 0
-        asked_of = (node ^ (node >> np.uint64(32))) % np.uint64(SLICES)
-        asked = (shard * SLICES + asked_of.astype(np.int64), node, np.where(stored, self.radius, budget))
-        copies = [(shard[stored] * SLICES + i, node[stored], budget[stored]) for i in range(SLICES)]
-        return tuple(np.concatenate(x) for x in zip(asked, *copies))
+        return np.isin(shards, self._split) if level < _DEEPEST else np.zeros(len(shards), bool)
 
     def place(self, fps: np.ndarray, asking: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shard, node, budget): a row for each shard that a node is asked of;
@@ -198,14 +200,17 @@ class Trunk:
         shard = np.zeros(len(fps), np.int64)
         budget, home = np.full(len(fps), self.radius), np.ones(len(fps), bool)
         done = []
-        for level in range(len(_TRUNK) + 1):
+        for level in range(_DEEPEST + 1):
             deeper = self._deeper(shard, level)
             done.append((shard[~deeper], fps[~deeper], np.where(home, -1, budget)[~deeper]))
             shard, fps, budget, home = (x[deeper] for x in (shard, fps, budget, home))
             if not len(fps):
                 break
-            first, bits = _TRUNK[level]
-            here = _distance(fps, self.vantage, _mask(first, bits))
+            turn, mask = divmod(level, len(_TRUNK))
+            if mask == 0:  # other masks over all bits: a bound of its own
+                budget = np.full(len(fps), self.radius)
+            first, bits = _TRUNK[mask]
+            here = _distance(_turned(fps, turn), self.vantage, _mask(first, bits))
             parts = []
             for step in range(-self.radius, self.radius + 1) if asking else (0,):
                 there = here + step
@@ -222,11 +227,45 @@ class Trunk:
         return tuple(np.concatenate(x) for x in zip(*done))
 
 
+class Slices:
+    """How many slices the nodes asked of a shard are dealt over."""
+
+    def __init__(self, asked: dict[int, int]):
+        """``asked`` has the number of nodes asked of the shards with many."""
+        many = sorted((k, min(_SLICES, -(-n // ASKED_ROWS))) for k, n in asked.items())
+        self._shards = np.array([k for k, _ in many], np.int64)
+        self._n = np.array([n for _, n in many], np.int64)
+
+    def _of(self, shard: np.ndarray) -> np.ndarray:
+        n = np.ones(len(shard), np.int64)
+        if len(self._shards):
+            at = np.minimum(np.searchsorted(self._shards, shard), len(self._shards) - 1)
+            n = np.where(self._shards[at] == shard, self._n[at], 1)
+        return n
+
+    def deal(self, shard: np.ndarray, node: np.ndarray, budget: np.ndarray, radius: int):
+        """(slice, node, budget) rows, with slices numbered within shards.  A
+        stored node has a negative budget and stands in each slice of its shard;
+        each shard that it is asked of, its own too, has it in one slice."""
+        n, stored = self._of(shard), budget < 0
+        asked_in = ((node ^ (node >> np.uint64(32))) % n.astype(np.uint64)).astype(np.int64)
+        times = n[stored]
+        each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return (
+            np.concatenate([shard * _SLICES + asked_in, np.repeat(shard[stored], times) * _SLICES + each]),
+            np.concatenate([node, np.repeat(node[stored], times)]),
+            np.concatenate([np.where(stored, radius, budget), np.full(len(each), -1)]),
+        )
+
+
 class Forest:
-    """Union of links between numbered nodes, with the least number as root."""
+    """Union of links between numbered nodes, with the least number as root.
 
-    def __init__(self, n: int):
+    ``accept``, if given, decides on the pairs that would join two trees."""
+
+    def __init__(self, n: int, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
         self._up = list(range(n))
+        self._accept = accept
         self.edges: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
@@ -237,83 +276,52 @@ class Forest:
         return x
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        for i, j in zip(a.tolist(), b.tolist()):
-            x, y = self.root(i), self.root(j)
-            if x != y:
-                self._up[max(x, y)] = min(x, y)
-                self.edges.append((i, j))
+        """Join the trees of the accepted pairs; pairs that come first are tried
+        first.  Python walks over nodes and trees only, not over pairs."""
+        while len(a):
+            nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+            tree = np.array([self.root(x) for x in nodes.tolist()], np.int64)[back]
+            x, y = tree[: len(a)], tree[len(a) :]
+            apart = np.flatnonzero(x != y)
+            if not len(apart):
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            # Each tree's first pair.
+            first = np.unique(np.unique(np.concatenate([x, y]), return_index=True)[1] % len(a))
+            fits = np.ones(len(first), bool) if self._accept is None else self._accept(a[first], b[first])
+            for i in first[fits].tolist():
+                u, v = self.root(int(x[i])), self.root(int(y[i]))
+                if u != v:
+                    self._up[max(u, v)] = min(u, v)
+                    self.edges.append((int(a[i]), int(b[i])))
+            tried = np.ones(len(a), bool)
+            tried[first] = False
+            a, b = a[tried], b[tried]
 
     def roots(self) -> np.ndarray:
         return np.array([self.root(x) for x in range(len(self._up))], np.int64)
 
 
-class Pairs:
-    """All links between numbered nodes that may join two classes.
-
-    ``label`` names a node's class so far, ``n`` is the size of its shingle set
-    and ``parity`` that set's ``parity_of``."""
-
-    def __init__(self, label: np.ndarray, n: np.ndarray, parity: list[bytes], similarity: float):
-        self._label, self._n, self._similarity = label, n, similarity
-        self._width = np.array([len(x) for x in parity], np.int64)
-        self._row, self._folded = np.empty(len(n), np.int64), {}
-        for width in np.unique(self._width).tolist():
-            at = np.flatnonzero(self._width == width)
-            self._row[at] = np.arange(len(at))
-            whole = np.frombuffer(b"".join([parity[i] for i in at.tolist()]), np.uint8).reshape(-1, width)
-            self._folded[width, width] = whole
-        self._a, self._b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-
-    def _parities(self, nodes: np.ndarray, width: int, to: int) -> np.ndarray:
-        if (width, to) not in self._folded:
-            x = self._folded[width, width]
-            while x.shape[1] > to:
-                half = x.shape[1] // 2
-                x = x[:, :half] ^ x[:, half:]
-            self._folded[width, to] = x
-        return self._folded[width, to][self._row[nodes]]
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        label, n, s = self._label, self._n, self._similarity - 1e-9
-        take = (label[a] != label[b]) & (n[a] >= s * n[b]) & (n[b] >= s * n[a])
-        a, b = a[take], b[take]
-        if not len(a):
-            return
-        most = (n[a] + n[b]) * (1 - self._similarity) / (1 + self._similarity) + 1e-9
-        shapes = self._width[a] << 32 | self._width[b]
-        for shape in np.unique(shapes).tolist():
-            v, w = shape >> 32, shape & 0xFFFFFFFF
-            here = np.flatnonzero(shapes == shape)
-            step = max(1, (1 << 22) // min(v, w))
-            for at in range(0, len(here), step):
-                some = here[at : at + step]
-                x, y = self._parities(a[some], v, min(v, w)), self._parities(b[some], w, min(v, w))
-                may = some[np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most[some]]
-                self._a.append(a[may])
-                self._b.append(b[may])
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate(self._a), np.concatenate(self._b)
-
-
 class VantageTree:
     """The part of the tree within one shard, searched while it is built.
 
     ``fps`` are all fingerprints, ``stored`` the numbers of the shard's own
-    nodes.  Links are put into ``forest``, a Forest or Pairs."""
+    nodes.  ``found`` gets the pairs within the radius."""
 
-    def __init__(self, fps: np.ndarray, forest: Forest | Pairs, radius: int, first_bit: int):
-        self._fps, self._forest, self._radius = fps, forest, radius
+    def __init__(
+        self, fps: np.ndarray, found: Callable[[np.ndarray, np.ndarray], None], radius: int, first_bit: int, leaf: int = LEAF
+    ):
+        self._fps, self._found, self._radius, self._leaf = fps, found, radius, leaf
         self._masks = [_mask(b, min(_BRANCH_BITS, 64 - b)) for b in range(first_bit, 64, _BRANCH_BITS)]
 
     def search(self, stored: np.ndarray, asked: np.ndarray, budget: np.ndarray) -> None:
-        """Link each asked node with the stored nodes within the radius."""
+        """Find each asked node's stored nodes within the radius."""
         todo = [(0, stored, asked, budget)]
         while todo:
             level, stored, asked, budget = todo.pop()
             if not len(stored) or not len(asked):
                 continue
-            if len(stored) <= LEAF or level == len(self._masks):
+            if len(stored) <= self._leaf or level == len(self._masks):
                 self._compare(stored, asked)
                 continue
             mask = self._masks[level]
@@ -335,57 +343,32 @@ class VantageTree:
             a, b = some[i], stored[j]
             differ = a != b
             if differ.any():
-                self._forest.link(a[differ], b[differ])
+                self._found(a[differ], b[differ])
 
 
-def shard_links(
-    fps: np.ndarray, budget: np.ndarray, radius: int, depth: int, as_found: bool = False
-) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one slice as (fingerprint, least fingerprint of its tree), or,
-    ``as_found``, those pairs within the radius that span the same trees."""
+def shard_links(fps: np.ndarray, budget: np.ndarray, radius: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one slice as (fingerprint, least fingerprint of its tree)."""
     order = np.argsort(fps, kind="stable")
     fps, budget = fps[order], budget[order]
     values, number = np.unique(fps, return_inverse=True)
     forest = Forest(len(values))
     asking = budget >= 0
-    tree = VantageTree(values, forest, radius, sum(_TRUNK[depth - 1]))
-    tree.search(number[~asking], number[asking], budget[asking])
-    if as_found:
-        pairs = np.array(forest.edges, np.int64).reshape(-1, 2)
-        return values[pairs[:, 0]], values[pairs[:, 1]]
+    turn, mask = divmod(depth, len(_TRUNK))
+    left = budget[asking] if mask else np.full(int(asking.sum()), radius)
+    tree = VantageTree(_turned(values, turn), forest.link, radius, _TRUNK[mask][0])
+    tree.search(number[~asking], number[asking], left)
     roots = forest.roots()
     moved = np.flatnonzero(roots != np.arange(len(values)))
     return values[moved], values[roots[moved]]
 
 
-def shard_pairs(
-    fps: np.ndarray,
-    budget: np.ndarray,
-    keys: np.ndarray,
-    carried: Callable[[np.ndarray], tuple],
-    radius: int,
-    depth: int,
-    similarity: float,
-) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of keys of one slice within the radius that ``Pairs`` keeps;
-    ``carried`` gives label, size and parity of the rows asked for."""
-    values, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    found = Pairs(*carried(first), similarity)
-    asking = budget >= 0
-    tree = VantageTree(fps[first], found, radius, sum(_TRUNK[depth - 1]))
-    tree.search(number[~asking], number[asking], budget[asking])
-    a, b = found.pairs()
-    both = np.unique(np.minimum(a, b) * len(values) + np.maximum(a, b))
-    return values[both // len(values)], values[both % len(values)]
-
-
 def grow_trunk(nodes: DataFrame, radius: int) -> Trunk:
     """Split cells, level by level, until none has too many nodes.  Only the
     numbers of overfull cells come to the driver: less than one for each
     ``SHARD_NODES`` nodes."""
     split: set[int] = set()
-    for level in range(Trunk(radius).base, len(_TRUNK)):
-        cells = _placed(nodes, Trunk(radius, split), asking=False).groupBy("shard").count()
+    for level in range(Trunk(radius).base, _DEEPEST):
+        cells = _dealt(nodes, Trunk(radius, split), asking=False).groupBy("shard").count()
         full = {r[0] for r in cells.filter(F.col("count") > SHARD_NODES).collect() if Trunk.depth(r[0]) == level}
         if not full:
             break
@@ -393,40 +376,33 @@ def grow_trunk(nodes: DataFrame, radius: int) -> Trunk:
     return Trunk(radius, split)
 
 
-def _placed(nodes: DataFrame, trunk: Trunk, asking: bool, carried: str = "") -> DataFrame:
-    """The nodes dealt over shards, with the ``carried`` columns ("name type,
-    ..."); with these, several nodes may have one fingerprint."""
-    columns = ["fp", *(c.split()[0] for c in carried.split(",") if c)]
+def _dealt(nodes: DataFrame, trunk: Trunk, asking: bool, slices: Slices | None = None) -> DataFrame:
+    """(shard, fp, budget): the nodes dealt over shards, or over their slices."""
+    schema = struct_of("shard long, fp long, budget int")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             release()
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                fps = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                values, n = np.unique(fps, return_counts=True) if carried else (fps, None)
-                shard, fp, budget = trunk.slices(values) if asking else trunk.place(values, asking=False)
-                out, rest = [shard, fp.view(np.int64), budget], []
-                if carried:
-                    # Each row is repeated for the nodes of its fingerprint.
-                    value = np.searchsorted(values, fp)
-                    times = n[value]
-                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    where = np.argsort(fps, kind="stable")[np.repeat((np.cumsum(n) - n)[value], times) + nth]
-                    out = [np.repeat(x, times) for x in out]
-                    rest = [part.column(c).take(pa.array(where)) for c in columns[1:]]
-                arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays(arrays + rest, schema=arrow_schema(schema))
-
-    schema = struct_of("shard long, fp long, budget int" + (f", {carried}" if carried else ""))
-    return nodes.select(columns).mapInArrow(place, schema)
-
-
-def links(nodes: DataFrame, radius: int = RADIUS, as_found: bool = False) -> DataFrame:
+                fps = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
+                shard, fp, budget = trunk.place(fps, asking)
+                if slices is not None:
+                    shard, fp, budget = slices.deal(shard, fp, budget, trunk.radius)
+                arrays = [pa.array(x, t) for x, t in zip((shard, fp.view(np.int64), budget), arrow_schema(schema).types)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema(schema))
+
+    return nodes.select("fp").mapInArrow(place, schema)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that span the same
-    classes as all pairs within ``radius`` bits; ``as_found``, each of them is
-    itself such a pair."""
+    classes as all pairs within ``radius`` bits.
+
+    Before the nodes are dealt, those asked of each shard are counted; only the
+    counts beyond ``ASKED_ROWS`` come to the driver."""
     trunk = grow_trunk(nodes, radius)
+    asked = _dealt(nodes, trunk, asking=True).groupBy("shard").count().filter(F.col("count") > ASKED_ROWS)
+    slices = Slices({r["shard"]: r["count"] for r in asked.collect()})
 
     def join(table: pa.Table) -> pa.Table:
         release()
@@ -435,36 +411,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, as_found: bool = False) -> Dat
         if not (budget < 0).any():
             fps, budget = fps[:0], budget[:0]
         shard = table.column("shard")[0].as_py()
-        a, b = shard_links(fps, budget, radius, Trunk.depth(shard // SLICES), as_found)
+        a, b = shard_links(fps, budget, radius, Trunk.depth(shard // _SLICES))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    placed = _placed(nodes, trunk, asking=True)
+    placed = _dealt(nodes, trunk, asking=True, slices=slices)
     return placed.groupBy("shard").applyInArrow(join, struct_of("a long, b long"))
 
 
-def open_pairs(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(a, b): the keys of all pairs of nodes within ``radius`` bits, but for
-    those of one class and those whose sizes or parities forbid the similarity.
-    ``nodes`` has ``fp``, ``key``, ``label``, ``n`` and ``parity``."""
-    trunk = grow_trunk(nodes, radius)
-
-    def join(table: pa.Table) -> pa.Table:
-        release()
-        fps = table.column("fp").to_numpy().view(np.uint64)
-        budget, keys = table.column("budget").to_numpy(), table.column("key").to_numpy()
-        depth = Trunk.depth(table.column("shard")[0].as_py() // SLICES)
-
-        def carried(rows: np.ndarray) -> tuple:
-            label, n = (table.column(c).to_numpy()[rows] for c in ("label", "n"))
-            return label, n, table.column("parity").take(pa.array(rows)).to_pylist()
-
-        a, b = shard_pairs(fps, budget, keys, carried, radius, depth, similarity)
-        return pa.table({"a": a, "b": b})
-
-    placed = _placed(nodes, trunk, True, "key long, label long, n long, parity binary")
-    return placed.groupBy("shard").applyInArrow(join, struct_of("a long, b long")).distinct()
-
-
 # -- classes ----------------------------------------------------------------
 
 
@@ -505,28 +458,64 @@ def simhash_classes(
 # -- verified classes -------------------------------------------------------
 
 
+#: Bits of a set's parities for each shingle, at least.
+PARITY_BITS = 4
+
+
 def parity_of(hashes: np.ndarray) -> bytes:
-    """A bit for each of at least as many buckets as there are hashes, a power
+    """A bit for each of ``PARITY_BITS`` to twice as many buckets a hash, a power
     of two: whether the bucket holds an odd number of them."""
-    buckets = max(64, 1 << (len(hashes) - 1).bit_length())
+    buckets = max(64, 1 << (PARITY_BITS * len(hashes) - 1).bit_length()) if len(hashes) else 64
     held = np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
     return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_be_similar(n: int, m: int, x: bytes, y: bytes, similarity: float) -> bool:
-    """Whether sets of these sizes and parities can have the similarity.
+class Parities:
+    """Tells which sets can't be similar.
 
     A bucket whose parities differ holds a hash of one set only, and of sets
     with Jaccard similarity s such hashes are (n + m)(1 - s)/(1 + s)."""
-    if min(n, m) < similarity * max(n, m) - 1e-9:
-        return False
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(a) > len(b):
-        a, b = b, a
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    apart = int(np.bitwise_count(a ^ b).sum())
-    return apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9
+
+    def __init__(self, n: np.ndarray, parity: list[bytes], similarity: float):
+        self._n, self._similarity = n, similarity
+        self._width = np.array([len(x) for x in parity], np.int64)
+        self._row, self._folded = np.empty(len(n), np.int64), {}
+        for width in np.unique(self._width).tolist():
+            at = np.flatnonzero(self._width == width)
+            self._row[at] = np.arange(len(at))
+            whole = np.frombuffer(b"".join([parity[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1)
+            self._folded[width, width] = whole
+
+    def _at(self, nodes: np.ndarray, width: int, to: int) -> np.ndarray:
+        if (width, to) not in self._folded:
+            x = self._folded[width, width]
+            while x.shape[1] * 8 > to:
+                half = x.shape[1] // 2
+                x = x[:, :half] ^ x[:, half:]
+            self._folded[width, to] = x
+        return self._folded[width, to][self._row[nodes]]
+
+    def may_be_similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each pair may have the similarity; no similar pair is ruled out."""
+        n, s = self._n, self._similarity
+        may = np.minimum(n[a], n[b]) >= s * np.maximum(n[a], n[b]) - 1e-9
+        most = (n[a] + n[b]) * (1 - s) / (1 + s) + 1e-9
+        shapes = np.where(may, self._width[a] << 32 | self._width[b], 0)
+        for shape in np.unique(shapes[may]).tolist():
+            v, w = shape >> 32, shape & 0xFFFFFFFF
+            here = np.flatnonzero(shapes == shape)
+            step = max(1, (1 << 22) // min(v, w))
+            for at in range(0, len(here), step):
+                some = here[at : at + step]
+                x, y = self._at(a[some], v, min(v, w)), self._at(b[some], w, min(v, w))
+                may[some] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most[some]
+        return may
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -557,76 +546,191 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return map_batches(rows, make, "id long, h long, fp long, key long, n long, parity binary")
 
 
-def _of_pairs(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-    """``pairs`` with the columns of both keys, as ``a_column`` and ``b_column``."""
-    for side in ("a", "b"):
-        pairs = pairs.join(table.select(F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
-    return pairs
+class Bands:
+    """Sets dealt by size.  A band holds the sizes from one power of
+    1 / similarity to the next; each set is stored in one part of its band and
+    asked of the parts of its own band from its own on and of all parts of the
+    next.  A band has as many parts, and the sets asked of a part as many slices,
+    as keep each within ``PART_NODES`` sets and ``PART_BYTES`` bytes."""
+
+    def __init__(self, similarity: float, sizes: dict[int, tuple[int, int]]):
+        """``sizes`` has the number and the bytes of each band's sets."""
+        self._similarity = similarity
+        self._floors = self.floors(similarity)
+        need = lambda n, size: max(1, -(-n // PART_NODES), -(-size // PART_BYTES))
+        count = len(self._floors) + 1
+        n, size = (np.array([sizes.get(k, (0, 0))[i] for k in range(-1, count)], np.int64) for i in (0, 1))
+        self._parts = np.array([need(*x) for x in zip(n[1:].tolist(), size[1:].tolist())], np.int64)
+        asked = zip((n[1:] + n[:-1]).tolist(), (size[1:] + size[:-1]).tolist())
+        self._slices = np.array([need(*x) for x in asked], np.int64)
+
+    @staticmethod
+    def floors(similarity: float) -> list[float]:
+        """The least size of each band; sets have less than 2 ** 40 shingles."""
+        return [similarity**-k for k in range(int(np.ceil(40 * np.log(2) / -np.log(similarity))))]
+
+    def band(self, n: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self._floors, n, "right") - 1
+
+    def deal(self, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, row, whether it is asked) of every copy of the rows given."""
+        key = key.view(np.uint64)
+        band, last = self.band(n), self.band(n / self._similarity * (1 + 1e-9))
+        part = (key % self._parts[band].astype(np.uint64)).astype(np.int64)
+        piece = key >> np.uint64(20)
+        cells, rows, asked = [], [], []
+
+        def put(at: np.ndarray, to_band: np.ndarray, to_part: np.ndarray, to_slice: np.ndarray, asks: bool) -> None:
+            cells.append((to_band << 48) | (to_part << 24) | to_slice)
+            rows.append(at)
+            asked.append(np.full(len(at), asks))
+
+        everything = np.arange(len(key))
+        for i in range(int(self._slices[band].max(initial=0))):
+            at = everything[self._slices[band] > i]
+            put(at, band[at], part[at], np.full(len(at), i), False)
+        for above in range(int((last - band).max(initial=0)) + 1):
+            to = band + above
+            for j in range(int(self._parts[to[last >= to]].max(initial=0))):
+                at = everything[(last >= to) & (self._parts[to] > j) & ((above > 0) | (j >= part))]
+                cut = (piece[at] % self._slices[to[at]].astype(np.uint64)).astype(np.int64)
+                put(at, to[at], np.full(len(at), j), cut, True)
+        return tuple(np.concatenate(x) for x in (cells, rows, asked))
+
+
+def _in_bands(
+    sets: DataFrame, carried: str, similarity: float, find: Callable[[pa.Table, Callable], list], result: str
+) -> DataFrame:
+    """``find(table, search)`` over the cells of all sets.  The table has the
+    copies' ``fp``, ``key``, ``n`` and the binary column ``carried``;
+    ``search(found)`` gives ``found`` all pairs of its rows within the candidate
+    radius, each number standing for the first row of its key."""
+    radius = candidate_radius(similarity)
+    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / -float(np.log(similarity)))
+    # The rounding of this logarithm may move a set on a band's edge; only the
+    # sums that say how many parts a band needs are made of it.
+    sizes = sets.groupBy(band.cast("int").alias("band")).agg(
+        F.count("*").alias("sets"), F.sum(F.octet_length(carried)).alias("bytes")
+    )
+    bands = Bands(similarity, {r["band"]: (r["sets"], r["bytes"]) for r in sizes.collect()})
+    names = ["fp", "key", "n", carried]
+    schema = struct_of(f"cell long, asked boolean, fp long, key long, n long, {carried} binary")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            release()
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                key, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n"))
+                cell, row, asked = bands.deal(key, n)
+                for some in range(0, len(cell), 8192):
+                    cut = slice(some, some + 8192)
+                    copies = part.take(pa.array(row[cut]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell[cut]), pa.array(asked[cut]), *(copies.column(c) for c in names)],
+                        schema=arrow_schema(schema),
+                    )
+
+    def join(table: pa.Table) -> pa.Table:
+        release()
+        keys, first, number = np.unique(table.column("key").to_numpy(), return_index=True, return_inverse=True)
+        asks = table.column("asked").to_numpy()
 
+        def search(found: Callable[[np.ndarray, np.ndarray], None]) -> None:
+            fps = table.column("fp").to_numpy().view(np.uint64)[first]
+            asked = number[asks]
+            # At a radius this wide the bounds prune little, so leaves are large.
+            tree = VantageTree(fps, found, radius, 0, leaf=2048)
+            tree.search(number[~asks], asked, np.full(len(asked), radius))
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those (a, b) of keys whose shingle sets have the Jaccard similarity.
+        columns = find(table.take(pa.array(first)), search) if len(keys) > 1 and not asks.all() else None
+        kinds = arrow_schema(struct_of(result))
+        return pa.table(columns, schema=kinds) if columns is not None else kinds.empty_table()
 
-    Sizes and parities rule out most others at little cost; only the texts of
-    what they leave are cut into shingles again and compared in full."""
+    placed = sets.select(names).filter("n > 0").mapInArrow(place, schema)
+    return placed.groupBy("cell").applyInArrow(join, struct_of(result))
 
-    def sift():
-        def work(batch: pa.RecordBatch) -> list:
-            names = ("a_n", "b_n", "a_parity", "b_parity")
-            rows = zip(*[batch.column(c).to_pylist() for c in names])
-            keep = pa.array([may_be_similar(*row, similarity) for row in rows], pa.bool_())
-            return [batch.column("a").filter(keep), batch.column("b").filter(keep)]
 
-        return work
+def sets_with_candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key): the sets that have a candidate among the others.
 
-    kept = saved(map_batches(_of_pairs(pairs, sets, "n", "parity"), sift, "a long, b long"), "simhash-pairs")
+    ``sets`` has ``fp``, ``key``, ``n`` and ``parity``."""
 
-    def cut():
-        def work(batch: pa.RecordBatch) -> list:
-            grams = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in utf8(batch, "text")]
-            return [batch.column("key"), pa.array(grams, pa.list_(pa.int64()))]
+    def find(table: pa.Table, search: Callable) -> list:
+        n = table.column("n").to_numpy()
+        parities = Parities(n, table.column("parity").to_pylist(), similarity)
+        paired = np.zeros(len(n), bool)
 
-        return work
+        def found(a: np.ndarray, b: np.ndarray) -> None:
+            new = ~(paired[a] & paired[b])
+            a, b = a[new], b[new]
+            may = parities.may_be_similar(a, b)
+            paired[a[may]] = paired[b[may]] = True
 
-    ends = kept.select("a").union(kept.select("b")).distinct().withColumnRenamed("a", "key")
-    wanted = saved(ends.join(sets.select("key", "h"), "key"), "simhash-wanted")
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "h").select("key", "text")
-    grams = saved(map_batches(texts, cut, "key long, grams array<long>", 256).dropDuplicates(["key"]), "simhash-grams")
-    common = F.size(F.array_intersect("a_grams", "b_grams"))
-    either = F.size("a_grams") + F.size("b_grams") - common
-    return _of_pairs(kept, grams, "grams").filter(common / either >= similarity).select("a", "b")
+        search(found)
+        return [table.column("key").to_numpy()[paired]]
+
+    return _in_bands(sets, "parity", similarity, find, "key long").distinct()
+
+
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of keys with the similarity, of which each cell gives as
+    many as span its classes.
+
+    ``sets`` has ``fp``, ``key``, ``n`` and ``hashes``, the sorted hashes."""
+
+    def find(table: pa.Table, search: Callable) -> list:
+        n, keys = (table.column(c).to_numpy() for c in ("n", "key"))
+        packed = table.column("hashes").to_pylist()
+        hashes = [np.frombuffer(x, np.uint64) for x in packed]
+        parities = Parities(n, [parity_of(x) for x in hashes], similarity)
+
+        def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.array([jaccard(hashes[i], hashes[j]) >= similarity for i, j in zip(a.tolist(), b.tolist())], bool)
+
+        forest = Forest(len(n), similar)
+
+        def found(a: np.ndarray, b: np.ndarray) -> None:
+            may = parities.may_be_similar(a, b)
+            forest.link(a[may], b[may])
+
+        search(found)
+        edges = np.array(forest.edges, np.int64).reshape(-1, 2)
+        return [keys[edges[:, 0]], keys[edges[:, 1]]]
+
+    return _in_bands(sets, "hashes", similarity, find, "a long, b long")
 
 
 def similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, h, component) of every row: the classes of verified links.
+    """(id, h, component) of every row: the classes of similar sets.
 
-    First the links of a forest at the expected distance are verified, which
-    joins most of a large class at one comparison a document.  Then all pairs
-    within ``candidate_radius`` that these classes leave apart are."""
+    Fingerprints, sizes and parities first tell which sets have a candidate at
+    all.  Only those go through the bands again, with their whole sets, and are
+    compared in full there; no table of pairs is made."""
     prints = saved(shingle_sets(docs, id_col, text_col, shingle), "simhash")
+    of_row = prints.select("id", "h", "key")
+    if similarity >= 1:  # only equal sets
+        return of_row.withColumnRenamed("key", "component")
     sets = prints.groupBy("key").agg(
         F.min("fp").alias("fp"), F.min("h").alias("h"), F.min("n").alias("n"), F.min("parity").alias("parity")
     )
     sets = saved(sets, "simhash-sets")
-    nodes = saved(sets.groupBy("fp").agg(F.min("key").alias("key")), "simhash-nodes")
-    one = lambda fp, key: nodes.select(F.col("fp").alias(fp), F.col("key").alias(key))
-    trees = links(nodes, radius_for(similarity), as_found=True).withColumnsRenamed({"a": "x", "b": "y"})
-    trees = trees.join(one("x", "a"), "x").join(one("y", "b"), "y").select("a", "b")
-    stars = sets.join(one("fp", "a"), "fp").filter("a <> key").select("a", F.col("key").alias("b"))
-    check = lambda pairs: saved(verified(pairs, sets, docs, text_col, shingle, similarity), "simhash-links")
-    first = check(trees.union(stars).distinct())
-
-    classes = connected_components(first).withColumnRenamed("node", "key")
-    classed = sets.join(classes, "key", "left").select(
-        "key", "fp", "n", "parity", F.coalesce("component", "key").alias("label")
-    )
-    far = open_pairs(saved(classed, "simhash-classed"), candidate_radius(similarity), similarity)
-    second = check(far)
+    wanted = saved(sets_with_candidates(sets, similarity).join(sets, "key").select("key", "h", "fp", "n"), "simhash-wanted")
 
-    found = saved(connected_components(first.union(second)), "simhash-members").withColumnRenamed("node", "key")
-    return prints.join(found, "key", "left").select("id", "h", F.coalesce("component", "key").alias("component"))
+    def make():
+        def work(batch: pa.RecordBatch) -> list:
+            packed = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in utf8(batch, "text")]
+            return [*(batch.column(c) for c in ("fp", "key", "n")), packed]
+
+        return work
+
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, "h").select("fp", "key", "n", "text")
+    whole = map_batches(texts, make, "fp long, key long, n long, hashes binary", 256).dropDuplicates(["key"])
+    near = similar_links(saved(whole, "simhash-whole"), similarity)
+    found = saved(connected_components(near), "simhash-members").withColumnRenamed("node", "key")
+    return of_row.join(found, "key", "left").select("id", "h", F.coalesce("component", "key").alias("component"))
 
 
 def drop_near_duplicates(
@@ -652,12 +756,14 @@ def drop_near_duplicates(
         rows.groupBy("component").agg(F.min(rank).alias("best"), F.count("*").alias("n")).filter("n > 1"),
         "simhash-best",
     )
+    # The columns of ``docs`` may have any names.
+    gone_id, gone_h = unused("gone_id", docs.columns), unused("gone_h", docs.columns)
     gone = saved(
         rows.join(best, "component").filter(rank != F.col("best")).select(
-            F.col("id").alias("gone_id"), F.col("h").alias("gone_h")
+            F.col("id").alias(gone_id), F.col("h").alias(gone_h)
         ),
         "simhash-gone",
     )
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    same = (F.xxhash64(docs[text_col]) == F.col("gone_h")) & docs[id_col].cast("long").eqNullSafe(F.col("gone_id"))
+    same = (F.xxhash64(docs[text_col]) == F.col(gone_h)) & docs[id_col].cast("long").eqNullSafe(F.col(gone_id))
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

@@ -2,7 +2,10 @@
 
 import re
 
-EXTRA = ["id", "h", "fp", "key", "row", "run", "component", "node", "url", "html", "score", "batch", "__docmill_hash_"]
+EXTRA = [
+    "id", "h", "fp", "key", "row", "run", "component", "node", "url", "html", "score", "batch", "gone_id", "Gone_H", "hashes", "n",
+    "__docmill_hash", "__docmill_id", "__docmill_edge", "__docmill_hash_", "spans", "grams", "items", "digest",
+]
 
 TEXTS = [
     (1, "Alpha beta gamma delta epsilon zeta.", "src0"),

@@ -35,27 +35,68 @@ def roots(fps, a, b):
 
 
 @pytest.mark.parametrize("radius", [0, 1, 4, 9])
-@pytest.mark.parametrize("most", [8, 60, 50_000])
-def test_trees_find_all_classes(radius, most):
-    fps = near_prints(700, radius)
+@pytest.mark.parametrize("most", [1, 60, 50_000])
+def test_trees_find_all_classes(radius, most, monkeypatch):
+    monkeypatch.setattr(S, "ASKED_ROWS", 200)
+    fps = near_prints(700 if radius < 9 else 200, radius)
     split = set()
-    for level in range(S.Trunk(radius).base, len(S._TRUNK)):
+    for level in range(S.Trunk(radius).base, S._DEEPEST):
         shards, n = np.unique(S.Trunk(radius, split).place(fps, False)[0], return_counts=True)
         full = {int(s) for s, k in zip(shards, n) if k > most and S.Trunk.depth(int(s)) == level}
         split |= full
-    shard, fp, budget = S.Trunk(radius, split).slices(fps)
-    assert (budget < 0).sum() == S.SLICES * len(fps)
+    trunk = S.Trunk(radius, split)
+    shard, fp, budget = trunk.place(fps)
+    assert (budget < 0).sum() == len(fps)
+    assert most > 1 or radius < 9 or max(S.Trunk.depth(int(s)) for s in np.unique(shard)) > len(S._TRUNK)
+    counts = dict(zip(*(x.tolist() for x in np.unique(shard, return_counts=True))))
+    slices = S.Slices({k: n for k, n in counts.items() if n > S.ASKED_ROWS})
+    shard, fp, budget = slices.deal(shard, fp, budget, radius)
     a, b = [], []
     for s in np.unique(shard):
         here = shard == s
         if (budget[here] < 0).any():
-            x, y = S.shard_links(fp[here], budget[here], radius, S.Trunk.depth(int(s) // S.SLICES))
+            x, y = S.shard_links(fp[here], budget[here], radius, S.Trunk.depth(int(s) // S._SLICES))
             a.append(x)
             b.append(y)
     i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1))
     assert roots(fps, np.concatenate(a), np.concatenate(b)) == roots(fps, fps[i], fps[j])
 
 
+def test_forest_joins_accepted_pairs():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 300, 900), rng.integers(0, 300, 900)
+    fits = lambda x, y: (x * 7 + y * 7) % 3 != 0
+    forest, plain = S.Forest(300, fits), Links(range(300))
+    for at in range(0, 900, 250):
+        forest.link(a[at : at + 250], b[at : at + 250])
+    for x, y in zip(a.tolist(), b.tolist()):
+        if fits(x, y):
+            plain.link(x, y)
+    assert forest.roots().tolist() == [plain.root(x) for x in range(300)]
+    assert len(forest.edges) == 300 - len({plain.root(x) for x in range(300)})
+    assert all(fits(x, y) for x, y in forest.edges)
+
+
+def test_bands_bring_similar_sizes_together(monkeypatch):
+    monkeypatch.setattr(S, "PART_NODES", 40)
+    rng = np.random.default_rng(1)
+    for similarity in (0.5, 0.8, 0.95):
+        n = rng.integers(1, 90, 500)
+        key = rng.integers(0, 2**62, 500)
+        k, c = np.unique(S.Bands(similarity, {}).band(n), return_counts=True)
+        bands = S.Bands(similarity, dict(zip(k.tolist(), ((x, x) for x in c.tolist()))))
+        cell, row, asked = bands.deal(key, n)
+        met, load = set(), []
+        for x in np.unique(cell):
+            here = cell == x
+            stored, asks = row[here & ~asked].tolist(), row[here & asked].tolist()
+            load.append(len(stored))
+            met.update((min(i, j), max(i, j)) for i in stored for j in asks)
+        assert max(load) < 120
+        i, j = np.nonzero(np.triu(np.minimum.outer(n, n) >= similarity * np.maximum.outer(n, n), 1))
+        assert set(zip(i.tolist(), j.tolist())) <= met
+
+
 def test_classes_match_brute_force(spark):
     rows = list(TEXTS)
     base = [f"w{i % 97}q{i}" for i in range(400)]
@@ -90,11 +131,12 @@ def test_one_document_of_each_class_stays(spark):
     assert left.columns == df.columns
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 50, 51, 52, 53, 54, 90]
     assert S.drop_near_duplicates(df.limit(0)).count() == 0
-    assert S.radius_for(0.8) == 9 and S.radius_for(1.0) == 0
 
 
-def test_links_are_verified_by_similarity(spark):
+@pytest.mark.parametrize("most", [9, 100_000])
+def test_links_are_verified_by_similarity(spark, monkeypatch, most):
     """Near copies far apart in bits go, documents close in bits stay."""
+    monkeypatch.setattr(S, "PART_NODES", most)
     import random
 
     rng = random.Random(5)
@@ -117,13 +159,57 @@ def test_links_are_verified_by_similarity(spark):
 
 def test_parities_never_rule_out_similar_sets():
     rng = np.random.default_rng(3)
-    ruled = 0
+    ruled, sets = 0, []
     for n in [1, 4, 5, 9, 63, 64, 65, 300, 5000]:
         for apart in (0, n // 9, n // 4, n):
             pool = rng.integers(0, 2**63, n + apart, dtype=np.uint64)
-            x, y = np.unique(pool[:n]), np.unique(pool[apart:])
-            s = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-            may = S.may_be_similar(len(x), len(y), S.parity_of(x), S.parity_of(y), 0.8)
-            assert may or s < 0.8
-            ruled += not may
-    assert ruled >= 9
+            sets += [np.unique(pool[:n]), np.unique(pool[apart:])]
+    parities = S.Parities(np.array([len(x) for x in sets]), [S.parity_of(x) for x in sets], 0.8)
+    a, b = np.triu_indices(len(sets), 1)
+    may = parities.may_be_similar(a, b)
+    similar = np.array([S.jaccard(sets[i], sets[j]) >= 0.8 for i, j in zip(a, b)])
+    assert not (similar & ~may).any() and similar.any() and (~may).sum() > 0.9 * (~similar).sum()
+
+
+def plain_classes(texts, k=5, similarity=0.8):
+    """Classes of all pairs of distinct texts, by their sets."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    links = Links(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x == y or (x and y and len(x & y) / len(x | y) >= similarity):
+                links.link(i, j)
+    return [links.root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("most", [25, 100_000])
+def test_dropped_documents_match_an_exact_join(spark, monkeypatch, most):
+    """Chains and hubs of near copies, and templates just under the bound."""
+    import random
+
+    monkeypatch.setattr(S, "PART_NODES", most)
+    rng = random.Random(9)
+    texts = []
+    for size, copies, edits in ((120, 60, 5), (200, 40, 4), (300, 25, 6), (30, 20, 1)):
+        base = [f"t{size}w{rng.randrange(10**6)}" for _ in range(size)]
+        for i in range(copies):
+            words = list(base)
+            for _ in range(rng.randrange(edits)):
+                words[rng.randrange(size)] = f"n{rng.randrange(10**9)}"
+            texts.append(" ".join(words))
+            base = words if size == 300 else base  # a chain
+    texts = list(dict.fromkeys(texts)) + ["", "one", "one two"]
+    classes = plain_classes(texts)
+    got = {r["doc_id"] for r in S.drop_near_duplicates(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {min(i for i, c in enumerate(classes) if c == root) for root in set(classes)}
+    assert len(got) < 0.7 * len(texts)
+
+
+def test_only_equal_sets_at_similarity_one(spark):
+    rows = [(1, "a b c d e f", "s"), (2, "A  b c d e f", "s"), (3, "a b c d e g", "s")]
+    got = {r["doc_id"] for r in S.drop_near_duplicates(documents(spark, rows), similarity=1.0).collect()}
+    assert got == {1, 3}
