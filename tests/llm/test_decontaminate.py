@@ -1,6 +1,8 @@
+import pickle
 import random
 
 import numpy as np
+import pytest
 from helpers import TEXTS, documents, words
 
 from docmill.llm import decontaminate as D
@@ -98,3 +100,50 @@ def test_empty_tables(spark):
     none = D.decontaminate(documents(spark), benchmark.limit(0)).collect()
     assert len(none) == len(TEXTS) and not any(r["n_hit"] or r["contaminated"] for r in none)
     assert D.drop_contaminated(documents(spark), benchmark.limit(0)).count() == len(TEXTS)
+
+
+@pytest.mark.parametrize("filtered", [True, False])
+def test_long_texts_go_to_several_shards(monkeypatch, filtered):
+    """No index grows beyond its bound, and no window at a cut is lost."""
+    monkeypatch.setattr(D, "SHARD_WORDS", 40)
+    rng = random.Random(8)
+    pool = [b"a", b"b", b"c", b"d", b"e"]
+    items = [(str(i), [rng.choice(pool) for _ in range(rng.choice([2, 5, 9]))]) for i in range(40)] + [("none", []), (None, [b"a"] * 6)]
+    texts = [b" ".join(rng.choice([*pool, b"zz"] if n % 2 else pool) for _ in range(n)) for n in (0, 1, 3, 700, 55, 39, 40, 41, 501)]
+    phrases = D.Phrases(items, 5)
+    shard, found, sizes = D.Shard(5, phrases if filtered else None), D.Found(), []
+
+    def settle():
+        sizes.append(shard.size)
+        index = shard.index()
+        found.take(pickle.loads(pickle.dumps(index)) if index else None, phrases)
+        shard.clear()
+
+    for doc, text in enumerate(texts):
+        for _ in shard.add(doc, text.split()):
+            settle()
+    settle()
+    assert max(sizes) <= 2 * D.SHARD_WORDS + 2 and len(sizes) > 20
+    rows = [(i, t.decode()) for i, t in enumerate(texts)]
+    for ident, n, hit, names, _ in brute(rows, [(i, b" ".join(w).decode()) for i, w in items], 5):
+        assert sum(b - a for a, b in found.spans.get(ident, ())) == hit
+        assert sorted(found.items.get(ident, ())) == names
+
+
+def test_phrases_know_their_owners():
+    items = [("x", list("abcd")), ("y", list("bcd")), (None, list("zz")), ("x", list("abcd")), ("w", [])]
+    p = D.Phrases([(i, [c.encode() for c in w]) for i, w in items], 3)
+    names = {v: k.decode() for k, v in p.vocabulary.items()}
+    got = {"".join(names[v] for v in row if v): p.owners_of(i) for i, row in enumerate(p.patterns.tolist())}
+    assert got == {"abc": ["x"], "bcd": ["x", "y"], "zz": []}
+    assert p.named == ["x", "y"] and p.shortest == 2
+
+
+def test_clashing_names_and_many_blocks_when_rows_are_kept(spark, monkeypatch):
+    docs, items, benchmark = tables(spark)
+    monkeypatch.setattr(D, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 3)
+    clean = D.drop_contaminated(documents(spark, docs), benchmark)
+    assert clean.columns == documents(spark).columns
+    want = sorted(str(w[0]) for w in brute(docs, items) if not w[4])
+    assert sorted(str(r["doc_id"]) for r in clean.collect()) == want
