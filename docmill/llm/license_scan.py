@@ -5,16 +5,20 @@ of license templates.  A match at text position p and template position t votes
 for the diagonal p - t.  Votes are counted by (text, template, diagonal),
 diagonals at most ``GAP`` words apart are merged (words put in or left out),
 and each merged span is verified word by word against the text: it names the
-template's license if at least ``COVERED`` of the template's words stand there
-in place, the words that tell the license from others among them.
+template's license if ``COVERED_OF_100`` per cent of its words stand there
+in place, the words that tell the license from others among them.  Of spans that
+lie within one another the one with more words in place stays.
 
 Votes are keyed by the text's hash, so copies vote once and repeated or missing
 ids do no harm.  The template table is fixed and small, hence broadcast.  The
 spans go back to the texts by a broadcast only while they are at most
 ``BROADCAST_SPANS``, else by a sort-merge join whose hot keys Spark splits.
 
-A diagonal needs one whole k-gram.  So a five-word statement whose middle word
-was replaced isn't found, though four of its words stand in place.
+A diagonal needs one whole k-gram.  Templates name their k-grams so that every
+span which verification accepts on one diagonal leaves at least one of them
+whole, wherever its replaced words stand (tests try all places): of a template
+with words that must stand, k-grams around those; ``K`` words, and fewer for the
+shortest templates.
 
 Edge cases: a null or empty text has no words, no labels and score 0; texts
 shorter than a k-gram get base labels only; repeated rows are judged one by
@@ -37,8 +41,9 @@ from .storage import saved
 from .words import alnum_words, rolling
 
 K = 3
+SIZES = (2, 3)
 GAP = 3
-COVERED = 0.8
+COVERED_OF_100 = 80
 BROADCAST_SPANS = 200_000
 
 #: Phrases whose words name a license wherever they stand.
@@ -108,17 +113,33 @@ def _codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
 
 
-def _grams(words: list[bytes]) -> np.ndarray:
-    return rolling(_codes(words), K).view(np.int64)
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of all rolling k-grams, for each k in ``SIZES``."""
+    codes = _codes(words)
+    parts = [rolling(codes, k) for k in SIZES]
+    return np.concatenate([np.arange(len(x)) for x in parts]), np.concatenate(parts).view(np.int64)
+
+
+def gram_places(statement: list[str], must: set[str]) -> tuple[int, list[int]]:
+    """(k, places): the k-grams that a template is found by.
+
+    At most n - ceil(COVERED * n) of n words may be replaced, and they leave a
+    run of at least (n - replaced) / (replaced + 1) words; where that is less than
+    ``K``, and words must stand, the shorter k-grams that hold one of those do."""
+    n = len(statement)
+    replaced = n - -(-n * COVERED_OF_100 // 100)
+    k = min(K, -(-(n - replaced) // (replaced + 1)))
+    places = range(n - k + 1)
+    return k, [t for t in places if k == K or not must or must & set(statement[t : t + k])]
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """(h, template, t): every k-gram of every template and where it stands."""
-    rows = [
-        (int(h), i, t)
-        for i, (_, statement, _) in enumerate(TEMPLATES)
-        for t, h in enumerate(_grams(statement.encode().split()).tolist())
-    ]
+    """(h, template, t): the k-grams of every template and where they stand."""
+    rows = []
+    for i, (_, statement, must) in enumerate(TEMPLATES):
+        k, places = gram_places(statement.split(), set(must.split()))
+        hashes = rolling(_codes(statement.encode().split()), k).view(np.int64)
+        rows += [(int(hashes[t]), i, t) for t in places]
     return spark.createDataFrame(rows, "h long, template int, t int")
 
 
@@ -130,16 +151,15 @@ def candidate_spans(texts: DataFrame) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> list:
             grams = [_grams(alnum_words(t)) for t in utf8(batch, "text")]
-            ends = np.cumsum([0, *map(len, grams)])
-            flat = pa.array(np.concatenate(grams) if grams else np.empty(0, np.int64))
-            return [batch.column("key"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            ends = pa.array(np.cumsum([0, *(len(p) for p, _ in grams)]), pa.int32())
+            flat = [pa.array(np.concatenate([g[i] for g in grams])) for i in (0, 1)]
+            return [batch.column("key"), *(pa.ListArray.from_arrays(ends, x) for x in flat)]
 
         return work
 
-    rows = map_batches(texts, make, "key long, grams array<long>", rows_at_once=512)
-    matches = rows.select("key", F.posexplode("grams").alias("p", "h")).join(
-        F.broadcast(template_grams(texts.sparkSession)), "h"
-    )
+    rows = map_batches(texts, make, "key long, p array<long>, h array<long>", rows_at_once=512)
+    flat = rows.select("key", F.explode(F.arrays_zip("p", "h")).alias("g")).select("key", "g.p", "g.h")
+    matches = flat.join(F.broadcast(template_grams(texts.sparkSession)), "h")
     votes = (
         matches.select("key", "template", "t", (F.col("p") - F.col("t")).alias("diagonal"))
         .distinct()
@@ -169,14 +189,15 @@ class _Judge:
         joined = b" " + b" ".join(words) + b" "
         found = []
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
+            at, seen, place = joined.find(phrase), 0, 0
             while at >= 0:
-                found.append((joined.count(b" ", 0, at), label))
-                at = joined.find(phrase, at + 1)
+                place += joined.count(b" ", seen, at)
+                found.append((place, label))
+                seen, at = at, joined.find(phrase, at + 1)
         return found
 
     def verify(self, words: list[bytes], template: int, diagonals: list[int]):
-        """(coverage, label, start, end) of a span, or None."""
+        """(coverage, label, start, end, words in place) of a span, or None."""
         label, statement, must = self.templates[template]
         hit: dict[int, int] = {}
         for d in diagonals:
@@ -185,9 +206,23 @@ class _Judge:
                 if t not in hit and 0 <= p < len(words) and words[p] == word:
                     hit[t] = p
         coverage = len(hit) / len(statement)
-        if coverage < COVERED or not must <= {statement[t] for t in hit}:
+        if 100 * len(hit) < COVERED_OF_100 * len(statement) or not must <= {statement[t] for t in hit}:
             return None
-        return coverage, label, min(hit.values()), max(hit.values()) + 1
+        return coverage, label, min(hit.values()), max(hit.values()) + 1, len(hit)
+
+
+def outermost(found: list[tuple]) -> list[tuple]:
+    """Without spans that lie within one of another template with more words in
+    place: "affero" put into the general license's words names the other one."""
+    found = sorted(found, key=lambda v: (v[2], -v[3], -v[4]))
+    kept: list[tuple] = []
+    open_: list[tuple] = []  # kept spans that may hold the next ones
+    for v in found:
+        open_ = [w for w in open_ if w[3] > v[2]]
+        if not any(w[3] >= v[3] and w[4] > v[4] for w in open_):
+            kept.append(v)
+            open_.append(v)
+    return kept
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,9 +245,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text, spans in zip(utf8(batch, "text"), batch.column("spans").to_pylist()):
                 words = alnum_words(text)
                 places = judge.places(words)
-                found = [
-                    v for s in spans or () if (v := judge.verify(words, s["template"], s["diagonals"]))
-                ]
+                found = outermost(
+                    [v for s in spans or () if (v := judge.verify(words, s["template"], s["diagonals"]))]
+                )
                 base = {label for _, label in places}
                 starts = [p for p, _ in places]
                 out["n"].append(len(words))
@@ -221,7 +256,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out["last"].append(max(starts, default=None))
                 out["base_labels"].append(",".join(sorted(base)))
                 out["labels"].append(",".join(sorted(base | {v[1] for v in found})))
-                out["spans"].append(",".join(f"{v[1]}:{v[2]}:{v[3]}" for v in sorted(found, key=lambda v: v[2:] + v[1:2])))
+                out["spans"].append(",".join(f"{v[1]}:{v[2]}:{v[3]}" for v in sorted(found, key=lambda v: v[2:4] + v[1:2])))
                 out["score"].append(max([1.0 if places else 0.0, *(v[0] for v in found)]))
             return [batch.column("id"), *out.values()]
 

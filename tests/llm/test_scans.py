@@ -136,3 +136,63 @@ def test_long_logins_are_found():
     for user, password in (("u" * 65, "secret1x"), ("user", "p4" * 80), ("u" * 300, "p4" * 500)):
         text = f"see https://{user}:{password}@host/x"
         assert [(X.KINDS[f[1]], f[5]) for f in X.findings_of(text)] == [("login", password)]
+
+
+def test_every_accepted_span_keeps_a_gram():
+    """All ways to replace as many words of a template as verification allows."""
+    from itertools import combinations
+
+    for _, statement, must in L.TEMPLATES:
+        words_, must = statement.split(), set(must.split())
+        n = len(words_)
+        most = max(r for r in range(n) if 100 * (n - r) >= L.COVERED_OF_100 * n)
+        k, places = L.gram_places(words_, must)
+        grams = [sum(1 << i for i in range(t, t + k)) for t in places]
+        assert k in L.SIZES
+        for at in combinations(range(n), most):
+            left = {w for i, w in enumerate(words_) if i not in at}
+            gone = sum(1 << i for i in at)
+            assert not must <= left or any(not g & gone for g in grams), (statement, at)
+
+
+def test_labels_of_edited_templates(spark):
+    """Random replacements and insertions in every template, judged in place."""
+    rng = random.Random(6)
+    judge, rows, want = L._Judge(), [], {}
+    for i, (label, statement, _) in enumerate(L.TEMPLATES):
+        for j in range(25):
+            words_ = statement.split()
+            for at in rng.sample(range(len(words_)), rng.randrange(1 + len(words_) // 4)):
+                words_[at] = f"new{rng.randrange(99)}"
+            ident = 100 * i + j
+            lead = rng.randrange(30)
+            text = " ".join([f"pad{rng.randrange(50)}" for _ in range(lead)] + words_)
+            rows.append((ident, text, "s"))
+            base = {l for _, l in judge.places(text.encode().split())}
+            # All templates on all diagonals, without any candidates.
+            tokens = text.encode().split()
+            hits = [judge.verify(tokens, t, [d]) for t in range(len(L.TEMPLATES)) for d in range(-30, len(tokens))]
+            want[ident] = base | {h[1] for h in L.outermost([h for h in hits if h])}
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in L.license_scan(documents(spark, rows)).collect()}
+    assert all(want[i] <= got[i] for i in want) and sum(map(bool, want.values())) > 200
+    assert sum(want[i] != got[i] for i in want) <= 3  # merged diagonals may add a label
+
+
+def test_places_of_many_phrases_take_linear_time():
+    import time
+
+    judge, took = L._Judge(), []
+    for n in (20_000, 160_000):
+        start = time.perf_counter()
+        found = judge.places(b"under the mit license".split() * n)
+        took.append(time.perf_counter() - start)
+        assert [p for p, _ in found[:3]] == [0, 4, 8] and len(found) == n
+    assert took[1] < 40 * max(took[0], 0.01)
+
+
+def test_ownership_without_broadcast(spark, monkeypatch):
+    df = documents(spark, rows_for_ownership() + list(TEXTS))
+    flat = lambda: sorted(map(str, X.secret_scan(df)[1].drop("row").collect()))
+    want = flat()
+    monkeypatch.setattr(X, "BROADCAST_ROWS", 0)
+    assert flat() == want
