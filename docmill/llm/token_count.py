@@ -1,15 +1,16 @@
 """Token counts by the whole-token shortcut.
 
 Offline, each vocabulary string is put through the merges on its own; those
-that come out as one token are *whole tokens*.  A pre-token that is a whole
+that come out as one token are *whole tokens*.  The driver proves them once for a
+file and ships the list to the tasks.  A pre-token that is a whole
 token then counts as one without any merging, and only the rest is merged.
 Since pre-tokens never influence one another, the sum is the exact number of
 tokens the tokenizer gives.
 
 Edge cases: a null or empty text has no tokens; special strings inside a text
 count as one token each, as the tokenizer does by default; texts with code
-points whose Unicode class differs between regular-expression libraries go
-through the tokenizer's own pre-tokenizer; repeated rows are counted one by
+points whose Unicode class differs between regular-expression libraries are cut
+by the tokenizer's own pre-tokenizer, and its pieces take the same shortcut; repeated rows are counted one by
 one; an empty table gives an empty result; columns other than the id and the
 text are ignored.
 """
@@ -77,9 +78,10 @@ class _Costs(dict):
 
 
 class TokenCounter:
-    """Counts tokens of whole texts for one byte-level BPE file."""
+    """Counts tokens of whole texts for one byte-level BPE file and its whole
+    tokens, which are proved here unless they are given."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -92,13 +94,15 @@ class TokenCounter:
             else None
         )
         self._find = regex.compile(PATTERN).findall
-        self._costs = _Costs(prove_whole_tokens(self._tokenizer), self._tokenizer.model.tokenize)
+        proved = prove_whole_tokens(self._tokenizer) if whole is None else whole
+        self._costs = _Costs(proved, self._tokenizer.model.tokenize)
+        self._bytes = {ord(c): b for b, c in byte_alphabet().items()}
 
     def _plain(self, text: str) -> int:
         if SAFE_TEXT(text):
             return sum(map(self._costs.__getitem__, self._find(text)))
         pieces = self._tokenizer.pre_tokenizer.pre_tokenize_str(text)
-        return sum(len(self._tokenizer.model.tokenize(p)) for p, _ in pieces)
+        return sum(self._costs[p.translate(self._bytes).encode("latin-1").decode()] for p, _ in pieces)
 
     def count(self, text: str) -> int:
         if self._special is None or not self._special.search(text):
@@ -107,10 +111,23 @@ class TokenCounter:
         return len(parts) - 1 + sum(self._plain(p) for p in parts if p)
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> TokenCounter:
+@lru_cache(maxsize=4)
+def whole_tokens(path: str) -> tuple[str, ...]:
+    """The whole tokens of a vocabulary file, sorted."""
+    from tokenizers import Tokenizer
+
+    return tuple(sorted(prove_whole_tokens(Tokenizer.from_file(path))))
+
+
+_COUNTERS: dict[str, TokenCounter] = {}
+
+
+def counter(path: str, whole: tuple[str, ...]) -> TokenCounter:
     """One counter for each worker process and vocabulary file."""
-    return TokenCounter(path)
+    if path not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[path] = TokenCounter(path, frozenset(whole))
+    return _COUNTERS[path]
 
 
 def token_counts(
@@ -123,8 +140,10 @@ def token_counts(
     """Per row: id, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``
     (more than ``limit`` tokens).  No shuffle: one pass over the texts."""
 
+    whole = whole_tokens(vocab_path)
+
     def make():
-        count = counter(vocab_path).count
+        count = counter(vocab_path, whole).count
 
         def work(batch: pa.RecordBatch) -> list:
             texts = strings(batch, "text")

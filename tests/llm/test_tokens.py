@@ -83,3 +83,13 @@ def test_codec_edge_cases(spark):
         want.append((i, len(ids), digest, hashlib.sha256(text.encode()).hexdigest()))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert bpe_round_trip(documents(spark).limit(0), WORDS).count() == 0
+
+
+def test_unusual_texts_take_the_shortcut():
+    counter, library = TokenCounter(BYTES), Tokenizer.from_file(BYTES)
+    merged = []
+    merge = counter._costs._merge
+    counter._costs._merge = lambda word: merged.append(word) or merge(word)
+    text = "the price is 5 € or שלום and the price was there"
+    assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert 0 < len(merged) <= 3  # whole tokens are never merged
