@@ -12,8 +12,9 @@ private keys) add a span only where the ownership says live-looking.  A base
 finding that is live-looking adds one more span of kind ``live`` over its value.
 
 The counts are sums of partial counts, so a value in a third of all rows meets
-in no single task; verdicts go back to the rows by a join that Spark splits
-where a key is hot.
+in no single task.  They are written before they go back to the findings: by a
+broadcast while they are at most ``BROADCAST_ROWS`` values, else by a join with
+plain exchanges on both sides, which Spark splits where a key is hot.
 
 Edge cases: a null text has no findings; a null repository counts as one
 repository of its own, named by the empty string; texts of any length are
@@ -77,6 +78,8 @@ _HINTS = {
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = [k[0] for k in BASE + MORE] + ["live"]
 
+BROADCAST_ROWS = 300_000
+
 #: A value that this many distinct owners hold is a copied example.
 EXAMPLE_OWNERS = 3
 
@@ -154,8 +157,8 @@ def secret_scan(
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: the scanned documents (``row``, ``id`` and their findings as
     arrays), and the findings one by one (``row``, ``kind``, ``start``, ``end``,
-    the value's own ``value_start`` and ``value_end``, its ``digest``, ``n_repos``, ``n_owners``, ``verdict``: example, live or
-    unclear)."""
+    the value's own ``value_start`` and ``value_end``, its ``digest``,
+    ``n_repos``, ``n_owners``, ``verdict``: example, live or unclear)."""
     scanned = saved(scan(docs, id_col, text_col, repo_col), "secret-scan")
     arrays = ["kinds", "starts", "ends", "value_starts", "value_ends", "digests", "irregular"]
     flat = scanned.select(
@@ -176,7 +179,9 @@ def secret_scan(
         .when((F.col("n_owners") == 1) & F.col("irregular"), "live")
         .otherwise("unclear")
     )
-    judged = flat.join(ownership(flat), "digest").select(
+    owned = saved(ownership(flat), "secret-owners")
+    few = owned.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    judged = flat.join(F.broadcast(owned) if few else owned, "digest").select(
         "row",
         F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind_number") + 1).alias("kind"),
         "kind_number",
