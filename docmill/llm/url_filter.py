@@ -17,8 +17,9 @@ pages get them by a join on the url's hash which Spark splits where one url is
 hot.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and
-no alias; empty or null html has no edges; links that aren't web addresses are
-left out; repeated rows are judged alike; an empty table gives an empty
+no alias; empty or null html has no edges; links that aren't web addresses, or
+name a place in the page itself, are left out; tags inside comments, scripts and
+styles are no tags, and neither is one of more than 64 quoted parts; repeated rows are judged alike; an empty table gives an empty
 result; columns other than id, url and html are ignored.
 """
 
@@ -86,7 +87,11 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return F.array_max(fits)
 
 
-_TAG = r"(?i)<(?:link|meta)\b[^>]*>"
+#: What holds text that looks like tags; left open, it goes on to the end.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\z)"
+
+#: A quoted attribute may hold a closing bracket.
+_TAG = r"""(?is)<(?:link|meta)\b(?:[^>"']++|"[^"]*+"|'[^']*+'|["']){0,64}+>"""
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -100,7 +105,8 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def targets(html: Column) -> Column:
     """The canonical links and redirect targets that a page names, as written."""
-    tags = F.regexp_extract_all(html, F.lit(_TAG), 0)
+    seen = F.when(html.rlike(r"(?i)<(?:link|meta)\b"), F.regexp_replace(html, _HIDDEN, " "))
+    tags = F.regexp_extract_all(seen, F.lit(_TAG), 0)
 
     def target(tag: Column) -> Column:
         canonical = F.lower(_attribute(tag, "rel")).rlike(r"(^|\s)canonical(\s|$)")
@@ -115,20 +121,41 @@ def targets(html: Column) -> Column:
     return F.filter(F.transform(tags, target), lambda t: t != "")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from its first slash on, its ``.`` and ``..`` segments carried out."""
+    parts = F.split(path, "/", -1)
+
+    def step(done: Column, part: Column) -> Column:
+        # The first part is what stands before the first slash: nothing.
+        up = F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    open_end = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.array_join(kept, "/"), F.when(open_end, "/").otherwise(""))
+
+
 def resolve(target: Column, url: Column) -> Column:
     """A target as an absolute web address, or null."""
     scheme = F.regexp_extract(url, r"\A([A-Za-z][A-Za-z0-9+.-]*)://", 1)
     site = F.regexp_extract(url, r"\A[^:/?#]+://[^/?#]*", 0)
+    path = F.regexp_extract(url, r"\A[^:/?#]+://[^/?#]*([^?#]*)", 1)
     folder = F.regexp_extract(url, r"\A[^:/?#]+://[^/?#]*(/(?:[^?#]*/)?)?", 1)
     absolute = (
         F.when(target.rlike(r"\A(?i)https?://"), target)
         .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
         .when(F.startswith(target, F.lit("/")), F.concat(site, target))
-        .when(target.rlike(r"\A[#?]"), F.lit(None))
+        .when(F.startswith(target, F.lit("#")), F.lit(None))
+        .when(F.startswith(target, F.lit("?")), F.concat(site, F.when(path == "", "/").otherwise(path), target))
         .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target))
     )
-    return F.when(site != "", absolute)
+    head = F.regexp_extract(absolute, r"\A[^:/?#]+://[^/?#]*", 0)
+    rest = absolute.substr(F.length(head) + 1, F.length(absolute))
+    names = F.regexp_extract(rest, r"\A[^?#]*", 0)
+    plain = F.concat(head, _without_dots(names), rest.substr(F.length(names) + 1, F.length(rest)))
+    dotted = names.rlike(r"/\.\.?(/|\z)") & (head != "")
+    return F.when(site != "", F.when(dotted, plain).otherwise(absolute))
 
 
 def node_of(url: Column) -> Column:
