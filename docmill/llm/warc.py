@@ -2,15 +2,19 @@
 
 ``write_archives`` renders one record per page and lets Spark's text writer
 compress each file as a single gzip stream, the monolithic form in which
-archives are found in the wild.  ``normalise_archives`` inflates each such
-stream once, rewrites every record as a gzip member of its own and writes a
-sidecar index (archive, record id and type, offset, length).
-``read_archives`` reads all members one after another, ``read_records`` those
-that the index names for some record ids.
+archives are found in the wild.  Records are dealt over archives by size class,
+so that no archive has more than about ``ARCHIVE_BYTES`` bytes before it is
+compressed (or one record).  ``normalise_archives`` inflates each such stream
+once, rewrites every record as a gzip member of its own and, in the same pass,
+writes a sidecar index (record id and type, offset, length) beside the archive.
+``read_archives`` and ``read_records`` cut the members that the index names out
+of the archives, all of them or those of some record ids.
 
 All files are read and written by Spark, so they can lie in any store that
 Spark reaches, and a task that is lost and repeated leaves no partial file.  A
-normalised archive ends with an empty gzip member, which adds no content.
+normalised archive, and its index, end with an empty gzip member, which adds no
+content.  Their bytes go through Spark's text writer, which writes a string's
+bytes as they are and doesn't check them; tests compare them byte by byte.
 
 Of equal payloads of at least ``REVISIT_BYTES`` bytes the record with the
 largest id is the response; the others are revisits that refer to it.  Which
@@ -33,7 +37,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import arrow_schema, struct_of
@@ -42,8 +46,12 @@ from .storage import fresh_path, saved
 REVISIT_BYTES = 1000
 BROADCAST_ROWS = 200_000
 
-#: Records per archive; bounds what the normaliser holds (compressed).
-RECORDS_PER_ARCHIVE = 20_000
+#: Bytes of records in an archive, and the largest record of each size class.
+ARCHIVE_BYTES = 1 << 28
+_CLASSES = [1 << 15, 1 << 20, 1 << 25]
+
+#: Packed entries of an index that may be broadcast to the archives.
+BROADCAST_ENTRIES = 2_000_000
 
 _DATE = "2024-01-01T00:00:00Z"
 _ID = "urn:docmill:page:"
@@ -124,13 +132,30 @@ def write_archives(
     html_col: str = "html",
 ) -> None:
     """Write all pages as archives of one gzip stream each under ``path``."""
-    (
-        records(with_revisits(pages, id_col, url_col, html_col))
-        .write.option("compression", "gzip")
-        .option("lineSep", "\r\n")
-        .option("maxRecordsPerFile", RECORDS_PER_ARCHIVE)
-        .text(path)
+    rows = with_revisits(pages, id_col, url_col, html_col)
+    size = F.octet_length(F.coalesce(F.col(html_col).cast("string"), F.lit(""))) + F.octet_length(
+        F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     )
+    present = {r[0] for r in pages.select(_class_of(size)).distinct().collect()} or {0}
+    rows = rows.withColumn("class", _class_of(F.col("n") + F.octet_length("url")))
+    for k in sorted(present):
+        most = max(1, ARCHIVE_BYTES // _CLASSES[k]) if k < len(_CLASSES) else 1
+        (
+            records(rows.filter(F.col("class") == k))
+            .write.mode("append")
+            .option("compression", "gzip")
+            .option("lineSep", "\r\n")
+            .option("maxRecordsPerFile", most)
+            .text(path)
+        )
+
+
+def _class_of(size: Column) -> Column:
+    """The size class of a record; the last one has no upper end."""
+    out = F.lit(len(_CLASSES))
+    for k in range(len(_CLASSES) - 1, -1, -1):
+        out = F.when(size <= _CLASSES[k], k).otherwise(out)
+    return out
 
 
 class _Inflater:
@@ -213,40 +238,45 @@ def members(content: bytes, step: int = 1 << 14) -> Iterator[tuple[int, int, byt
         offset = end
 
 
-_ARCHIVE = struct_of("archive string, content binary")
+_FILE = struct_of("kind string, archive string, content binary")
+
+#: A line of an index; record ids and types hold no tabs.
+_LINE = "{}\t{}\t{}\t{}\n"
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One archive in, one normalised archive out."""
-    schema = arrow_schema(_ARCHIVE)
+    """One archive in; out comes the normalised archive and its index, itself a
+    gzip member of lines."""
+    schema = arrow_schema(_FILE)
     for batch in batches:
         for i in range(batch.num_rows):
             name = batch.column("path")[i].as_py().rsplit("/", 1)[-1].split(".")[0]
-            content = b"".join(_member(data) for _, data in raw_records(batch.column("content")[i].as_py()))
-            yield _batch([[name], [content]], schema)
+            parts, lines, offset = [], [], 0
+            for headers, data in raw_records(batch.column("content")[i].as_py()):
+                member = _member(data)
+                ident, kind = (headers.get(k, "").replace("\t", " ") for k in ("warc-record-id", "warc-type"))
+                lines.append(_LINE.format(ident, kind, offset, len(member)))
+                parts.append(member)
+                offset += len(member)
+            content, index = b"".join(parts), _member("".join(lines).encode())
+            yield _batch([["archives", "index"], [name, name], [content, index]], schema)
 
 
 _ENTRY = struct_of("archive string, record_id string, record_type string, offset long, length long")
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where each record stands in a normalised archive."""
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of index files."""
     schema = arrow_schema(_ENTRY)
     for batch in batches:
         for i in range(batch.num_rows):
-            out: list[list] = [[] for _ in schema]
-            for offset, length, data in members(batch.column("content")[i].as_py()):
-                headers = _headers(data.partition(b"\r\n\r\n")[0])
-                row = (
-                    batch.column("archive")[i].as_py(),
-                    headers.get("warc-record-id", ""),
-                    headers.get("warc-type", ""),
-                    offset,
-                    length,
-                )
-                for column, value in zip(out, row):
-                    column.append(value)
-            yield _batch(out, schema)
+            name = batch.column("archive")[i].as_py()
+            lines = b"".join(data for _, _, data in members(batch.column("content")[i].as_py())).decode().split("\n")[:-1]
+            for at in range(0, len(lines), 10_000):
+                rows = [x.split("\t") for x in lines[at : at + 10_000]]
+                ids, kinds, offsets, lengths = map(list, zip(*rows))
+                out = [[name] * len(rows), ids, kinds, list(map(int, offsets)), list(map(int, lengths))]
+                yield _batch(out, schema)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -259,24 +289,28 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _normalised(spark: SparkSession, path: str) -> DataFrame:
+def _normalised(spark: SparkSession, path: str, kind: str) -> DataFrame:
     name = F.regexp_extract("path", r"/archive=([^/]*)/", 1)
-    return _files(spark, f"{path}/archives").select(name.alias("archive"), "content")
+    return _files(spark, f"{path}/kind={kind}").select(name.alias("archive"), "content")
 
 
 def normalise_archives(spark: SparkSession, path: str, out: str) -> None:
-    """Rewrite the archives under ``path`` as ``out/archives`` (one member per
-    record) and ``out/index`` (a row per record)."""
+    """Rewrite the archives under ``path`` as ``out/kind=archives`` (one member
+    per record) and ``out/kind=index`` (an index per archive), in one pass."""
     (
         _files(spark, path)
-        .mapInArrow(_normalise, _ARCHIVE)
-        .select(F.col("content").cast("string").alias("value"), "archive")
-        .write.partitionBy("archive")
+        .mapInArrow(_normalise, _FILE)
+        .select(F.col("content").cast("string").alias("value"), "kind", "archive")
+        .write.partitionBy("kind", "archive")
         .option("encoding", "ISO-8859-1")
         .option("lineSep", _EMPTY_MEMBER.decode("latin-1"))
-        .text(f"{out}/archives")
+        .text(out)
     )
-    _normalised(spark, out).mapInArrow(_index, _ENTRY).write.parquet(f"{out}/index")
+
+
+def archive_index(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each record of the normalised archives under ``path``."""
+    return _normalised(spark, path, "index").mapInArrow(_entries, _ENTRY)
 
 
 _READ = struct_of(
@@ -319,13 +353,7 @@ def _rows(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, schema)
 
 
-def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield from _rows(data for _, _, data in members(batch.column("content")[i].as_py()))
-
-
-def _read_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             content = batch.column("content")[i].as_py()
@@ -340,25 +368,29 @@ def _batch(out: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return batch
 
 
+def _cut(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
+    """The records that index entries name.  They are counted, and broadcast to
+    the archives only while they are few; else both sides are shuffled."""
+    entries = entries.select("archive", "offset", "length")
+    few = entries.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
+    of_archive = entries.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("entries"))
+    archives = _normalised(spark, path, "archives")
+    return archives.join(F.broadcast(of_archive) if few else of_archive, "archive").select("content", "entries").mapInArrow(_read, _READ)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the normalised archives under ``path``, member by member.
+    """Every record of the normalised archives under ``path``, as the index has it.
 
     Length and digest are measured on a response's payload; a revisit has
     those of the payload it stands for in its headers."""
-    return _normalised(spark, path).mapInArrow(_read_all, _READ)
+    return _cut(spark, path, archive_index(spark, path))
 
 
 def read_records(spark: SparkSession, path: str, record_ids: DataFrame) -> DataFrame:
     """The records whose ids (column ``record_id``) are asked for: the index
     says where each stands, and only those members are inflated."""
-    entries = (
-        spark.read.schema(_ENTRY)
-        .parquet(f"{path}/index")
-        .join(record_ids.select("record_id").distinct(), "record_id", "left_semi")
-        .groupBy("archive")
-        .agg(F.collect_list(F.struct("offset", "length")).alias("entries"))
-    )
-    return _normalised(spark, path).join(entries, "archive").mapInArrow(_read_some, _READ)
+    wanted = record_ids.select("record_id").distinct()
+    return _cut(spark, path, archive_index(spark, path).join(wanted, "record_id", "left_semi"))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

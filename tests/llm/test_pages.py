@@ -50,24 +50,38 @@ def test_round_trip(spark):
 def test_archives_are_monolithic_then_normalised(spark, tmp_path):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
     R.write_archives(spark.createDataFrame(PAGES, SCHEMA).coalesce(1), raw)
-    before = [p.read_bytes() for p in (tmp_path / "raw").glob("part-*.gz")]
-    assert [sum(1 for _ in R.members(b)) for b in before] == [1]
+    before = {p.name.split(".")[0]: p.read_bytes() for p in (tmp_path / "raw").glob("part-*.gz")}
+    assert [sum(1 for _ in R.members(b)) for b in before.values()] == [1, 1]  # two size classes
     R.normalise_archives(spark, raw, out)
-    after = [p.read_bytes() for p in (tmp_path / "out/archives").rglob("part-*")]
-    assert [sum(1 for _ in R.members(b)) for b in after] == [len(PAGES)]
-    assert gzip.decompress(before[0]) == gzip.decompress(after[0])
-    for e in spark.read.parquet(f"{out}/index").collect():
-        data = gzip.decompress(after[0][e["offset"] : e["offset"] + e["length"]])
+    after = {p.parent.name.split("=")[1]: p.read_bytes() for p in (tmp_path / "out/kind=archives").rglob("part-*")}
+    assert sum(sum(1 for _ in R.members(b)) for b in after.values()) == len(PAGES)
+    assert {k: gzip.decompress(b) for k, b in before.items()} == {k: gzip.decompress(b) for k, b in after.items()}
+    entries = R.archive_index(spark, out).collect()
+    assert len(entries) == len(PAGES)
+    for e in entries:
+        data = gzip.decompress(after[e["archive"]][e["offset"] : e["offset"] + e["length"]])
         assert data.startswith(b"WARC/1.1\r\n") and e["record_id"].encode() in data
     wanted = spark.createDataFrame([("<urn:docmill:page:3>",), ("<urn:docmill:page:99>",)], "record_id string")
     assert [r["page_id"] for r in R.read_records(spark, out, wanted).collect()] == [3]
 
 
-def test_revisits_without_broadcast(spark, monkeypatch):
+def test_round_trip_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(R, "BROADCAST_ENTRIES", 0)
     test_round_trip(spark)
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "ARCHIVE_BYTES", 1 << 16)
+    rows = [(k, f"http://h/{k}", "ab" * n) for k, n in enumerate([10] * 9 + [15_000] * 5 + [300_000] * 3)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    R.write_archives(df, str(tmp_path / "raw"))
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "raw").glob("part-*.gz")]
+    assert max(sizes) < 610_000 and sorted(sizes)[-4] < 1 << 17 and len(sizes) >= 8
+    R.normalise_archives(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
+    assert sorted(r["page_id"] for r in R.read_archives(spark, str(tmp_path / "out")).collect()) == list(range(17))
+
+
 def verdict(host, path):
     fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)
