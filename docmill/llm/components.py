@@ -15,36 +15,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import discard, saved
 
 #: Rounds after which something is wrong with the input or this code.
 MOST_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """``edges`` has (a, b) with a > b; so has the result."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` has (a, b) with a > b; so has the result, which reads a saved
+    table that comes with it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     least = saved(least.select("u", F.least("u", "m").alias("m")), "components-least")
     # Only larger neighbours move: edges (v, u) with v > u, that is, b = u.
-    return (
-        edges.join(least, F.col("b") == F.col("u"))
-        .select("a", F.col("m").alias("b"))
-        .filter("a <> b")
-        .distinct()
-    )
+    moved = edges.join(least, F.col("b") == F.col("u")).select("a", F.col("m").alias("b"))
+    return moved.filter("a <> b").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = saved(edges.groupBy("a").agg(F.min("b").alias("m")), "components-least")
     moved = (
         edges.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u"))
         .filter("b <> m")
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
     )
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct(), least
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -69,7 +66,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before or now[0] == 0:
             break
         before = now
-        state = saved(_small_star(_large_star(state)), "components")
+        larger, used = _large_star(state)
+        smaller, also_used = _small_star(larger)
+        after = saved(smaller, "components")
+        discard(state, used, also_used)
+        state = after
     else:
         raise RuntimeError("connected components did not settle")
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -30,7 +30,7 @@ their names.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .batches import arrow_schema, map_batches, release, struct_of, unused, utf8
 from .fm_index import FmIndex
-from .storage import fresh_path, saved
+from .storage import discard, fresh_path, saved
 from .words import alnum_words
 
 WINDOW = 13
@@ -88,8 +88,8 @@ class Phrases:
 
 
 def benchmark_pieces(items: DataFrame, window: int) -> tuple[DataFrame, int]:
-    """(block, item, words): the benchmark's pieces dealt over blocks, saved,
-    and the number of blocks.  ``items`` has ``item`` and ``text``."""
+    """(item, words, n): the benchmark's pieces, saved, and the number of blocks
+    that they are dealt over.  ``items`` has ``item`` and ``text``."""
 
     def make():
         def work(batch: pa.RecordBatch) -> list:
@@ -108,13 +108,13 @@ def benchmark_pieces(items: DataFrame, window: int) -> tuple[DataFrame, int]:
 
     cut = saved(map_batches(items, make, "item string, words binary, n long", 256), "benchmark")
     total = cut.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_WORDS))
-    return cut.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks))), blocks
+    return cut, max(1, -(-total // BLOCK_WORDS))
 
 
-def block_phrases(pieces: DataFrame, block: int, window: int) -> Phrases:
+def block_phrases(pieces: DataFrame, block: int, blocks: int, window: int) -> Phrases:
     """One block, on the driver."""
-    rows = pieces.filter(F.col("block") == block).select("item", "words").collect()
+    here = F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block
+    rows = pieces.filter(here).select("item", "words").collect()
     return Phrases([(r["item"], bytes(r["words"]).split(b" ")) for r in rows], window)
 
 
@@ -376,7 +376,7 @@ def _many_blocks(rows: DataFrame, pieces: DataFrame, blocks: int, window: int) -
     shards = indexed.filter(F.col("shard").isNotNull()).select("shard")
     path = fresh_path(spark, "fm-hits")
     for block in range(blocks):
-        _search_block(shards, block_phrases(pieces, block, window)).write.mode("append").parquet(path)
+        _search_block(shards, block_phrases(pieces, block, blocks, window)).write.mode("append").parquet(path)
     hits = spark.read.schema(struct_of(_HIT)).parquet(path)
     # A document's hits come from as many rows as blocks and shards that hit it.
     spans = F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))
@@ -422,9 +422,10 @@ def decontaminate(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces, blocks = benchmark_pieces(_items(benchmark, item_col, item_text_col), window)
     if blocks == 1:
-        found = _one_pass(rows, block_phrases(pieces, 0, window), window)
+        found = _one_pass(rows, block_phrases(pieces, 0, 1, window), window)
     else:
         found = _many_blocks(rows, pieces, blocks, window)
+    discard(pieces)
     hits = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(
         F.col("id").alias(id_col),
@@ -447,7 +448,9 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, all columns kept."""
     pieces, blocks = benchmark_pieces(_items(benchmark, item_col, item_text_col), window)
-    if blocks > 1:
+    phrases = block_phrases(pieces, 0, 1, window) if blocks == 1 else None
+    discard(pieces)
+    if phrases is None:
         number = unused("row", docs.columns)
         numbered = saved(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
         texts = numbered.select(F.col(number).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -455,7 +458,6 @@ def drop_contaminated(
         gone = saved(judged.filter("contaminated").select(F.col("id").alias(number)), "contaminated")
         few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         return numbered.join(F.broadcast(gone) if few else gone, number, "left_anti").select(*[numbered[c] for c in docs.columns])
-    phrases = block_phrases(pieces, 0, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, counts, found in by_shard(batches, text_col, phrases, window):

@@ -16,7 +16,7 @@ Edge cases: a null text counts as the empty text; rows with a null id come
 after all others of their group, and a group of only such rows keeps one of
 them with a null ``keep_id``; of repeated rows (equal text and id) one is kept;
 an empty table gives an empty result; columns other than the id and the text
-are ignored.
+are ignored, or kept where rows are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,13 +30,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import arrow_schema, release, struct_of
+from .batches import arrow_schema, release, struct_of, unused
 from .storage import saved
 
 #: Characters of the text in the sort key before its hash.  They only set the
 #: order; equality is decided on whole texts.
 PREFIX = 64
 
+#: Rows that are put out at once.
+ROWS_AT_ONCE = 10_000
+
 _RUNS = struct_of(
     "id long, keep_id long, group_size long, kept boolean, text_sha256 string,"
     " run long, run_text string"
@@ -65,17 +68,23 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     number = 0
     out: list[list] = [[] for _ in schema]
 
-    def settle(boundary: bool) -> None:
+    def settle(boundary: bool) -> Iterator[pa.RecordBatch]:
+        """Put out the waiting runs, never more than ``ROWS_AT_ONCE`` rows at a time."""
         for run in waiting:
-            n = len(run.ids)
             sha = hashlib.sha256(run.text.encode()).hexdigest()
-            out[0].extend(run.ids)
-            out[1].extend([run.ids[0]] * n)
-            out[2].extend([n] * n)
-            out[3].extend([True] + [False] * (n - 1))
-            out[4].extend([sha] * n)
-            out[5].extend([base | run.number if boundary else None] * n)
-            out[6].extend([run.text if boundary else None] + [None] * (n - 1))
+            tag = base | run.number if boundary else None
+            for at in range(0, len(run.ids), ROWS_AT_ONCE):
+                ids = run.ids[at : at + ROWS_AT_ONCE]
+                n = len(ids)
+                out[0].extend(ids)
+                out[1].extend([run.ids[0]] * n)
+                out[2].extend([len(run.ids)] * n)
+                out[3].extend([i == 0 for i in range(at, at + n)])
+                out[4].extend([sha] * n)
+                out[5].extend([tag] * n)
+                out[6].extend([run.text if boundary and i == 0 else None for i in range(at, at + n)])
+                if len(out[0]) >= ROWS_AT_ONCE:
+                    yield flush()
         waiting.clear()
 
     def flush() -> pa.RecordBatch:
@@ -87,6 +96,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         return batch
 
     for batch in batches:
+        release()
         for ident, text, h in zip(
             batch.column("id").to_pylist(),
             batch.column("text").to_pylist(),
@@ -94,7 +104,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         ):
             if h != key:
                 if waiting:
-                    settle(boundary=key == first_key)
+                    yield from settle(boundary=key == first_key)
                 if first_key is None:
                     first_key = h
                 key = h
@@ -102,17 +112,12 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 waiting.append(_Run(text, number))
                 number += 1
             waiting[-1].ids.append(ident)
-        if out[0]:
-            yield flush()
-    settle(boundary=True)
+    yield from settle(boundary=True)
     if out[0]:
         yield flush()
 
 
-_H, _ID, _EDGE = "__docmill_hash", "__docmill_id", "__docmill_edge"
-
-
-def _leads_of(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _leads_of(text_col: str, hash_col: str, edge_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The first row of each run of a sorted partition, all columns kept.
 
     Rows are marked whose hash is the partition's first or last one, since
@@ -123,16 +128,16 @@ def _leads_of(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         waiting: list[pa.RecordBatch] = []  # leads under the current hash
 
         def marked(rows: pa.RecordBatch, edge: bool) -> pa.RecordBatch:
-            at = rows.schema.get_field_index(_H)
+            at = rows.schema.get_field_index(hash_col)
             kept = [i for i in range(rows.num_columns) if i != at]
             return pa.RecordBatch.from_arrays(
                 [*(rows.column(i) for i in kept), pa.array([edge] * rows.num_rows, pa.bool_())],
-                names=[*(rows.schema.names[i] for i in kept), _EDGE],
+                names=[*(rows.schema.names[i] for i in kept), edge_col],
             )
 
         for batch in batches:
             release()
-            hashes = batch.column(_H).to_pylist()
+            hashes = batch.column(hash_col).to_pylist()
             leads = []
             for i, (h, t) in enumerate(zip(hashes, batch.column(text_col).to_pylist())):
                 t = t or ""
@@ -140,8 +145,8 @@ def _leads_of(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     leads.append(i)
                     first = h if first is None else first
                 key, text = h, t
-            moved = [w for w in waiting if w.column(_H)[0].as_py() != key]
-            waiting = [w for w in waiting if w.column(_H)[0].as_py() == key]
+            moved = [w for w in waiting if w.column(hash_col)[0].as_py() != key]
+            waiting = [w for w in waiting if w.column(hash_col)[0].as_py() == key]
             for rows in moved:
                 yield marked(rows, False)
             for edge, chosen in (
@@ -167,17 +172,17 @@ def drop_exact_duplicates(
     partition ends, a few rows for each partition, are compared once more."""
     order = F.desc_nulls_last if keep == "max" else F.asc_nulls_last
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({_H: F.xxhash64(text), _ID: F.col(id_col).cast("long")})
-    ordered = keyed.repartitionByRange(
-        F.substring(text, 1, PREFIX), F.col(_H), order(_ID)
-    ).sortWithinPartitions(F.substring(text, 1, PREFIX), F.col(_H), text, order(_ID))
+    hash_col, own_id, edge = (unused(f"__docmill_{x}", docs.columns) for x in ("hash", "id", "edge"))
+    keyed = docs.withColumns({hash_col: F.xxhash64(text), own_id: F.col(id_col).cast("long")})
+    key = (F.substring(text, 1, PREFIX), F.col(hash_col))
+    ordered = keyed.repartitionByRange(*key, order(own_id)).sortWithinPartitions(*key, text, order(own_id))
     schema = T.StructType(
-        [f for f in keyed.schema.fields if f.name != _H] + [T.StructField(_EDGE, T.BooleanType())]
+        [f for f in keyed.schema.fields if f.name != hash_col] + [T.StructField(edge, T.BooleanType())]
     )
-    leads = saved(ordered.mapInArrow(_leads_of(text_col), schema), "content-sort")
-    first = Window.partitionBy(text).orderBy(order(_ID))
-    edges = leads.filter(F.col(_EDGE)).withColumn(_H, F.row_number().over(first)).filter(F.col(_H) == 1)
-    return leads.filter(~F.col(_EDGE)).unionByName(edges.drop(_H)).drop(_EDGE, _ID)
+    leads = saved(ordered.mapInArrow(_leads_of(text_col, hash_col, edge), schema), "content-sort")
+    first = Window.partitionBy(text).orderBy(order(own_id))
+    edges = leads.filter(F.col(edge)).withColumn(hash_col, F.row_number().over(first)).filter(F.col(hash_col) == 1)
+    return leads.filter(~F.col(edge)).unionByName(edges.drop(hash_col)).drop(edge, own_id)
 
 
 def exact_dedup(

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .batches import arrow_schema, map_batches, release, struct_of, unused, utf8
 from .components import connected_components
-from .storage import saved
+from .storage import discard, saved
 
 SHINGLE = 4
 RADIUS = 4
@@ -60,11 +60,11 @@ SEED = 42
 FOUND = 0.999
 
 #: A trunk cell with more nodes is split by one more level.
-SHARD_NODES = 50_000
+SHARD_NODES = 30_000
 
 #: Nodes asked of a shard that one task looks for; each slice of them has all
 #: the shard's stored nodes.
-ASKED_ROWS = 60_000
+ASKED_ROWS = 15_000
 
 #: Nodes in a leaf, and pairs compared at once (few enough for a core's cache).
 LEAF = 96
@@ -702,7 +702,7 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, h, component) of every row: the classes of similar sets.
+    """(id, h, component) of every distinct row, saved: the classes of similar sets.
 
     Fingerprints, sizes and parities first tell which sets have a candidate at
     all.  Only those go through the bands again, with their whole sets, and are
@@ -710,7 +710,7 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, s
     prints = saved(shingle_sets(docs, id_col, text_col, shingle), "simhash")
     of_row = prints.select("id", "h", "key")
     if similarity >= 1:  # only equal sets
-        return of_row.withColumnRenamed("key", "component")
+        return saved(of_row.withColumnRenamed("key", "component").distinct(), "simhash-classes")
     sets = prints.groupBy("key").agg(
         F.min("fp").alias("fp"), F.min("h").alias("h"), F.min("n").alias("n"), F.min("parity").alias("parity")
     )
@@ -728,9 +728,12 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, s
     texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(F.broadcast(wanted) if few else wanted, "h").select("fp", "key", "n", "text")
     whole = map_batches(texts, make, "fp long, key long, n long, hashes binary", 256).dropDuplicates(["key"])
-    near = similar_links(saved(whole, "simhash-whole"), similarity)
-    found = saved(connected_components(near), "simhash-members").withColumnRenamed("node", "key")
-    return of_row.join(found, "key", "left").select("id", "h", F.coalesce("component", "key").alias("component"))
+    whole = saved(whole, "simhash-whole")
+    found = saved(connected_components(similar_links(whole, similarity)), "simhash-members")
+    classed = of_row.join(found.withColumnRenamed("node", "key"), "key", "left")
+    rows = saved(classed.select("id", "h", F.coalesce("component", "key").alias("component")).distinct(), "simhash-classes")
+    discard(prints, sets, wanted, whole, found)
+    return rows
 
 
 def drop_near_duplicates(
@@ -749,7 +752,6 @@ def drop_near_duplicates(
     are taken out by an anti-join, broadcast only while they are at most
     ``BROADCAST_ROWS``."""
     rows = similar_classes(docs, id_col, text_col, shingle, similarity)
-    rows = saved(rows.distinct(), "simhash-classes")
     # A null id comes after all others.
     rank = F.struct(F.col("id").isNull(), "id", "h")
     best = saved(
@@ -764,6 +766,7 @@ def drop_near_duplicates(
         ),
         "simhash-gone",
     )
+    discard(rows, best)
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     same = (F.xxhash64(docs[text_col]) == F.col(gone_h)) & docs[id_col].cast("long").eqNullSafe(F.col(gone_id))
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

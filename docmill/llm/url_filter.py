@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import saved
+from .storage import discard, saved
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -188,6 +188,7 @@ def url_verdicts(
     )
     edges = saved(alias_edges(columns, "url", "html"), "url-aliases")
     nodes = connected_components(edges)
+    discard(edges)
     ruled = nodes.withColumn("best", best_rule(host_of(F.col("node")), path_of(F.col("node")), rules))
     classes = ruled.groupBy("component").agg(
         F.coalesce(F.max(F.col("best.verdict") == "block"), F.lit(False)).alias("blocks"),

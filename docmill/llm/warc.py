@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import arrow_schema, struct_of
-from .storage import fresh_path, saved
+from .storage import discard, fresh_path, remove, saved
 
 REVISIT_BYTES = 1000
 BROADCAST_ROWS = 200_000
@@ -61,8 +61,9 @@ _LEVEL = 4
 _EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" "0300" "00000000" "00000000")
 
 
-def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, url, payload, digest, n, and refers_to (null: a response)."""
+def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> tuple[DataFrame, DataFrame]:
+    """page_id, url, payload, digest, n, and refers_to (null: a response); and
+    the saved table of repeated payloads that these rows are made with."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
@@ -79,7 +80,8 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(repeated) if few else repeated, ["digest", "n"], "left")
     other = ~F.col("response_id").eqNullSafe(F.col("page_id"))
-    return joined.withColumn("refers_to", F.when(F.col("response_id").isNotNull() & other, F.col("response_id")))
+    refers = F.when(F.col("response_id").isNotNull() & other, F.col("response_id"))
+    return joined.withColumn("refers_to", refers), repeated
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def write_archives(
     html_col: str = "html",
 ) -> None:
     """Write all pages as archives of one gzip stream each under ``path``."""
-    rows = with_revisits(pages, id_col, url_col, html_col)
+    rows, repeated = with_revisits(pages, id_col, url_col, html_col)
     size = F.octet_length(F.coalesce(F.col(html_col).cast("string"), F.lit(""))) + F.octet_length(
         F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     )
@@ -148,6 +150,7 @@ def write_archives(
             .option("maxRecordsPerFile", most)
             .text(path)
         )
+    discard(repeated)
 
 
 def _class_of(size: Column) -> Column:
@@ -398,4 +401,5 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     base = fresh_path(spark, "warc")
     write_archives(pages, f"{base}/raw")
     normalise_archives(spark, f"{base}/raw", f"{base}/normal")
+    remove(spark, f"{base}/raw")
     return read_archives(spark, f"{base}/normal")

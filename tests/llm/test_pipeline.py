@@ -36,6 +36,46 @@ def test_planted_cases(spark, tmp_path):
     assert got == {1, 5, 6}
 
 
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from docmill.llm import storage
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    fake = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf), conf=conf)
+    assert storage.shared_dir(fake("local[4]")).startswith("file:")
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            storage.shared_dir(fake(master))
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path, monkeypatch):
+    from docmill.llm import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    left = corpus_pipeline.run(spark, DATA)
+    assert left.count() > 0
+    assert len([p for p in tmp_path.iterdir() if any(p.iterdir())]) == 1
+
+
+def test_stages_take_nulls_and_repeats(spark, tmp_path):
+    """Every stage on rows with nulls in all columns, repeated rows and no rows."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None)] * 2 + [(1, "", "en", "s", 0)] * 2 + [(2, "some words here", None, None, 1), (None, "x" * 70_000, "", "", 0)]
+    docs = spark.createDataFrame(rows, kind)
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels = [(None, None, None), (1, None, 0), (2, 1, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sizes = {}
+    for name, stage in corpus_pipeline.STAGES:
+        sizes[name] = stage(spark, docs, str(tmp_path)).count()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    # Null and empty texts are equal, and so alike; nothing else is.
+    assert sizes == {
+        "quality classifier": 6, "exact dedup": 3, "simhash near-dedup": 4, "benchmark decontamination": 6, "bpe encoding": 6,
+    }
+
+
 def test_all_ten_are_registered():
     names = {n.split("_")[0] for n in queries.queries()}
     assert names == {f"op{n}" for n in range(1, 11)}
