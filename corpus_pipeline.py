@@ -18,7 +18,7 @@ from docmill.llm.decontaminate import drop_contaminated
 from docmill.llm.exact_dedup import drop_exact_duplicates
 from docmill.llm.quality import keep_good, train
 from docmill.llm.simhash import drop_near_duplicates
-from docmill.llm.storage import saved
+from docmill.llm.storage import discard, settled
 from docmill.session import ship
 
 
@@ -35,7 +35,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash class (five words, similarity 0.8) one document stays."""
+    """Of each class of similar documents (five words, Jaccard similarity 0.8),
+    which SimHash fingerprints propose, one stays."""
     return drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
@@ -82,8 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, from ``documents`` on."""
+    """All stages, one after another, from ``documents`` on.  What a stage has
+    saved is deleted when the next one's rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), "pipeline")
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), "pipeline")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
