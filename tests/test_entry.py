@@ -16,18 +16,23 @@ def test_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_other_import_errors_are_not_swallowed(tmp_path, monkeypatch):
-    """Only the absence of the training-data parts is forgiven."""
+@pytest.mark.parametrize("absent", ["corpus_pipeline", "docmill.llm.queries", "regex"])
+def test_other_queries_do_without_the_training_data_parts(monkeypatch, absent):
+    """Their absence, or that of a library which only they need, leaves the rest."""
     import __spark_entry__ as entry
 
     names = [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("docmill.llm")]
     saved = {n: sys.modules.pop(n) for n in names}
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    monkeypatch.setitem(sys.modules, absent, None)
     try:
-        again = importlib.reload(entry)
+        with pytest.warns(UserWarning, match="without the training-data operators"):
+            again = importlib.reload(entry)
         assert again.llm_queries is None and "pipeline" not in again.queries()
+        assert "doc_text_stats" in again.queries() and "doc_text_stats" in again.oracle_sql()
     finally:
         monkeypatch.undo()
+        for n in [n for n in sys.modules if n.startswith("docmill.llm")]:
+            del sys.modules[n]
         sys.modules.update(saved)
         importlib.reload(entry)
 
