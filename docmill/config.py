@@ -25,13 +25,16 @@ class ChunkConfig:
 
 @dataclass(frozen=True)
 class StoreConfig:
-    """Vector store settings; ``path`` is the folder of the vector table."""
+    """Vector store settings; ``path`` is the folder of the vector table.  With
+    ``use_jsonb`` a vector's chunk metadata is stored with it, as JSON.  A batch
+    that fails is tried ``attempts`` times, with growing pauses."""
 
     path: str
     collection_name: str = "documents"
     model_name: str = "hashing-64"
     batch_size: int = 100
     use_jsonb: bool = True
+    attempts: int = 1
 
     def __post_init__(self) -> None:
         if not self.path:

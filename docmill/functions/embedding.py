@@ -9,8 +9,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+
+from ..errors import EmbeddingError
+
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
@@ -28,28 +33,62 @@ class HashingEmbedder:
         self.dimensions = dimensions
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        return [self._one(t) for t in texts]
+        row, place, sign = [], [], []
+        for i, text in enumerate(texts):
+            hashes = [_token_hash(t) for t in re.findall(r"\w+", text.lower())]
+            row += [i] * len(hashes)
+            place += [h % self.dimensions for h, _ in hashes]
+            sign += [s for _, s in hashes]
+        out = np.zeros((len(texts), self.dimensions))
+        np.add.at(out, (np.array(row, np.int64), np.array(place, np.int64)), sign)
+        size = np.sqrt((out * out).sum(1, keepdims=True))
+        return np.divide(out, size, out=out, where=size > 0).tolist()
+
 
-    def _one(self, text: str) -> list[float]:
-        out = [0.0] * self.dimensions
-        for token in re.findall(r"\w+", text.lower()):
-            h, sign = _token_hash(token)
-            out[h % self.dimensions] += sign
-        size = sum(x * x for x in out) ** 0.5
-        return [x / size for x in out] if size else out
+Factory = Callable[[], Embedder]
 
+#: Factories by model name, and how often a name was registered.
+_MODELS: dict[str, Factory] = {"hashing-64": HashingEmbedder}
+_TIMES: dict[str, int] = {}
 
-#: Embedders by model name; ``register`` adds to them.
-_MODELS: dict[str, Callable[[], Embedder]] = {"hashing-64": HashingEmbedder}
+#: Models that this process has made.
+_LOADED: dict[tuple[str, int], Embedder] = {}
 
 
-def register(name: str, make: Callable[[], Embedder]) -> None:
+def register(name: str, make: Factory) -> None:
+    """Let ``make`` build the model ``name``; it is called once in each worker."""
     _MODELS[name] = make
+    _TIMES[name] = _TIMES.get(name, 0) + 1
 
 
-def embedder(name: str) -> Embedder:
-    from ..errors import EmbeddingError
+@dataclass(frozen=True)
+class Model:
+    """A model by name, with its factory: what a task gets to make it from.
+
+    An unknown name has no factory; asking for its embedder raises, in the task,
+    so that it becomes the message of the rows that wanted it."""
+
+    name: str
+    times: int
+    make: Factory | None
 
-    if name not in _MODELS:
-        raise EmbeddingError(f"no embedder is registered as {name}")
-    return _MODELS[name]()
+    def embedder(self) -> Embedder:
+        key = (self.name, self.times)
+        if key not in _LOADED:
+            if self.make is None:
+                raise EmbeddingError(f"no embedder is registered as {self.name}")
+            try:
+                _LOADED[key] = self.make()
+            except Exception as error:
+                raise EmbeddingError(f"Failed to initialize embeddings: {error}") from error
+        return _LOADED[key]
+
+
+def model_of(name: str) -> Model:
+    """To be called on the driver, where models are registered."""
+    return Model(name, _TIMES.get(name, 0), _MODELS.get(name))
+
+
+def embedder(name: str) -> Embedder:
+    """The embedder itself, in this process."""
+    return model_of(name).embedder()

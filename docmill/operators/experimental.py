@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.embedding import Embedder, embedder
+from ..functions.embedding import Embedder, model_of
+from ..functions.retry import retrying
 from .headers import sections
 from .semantic import breakpoints
 
@@ -51,10 +52,12 @@ def budget_pieces(
     return [" ".join(p).replace("\0", "") for p in pieces if p]
 
 
-def chunk_text(text: Column | str, method: str = "semantic", model: str = "hashing-64") -> Column:
-    """Pieces of a text by "semantic" or "markdown"."""
+def chunk_text(text: Column | str, method: str = "semantic", model: str = "hashing-64", attempts: int = 3) -> Column:
+    """Pieces of a text by "semantic" or "markdown"; a text that fails is tried
+    up to ``attempts`` times."""
+    known = model_of(model)
     if method == "semantic":
-        work = lambda t: budget_pieces(t, embedder(model))
+        work = lambda t: budget_pieces(t, known.embedder())
     elif method == "markdown":
         work = lambda t: [s["content"] for s in recursive_sections(t)]
     else:
@@ -62,6 +65,6 @@ def chunk_text(text: Column | str, method: str = "semantic", model: str = "hashi
 
     @F.udf(T.ArrayType(T.StringType()), useArrow=True)
     def run(t: str | None) -> list[str] | None:
-        return None if t is None else work(t)
+        return None if t is None else retrying(lambda: work(t), attempts)
 
     return run(F.col(text) if isinstance(text, str) else text)

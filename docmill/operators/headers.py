@@ -113,11 +113,17 @@ def split_by_headers(c: Column | str, max_level: int = 6) -> Column:
 
     Markdown's line states don't fit SQL's expressions, so this is the one
     Python function of the chunker's path, sent in Arrow batches.  A section
-    without headers of the split levels gets the context of its own text."""
+    without headers of the split levels gets the context of its own text; so does
+    the whole text where splitting fails."""
 
     @F.udf(_SECTION, useArrow=True)
     def run(text: str | None) -> list[dict] | None:
-        return None if text is None else sections(text, max_level)
+        if text is None:
+            return None
+        try:
+            return sections(text, max_level)
+        except Exception:  # noqa: BLE001  a failed split keeps the text
+            return [{"content": text, "headers": {}}]
 
     # Marked as nondeterministic so that no later Python function is folded into
     # the same projection, where Spark 4.1 fails to take both out.

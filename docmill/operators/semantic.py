@@ -9,19 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.embedding import Embedder, embedder
+from ..functions.embedding import Embedder, model_of
 from ..functions.vector import cosine_distance
 
 
 def breakpoints(vectors: list[list[float]], percentile: float = 95.0) -> list[int]:
     """Positions after which neighbouring vectors are farther apart than the
-    percentile of all such distances (linear interpolation, strictly more)."""
+    percentile of all such distances (linear interpolation, strictly more).
+    Both are rounded before they are compared, so that equal distances stay equal."""
     v = np.asarray(vectors, float)
     sizes = np.linalg.norm(v, axis=1)
     product = sizes[:-1] * sizes[1:]
     cosine = np.divide((v[:-1] * v[1:]).sum(1), product, out=np.zeros(len(product)), where=product > 0)
-    distance = 1 - cosine
-    return np.flatnonzero(distance > np.percentile(distance, percentile)).tolist() if len(distance) else []
+    distance = np.round(1 - cosine, 9)
+    return np.flatnonzero(distance > np.round(np.percentile(distance, percentile), 9)).tolist() if len(distance) else []
 
 
 def semantic_pieces(text: str, embed: Embedder, percentile: float = 95.0) -> list[str]:
@@ -38,35 +39,22 @@ def semantic_pieces(text: str, embed: Embedder, percentile: float = 95.0) -> lis
     return [p for p in pieces if p]
 
 
-def semantic_split(content: Column, model: str = "hashing-64", percentile: float = 95.0) -> Column:
-    """The pieces of a text; null where splitting failed, so that the caller
-    can keep the text whole.  Python, since it calls an embedding model."""
-
-    @F.udf(T.ArrayType(T.StringType()), useArrow=True)
-    def run(text: str | None) -> list[str] | None:
-        try:
-            return semantic_pieces(text, embedder(model), percentile)
-        except Exception:  # noqa: BLE001  a failed split keeps the chunk
-            return None
-
-    return run(content)
-
-
 def split_oversized(chunks: Column | str, max_size: int, model: str = "hashing-64") -> Column:
     """Normal chunks in order, then the pieces of chunks of more than
     ``max_size`` characters.  A chunk that gives one piece, or fails, stays as it
     is and unflagged.  All texts of a row are sent to Python at once."""
     array = F.col(chunks) if isinstance(chunks, str) else chunks
+    known = model_of(model)
     big = lambda c: F.length(c["content"]) > max_size
 
     @F.udf(T.ArrayType(T.ArrayType(T.StringType())), useArrow=True)
     def run(texts: list[str] | None) -> list[list[str] | None] | None:
         if texts is None:
             return None
-        embed, out = embedder(model), []
+        out = []
         for text in texts:
             try:
-                out.append(semantic_pieces(text, embed))
+                out.append(semantic_pieces(text, known.embedder()))
             except Exception:  # noqa: BLE001  a failed split keeps the chunk
                 out.append(None)
         return out
@@ -97,7 +85,10 @@ def vector_breaks(
 ) -> DataFrame:
     """Breakpoints over consecutive stored vectors of each group: their
     distance to the vector before, whether it breaks, and the running piece.
-    Distances and threshold are rounded before they are compared."""
+    Distances and threshold are rounded before they are compared.
+
+    The order within a group and the exact percentile need the group's vectors in
+    one task, so groups are meant to be documents; a sort spills, it isn't held."""
     by = Window.partitionBy(group_col).orderBy(order_col)
     near = vectors.select(
         group_col,

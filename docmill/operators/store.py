@@ -2,24 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import StoreConfig
-from ..errors import DatabaseConnectionError
-from ..functions.embedding import embedder
+from ..errors import DatabaseConnectionError, EmbeddingError
+from ..functions.embedding import model_of
+from ..functions.retry import retrying
 from ..functions.vector import cosine_similarity
-from ..schema import EMBEDDINGS, FINAL_CHUNK
+from ..schema import DOCUMENTS, EMBEDDINGS, FINAL_CHUNK
+
+_LEVELS = range(1, 7)
+_SCALARS = [f for f in FINAL_CHUNK.fields if f.name not in ("page_content", "headers")]
+
+
+def chunk_metadata(chunk: Column, *more: Column) -> Column:
+    """What a chunk knows besides its text, as one flat struct: a field for each
+    header level, then its other fields, then ``more``."""
+    headers = [F.try_element_at(chunk["headers"], F.lit(f"Header {i}")).alias(f"Header {i}") for i in _LEVELS]
+    return F.struct(*headers, *[chunk[f.name].alias(f.name) for f in _SCALARS], *more)
 
 
 def serialise(chunks: Column | str) -> Column:
-    """A chunk array as JSON."""
-    return F.to_json(F.col(chunks) if isinstance(chunks, str) else chunks)
+    """A chunk array as JSON: a list of objects with ``page_content`` and a flat
+    object ``metadata``, in which absent values are left out."""
+    array = F.col(chunks) if isinstance(chunks, str) else chunks
+    shaped = F.transform(
+        array, lambda c: F.struct(c["page_content"].alias("page_content"), chunk_metadata(c).alias("metadata"))
+    )
+    return F.to_json(shaped)
 
 
 def deserialise(text: Column | str) -> Column:
-    return F.from_json(F.col(text) if isinstance(text, str) else text, T.ArrayType(FINAL_CHUNK))
+    """The chunk array that ``serialise`` wrote; metadata of other names is lost."""
+    kind = T.ArrayType(
+        T.StructType(
+            [
+                T.StructField("page_content", T.StringType()),
+                T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+            ]
+        )
+    )
+    parsed = F.from_json(F.col(text) if isinstance(text, str) else text, kind)
+
+    def chunk(x: Column) -> Column:
+        own = x["metadata"]
+        return F.struct(
+            x["page_content"].alias("page_content"),
+            F.map_filter(own, lambda k, v: F.startswith(k, F.lit("Header ")) & v.isNotNull()).alias("headers"),
+            *[F.try_element_at(own, F.lit(f.name)).cast(f.dataType).alias(f.name) for f in _SCALARS],
+        )
+
+    return F.transform(parsed, chunk).cast(T.ArrayType(FINAL_CHUNK))
 
 
 def batch_of(index: Column | str, total: Column | str, size: int) -> tuple[Column, Column]:
@@ -40,7 +79,7 @@ def with_embeddings(docs: DataFrame, config: StoreConfig, when: Column | None =
     A document's chunks are embedded in slices of ``batch_size``; a slice that
     fails gets the error on all its entries and no vectors, and the next slices
     go on.  Rows where ``when`` doesn't hold aren't embedded."""
-    size, model = config.batch_size, config.model_name
+    size, model, attempts = config.batch_size, model_of(config.model_name), config.attempts
 
     @F.udf(_EMBEDDED, useArrow=True)
     def run(texts: list[str] | None) -> list[dict] | None:
@@ -50,7 +89,10 @@ def with_embeddings(docs: DataFrame, config: StoreConfig, when: Column | None =
         for at in range(0, len(texts), size):
             batch = texts[at : at + size]
             try:
-                out += [{"vector": v, "error": None} for v in embedder(model)(batch)]
+                vectors = retrying(lambda batch=batch: model.embedder()(batch), attempts)
+                if len(vectors) != len(batch):
+                    raise EmbeddingError(f"{len(vectors)} vectors for {len(batch)} chunks")
+                out += [{"vector": v, "error": None} for v in vectors]
             except Exception as error:  # noqa: BLE001  later batches go on
                 out += [{"vector": None, "error": f"Failed to process batch {at // size + 1}: {error}"}] * len(batch)
         return out
@@ -61,15 +103,20 @@ def with_embeddings(docs: DataFrame, config: StoreConfig, when: Column | None =
 
 
 def embedded_rows(docs: DataFrame, config: StoreConfig, id_col: str = "id", title_col: str = "title") -> DataFrame:
-    """One row per embedded chunk of ``docs``: the vector table's columns, the
-    title, and ``error``.  Vector ids are made of document and chunk, so embedding
-    again replaces rather than doubles."""
+    """One row per embedded chunk of ``docs``: the vector table's columns but for
+    the version, the title, and ``error``.  Vector ids are made of document and
+    chunk.  Where chunks carry metadata it goes along, with the document's id and
+    title."""
+    chunk = docs.schema["chunks"].dataType.elementType
+    full = {f.name for f in FINAL_CHUNK.fields} <= set(chunk.fieldNames()) and config.use_jsonb
     rows = docs.select(
         F.col(id_col).cast("long").alias("document_id"),
         F.col(title_col).alias("original_doc_title"),
         F.explode(F.when(F.col("embedded").isNotNull(), F.arrays_zip("chunks", "embedded"))).alias("x"),
     )
     index = F.col("x.chunks.chunk_index")
+    origin = F.col("document_id").alias("original_doc_id"), F.col("original_doc_title")
+    metadata = F.to_json(chunk_metadata(F.col("x.chunks"), *origin)) if full else F.lit(None).cast("string")
     return rows.select(
         F.lit(config.collection_name).alias("collection_name"),
         F.concat_ws("-", "document_id", index).alias("vector_id"),
@@ -77,6 +124,7 @@ def embedded_rows(docs: DataFrame, config: StoreConfig, id_col: str = "id", titl
         index.alias("chunk_index"),
         F.col("x.chunks.page_content").alias("chunk_text"),
         F.col("x.embedded.vector").alias("vector"),
+        metadata.alias("metadata"),
         "original_doc_title",
         F.col("x.embedded.error").alias("error"),
     )
@@ -95,19 +143,32 @@ def embedded_counts(rows: DataFrame) -> DataFrame:
     return counts.withColumn("mismatch", F.col("expected") != F.col("embedded"))
 
 
+#: What Spark raises, on the driver, for tables that it can't read or write.
+_FAILURES = (PySparkException, Py4JError, OSError)
+
+
 def write_vectors(rows: DataFrame, config: StoreConfig) -> None:
-    """Append the embedded rows to the vector table, by collection."""
-    good = rows.filter(F.col("vector").isNotNull()).select(*EMBEDDINGS.fieldNames())
+    """Append the embedded rows to the vector table, by collection, under a
+    version that is newer than all before."""
+    version = F.lit(time.time_ns())
+    columns = {"metadata": F.lit(None).cast("string")} if "metadata" not in rows.columns else {}
+    good = rows.filter(F.col("vector").isNotNull()).withColumns(columns | {"version": version})
     try:
-        good.write.mode("append").partitionBy("collection_name").parquet(config.path)
-    except OSError as error:
+        good.select(*EMBEDDINGS.fieldNames()).write.mode("append").partitionBy("collection_name").parquet(config.path)
+    except _FAILURES as error:
         raise DatabaseConnectionError(f"Failed to connect to database: {error}") from error
 
 
 def read_vectors(spark: SparkSession, config: StoreConfig) -> DataFrame:
-    """The collection's vectors; of rows with the same id one is returned."""
-    table = spark.read.schema(EMBEDDINGS).parquet(config.path)
-    return table.filter(F.col("collection_name") == config.collection_name).dropDuplicates(["vector_id"])
+    """The collection's vectors: of each document those of the newest version,
+    so that embedding a document again replaces all that it had."""
+    try:
+        table = spark.read.schema(EMBEDDINGS).parquet(config.path)
+    except _FAILURES as error:
+        raise DatabaseConnectionError(f"Failed to connect to database: {error}") from error
+    newest = F.max("version").over(Window.partitionBy("document_id"))
+    rows = table.filter(F.col("collection_name") == config.collection_name).withColumn("_newest", newest)
+    return rows.filter(F.col("version").eqNullSafe(F.col("_newest"))).drop("_newest")
 
 
 def collection_info(spark: SparkSession, config: StoreConfig) -> DataFrame:
@@ -131,8 +192,6 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vecto
 def init_tables(spark: SparkSession, database: str = "docmill") -> None:
     """Create the document and vector tables unless they exist."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    from ..schema import DOCUMENTS
-
     for name, schema in (("documents", DOCUMENTS), ("embeddings", EMBEDDINGS)):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")

@@ -666,7 +666,7 @@ def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through the whole lifecycle; as in the SQL, the page with the
     least page_id answers for each url."""
     docs, contents = _page_documents(spark, sf_dir)
-    done, _ = process(docs, contents, StoreConfig("unused"))
+    done, _ = process(docs, contents, StoreConfig("unused"), keep=lambda df: df)
     shown = _table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("id")).select("id")
     done = done.join(shown, "id", "left_semi")
     failed = F.when(F.col("status") == "failed", F.col("status_details"))
@@ -677,7 +677,7 @@ def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors that the whole lifecycle makes of all pages."""
     docs, contents = _page_documents(spark, sf_dir)
-    _, vectors = process(docs, contents, StoreConfig("unused"))
+    _, vectors = process(docs, contents, StoreConfig("unused"), keep=lambda df: df)
     return vectors.select("vector_id", "document_id", "chunk_index", F.length("chunk_text").alias("chars"), "error")
 
 

@@ -9,21 +9,32 @@ unless ``retry`` is set.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, StoreConfig
 from ..functions.text import title_anywhere
-from ..operators.chunking import with_chunks
-from ..operators.store import embedded_rows, with_embeddings
+from ..operators.chunking import unused, with_chunks
+from ..operators.store import embedded_rows, with_embeddings, write_vectors
+from ..schema import STATUS_LOG
+from ..sources.documents import latest_status, log_status
 from ..sources.route import source_kind
 
 #: Where a document that stands in the middle of a stage begins again on retry.
 _RETRY = {"failed": "pending", "chunking": "parsed", "embedding": "chunked"}
 
 
+def taken_by(stage: str) -> Column:
+    """Whether a document's status lets a stage take it."""
+    open_ = {"parsing": ["pending", "parsing"], "chunking": ["parsed"], "embedding": ["chunked"]}
+    return F.coalesce(F.col("status").isin(*open_[stage]), F.lit(False))
+
+
 def set_status(docs: DataFrame, when: Column, status: Column | str, details: Column | None = None) -> DataFrame:
     """Set status and details where ``when`` holds; details that aren't given
     are reset."""
@@ -41,60 +52,70 @@ def set_status(docs: DataFrame, when: Column, status: Column | str, details: Col
 def parse(docs: DataFrame, contents: DataFrame) -> DataFrame:
     """Take the Markdown of pending documents from ``contents`` (``file_path``,
     ``markdown``), which the sources make, one row for each path."""
-    joined = docs.join(contents.withColumnRenamed("markdown", "_content"), "file_path", "left")
-    joined = joined.select(*docs.columns, "_content")
-    open_ = F.col("status").isin("pending", "parsing")
-    error = F.when(
-        source_kind("file_path") == "unsupported", F.concat(F.lit("Unsupported file type for: "), "file_path")
-    ).when(F.coalesce("_content", F.lit("")) == "", F.lit("Parsing resulted in empty content."))
-    good = open_ & error.isNull()
+    content, opened, failure = (unused(c, docs.columns) for c in ("content", "opened", "failure"))
+    found = contents.select("file_path", F.col("markdown").alias(content))
+    joined = docs.join(found, "file_path", "left").select(*docs.columns, content)
+    unsupported = F.concat(F.lit("Unsupported file type for: "), F.coalesce("file_path", F.lit("")))
+    error = F.when(source_kind(F.coalesce("file_path", F.lit(""))) == "unsupported", unsupported).when(
+        F.coalesce(content, F.lit("")) == "", F.lit("Parsing resulted in empty content.")
+    )
+    good = taken_by("parsing") & error.isNull()
     out = joined.withColumns(
         {
-            "markdown": F.when(good, F.col("_content")).otherwise(F.col("markdown")),
-            "title": F.when(good, F.coalesce(title_anywhere("_content"), "title")).otherwise(F.col("title")),
-            "_open": open_,
-            "_error": error,
+            "markdown": F.when(good, F.col(content)).otherwise(F.col("markdown")),
+            "title": F.when(good, F.coalesce(title_anywhere(content), "title")).otherwise(F.col("title")),
+            opened: taken_by("parsing"),
+            failure: error,
         }
     )
-    failed = F.concat(F.lit("Parsing failed: "), F.col("_error"))
-    out = set_status(out, F.col("_open") & F.col("_error").isNotNull(), "failed", failed)
-    out = set_status(out, F.col("_open") & F.col("_error").isNull(), "parsed")
-    return out.drop("_content", "_open", "_error")
+    failed = F.concat(F.lit("Parsing failed: "), F.col(failure))
+    out = set_status(out, F.col(opened) & F.col(failure).isNotNull(), "failed", failed)
+    out = set_status(out, F.col(opened) & F.col(failure).isNull(), "parsed")
+    return out.select(*docs.columns)
 
 
 def chunk(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Chunk parsed documents."""
-    open_ = F.col("status") == "parsed"
+    opened, text, old, failure = (unused(c, docs.columns) for c in ("opened", "text", "old", "failure"))
     missing = F.coalesce("markdown", F.lit("")) == ""
     no_text = F.concat(F.lit("Cannot chunk doc "), F.col("id").cast("string"), F.lit(", markdown content is missing."))
-    work = docs.withColumns({"_open": open_, "_text": F.when(open_ & ~missing, F.col("markdown")), "_old": F.col("chunks")})
-    out = with_chunks(work, "_text", "title", config)
+    work = docs.withColumns(
+        {opened: taken_by("chunking"), text: F.when(taken_by("chunking") & ~missing, F.col("markdown")), old: F.col("chunks")}
+    )
+    out = with_chunks(work, text, "title", config)
     error = F.when(missing, no_text).when(
         F.col("chunk_error").isNotNull(), F.concat(F.lit("Chunking failed: "), F.col("chunk_error"))
     )
-    out = out.withColumn("_error", F.when(F.col("_open"), error))
-    good = F.col("_open") & F.col("_error").isNull()
-    out = out.withColumn("chunks", F.when(good, F.col("chunks")).otherwise(F.col("_old")))
-    out = set_status(out, F.col("_error").isNotNull(), "failed", F.col("_error"))
+    out = out.withColumn(failure, F.when(F.col(opened), error))
+    good = F.col(opened) & F.col(failure).isNull()
+    out = out.withColumn("chunks", F.when(good, F.col("chunks")).otherwise(F.col(old)))
+    out = set_status(out, F.col(failure).isNotNull(), "failed", F.col(failure))
     out = set_status(out, good, "chunked")
     return out.select(*docs.columns)
 
 
-def embed(docs: DataFrame, config: StoreConfig) -> tuple[DataFrame, DataFrame]:
-    """Embed chunked documents: the table with new statuses, and the vectors.
+def embedded(docs: DataFrame, config: StoreConfig) -> DataFrame:
+    """``docs`` with ``embedded``: the vectors of chunked documents.  Statuses and
+    vectors are both made of this table, so it is to be kept."""
+    return with_embeddings(docs, config, taken_by("embedding") & (F.size("chunks") > 0))
+
+
+def embedding_status(done: DataFrame) -> DataFrame:
+    """The documents with new statuses, from a table with their vectors.
 
     A document counts as completed even if some of its batches failed; the
     details give how many chunks were embedded."""
-    open_ = F.col("status") == "chunked"
-    done = with_embeddings(docs, config, open_ & (F.size("chunks") > 0))
     stored = F.coalesce(F.size(F.filter("embedded", lambda e: e["vector"].isNotNull())), F.lit(0))
     empty = F.coalesce(F.size("chunks"), F.lit(0)) <= 0
     text = F.concat(F.lit("Successfully embedded "), stored.cast("string"), F.lit(" chunks."))
     missing = F.concat(F.lit("Cannot embed doc "), F.col("id").cast("string"), F.lit(", chunks are missing."))
     out = set_status(
-        done, open_, F.when(empty, "failed").otherwise("completed"), F.when(empty, missing).otherwise(text)
+        done,
+        taken_by("embedding"),
+        F.when(empty, "failed").otherwise("completed"),
+        F.when(empty, missing).otherwise(text),
     )
-    return out.drop("embedded"), embedded_rows(done, config)
+    return out.drop("embedded")
 
 
 def reopen(docs: DataFrame) -> DataFrame:
@@ -104,18 +125,95 @@ def reopen(docs: DataFrame) -> DataFrame:
     return set_status(docs, stuck, F.try_element_at(back, F.col("status")))
 
 
+def persisted(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def process(
     docs: DataFrame,
     contents: DataFrame,
     store: StoreConfig,
     config: ChunkConfig = ChunkConfig(),
     retry: bool = False,
-    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    keep: Callable[[DataFrame], DataFrame] = persisted,
 ) -> tuple[DataFrame, DataFrame]:
     """All stages: the documents with new statuses, and the vectors made.
 
-    ``keep`` is applied between the stages, for instance to write a stage's table
-    and read it again, so that a later stage doesn't repeat an earlier one."""
+    ``keep`` is applied to the table that both come from, so that nothing is
+    parsed, chunked or embedded twice.  ``ingest`` writes every stage instead."""
     start = reopen(docs) if retry else docs
-    chunked = keep(chunk(keep(parse(start, contents)), config))
-    return embed(chunked, store)
+    done = keep(embedded(chunk(parse(start, contents), config), store))
+    return embedding_status(done), embedded_rows(done, store)
+
+
+class StatusLog:
+    """The append-only log of statuses in a folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self._path = spark, path
+
+    def append(self, docs: DataFrame, status: str | None = None) -> None:
+        """The documents' statuses, or the one given for all, as the newest."""
+        rows = docs.withColumns({"status": F.lit(status), "status_details": F.lit(None).cast("string")}) if status else docs
+        log_status(rows, time.time_ns()).write.mode("append").parquet(self._path)
+
+    def latest(self) -> DataFrame:
+        return latest_status(self._spark.read.schema(STATUS_LOG).parquet(self._path))
+
+
+@dataclass(frozen=True)
+class StageTime:
+    """How long a stage took, and over how many documents."""
+
+    stage: str
+    documents: int
+    seconds: float
+
+
+@dataclass(frozen=True)
+class Outcome:
+    documents: DataFrame
+    log: StatusLog
+    times: list[StageTime]
+
+
+def ingest(
+    docs: DataFrame,
+    contents: DataFrame,
+    store: StoreConfig,
+    work: str,
+    config: ChunkConfig = ChunkConfig(),
+    retry: bool = False,
+) -> Outcome:
+    """All stages, each computed once, written under ``work`` and read again.
+
+    Before a stage, the documents that it takes are logged as being in it; after
+    it, with what came of them.  So a run that dies leaves them, in the log, in
+    the state that ``reopen`` knows.  Vectors are written before the statuses
+    that tell of them."""
+    spark = docs.sparkSession
+    log, times = StatusLog(spark, f"{work}/status_log"), []
+    now = reopen(docs) if retry else docs
+    taken = unused("taken", docs.columns)
+    now = _written(now, f"{work}/documents")
+    for name, run in (
+        ("parsing", lambda df: parse(df, contents)),
+        ("chunking", lambda df: chunk(df, config)),
+        ("embedding", lambda df: embedded(df, store)),
+    ):
+        start = time.monotonic()
+        opened = now.filter(taken_by(name))
+        log.append(opened, name)
+        after = _written(run(now.withColumn(taken, taken_by(name))), f"{work}/{name}")
+        if name == "embedding":
+            write_vectors(embedded_rows(after, store), store)
+            after = embedding_status(after)
+        log.append(after.filter(taken))
+        now = after.drop(taken)
+        times.append(StageTime(name, opened.count(), time.monotonic() - start))
+    return Outcome(now, log, times)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -61,6 +61,18 @@ EMBEDDINGS = T.StructType(
         T.StructField("chunk_index", T.IntegerType()),
         T.StructField("chunk_text", T.StringType()),
         T.StructField("vector", T.ArrayType(T.FloatType())),
+        T.StructField("metadata", T.StringType()),  # JSON
+        T.StructField("version", T.LongType()),
+    ]
+)
+
+#: The status log: ``seq`` rises with every write.
+STATUS_LOG = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("details", T.StringType()),
+        T.StructField("seq", T.LongType()),
     ]
 )
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DOCUMENTS
@@ -26,40 +28,38 @@ def resume(docs: DataFrame, wanted: DataFrame, id_col: str = "id") -> DataFrame:
     return joined.withColumn("resume_error", F.when(F.col("_known").isNull(), missing)).drop("_known", "_wanted")
 
 
-def new_documents(sources: DataFrame, first_id: int, source_col: str = "source") -> DataFrame:
-    """Pending documents, numbered from ``first_id`` on, titled by their source.
-
-    Numbers are unique and rise with the source, but have gaps, so that they
-    need no pass over all rows in one place."""
-    ranged = sources.select(F.col(source_col).cast("string").alias("s")).repartitionByRange("s").sortWithinPartitions("s")
-    now = F.current_timestamp()
-    values = {
-        "id": F.lit(first_id) + F.monotonically_increasing_id(),
-        "title": F.coalesce(F.col("s"), F.lit("")),
-        "status": F.lit("pending"),
-        "file_path": F.col("s"),
-        "created_at": now,
-        "updated_at": now,
-    }
-    return ranged.select(
-        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields]
-    )
+def new_documents(sources: DataFrame, first_id: int, path: str, source_col: str = "source") -> DataFrame:
+    """Pending documents, one for each source and titled by it, see ``inserted``."""
+    source = F.col(source_col).cast("string")
+    return inserted(sources.select(F.coalesce(source, F.lit("")).alias("title"), source.alias("file_path")), first_id, path)
 
 
-def create_documents(rows: DataFrame, first_id: int) -> DataFrame:
+def create_documents(rows: DataFrame, first_id: int, path: str) -> DataFrame:
     """Given rows (title, markdown, and if at hand tags, doc_metadata as JSON,
-    description) as documents with ids from ``first_id`` on and all defaults."""
+    description) as documents with all defaults, see ``inserted``.  A row
+    without a title ends the job."""
+    given = ("markdown", "tags", "doc_metadata", "description")
+    title = F.coalesce("title", F.raise_error(F.lit("a document needs a title")).cast("string"))
+    return inserted(rows.select(title.alias("title"), *[c for c in given if c in rows.columns]), first_id, path)
+
+
+def inserted(rows: DataFrame, first_id: int, path: str) -> DataFrame:
+    """Append documents to the table at ``path``; the new ones come back.
+
+    Ids are unique and rise from ``first_id`` on, but have gaps, so that they
+    need no pass over all rows in one place.  They are given while the rows are
+    written, in a folder of their own, and read from there: they never change."""
     now = F.current_timestamp()
-    given = {c: F.col(c) for c in ("title", "markdown", "tags", "doc_metadata", "description") if c in rows.columns}
-    values = given | {
+    values = {c: F.col(c) for c in rows.columns} | {
         "id": F.lit(first_id) + F.monotonically_increasing_id(),
         "status": F.lit("pending"),
         "created_at": now,
         "updated_at": now,
     }
-    if rows.filter(F.col("title").isNull()).limit(1).count():
-        raise ValueError("a document needs a title")
-    return rows.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields])
+    docs = rows.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields])
+    folder = f"{path}/insert={uuid.uuid4().hex}"
+    docs.write.parquet(folder)
+    return rows.sparkSession.read.schema(DOCUMENTS).parquet(folder)
 
 
 def log_status(docs: DataFrame, seq: int, id_col: str = "id") -> DataFrame:
@@ -79,8 +79,3 @@ def latest_status(log: DataFrame, id_col: str = "id") -> DataFrame:
     return log.groupBy(id_col).agg(
         F.max_by("status", "seq").alias("status"), F.max_by("details", "seq").alias("details")
     )
-
-
-def numbered(df: DataFrame, partition: str, order: str, name: str = "ordinal") -> DataFrame:
-    """Rows with their 0-based place within a partition's order."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(partition).orderBy(order)) - 1)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import html_to_markdown
+from ..functions.retry import retrying
 
 
 def pages_as_markdown(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -28,18 +29,35 @@ def http_get(url: str, timeout: float = 30.0) -> str | None:
         return None
 
 
-def fetched(urls: DataFrame, url_col: str = "url", get: Callable[[str], str | None] = http_get) -> DataFrame:
-    """(url, html): each address fetched by ``get``; a failed one has no html."""
+def fetched(
+    urls: DataFrame, url_col: str = "url", get: Callable[[str], str | None] = http_get, attempts: int = 1
+) -> DataFrame:
+    """(url, html): each address fetched by ``get``, up to ``attempts`` times with
+    growing pauses; a failed one has no html."""
+
+    def once(url: str) -> str:
+        html = get(url)
+        if html is None:
+            raise OSError(url)
+        return html
+
+    def fetch(url: str) -> str | None:
+        try:
+            return retrying(lambda: once(url), attempts)
+        except OSError:
+            return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"url": batch["url"], "html": [get(u) for u in batch["url"]]})
+            yield pd.DataFrame({"url": batch["url"], "html": [fetch(u) for u in batch["url"]]})
 
     return urls.select(F.col(url_col).alias("url")).mapInPandas(run, "url string, html string")
 
 
-def write_markdown(pages: DataFrame, path: str, id_col: str = "page_id") -> None:
-    """One folder of text files for each page under ``path``, named by its id."""
-    pages.select(F.col(id_col), F.col("markdown").alias("value")).filter("value is not null").write.partitionBy(
-        id_col
-    ).text(path)
+def write_markdown(pages: DataFrame, path: str, id_col: str = "page_id", folders: int = 1024) -> None:
+    """The pages' Markdown as text files under ``path``, each headed by a comment
+    line with the page's id; pages are dealt over ``folders`` folders by their
+    id's hash, so the number of folders doesn't grow with the pages."""
+    text = F.concat(F.lit("<!-- "), F.col(id_col).cast("string"), F.lit(" -->\n"), "markdown")
+    folder = F.pmod(F.xxhash64(id_col), F.lit(folders)).alias("folder")
+    pages.filter("markdown is not null").select(folder, text.alias("value")).write.partitionBy("folder").text(path)

@@ -38,5 +38,5 @@ def join_pages(pages: DataFrame, key: str = "path") -> DataFrame:
 
 
 def page_preview(pages: DataFrame, n: int = 10) -> DataFrame:
-    """The first pages in order."""
-    return pages.orderBy("page_no").limit(n)
+    """The first ``n`` pages of each file that has a text, in order."""
+    return pages.filter(F.col("page_no") <= n).orderBy("path", "page_no")

@@ -1,6 +1,7 @@
 """Incremental ingestion: each micro-batch of new pages goes through the
-lifecycle, and its documents and vectors are written under the batch's number,
-so that a batch that runs again replaces its own output."""
+lifecycle, stage by stage.  Its documents are written under the batch's number
+and its vectors under a new version, so that a batch that runs again replaces its
+own output.  The status log of a batch stays beside its documents."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ChunkConfig, StoreConfig
 from ..functions.html import html_to_markdown
-from ..plans.lifecycle import process
+from ..plans.lifecycle import ingest
 from ..schema import DOCUMENTS
 
 
@@ -21,25 +22,23 @@ def ingest_pages(
     processed, then the query ends."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.persist()
         now = F.current_timestamp()
+        # Pages may share a url, so a path is made of url and page_id.
+        path = F.concat(F.coalesce("url", F.lit("https://")), F.lit("#"), F.col("page_id").cast("string"))
         values = {
             "id": F.col("page_id"),
-            "title": F.col("url"),
+            "title": F.coalesce("url", F.lit("")),
             "status": F.lit("pending"),
-            "file_path": F.col("url"),
+            "file_path": path,
             "created_at": now,
             "updated_at": now,
         }
         docs = rows.select(
             *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields]
         )
-        one = rows.dropDuplicates(["url"])
-        contents = one.select(F.col("url").alias("file_path"), html_to_markdown("html").alias("markdown"))
-        done, vectors = process(docs, contents, store, config)
-        done.write.mode("overwrite").parquet(f"{documents_path}/batch={number}")
-        vectors.write.mode("overwrite").parquet(f"{store.path}/batch={number}")
-        rows.unpersist()
+        contents = rows.select(path.alias("file_path"), html_to_markdown("html").alias("markdown"))
+        outcome = ingest(docs, contents, store, f"{documents_path}/_work/batch={number}", config)
+        outcome.documents.write.mode("overwrite").parquet(f"{documents_path}/batch={number}")
 
     return (
         pages.writeStream.foreachBatch(batch)

@@ -184,3 +184,20 @@ def test_experimental_chunkers(spark):
     assert [r[0] for r in df.select(chunk_text("t", "markdown")).collect()] == [["# A\nb"], None]
     with pytest.raises(ValueError):
         chunk_text("t", "other")
+
+
+def test_failures_keep_the_text(spark, monkeypatch):
+    """A model that isn't there, or a split that fails, leaves chunks whole."""
+    from docmill.errors import ChunkingError
+    from docmill.operators.chunking import check_chunked
+
+    long = "# A\n\n" + "Some words here. " * 300
+    df = spark.createDataFrame([(1, long, "t"), (2, "", "t")], "id long, markdown string, title string")
+    out = with_chunks(df, config=ChunkConfig(model="not-there"))
+    chunks = explode_chunks(out).collect()
+    assert len(chunks) == 1 and chunks[0]["is_semantic_split"] is None and len(chunks[0]["page_content"]) > 4000
+    with pytest.raises(ChunkingError, match="Text cannot be empty"):
+        check_chunked(out)
+    check_chunked(out.filter("id = 1"))
+    bad = spark.createDataFrame([("# A\n\nx",)], "t string").select(split_by_headers("t", "six")).first()[0]
+    assert [(s["content"], s["headers"]) for s in bad] == [("# A\n\nx", {"Header 1": "A"})]
