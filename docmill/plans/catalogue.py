@@ -21,12 +21,12 @@ from ..operators.chunking import as_chunks, chunk_stats, explode_chunks, with_ch
 from ..operators.combine import combine_small, final_metadata
 from ..operators.experimental import chunk_text
 from ..operators.headers import header_context, split_by_headers
-from ..operators.semantic import vector_breaks
+from ..operators.semantic import split_oversized, vector_breaks
 from ..schema import DOCUMENTS, STATUSES
 from ..sources import documents as sources
 from ..sources.pdf import join_pages
 from ..sources.route import source_kind
-from .lifecycle import process, reopen
+from .lifecycle import process, reopen, taken_by
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -242,7 +242,40 @@ def header_context_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.split_part("key", F.lit(" "), F.lit(2)).cast("long").alias("level"), "title")
 
 
-@_query()
+#: Turns as the blocks of a Markdown view's section, with the trail in force:
+#: ``h2`` is the last level-2 title, ``h4`` that of a detail, ``s`` numbers the
+#: sections of a conversation.  A fenced turn goes on with the section before it.
+_SECTIONS_SQL = r"""
+    turns AS (
+        SELECT *, 'Conversation ' || conv_id AS h1,
+               CASE turn % 4 WHEN 1 THEN '#### Detail ' || turn WHEN 2 THEN '```' || chr(10) || '# fenced' || chr(10) || '```'
+                    ELSE '## Turn ' || turn || ' ' || role END AS head,
+               CASE WHEN turn % 4 IN (0, 3) THEN 'Turn ' || turn || ' ' || role END AS own2,
+               CASE WHEN turn % 4 = 1 THEN 'Detail ' || turn END AS own4,
+               sum((turn % 4 <> 2)::INT) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS s
+        FROM conversations
+    ), placed AS (
+        SELECT *, last_value(own2 IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS h2,
+               max(own4) OVER (PARTITION BY conv_id, s) AS h4
+        FROM turns
+    ), sections AS (
+        SELECT conv_id, s::BIGINT AS s, min(turn) AS turn, any_value(h1) AS h1, any_value(h2) AS h2, any_value(h4) AS h4,
+               CASE WHEN s = 0 THEN '# ' || any_value(h1) || '  ' || chr(10) ELSE '' END
+               || string_agg(head || '  ' || chr(10) || text, '  ' || chr(10) ORDER BY turn) AS content
+        FROM placed GROUP BY conv_id, s
+    )
+"""
+
+
+@_query(
+    f"""
+    WITH {_SECTIONS_SQL}
+    SELECT conv_id, s::INT AS ordinal, content,
+           '{{"Header 1":"' || h1 || '"' || coalesce(',"Header 2":"' || h2 || '"', '')
+           || coalesce(',"Header 4":"' || h4 || '"', '') || '}}' AS headers
+    FROM sections
+    """
+)
 def header_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.posexplode(split_by_headers("md", 6)).alias("ordinal", "s")
     rows = markdown_view(spark, sf_dir).select("conv_id", found)
@@ -283,11 +316,22 @@ def header_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def reorder_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn = F.struct("turn", (F.length("text") > 400).alias("big"))
+    """The oversized turns move behind the others.  No model of that name is
+    registered, so every split fails and keeps its chunk whole."""
+    headers = F.create_map(F.lit("turn"), F.col("turn").cast("string"))
+    turn = F.struct("turn", F.struct(F.col("text").alias("content"), F.to_json(headers).alias("headers")).alias("c"))
     rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    moved = F.concat(F.filter("t", lambda x: ~x["big"]), F.filter("t", lambda x: x["big"]))
-    placed = rows.select("conv_id", F.posexplode(moved).alias("new_index", "x"))
-    return placed.select("conv_id", "x.turn", F.col("new_index").cast("long").alias("new_index"))
+    sections = F.transform(
+        "t",
+        lambda t: F.struct(
+            t["c"]["content"].alias("content"), F.from_json(t["c"]["headers"], "map<string,string>").alias("headers")
+        ),
+    )
+    chunks = rows.select("conv_id", as_chunks(sections).alias("chunks"))
+    moved = split_oversized("chunks", 400, "no such model")
+    placed = chunks.select("conv_id", F.posexplode(moved).alias("new_index", "c"))
+    turn_of = F.element_at("c.headers", "turn").cast("long").alias("turn")
+    return placed.select("conv_id", turn_of, F.col("new_index").cast("long").alias("new_index"))
 
 
 def _combine_sql(most: int, least: int, tiny: int) -> str:
@@ -394,11 +438,130 @@ def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.withColumn("avg_chunk_size", F.round("avg_chunk_size", 6))
 
 
-@_query()
+def _sentences_sql(text: str) -> str:
+    return rf"string_split(regexp_replace({text}, '([.?!])[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}]+', '\1' || chr(31), 'g'), chr(31))"
+
+
+def _breaks_sql(source: str) -> str:
+    """``breaks`` (k, i): after which of the texts (k, i, txt) of ``source`` the
+    hashed vectors are farther apart than the 95th percentile of their text's."""
+    return rf"""
+    dims AS (
+        SELECT k, i, ('0x' || substr(h, 15, 2))::INT & 63 AS d, sum(CASE WHEN substr(h, 1, 1) >= '8' THEN 1 ELSE -1 END)::DOUBLE AS x
+        FROM (SELECT k, i, md5(unnest(regexp_extract_all(lower(txt), '[\p{{L}}\p{{N}}_]+'))) AS h FROM {source})
+        GROUP BY ALL
+    ), norms AS (SELECT k, i, sqrt(sum(x * x)) AS norm FROM dims GROUP BY k, i),
+    dots AS (
+        SELECT a.k, a.i, sum(a.x * b.x) AS dot FROM dims a JOIN dims b ON a.k = b.k AND b.i = a.i + 1 AND a.d = b.d
+        GROUP BY a.k, a.i
+    ), distances AS (
+        SELECT t.k, t.i,
+               round(1 - CASE WHEN v.norm * w.norm > 0 THEN coalesce(dot, 0) / (v.norm * w.norm) ELSE 0 END, 9) AS distance
+        FROM {source} t JOIN {source} u ON u.k = t.k AND u.i = t.i + 1
+             LEFT JOIN norms v ON v.k = t.k AND v.i = t.i LEFT JOIN norms w ON w.k = u.k AND w.i = u.i
+             LEFT JOIN dots ON dots.k = t.k AND dots.i = t.i
+    ), bounds AS (SELECT k, round(quantile_cont(distance, 0.95), 9) AS bound FROM distances GROUP BY k),
+    breaks AS (SELECT k, i FROM distances JOIN bounds USING (k) WHERE distance > bound)
+    """
+
+
+def _merged_sql(source: str, most: int, least: int, tiny: int) -> str:
+    """``merged`` (conv_id, chunk_index, c): the merge rules as a walk over the
+    chunks (conv_id, i, total, text, h1, h2, h4, semantic) of ``source``."""
+    words = r"len(regexp_extract_all(n.text, '\S+'))"
+    shared = {h: f"CASE WHEN s.{h} = n.{h} THEN s.{h} END" for h in ("h1", "h2", "h4")}
+
+    def chunk(content: str, headers: dict[str, str], semantic: str, combined: str) -> str:
+        fields = ", ".join(f"'{h}': {v}" for h, v in headers.items())
+        return f"{{'content': {content}, {fields}, 'semantic': {semantic}, 'combined': {combined}}}"
+
+    own = {h: f"s.{h}" for h in shared}
+    pending = f"list_append(s.out, {chunk('s.content', own, 's.semantic', 's.parts > 1')})"
+    joined = "s.content || chr(10) || chr(10) || n.text"
+    merged = f"list_append(s.out, {chunk(joined, shared, 's.semantic', 'true')})"
+    alone = chunk("n.text", {h: f"n.{h}" for h in shared}, "n.semantic", "false")
+    takes = f"s.mode = 'small' AND s.size + length(n.text) <= {most}"
+    ends = f"(s.mode = 'tiny' OR ({takes} AND s.size + length(n.text) >= {least}))"
+    flushed = f"CASE WHEN s.mode = 'none' THEN s.out ELSE {pending} END"
+    kind = "STRUCT(content VARCHAR, h1 VARCHAR, h2 VARCHAR, h4 VARCHAR, semantic BOOLEAN, combined BOOLEAN)[]"
+    headers = ", ".join(f"CASE WHEN {takes} THEN {v} ELSE n.{h} END" for h, v in shared.items())
+    return rf"""
+    s AS (
+        SELECT DISTINCT conv_id, 0::BIGINT AS i, total, 'none' AS mode, 0::BIGINT AS size, ''::VARCHAR AS content,
+               NULL::VARCHAR AS h1, NULL::VARCHAR AS h2, NULL::VARCHAR AS h4, NULL::BOOLEAN AS semantic, 0::BIGINT AS parts,
+               []::{kind} AS out
+        FROM {source}
+        UNION ALL
+        SELECT s.conv_id, n.i, s.total,
+               CASE WHEN {ends} THEN 'none' WHEN {takes} THEN 'small'
+                    WHEN {words} < {tiny} THEN 'tiny' WHEN {words} >= {least} THEN 'none' ELSE 'small' END,
+               CASE WHEN {takes} THEN s.size + length(n.text) ELSE {words} END,
+               CASE WHEN {takes} THEN {joined} ELSE n.text END,
+               {headers}, CASE WHEN {takes} THEN s.semantic ELSE n.semantic END,
+               CASE WHEN {takes} THEN s.parts + 1 ELSE 1 END,
+               CASE WHEN {ends} THEN {merged} WHEN {takes} THEN s.out
+                    WHEN {words} >= {least} AND {words} >= {tiny} THEN list_append({flushed}, {alone})
+                    ELSE {flushed} END
+        FROM s JOIN {source} n ON n.conv_id = s.conv_id AND n.i = s.i + 1
+    ), done AS (SELECT conv_id, {flushed} AS out FROM s WHERE i = total),
+    merged AS (SELECT conv_id, unnest(range(len(out))) AS chunk_index, unnest(out) AS c FROM done)
+    """
+
+
+#: ``merged`` (conv_id, chunk_index, c) from ``sections`` (conv_id, s, content, h1,
+#: h2, h4): oversized sections are split at the breaks of three-sentence windows
+#: and go behind the others, then small neighbours are merged.
+_CHUNKED_SQL = rf"""
+    big AS (
+        SELECT conv_id, s, content, {_sentences_sql("content")} AS list FROM sections WHERE length(content) > 2000
+    ), sentences AS (
+        SELECT conv_id, s, conv_id || ':' || s AS k, unnest(list) AS t, generate_subscripts(list, 1) AS i FROM big
+    ), windows AS MATERIALIZED (
+        SELECT *, coalesce(lag(t) OVER w || ' ', '') || t || coalesce(' ' || lead(t) OVER w, '') AS txt
+        FROM sentences WINDOW w AS (PARTITION BY k ORDER BY i)
+    ), {_breaks_sql("windows")}, grouped AS (
+        SELECT w.*, count(b.i) OVER (PARTITION BY w.k ORDER BY w.i) AS piece
+        FROM windows w LEFT JOIN breaks b ON b.k = w.k AND b.i = w.i - 1
+    ), pieces AS (
+        SELECT conv_id, s, piece, string_agg(t, ' ' ORDER BY i) AS text FROM grouped GROUP BY conv_id, s, piece
+    ), counted AS (
+        SELECT *, count(*) OVER (PARTITION BY conv_id, s) AS n FROM pieces WHERE text <> ''
+    ), chunks AS (
+        SELECT conv_id, s, 0 AS piece, content AS text, NULL::BOOLEAN AS semantic, length(content) > 2000 AS moved FROM sections
+        WHERE length(content) <= 2000 OR (conv_id, s) NOT IN (SELECT (conv_id, s) FROM counted WHERE n > 1)
+        UNION ALL
+        SELECT conv_id, s, piece, text, true, true FROM counted WHERE n > 1
+    ), n AS MATERIALIZED (
+        SELECT c.conv_id, c.text, c.semantic, s.h1, s.h2, s.h4,
+               row_number() OVER (PARTITION BY conv_id ORDER BY c.moved, s, c.piece) AS i,
+               count(*) OVER (PARTITION BY conv_id) AS total
+        FROM chunks c JOIN sections s USING (conv_id, s)
+    ), {_merged_sql("n", 2000, 700, 50)}
+"""
+
+
+@_query(
+    rf"""
+    WITH RECURSIVE {_SECTIONS_SQL}, {_CHUNKED_SQL}, titled AS (
+        SELECT conv_id, chunk_index::INT AS chunk_index, c, 'Conversation ' || conv_id AS title,
+               list_filter([c.h1, c.h2, c.h4], lambda x: x IS NOT NULL) AS trail,
+               list_filter(['"Header 1":"' || c.h1 || '"', '"Header 2":"' || c.h2 || '"', '"Header 4":"' || c.h4 || '"'],
+                           lambda x: x IS NOT NULL) AS fields
+        FROM merged
+    )
+    SELECT conv_id, c.content AS page_content, '{{' || array_to_string(fields, ',') || '}}' AS headers,
+           coalesce(c.semantic, false) AS is_semantic_split, c.combined AS is_combined, chunk_index,
+           title AS doc_title, len(regexp_extract_all(c.content, '\S+'))::INT AS word_count,
+           length(c.content)::INT AS char_count, trail[-1] AS primary_header, len(trail)::INT AS header_level,
+           array_to_string(list_prepend(title, trail), ' > ') AS section_path
+    FROM titled
+    """
+)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chunker over the Markdown view."""
     chunked = with_chunks(markdown_view(spark, sf_dir), "md", None)
-    return explode_chunks(chunked, "conv_id").withColumn("headers", F.to_json("headers"))
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("is_semantic_split", "is_combined")}
+    return explode_chunks(chunked, "conv_id").withColumns(flags | {"headers": F.to_json("headers")})
 
 
 @_query(
@@ -488,6 +651,35 @@ def embed_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.embedded_counts(vectors)
 
 
+@_query(
+    r"""
+    WITH dims AS (
+        SELECT conv_id, turn, ('0x' || substr(h, 15, 2))::INT & 63 AS place,
+               sum(CASE WHEN substr(h, 1, 1) >= '8' THEN 1 ELSE -1 END)::DOUBLE AS x
+        FROM (SELECT conv_id, turn, md5(unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS h FROM conversations)
+        GROUP BY ALL
+    )
+    SELECT conv_id, turn AS chunk_index, place::BIGINT AS place,
+           round((x / sqrt(sum(x * x) OVER (PARTITION BY conv_id, turn)))::FLOAT::DOUBLE, 5) AS value
+    FROM dims QUALIFY x <> 0
+    """
+)
+def embedding_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is not zero in the vectors of all turns."""
+    title = F.concat(F.lit("Talk "), "conv_id")
+    rows = _turn_chunks(spark, sf_dir).select(
+        "conv_id", title.alias("title"), final_metadata(F.col("chunks"), title).alias("chunks")
+    )
+    vectors = store.embed_chunks(rows, StoreConfig("unused", batch_size=3), "conv_id", "title")
+    flat = vectors.select("document_id", "chunk_index", F.posexplode("vector").alias("place", "value")).filter("value <> 0")
+    return flat.select(
+        F.col("document_id").alias("conv_id"),
+        F.col("chunk_index").cast("long").alias("chunk_index"),
+        F.col("place").cast("long").alias("place"),
+        F.round(F.col("value").cast("double"), 5).alias("value"),
+    )
+
+
 @_query("SELECT 'documents' AS collection_name, 'hashing-64' AS model_name, 100 AS batch_size, true AS use_jsonb")
 def collection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.collection_info(spark, StoreConfig("unused"))
@@ -575,12 +767,13 @@ def _with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def status_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parses = F.col("status").isin("pending", "parsing")
-    chunks = parses | (F.col("status") == "parsed")
-    embeds = chunks | (F.col("status") == "chunked")
-    return _with_status(spark, sf_dir).select(
-        "doc_id", "status", parses.alias("parses"), chunks.alias("chunks"), embeds.alias("embeds")
-    )
+    """The stages that a document goes through in one run, by the lifecycle's own
+    gates: each stage leaves the status that the next one takes."""
+    rows = _with_status(spark, sf_dir).withColumn("shown", F.col("status"))
+    for name, stage, left in (("parses", "parsing", "parsed"), ("chunks", "chunking", "chunked"), ("embeds", "embedding", "completed")):
+        rows = rows.withColumn(name, taken_by(stage))
+        rows = rows.withColumn("status", F.when(F.col(name), left).otherwise(F.col("status")))
+    return rows.select("doc_id", F.col("shown").alias("status"), "parses", "chunks", "embeds")
 
 
 @_query(
@@ -673,14 +866,6 @@ def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "status", failed.alias("failure"))
 
 
-@_query()
-def ingest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors that the whole lifecycle makes of all pages."""
-    docs, contents = _page_documents(spark, sf_dir)
-    _, vectors = process(docs, contents, StoreConfig("unused"), keep=lambda df: df)
-    return vectors.select("vector_id", "document_id", "chunk_index", F.length("chunk_text").alias("chars"), "error")
-
-
 # -- pages ------------------------------------------------------------------
 
 
@@ -689,21 +874,164 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", first_heading("html").alias("heading"))
 
 
-@_query()
+def _replaced_sql(value: str, steps: list[tuple[str, str]]) -> str:
+    """A chain of replacements; line breaks are written as chr(10)."""
+    for pattern, by in steps:
+        value = f"regexp_replace({value}, '{pattern}', {by}, 'g')"
+    return value
+
+
+_GAP = "chr(10) || chr(10)"
+
+#: The tags of the driver's pages.  Bold is never closed there, so every ``<b>``
+#: goes on to the end of the page.
+_MARKDOWN_SQL = _replaced_sql(
+    "html",
+    [
+        (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}]+", "' '"),
+        (r"<!--.*?-->|<!DOCTYPE[^>]*>|<script>.*?</script>|<style>.*?</style>|</?(html|head|body|meta)[^>]*>", "''"),
+        (r'<a href="([^"]*)">([^<]*)</a>', r"'[\2](\1)'"),
+        ("<h1>", f"{_GAP} || '# '"),
+        ("<li>", "chr(10) || '* '"),
+        ("</li>", "''"),
+        ("<br>", "'  ' || chr(10)"),
+        ("</?(h1|p|div|nav|article|footer|title|ul)[^>]*>", _GAP),
+        (r"(<b>\s*)+$", "''"),
+    ],
+)
+
+
+def _entities_sql(value: str) -> str:
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
+        value = f"replace({value}, '{name}', '{char}')"
+    return f"regexp_replace({value}, '&amp;?', '&', 'g')"  # last, and its end may be missing
+
+
+#: Bold marks before what they open, and the lines put in order.
+_BOLD_SQL = _entities_sql(_replaced_sql("m", [(r"<b>(\s*)", r"'\1**'")]))
+_LINES_SQL = _replaced_sql(
+    "rtrim(m, ' ' || chr(10)) || repeat('**', n)",
+    [
+        (r"(?m)^[ \t]+([^ \t*0-9])", r"'\1'"),
+        (r"(?m)([^ ]) $", r"'\1'"),
+        (r"\n([ \t]*\n)+", _GAP),
+        (r"^\s+|\s+$", "''"),
+    ],
+)
+
+
+@_query(
+    f"""
+    WITH m AS (SELECT page_id, {_MARKDOWN_SQL} AS m FROM pages),
+    bold AS (SELECT page_id, {_BOLD_SQL} AS m, (length(m) - length(replace(m, '<b>', ''))) // 3 AS n FROM m)
+    SELECT page_id, {_LINES_SQL} AS markdown FROM bold
+    """
+)
 def html_to_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", html_to_markdown("html").alias("markdown"))
 
 
+#: A page's Markdown in sections: what stands before its heading, and the rest.
+_PAGE_SECTIONS_SQL = rf"""
+    lines AS (
+        SELECT page_id AS conv_id, regexp_replace(regexp_replace({_LINES_SQL}, '(?m)[ \t]+$', '', 'g'), '\n\n', '  ' || chr(10), 'g') AS md
+        FROM (SELECT page_id, {_BOLD_SQL} AS m, (length(m) - length(replace(m, '<b>', ''))) // 3 AS n
+              FROM (SELECT page_id, {_MARKDOWN_SQL} AS m FROM pages WHERE page_id % 5 <> 0))
+    ), halves AS (
+        SELECT conv_id, string_split(regexp_replace(md, '(?m)^# ', chr(30) || '# '), chr(30)) AS h FROM lines
+    ), sections AS MATERIALIZED (
+        SELECT conv_id, 0::BIGINT AS s, regexp_replace(h[1], '[ \n]+$', '') AS content, NULL::VARCHAR AS h1,
+               NULL::VARCHAR AS h2, NULL::VARCHAR AS h4
+        FROM halves WHERE trim(h[1]) <> ''
+        UNION ALL
+        SELECT conv_id, 1, h[2], regexp_extract(h[2], '^# ([^\n]*?) *\n', 1), NULL, NULL FROM halves WHERE len(h) > 1
+    )
+"""
+
+
+@_query(
+    f"""
+    WITH RECURSIVE {_PAGE_SECTIONS_SQL}, {_CHUNKED_SQL}
+    SELECT conv_id || '-' || chunk_index AS vector_id, conv_id AS document_id, chunk_index::INT AS chunk_index,
+           length(c.content)::INT AS chars, NULL::VARCHAR AS error
+    FROM merged
+    """
+)
+def ingest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors that the whole lifecycle makes of all pages."""
+    docs, contents = _page_documents(spark, sf_dir)
+    _, vectors = process(docs, contents, StoreConfig("unused"), keep=lambda df: df)
+    return vectors.select("vector_id", "document_id", "chunk_index", F.length("chunk_text").alias("chars"), "error")
+
+
 # -- alternative chunkers ---------------------------------------------------
 
 
-@_query()
+def _bare_sql(content: str) -> str:
+    """A content without header lines, stripped."""
+    return rf"trim(regexp_replace({content}, '(?m)^#+\s.*$', '', 'g'), ' ' || chr(10))"
+
+
+@_query(
+    rf"""
+    WITH {_SECTIONS_SQL}, flat AS (
+        -- Read again without blank lines, blocks follow line by line.
+        SELECT *, CASE WHEN s = 0 THEN '# ' || h1 || '  ' || chr(10) ELSE '' END AS lead,
+               regexp_replace(replace(content, '# ' || h1 || '  ' || chr(10), ''), '  
+', chr(10), 'g') AS body
+        FROM sections
+    ), whole AS (
+        SELECT conv_id, any_value(h1) AS h1, string_agg(content, '  ' || chr(10) ORDER BY s) AS content FROM flat GROUP BY conv_id
+    ), grouped AS (
+        SELECT *, sum((h4 IS NULL)::INT) OVER (PARTITION BY conv_id ORDER BY s) AS g FROM flat
+    ), level2 AS (
+        SELECT conv_id, g, min(s) AS s, any_value(h1) AS h1, any_value(h2) AS h2, bool_or(s = 0) AS opens,
+               arg_min(lead, s) || string_agg(body, chr(10) ORDER BY s) AS content
+        FROM grouped GROUP BY conv_id, g
+    ), pieces AS (
+        SELECT conv_id, 0 AS s, '# ' || h1 || chr(10) || {_bare_sql("content")} AS piece FROM whole WHERE length(content) <= 1000
+        UNION ALL
+        SELECT l.conv_id, l.s, '# ' || l.h1 || chr(10) || '## ' || l.h2 || chr(10) || {_bare_sql("l.content")}
+        FROM level2 l JOIN whole w USING (conv_id) WHERE length(w.content) > 1000 AND length(l.content) <= 1000
+        UNION ALL
+        SELECT p.conv_id, p.s,
+               CASE WHEN p.h4 IS NOT NULL AND length(p.lead || p.body) > 1000 THEN '#### ' || p.h4 || chr(10)
+                    ELSE CASE WHEN l.opens THEN '# ' || p.h1 || chr(10) ELSE '' END || '## ' || p.h2 || chr(10)
+                         || coalesce('#### ' || p.h4 || chr(10), '') END
+               || {_bare_sql("p.lead || p.body")}
+        FROM grouped p JOIN level2 l USING (conv_id, g) JOIN whole w ON w.conv_id = p.conv_id
+        WHERE length(w.content) > 1000 AND length(l.content) > 1000
+    )
+    SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY s) - 1)::INT AS ordinal, piece FROM pieces
+    """
+)
 def recursive_markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.posexplode(chunk_text("md", "markdown")).alias("ordinal", "piece")
     return markdown_view(spark, sf_dir).select("conv_id", pieces)
 
 
-@_query()
+@_query(
+    rf"""
+    WITH RECURSIVE texts AS (
+        SELECT doc_id AS k, unnest({_sentences_sql("text")}) AS txt,
+               generate_subscripts({_sentences_sql("text")}, 1) AS i
+        FROM documents
+    ), {_breaks_sql("texts")}, n AS (
+        SELECT t.k, t.i, t.txt, len(regexp_extract_all(txt, '\S+')) AS words, b.i IS NOT NULL AS after_break
+        FROM texts t LEFT JOIN breaks b ON b.k = t.k AND b.i = t.i - 1
+    ), walk AS (
+        SELECT k, i, 0 AS piece, words AS size FROM n WHERE i = 1
+        UNION ALL
+        SELECT n.k, n.i,
+               w.piece + (w.size > 0 AND (w.size + n.words > 2000 OR (w.size >= 200 AND n.after_break)))::INT,
+               CASE WHEN w.size > 0 AND (w.size + n.words > 2000 OR (w.size >= 200 AND n.after_break)) THEN n.words
+                    ELSE w.size + n.words END
+        FROM walk w JOIN n ON n.k = w.k AND n.i = w.i + 1
+    )
+    SELECT k AS doc_id, piece AS ordinal, replace(string_agg(txt, ' ' ORDER BY i), chr(0), '') AS piece
+    FROM walk JOIN n USING (k, i) GROUP BY k, walk.piece
+    """
+)
 def budget_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.posexplode(chunk_text("text", "semantic")).alias("ordinal", "piece")
     return _table(spark, sf_dir, "documents").select("doc_id", pieces)
