@@ -436,6 +436,9 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius:
     of_print = nodes.join(linked, "fp", "left").select(
         "fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("component")
     )
+    # Written for the same reason: one fingerprint may belong to many rows.
+    of_print = saved(of_print, "simhash-classes")
+    discard(nodes, members, least)
     return prints.join(of_print, "fp")
 
 
