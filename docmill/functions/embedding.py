@@ -10,20 +10,34 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
 from ..errors import EmbeddingError
 
+_TOKENS = re.compile(r"\w+").findall
+
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
-@lru_cache(maxsize=200_000)
-def _token_hash(token: str) -> tuple[int, float]:
-    """A token's hash, without its first bit, and the sign that this bit gives."""
-    h = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "big")
-    return h & ((1 << 63) - 1), 1.0 if h >> 63 else -1.0
+class _Places(dict):
+    """Of each token twice its place in the vector, plus one where it counts
+    negatively; remembered for a bounded number of tokens."""
+
+    MOST = 200_000
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self._dimensions = dimensions
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "big")
+        # The first bit is the sign, the rest the place.
+        place = (h & ((1 << 63) - 1)) % self._dimensions
+        self[token] = code = 2 * place + (0 if h >> 63 else 1)
+        return code
 
 
 class HashingEmbedder:
@@ -31,16 +45,19 @@ class HashingEmbedder:
 
     def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
+        self._places = _Places(dimensions)
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        row, place, sign = [], [], []
-        for i, text in enumerate(texts):
-            hashes = [_token_hash(t) for t in re.findall(r"\w+", text.lower())]
-            row += [i] * len(hashes)
-            place += [h % self.dimensions for h, _ in hashes]
-            sign += [s for _, s in hashes]
-        out = np.zeros((len(texts), self.dimensions))
-        np.add.at(out, (np.array(row, np.int64), np.array(place, np.int64)), sign)
+        codes: list[int] = []
+        sizes = []
+        for text in texts:
+            before = len(codes)
+            codes += map(self._places.__getitem__, _TOKENS(text.lower()))
+            sizes.append(len(codes) - before)
+        width = 2 * self.dimensions
+        at = np.repeat(np.arange(len(texts)) * width, sizes) + np.array(codes, np.int64)
+        counts = np.bincount(at, minlength=len(texts) * width).reshape(len(texts), self.dimensions, 2)
+        out = (counts[:, :, 0] - counts[:, :, 1]).astype(float)
         size = np.sqrt((out * out).sum(1, keepdims=True))
         return np.divide(out, size, out=out, where=size > 0).tolist()
 
