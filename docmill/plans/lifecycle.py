@@ -53,7 +53,8 @@ def parse(docs: DataFrame, contents: DataFrame) -> DataFrame:
     """Take the Markdown of pending documents from ``contents`` (``file_path``,
     ``markdown``), which the sources make, one row for each path."""
     content, opened, failure = (unused(c, docs.columns) for c in ("content", "opened", "failure"))
-    found = contents.select("file_path", F.col("markdown").alias(content))
+    # Contents are whole texts: they are never broadcast, however small they seem.
+    found = contents.select("file_path", F.col("markdown").alias(content)).hint("merge")
     joined = docs.join(found, "file_path", "left").select(*docs.columns, content)
     unsupported = F.concat(F.lit("Unsupported file type for: "), F.coalesce("file_path", F.lit("")))
     error = F.when(source_kind(F.coalesce("file_path", F.lit(""))) == "unsupported", unsupported).when(
