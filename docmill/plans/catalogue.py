@@ -857,11 +857,23 @@ def _page_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 )
 def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through the whole lifecycle; as in the SQL, the page with the
-    least page_id answers for each url."""
+    least page_id answers for each url.  ``ingest_every_page`` shows them all."""
+    shown = _table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("id")).select("id")
+    return ingest_every_page(spark, sf_dir).join(shown, "id", "left_semi")
+
+
+@_query(
+    """
+    SELECT page_id AS id, CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status,
+           CASE WHEN page_id % 5 = 0 THEN 'Parsing failed: Unsupported file type for: note.docx' END AS failure
+    FROM pages
+    """
+)
+def ingest_every_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through the whole lifecycle, one row for each, also where pages
+    share a url or have none."""
     docs, contents = _page_documents(spark, sf_dir)
     done, _ = process(docs, contents, StoreConfig("unused"), keep=lambda df: df)
-    shown = _table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("id")).select("id")
-    done = done.join(shown, "id", "left_semi")
     failed = F.when(F.col("status") == "failed", F.col("status_details"))
     return done.select("id", "status", failed.alias("failure"))
 

@@ -352,3 +352,6 @@ def test_pages_that_share_a_url_are_all_ingested(spark, tmp_path):
     want = db.sql(catalogue.oracle_sql()["ingest_pages"]).fetchall()
     got = catalogue.queries()["ingest_pages"](spark, str(tmp_path)).select("id", "status", "failure").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+    every = catalogue.queries()["ingest_every_page"](spark, str(tmp_path)).select("id", "status", "failure").collect()
+    assert sorted(r["id"] for r in every) == [r[0] for r in sorted(rows)]
+    assert sorted(map(tuple, every)) == sorted(db.sql(catalogue.oracle_sql()["ingest_every_page"]).fetchall())
