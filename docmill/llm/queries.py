@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .bpe_codec import bpe_round_trip
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .fim import fill_in_middle
 from .license_scan import license_scan
+from .merkle import document_manifest, proof_digest
 from .quality import quality_scores, train
 from .secret_scan import added_spans, base_spans, secret_scan, span_list
 from .simhash import simhash_classes
@@ -98,6 +100,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = document_manifest(_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest().alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(_table(spark, sf_dir, "documents"), texts=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -110,6 +123,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_license_scan": op10_license_scan,
+        "op11_merkle": op11_merkle,
+        "op13_fim": op13_fim,
     }
 
 
@@ -139,6 +154,51 @@ def _path_sql(url: str) -> str:
     return f"coalesce(regexp_extract({url}, '://[^/?#]*([^?#]*)', 1), '')"
 
 
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field_sql, ['doc_id', 'source', 'lang', n_chars, 'text']))})"
+
+
+#: crc32 bit by bit: a byte is folded in, then eight shifts follow.
+_CRC_SQL = """
+    xor(list_reduce(
+        list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+        lambda crc, byte: list_reduce([xor(crc, byte), 1, 2, 3, 4, 5, 6, 7, 8],
+                                      lambda x, bit: xor(x >> 1, 3988292384 * (x & 1))),
+        4294967295), 4294967295)
+"""
+
+
+def _tree_sql(nodes: str, leaves: str) -> str:
+    """All nodes (g, n, lvl, idx, h) of binary trees over ``leaves`` (g, n, idx, h)."""
+    return f"""
+        {nodes} AS (
+            SELECT g, n, 0::BIGINT AS lvl, idx, h FROM {leaves}
+            UNION ALL
+            SELECT g, n, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx))
+            FROM {nodes} WHERE ((n - 1) >> lvl) > 0 GROUP BY g, n, lvl, idx // 2
+        )
+    """
+
+
+def _walk_sql(walk: str, start: str, nodes: str) -> str:
+    """From each row of ``start`` (k, g, n, idx, fold, proof) to its tree's root."""
+    return f"""
+        {walk} AS (
+            SELECT k, g, n, 0::BIGINT AS lvl, idx, fold, proof FROM {start}
+            UNION ALL
+            SELECT w.k, w.g, w.n, w.lvl + 1, w.idx // 2,
+                   sha256(CASE WHEN s.h IS NULL THEN w.fold WHEN w.idx % 2 = 1 THEN s.h || w.fold ELSE w.fold || s.h END),
+                   w.proof || coalesce(s.h, '')
+            FROM {walk} w LEFT JOIN {nodes} s ON s.g = w.g AND s.lvl = w.lvl AND s.idx = xor(w.idx, 1)
+            WHERE ((w.n - 1) >> w.lvl) > 0
+        )
+    """
+
+
 #: DuckDB SQL for the queries that SQL can express over whole tables.  That of
 #: op2 reads canonical links in their plain form only.
 ORACLE_SQL = {
@@ -216,4 +276,52 @@ ORACLE_SQL = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op11_merkle": f"""
+        WITH RECURSIVE seen AS (
+            SELECT doc_id, coalesce('v' || lang, '') AS g, {_leaf_sql("n_chars")} AS leaf,
+                   {_leaf_sql(f"(n_chars + ({_CRC_SQL} % 7 = 0)::INT)")} AS tampered
+            FROM documents
+        ), leaves AS (
+            SELECT *, row_number() OVER () AS k, leaf AS h,
+                   row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+                   count(*) OVER (PARTITION BY g) AS n
+            FROM seen
+        ), {_tree_sql("nodes", "leaves")}, subroots AS (
+            SELECT g AS own, h, '' AS g, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n
+            FROM nodes WHERE ((n - 1) >> lvl) = 0
+        ), {_tree_sql("tops", "subroots")}, own AS (
+            SELECT k, g, n, idx, tampered AS fold, '' AS proof FROM leaves
+        ), {_walk_sql("walk", "own", "nodes")}, ends AS (
+            SELECT w.k, s.own, s.h AS subroot, s.g, s.n, s.idx, w.fold, w.proof
+            FROM walk w JOIN subroots s ON s.own = w.g WHERE ((w.n - 1) >> w.lvl) = 0
+        ), {_walk_sql("rest", "ends", "tops")}
+        SELECT doc_id, leaf, subroot, root.h AS root, sha256(r.proof) AS proof_sha256, r.fold AS folded_root,
+               r.fold = root.h AS verified
+        FROM rest r JOIN leaves USING (k) JOIN ends USING (k), (SELECT h FROM tops WHERE ((n - 1) >> lvl) = 0) root
+        WHERE ((r.n - 1) >> r.lvl) = 0
+    """,
+    "op13_fim": r"""
+        WITH units AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS seed,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+            FROM documents
+        ), drawn AS (
+            SELECT *, len(u)::BIGINT AS n,
+                   ('0x' || substr(seed, 1, 8))::BIGINT % (len(u) + 1) AS c1, ('0x' || substr(seed, 9, 8))::BIGINT % (len(u) + 1) AS c2,
+                   CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR ('0x' || substr(seed, 17, 8))::BIGINT % 100 >= 90
+                        THEN 'plain' WHEN ('0x' || substr(seed, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM units
+        ), parts AS (
+            SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p,
+                   array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+                   array_to_string(u[greatest(c1, c2) + 1:], '') AS s
+            FROM drawn
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                      ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }

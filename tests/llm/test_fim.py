@@ -1,0 +1,52 @@
+import hashlib
+import re
+
+import pytest
+from helpers import EXTRA, TEXTS, documents
+from hypothesis import given
+from hypothesis import strategies as st
+
+from docmill.llm import fim
+
+
+def plain(doc_id, text):
+    text = text or ""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    seed = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(seed[8 * i : 8 * i + 8], 16) for i in range(4)]
+    n = len(units)
+    a, b = sorted([h[0] % (n + 1), h[1] % (n + 1)])
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or re.search("<[PSM]>", text) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    if h[3] % 100 < 20:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def sha(t):
+    return hashlib.sha256(t.encode()).hexdigest()
+
+
+@given(st.text(alphabet="<>PSMab é\n中", max_size=30), st.integers(0, 400))
+def test_output_and_restoration(text, doc_id):
+    made = fim.transform(str(doc_id), text)
+    assert made == plain(doc_id, text)
+    assert fim.restore(made[4], made[1]) == text
+
+
+@pytest.mark.parametrize("texts", [True, False])
+def test_rows(spark, texts):
+    rows = TEXTS + [(i, f"<{'PSM'[i % 3]}> {i}" if i % 5 == 0 else f"some Words <{i}, é\n", "s") for i in range(20, 90)]
+    got = fim.fill_in_middle(documents(spark, rows), texts=texts).collect()
+    want = []
+    for i, text, _ in rows:
+        n, form, prefix, middle, output = plain(i, text)
+        want.append((i, n, form, prefix, middle, sha(output), sha(text or "")) + ((output,) if texts else ()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert {r["form"] for r in got} == {"plain", "psm", "spm"}
+    assert not set(EXTRA) & set(got[0].asDict()) - {"n"}
+
+
+def test_empty_table(spark):
+    assert fim.fill_in_middle(documents(spark).limit(0)).count() == 0
