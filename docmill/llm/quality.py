@@ -11,8 +11,8 @@ The labelled sample is cut in two halves.  Each half builds a pair of
 dictionaries whose calibration is fitted on the other half, so on texts that
 these dictionaries don't hold; a score is made of the mean of both log odds.
 
-The sample is bounded: per class the ``SAMPLE_ROWS`` labelled training rows
-with the smallest hash of their id, of at most ``SAMPLE_BYTES`` each.  Labels
+The sample is bounded: per class the ``SAMPLE_ROWS`` labelled training ids
+with the smallest hashes, their texts of at most ``SAMPLE_BYTES`` each.  Labels
 are learned from training rows alone; scores are functions of the text.
 
 Edge cases: a null text scores as the empty text; where the sample lacks a
@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_batches, release, utf8
+from .sample import smallest_hashes, training_text
+from .storage import discard
 
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 32_768
@@ -51,8 +53,7 @@ RIDGE = 1e-3
 
 def held_out(id_col: str) -> Column:
     """Whether a row may not be learned from: crc32 of the id as text, mod 3, is 1."""
-    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return F.crc32(text.cast("binary")) % 3 == 1
+    return F.crc32(training_text(id_col)) % 3 == 1
 
 
 @dataclass
@@ -154,34 +155,23 @@ def fit(rows: list[tuple[bytes, int]]) -> QualityModel:
     return model
 
 
-def _smallest(marked: DataFrame, quality: int, n: int) -> DataFrame:
-    """The ``SAMPLE_ROWS`` rows of one class with the smallest hash of their id.
-
-    Of ``n`` rows only those below a hash that about four times as many lie
-    under are sorted, so that no task gets the labels of a whole class."""
-    rows = marked.filter(F.col("quality") == quality)
-    if n > 4 * SAMPLE_ROWS:
-        share = 4 * SAMPLE_ROWS / n
-        rows = rows.filter(F.xxhash64("id") < int(share * 2**64) - 2**63)
-    return rows.distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Fit on the bounded sample of labelled training rows."""
+    """Fit on the bounded sample of labelled training rows; labels that are
+    repeated count once."""
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
     marked = marked.filter(F.col("id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("id"))
-    sizes = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
-    chosen = _smallest(marked, 1, sizes.get(1, 0)).unionByName(_smallest(marked, 0, sizes.get(0, 0)))
+    chosen, pairs = smallest_hashes(marked, "quality", SAMPLE_ROWS)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # At most 2 x SAMPLE_ROWS ids and labels are broadcast.
     sample = (
         texts.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-        .join(F.broadcast(chosen), "id")
+        .join(F.broadcast(chosen.drop("h")), "id")
         .groupBy("id", "quality")  # of rows with the same id, one
         .agg(F.min("text").alias("text"), F.xxhash64("id").alias("h"))
         .toArrow()
         .to_pylist()
     )
+    discard(pairs)
     sample.sort(key=lambda r: (r["h"], r["id"], r["quality"]))
     return fit([((r["text"] or "").encode(), r["quality"]) for r in sample])
 

@@ -9,6 +9,7 @@ from helpers import TEXTS, documents
 
 from docmill.llm import quality
 from docmill.llm.quality import calibrate, fit, keep_good, quality_scores, train
+from docmill.llm.sample import smallest_hashes
 
 TABLES = "/root/testdata/sf0.1"
 
@@ -103,10 +104,25 @@ def test_calibration_always_ends():
         assert np.isfinite([a, b]).all() and abs(p.mean() - y.mean()) < 1e-3
 
 
-def test_sample_is_the_smallest_hashes(spark, monkeypatch):
-    """The cut by hash before the sort takes nothing from the sample."""
-    monkeypatch.setattr(quality, "SAMPLE_ROWS", 50)
+def test_sample_is_the_smallest_hashes(spark):
+    """The cut by hash before the sort takes nothing from the sample, however
+    often ids are repeated."""
     marked = spark.range(3000).selectExpr("id", "cast(id % 2 as int) quality")
-    got = [r["id"] for r in quality._smallest(marked.union(marked), 1, 3000).collect()]
-    want = marked.filter("quality = 1").selectExpr("id", "xxhash64(id) h").orderBy("h", "id").limit(50).collect()
-    assert sorted(got) == sorted(r["id"] for r in want)
+    often = marked.join(spark.range(10).selectExpr("id as again"))
+    want = marked.selectExpr("id", "quality", "xxhash64(id) h").orderBy("quality", "h", "id").collect()
+    want = {(r["id"], q) for q in (0, 1) for r in [w for w in want if w["quality"] == q][:50]}
+    for table in (marked, often):
+        got, pairs = smallest_hashes(table, "quality", 50)
+        assert {(r["id"], r["quality"]) for r in got.collect()} == want and pairs.count() == 3000
+    few, _ = smallest_hashes(often.filter("id < 40"), "quality", 50)
+    assert few.count() == 40
+
+
+def test_repeated_labels_give_the_same_model(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 60)
+    rows, labels = corpus()
+    docs = documents(spark, rows)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    often = table.join(spark.range(400).selectExpr("id as again")).drop("again")
+    once, repeated = train(docs, table), train(docs, often)
+    assert once == repeated and len(once.parts) == 2
