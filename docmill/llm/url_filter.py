@@ -13,18 +13,24 @@ make classes of equivalent urls, and decisions spread through them:
 
 Urls are nodes without their fragment.  A target counts by the rules too, even
 if no page has its url.  Class verdicts are sums over partial aggregates, and
-pages get them by a join on the url's hash which Spark splits where one url is
-hot.
+written before they go back to their urls, and these to the pages, by joins with
+plain exchanges on both sides, which Spark splits where a class or a url is hot.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and
 no alias; empty or null html has no edges; links that aren't web addresses, or
-name a place in the page itself, are left out; tags inside comments, scripts and
-styles are no tags, and neither is one of more than 64 quoted parts; repeated rows are judged alike; an empty table gives an empty
-result; columns other than id, url and html are ignored.
+name a place in the page itself, are left out; tags inside comments, scripts,
+styles and the like are no tags, and neither is one that is never closed; tags may
+have any number of attributes, pages any length; repeated rows are judged alike;
+an empty table gives an empty result; columns other than id, url and html are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from html import unescape
+from html.entities import html5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,38 +93,73 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return F.array_max(fits)
 
 
-#: What holds text that looks like tags; left open, it goes on to the end.
-_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\z)"
+#: Elements whose content holds no tags of the page, open ones up to the end.
+_HIDING = "script|style|template|noscript|title|textarea"
+
+#: What follows a tag's name: only right after an equals sign do quotes enclose a
+#: value, which may hold a closing bracket.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)*+"""
+
+#: Comments, hiding elements, tags and declarations.  Each begins at a bracket and,
+#: left open, goes on to the end, so one pass over a page takes linear time.
+_TOKEN = re.compile(
+    rf"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))
+        |(?P<hides>{_HIDING})(?=[\s/>])(?:{_ATTRIBUTES})(?:>.*?(?:</(?P=hides)(?=[\s/>])|\Z)|\Z)
+        |(?P<tag>link|meta)(?=[\s/>])(?P<attributes>{_ATTRIBUTES})(?P<closed>>|\Z)
+        |/?[a-z][^\s/>]*+{_ATTRIBUTES}(?:>|\Z)
+        |[!?/][^>]*+(?:>|\Z))""",
+    re.IGNORECASE | re.DOTALL | re.VERBOSE,
+)
+
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]*+)))?""")
+
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
+
+_REFRESH_URL = re.compile(r"""url\s*+=\s*+(?:"([^"]*+)|'([^']*+)|([^'"]*+))""", re.IGNORECASE)
+
+
+def _decoded(value: str) -> str:
+    """A value with its character references resolved.  Without a semicolon a name
+    before an equals sign, or within a longer word, is none."""
+
+    def character(m: re.Match) -> str:
+        name = m[0][1:]
+        if name[0] != "#" and (name not in html5 or (name[-1] != ";" and value[m.end() : m.end() + 1] == "=")):
+            return m[0]
+        return unescape(m[0])
+
+    return _REFERENCE.sub(character, value).strip() if "&" in value else value.strip()
 
-#: A quoted attribute may hold a closing bracket.
-_TAG = r"""(?is)<(?:link|meta)\b(?:[^>"']++|"[^"]*+"|'[^']*+'|["']){0,64}+>"""
 
+def named_targets(page: str) -> list[str]:
+    """The canonical links and redirect targets that a page names, as written.
 
-def _attribute(tag: Column, name: str) -> Column:
-    """An attribute's value, quoted either way or bare; else the empty string."""
-    parts = [
-        F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{value}", 1)
-        for value in ('"([^"]*)"', "'([^']*)'", r"""([^\s"'>]+)""")
-    ]
-    return F.trim(F.replace(F.coalesce(*[F.nullif(p, F.lit("")) for p in parts], F.lit("")), F.lit("&amp;"), F.lit("&")))
+    Tags of any number of attributes, in one forward pass; of attributes of the
+    same name the first counts."""
+    found = []
+    for tag in _TOKEN.finditer(page):
+        if not tag["tag"] or not tag["closed"]:
+            continue
+        own: dict[str, str] = {}
+        for name, *values in _ATTRIBUTE.findall(tag["attributes"]):
+            own.setdefault(name.lower(), "".join(values))
+        if "canonical" in _decoded(own.get("rel", "")).lower().split():
+            found.append(_decoded(own.get("href", "")))
+        elif _decoded(own.get("http-equiv", "")).lower() == "refresh":
+            to = _REFRESH_URL.search(_decoded(own.get("content", "")))
+            found.append("".join(part or "" for part in to.groups()).strip() if to else "")
+    return [t for t in found if t]
 
 
 def targets(html: Column) -> Column:
-    """The canonical links and redirect targets that a page names, as written."""
-    seen = F.when(html.rlike(r"(?i)<(?:link|meta)\b"), F.regexp_replace(html, _HIDDEN, " "))
-    tags = F.regexp_extract_all(seen, F.lit(_TAG), 0)
+    """``named_targets`` of pages; those without a tag of that kind aren't sent
+    to Python."""
 
-    def target(tag: Column) -> Column:
-        canonical = F.lower(_attribute(tag, "rel")).rlike(r"(^|\s)canonical(\s|$)")
-        refresh = F.lower(_attribute(tag, "http-equiv")) == "refresh"
-        content = _attribute(tag, "content")
-        return (
-            F.when(canonical, _attribute(tag, "href"))
-            .when(refresh, F.trim(F.regexp_extract(content, r"""(?is)url\s*=\s*['"]?([^'"]*)""", 1)))
-            .otherwise(F.lit(""))
-        )
+    @F.pandas_udf("array<string>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(named_targets)
 
-    return F.filter(F.transform(tags, target), lambda t: t != "")
+    return run(F.coalesce(F.when(html.rlike(r"(?i)<(?:link|meta)[\s/>]"), html), F.lit("")))
 
 
 def _without_dots(path: Column) -> Column:
@@ -194,7 +235,7 @@ def url_verdicts(
         F.coalesce(F.max(F.col("best.verdict") == "block"), F.lit(False)).alias("blocks"),
         F.coalesce(F.max(F.col("best.verdict") == "allow"), F.lit(False)).alias("allows"),
     )
-    decided = nodes.join(classes, "component").select(
+    decided = nodes.join(saved(classes, "url-classes"), "component").select(
         "node", F.col("component").alias("alias_class"), (F.col("blocks") & ~F.col("allows")).alias("class_blocks")
     )
     host, path = host_of(F.col("url")), path_of(F.col("url"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import warc as R
 from docmill.llm.components import connected_components
-from docmill.llm.url_filter import RULES, resolve, url_verdicts
+from docmill.llm.url_filter import RULES, named_targets, resolve, url_verdicts
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -175,7 +175,7 @@ def test_hidden_tags_are_no_aliases(spark):
         (11, "http://k.io/x", link(to)),
     ]
     got = {r["page_id"]: r["verdict"] for r in url_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "block", 10: "block", 11: "block"}
+    assert got == {1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "block", 8: "allow", 9: "block", 10: "block", 11: "block"}
 
 
 def test_query_matches_sql_over_aliases(spark, tmp_path):
@@ -201,3 +201,50 @@ def test_query_matches_sql_over_aliases(spark, tmp_path):
     assert list(map(str, got)) == list(map(str, want))
     direct = {u: verdict(*parts(u))[1] or "allow" for u in urls}
     assert sum(r[4] != direct.get(rows[i][1], "") for i, r in enumerate(got[:400])) > 20
+
+
+def test_targets_are_read_as_browsers_read_them():
+    cases = {
+        "<link " + "".join(f"data-a{k}='{k}' " for k in range(10_000)) + "rel=canonical href=/x>": ["/x"],
+        '<link rel="canonical" href="http&#58;//bad.net/w">': ["http://bad.net/w"],
+        '<link rel="canonical" href="http&colon;&#x2F;/a.net/?a=1&amp;b=2&copy=3&ampx&lt">': ["http://a.net/?a=1&b=2&copy=3&ampx<"],
+        "<LINK/rel='canonical'/href=/x>": ["/x"],
+        '<link rel=canonical href="a" href="b">': ["a"],
+        '<a title="<link rel=canonical href=/x>"><link rel="nofollow CANONICAL" href=" /y ">': ["/y"],
+        "<title><link rel=canonical href=/x></title>": [],
+        '<link title="a<b>c" rel=canonical href=/x>': ["/x"],
+        "<link rel=canonical href=/x": [],
+        '<link rel="canonical href=/x><link rel=canonical href="/y">': [],
+        "<meta http-equiv=refresh content=\"3;url='/z'\">": ["/z"],
+        "<meta http-equiv=refresh content='3'>": [],
+        "<linkrel=canonical href=/x>": [],
+        "<link rel=canonical href=a=b>": ["a=b"],
+        "<!-->" + "<link rel=canonical href=/x>": ["/x"],
+    }
+    for page, want in cases.items():
+        assert named_targets(page) == want, page[:80]
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    for piece in ("<link ", "<link a='", "<!-- ", "<script>", "<", "<b>x</b>", "<link a=b' c=\"", "&amp", "<meta content='url=' "):
+        start = time.perf_counter()
+        named_targets(piece * (10_000_000 // len(piece)))
+        assert time.perf_counter() - start < 8, piece  # two seconds on an idle machine
+
+
+def test_class_verdicts_join_by_plain_exchanges(spark):
+    """No aggregate lies between the shuffle and the join of a hot class."""
+    rows = [(k, f"http://a.io/{k}", link("http://b.net/x")) for k in range(50)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = url_verdicts(spark.createDataFrame(rows, SCHEMA))
+        assert {r["verdict"] for r in result.collect()} == {"block"}
+        plan = result._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    parts = plan.split("SortMergeJoin")[1:]
+    assert len(parts) == 2
+    assert "Aggregate" not in parts[0].split("+- Union")[0]
