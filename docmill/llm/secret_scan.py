@@ -31,6 +31,7 @@ from collections import Counter
 from math import log2
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +60,18 @@ BASE = [
 MORE = [
     ("prefixed", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})"), 0, 16),
     ("bearer", re.compile(r"\bBearer\x20+([A-Za-z0-9._~+/-]{20,}=*)"), 1, 20),
-    ("webtoken", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 30),
+    # Of a run's places where a token could begin the first is tried alone, since all
+    # end where the run does; so a long run is read once.
+    (
+        "webtoken",
+        regex.compile(
+            r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=\beyJ))\KeyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"
+        ),
+        0,
+        30,
+    ),
     ("login", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:([^\s/@]{6,})@"), 1, 6),
-    ("privatekey", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----([A-Za-z0-9+/=\s]{40,})"), 1, 40),
+    ("privatekey", re.compile(r"-----BEGIN [A-Z ]*?PRIVATE KEY-----([A-Za-z0-9+/=\s]{40,})"), 1, 40),
 ]
 
 #: A text can only hold a match of these kinds if it holds one of these strings.

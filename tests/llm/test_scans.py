@@ -196,3 +196,23 @@ def test_ownership_without_broadcast(spark, monkeypatch):
     want = flat()
     monkeypatch.setattr(X, "BROADCAST_ROWS", 0)
     assert flat() == want
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for piece in ("eyJ-", "eyJ-eyJ.", "xoxb-", "sk-", "Bearer ", "password ", "a://b:c", "-----BEGIN A", "AKIA", "0f"):
+        start = time.perf_counter()
+        X.findings_of(piece * (10_000_000 // len(piece)))
+        assert time.perf_counter() - start < 30, piece  # a few seconds on an idle machine
+
+
+def test_web_tokens_are_found_where_the_plain_pattern_finds_them():
+    rng = random.Random(9)
+    plain = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    number = X.KINDS.index("webtoken")
+    pieces = ["eyJ", "-", ".", "abcdefgh", "a", " ", "_", "é", "eyJabcdefgh1", ".12345678", ".1234567"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        got = [(f[0], f[2]) for f in X.findings_of(text) if f[1] == number]
+        assert got == [m.span() for m in plain.finditer(text) if len(m[0]) >= 30], text
