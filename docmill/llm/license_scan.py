@@ -5,8 +5,9 @@ of license templates.  A match at text position p and template position t votes
 for the diagonal p - t.  Votes are counted by (text, template, diagonal),
 diagonals at most ``GAP`` words apart are merged (words put in or left out),
 and each merged span is verified word by word against the text: it names the
-template's license if ``COVERED_OF_100`` per cent of its words stand there
-in place, the words that tell the license from others among them.  Of spans that
+template's license where the template is no more edits away (words replaced, put
+in or left out) than ``COVERED_OF_100`` per cent of its words leave free, the
+words that tell the license from others in place, in their order.  Of spans that
 lie within one another the one with more words in place stays.
 
 Votes are keyed by the text's hash, so copies vote once and repeated or missing
@@ -15,8 +16,9 @@ spans go back to the texts by a broadcast only while they are at most
 ``BROADCAST_SPANS``, else by a sort-merge join whose hot keys Spark splits.
 
 A diagonal needs one whole k-gram.  Templates name their k-grams so that every
-span which verification accepts on one diagonal leaves at least one of them
-whole, wherever its replaced words stand (tests try all places): of a template
+span which verification accepts leaves at least one of them whole, wherever its
+edits stand (tests try all places), and verification looks as far to either side
+of a diagonal as edits can lead: of a template
 with words that must stand, k-grams around those; ``K`` words, and fewer for the
 shortest templates.
 
@@ -29,6 +31,7 @@ text are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect
 from collections import defaultdict
 
 import numpy as np
@@ -120,14 +123,19 @@ def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.arange(len(x)) for x in parts]), np.concatenate(parts).view(np.int64)
 
 
+def edits_of(n: int) -> int:
+    """How many of a template's n words may be edited."""
+    return n - -(-n * COVERED_OF_100 // 100)
+
+
 def gram_places(statement: list[str], must: set[str]) -> tuple[int, list[int]]:
     """(k, places): the k-grams that a template is found by.
 
-    At most n - ceil(COVERED * n) of n words may be replaced, and they leave a
-    run of at least (n - replaced) / (replaced + 1) words; where that is less than
-    ``K``, and words must stand, the shorter k-grams that hold one of those do."""
+    At most n - ceil(COVERED * n) edits leave a run of at least (n - edits) /
+    (edits + 1) words; where that is less than ``K``, and words must stand, the
+    shorter k-grams that hold one of those do."""
     n = len(statement)
-    replaced = n - -(-n * COVERED_OF_100 // 100)
+    replaced = edits_of(n)
     k = min(K, -(-(n - replaced) // (replaced + 1)))
     places = range(n - k + 1)
     return k, [t for t in places if k == K or not must or must & set(statement[t : t + k])]
@@ -196,19 +204,64 @@ class _Judge:
                 seen, at = at, joined.find(phrase, at + 1)
         return found
 
+    def align(self, words: list[bytes], template: int, diagonal: int):
+        """The template's best place near a diagonal, as (edits, start, end, words
+        in place), or None.
+
+        Words are replaced, put in or left out at one edit each, as many as a
+        template may lack words, and those that must stand are not replaced or left
+        out.  So places rise with the template's words, and no more words are put
+        in than edits are free.  The table covers the diagonals within that reach."""
+        _, statement, must = self.templates[template]
+        n, free = len(statement), edits_of(len(statement))
+        low = diagonal - free
+        width = 2 * free + 1
+        # A column for each diagonal; a cell is (edits, -words in place, first, last).
+        row = [(0, 0, -1, -1) if 0 <= low + k <= len(words) else None for k in range(width)]
+        for t, word in enumerate(statement):
+            lost = word in must
+            after: list = []
+            for k in range(width):
+                p = t + low + k  # the text's word that the template's would stand at
+                best = None
+                if row[k] is not None and 0 <= p < len(words):
+                    edits, hits, first, _ = row[k]
+                    if words[p] == word:
+                        best = (edits, hits - 1, first if first >= 0 else p, p)
+                    elif not lost:
+                        best = (edits + 1, *row[k][1:])
+                if k + 1 < width and row[k + 1] is not None and not lost:
+                    out = (row[k + 1][0] + 1, *row[k + 1][1:])
+                    best = out if best is None else min(best, out)
+                if k and after[k - 1] is not None and p < len(words):
+                    put_in = (after[k - 1][0] + 1, *after[k - 1][1:])
+                    best = put_in if best is None else min(best, put_in)
+                after.append(best if best is not None and best[0] <= free else None)
+            row = after
+            if not any(row):
+                return None
+        edits, hits, first, last = min(c for c in row if c is not None)
+        return edits, first, last + 1, -hits
+
+    def accepted(self, words: list[bytes], template: int, diagonals: list[int]) -> list[tuple]:
+        """(coverage, label, start, end, words in place) of the template's places
+        on or near the diagonals; of places that overlap the best one."""
+        label, statement, _ = self.templates[template]
+        found = {place for d in diagonals if (place := self.align(words, template, d))}
+        kept: list[tuple] = []
+        ends: list[int] = []
+        starts: list[int] = []
+        for _, start, end, hits in sorted(found):
+            at = bisect(starts, start)
+            if (at == 0 or ends[at - 1] <= start) and (at == len(starts) or end <= starts[at]):
+                starts.insert(at, start)
+                ends.insert(at, end)
+                kept.append((hits / len(statement), label, start, end, hits))
+        return kept
+
     def verify(self, words: list[bytes], template: int, diagonals: list[int]):
-        """(coverage, label, start, end, words in place) of a span, or None."""
-        label, statement, must = self.templates[template]
-        hit: dict[int, int] = {}
-        for d in diagonals:
-            for t, word in enumerate(statement):
-                p = t + d
-                if t not in hit and 0 <= p < len(words) and words[p] == word:
-                    hit[t] = p
-        coverage = len(hit) / len(statement)
-        if 100 * len(hit) < COVERED_OF_100 * len(statement) or not must <= {statement[t] for t in hit}:
-            return None
-        return coverage, label, min(hit.values()), max(hit.values()) + 1, len(hit)
+        """The best of the accepted places, or None."""
+        return next(iter(self.accepted(words, template, diagonals)), None)
 
 
 def outermost(found: list[tuple]) -> list[tuple]:
@@ -246,7 +299,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 words = alnum_words(text)
                 places = judge.places(words)
                 found = outermost(
-                    [v for s in spans or () if (v := judge.verify(words, s["template"], s["diagonals"]))]
+                    [v for s in spans or () for v in judge.accepted(words, s["template"], s["diagonals"])]
                 )
                 base = {label for _, label in places}
                 starts = [p for p, _ in places]
