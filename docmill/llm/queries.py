@@ -12,6 +12,8 @@ from .bpe_codec import bpe_round_trip
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .fim import fill_in_middle
+from .langid import identify
+from .langid import train as train_languages
 from .license_scan import license_scan
 from .merkle import document_manifest, proof_digest
 from .quality import quality_scores, train
@@ -107,6 +109,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train_languages(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(_table(spark, sf_dir, "documents"), texts=False)
 
@@ -124,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe_codec": op9_bpe_codec,
         "op10_license_scan": op10_license_scan,
         "op11_merkle": op11_merkle,
+        "op12_langid": op12_langid,
         "op13_fim": op13_fim,
     }
 
