@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 from docmill.config import ChunkConfig
 from docmill.operators.chunking import chunk_stats, explode_chunks, with_chunks
 from docmill.operators.combine import combine_small
-from docmill.operators.experimental import budget_pieces, chunk_text, recursive_sections
+from docmill.operators.experimental import (
+    budget_pieces,
+    chunk_text,
+    context_similarities,
+    recursive_sections,
+    search_threshold,
+    statistical_pieces,
+)
 from docmill.operators.headers import header_context, sections, split_by_headers
 from docmill.operators.semantic import breakpoints, semantic_pieces, split_oversized
 from docmill.functions.embedding import HashingEmbedder
@@ -201,3 +208,50 @@ def test_failures_keep_the_text(spark, monkeypatch):
     check_chunked(out.filter("id = 1"))
     bad = spark.createDataFrame([("# A\n\nx",)], "t string").select(split_by_headers("t", "six")).first()[0]
     assert [(s["content"], s["headers"]) for s in bad] == [("# A\n\nx", {"Header 1": "A"})]
+
+
+def topics(n, size):
+    """Sentences of 40 words, which change with every ``size`` sentences."""
+    return [" ".join(f"w{i // size}x{k}" for k in range(40)) + "." for i in range(n)]
+
+
+def test_context_similarity_looks_back_over_the_window():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = [*rng.normal(size=(6, 5)), np.zeros(5), np.ones(5)]
+    for window in (1, 2, 3):
+        for i, got in enumerate(context_similarities(v, window), 1):
+            mean = np.mean(v[max(0, i - window) : i], axis=0)
+            size = np.linalg.norm(mean) * np.linalg.norm(v[i])
+            assert got == (round(float(mean @ v[i] / size), 9) if size > 1e-9 else 0)
+
+
+def test_threshold_brings_the_median_split_into_range():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(rng.integers(100, 800))
+        similarity, tokens = np.round(rng.random(n - 1), 9), rng.integers(1, 40, n).tolist()
+        threshold = search_threshold(similarity, tokens, 50, 400)
+        ends = [0, *(np.flatnonzero(similarity < threshold) + 1), n]
+        median = np.median([sum(tokens[a:b]) for a, b in zip(ends, ends[1:])])
+        low, high = np.median(similarity) - np.std(similarity), np.median(similarity) + np.std(similarity)
+        assert 40 <= median <= 410 or not low + 0.02 < threshold < high - 0.02
+
+
+def test_statistical_chunker():
+    embed = HashingEmbedder()
+    text = " ".join(topics(36, 6)) + "  End\0ing.\n"
+    pieces = statistical_pieces(text, embed, 200, 2000)
+    assert "".join(pieces) == text.replace("\0", "")
+    # The document's own threshold finds the changes of topic, which the fixed
+    # percentile does not.
+    firsts = [p.split()[0][:3] for p in pieces]
+    assert firsts[:6] == ["w0x", "w1x", "w2x", "w3x", "w4x", "w5x"]
+    assert [p.split()[0][:3] for p in budget_pieces(text, embed, 200, 2000)] != firsts
+    assert all(200 <= len(p.split()) < 2000 for p in pieces[:-1])
+    assert statistical_pieces("", embed) == [] and statistical_pieces("one", embed) == ["one"]
+    long = statistical_pieces("same words here. " * 2000, embed, 200, 500)
+    assert max(len(p.split()) for p in long) <= 500 and "".join(long) == "same words here. " * 2000
