@@ -1,16 +1,15 @@
-"""Semantic breakpoints: within oversized chunks, and over stored vectors."""
+"""Semantic breakpoints within oversized chunks; see ``breaks`` for stored vectors."""
 
 from __future__ import annotations
 
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.embedding import Embedder, model_of
-from ..functions.vector import cosine_distance
 
 
 def breakpoints(vectors: list[list[float]], percentile: float = 95.0) -> list[int]:
@@ -78,26 +77,3 @@ def split_oversized(chunks: Column | str, max_size: int, model: str = "hashing-6
 
     paired = F.zip_with(oversized, pieces, lambda c, p: F.struct(c.alias("chunk"), p.alias("pieces")))
     return F.concat(F.filter(array, lambda c: ~big(c)), F.flatten(F.transform(paired, expand)))
-
-
-def vector_breaks(
-    vectors: DataFrame, order_col: str, vector_col: str, group_col: str, digits: int = 9, percentile: float = 0.95
-) -> DataFrame:
-    """Breakpoints over consecutive stored vectors of each group: their
-    distance to the vector before, whether it breaks, and the running piece.
-    Distances and threshold are rounded before they are compared.
-
-    The order within a group and the exact percentile need the group's vectors in
-    one task, so groups are meant to be documents; a sort spills, it isn't held."""
-    by = Window.partitionBy(group_col).orderBy(order_col)
-    near = vectors.select(
-        group_col,
-        order_col,
-        F.round(cosine_distance(F.lag(vector_col).over(by), F.col(vector_col)), digits).alias("distance"),
-    )
-    bound = near.groupBy(group_col).agg(F.round(F.percentile("distance", percentile), digits).alias("threshold"))
-    joined = near.join(bound, group_col)
-    breaks = F.coalesce(F.col("distance") > F.col("threshold"), F.lit(False))
-    return joined.withColumn("breaks", breaks).withColumn(
-        "piece", F.sum(F.col("breaks").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    )
