@@ -16,3 +16,15 @@ class DatabaseConnectionError(VectorStoreError):
 
 class EmbeddingError(VectorStoreError):
     """Chunks couldn't be embedded."""
+
+
+class CommitConflict(VectorStoreError):
+    """Another session changed what this one replaces."""
+
+
+class FetchError(OSError):
+    """A page couldn't be fetched; ``lasting`` if asking again is of no use."""
+
+    def __init__(self, message: str, status: int | None = None, lasting: bool = False):
+        super().__init__(message)
+        self.status, self.lasting = status, lasting

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import urllib.error
-import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import FetchError
 from ..functions.html import html_to_markdown
 from ..functions.retry import retrying
+from .fetch import http_get
 
 
 def pages_as_markdown(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -19,39 +19,40 @@ def pages_as_markdown(pages: DataFrame, id_col: str = "page_id", url_col: str =
     return pages.select(id_col, F.col(url_col).alias("source"), html_to_markdown(html_col).alias("markdown"))
 
 
-def http_get(url: str, timeout: float = 30.0) -> str | None:
-    """The body of a web page, or None for a failed request."""
-    try:
-        with urllib.request.urlopen(url, timeout=timeout) as answer:  # noqa: S310
-            return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
-    except (urllib.error.URLError, OSError) as error:
-        print(f"Error fetching the URL: {error}")
-        return None
-
-
 def fetched(
     urls: DataFrame, url_col: str = "url", get: Callable[[str], str | None] = http_get, attempts: int = 1
 ) -> DataFrame:
-    """(url, html): each address fetched by ``get``, up to ``attempts`` times with
-    growing pauses; a failed one has no html."""
-
-    def once(url: str) -> str:
-        html = get(url)
-        if html is None:
-            raise OSError(url)
-        return html
+    """(url, html, error): each address fetched by ``get``, up to ``attempts``
+    times with growing pauses unless the error lasts; a failed one has no html.
+    ``fetch.polite_pages`` spares the hosts, too."""
+
+    def fetch(url: str) -> tuple[str | None, str | None]:
+        lasting: list[FetchError] = []
+
+        def once() -> str | None:
+            try:
+                html = get(url)
+            except FetchError as error:
+                if not error.lasting:
+                    raise
+                lasting.append(error)
+                return None
+            if html is None:
+                raise FetchError("no content")
+            return html
 
-    def fetch(url: str) -> str | None:
         try:
-            return retrying(lambda: once(url), attempts)
-        except OSError:
-            return None
+            html = retrying(once, attempts)
+        except OSError as error:
+            return None, str(error)
+        return html, str(lasting[0]) if lasting else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"url": batch["url"], "html": [fetch(u) for u in batch["url"]]})
+            answers = [fetch(u) for u in batch["url"]]
+            yield pd.DataFrame({"url": batch["url"], "html": [a[0] for a in answers], "error": [a[1] for a in answers]})
 
-    return urls.select(F.col(url_col).alias("url")).mapInPandas(run, "url string, html string")
+    return urls.select(F.col(url_col).alias("url")).mapInPandas(run, "url string, html string, error string")
 
 
 def write_markdown(pages: DataFrame, path: str, id_col: str = "page_id", folders: int = 1024) -> None:
