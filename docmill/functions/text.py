@@ -69,10 +69,10 @@ def strip_header_lines(c: Column | str) -> Column:
     return strip(F.regexp_replace(_col(c), r"(?mdU)^#+\s.*$", ""))
 
 
-def header_keys(levels: int) -> Column:
+def header_keys(levels: int | Column) -> Column:
     """An array of (mark, name) for the levels from 1 on."""
     return F.transform(
-        F.sequence(F.lit(1), F.lit(levels)),
+        F.sequence(F.lit(1), F.lit(levels) if isinstance(levels, int) else levels),
         lambda i: F.struct(
             F.repeat(F.lit("#"), i).alias("mark"), F.concat(F.lit("Header "), i.cast("string")).alias("name")
         ),

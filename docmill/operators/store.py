@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import time
-
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +14,7 @@ from ..functions.embedding import model_of
 from ..functions.retry import retrying
 from ..functions.vector import cosine_similarity
 from ..schema import DOCUMENTS, EMBEDDINGS, FINAL_CHUNK
+from .commits import Catalog, Session, read_table, session_scope
 
 _LEVELS = range(1, 7)
 _SCALARS = [f for f in FINAL_CHUNK.fields if f.name not in ("page_content", "headers")]
@@ -147,33 +146,76 @@ def embedded_counts(rows: DataFrame) -> DataFrame:
 _FAILURES = (PySparkException, Py4JError, OSError)
 
 
+def append_vectors(session: Session, rows: DataFrame, config: StoreConfig, documents: DataFrame | None = None) -> None:
+    """Write the embedded rows to the vector table, by collection, under the
+    session's number as version.
+
+    Of ``documents`` (``id``, ``embedded``) those without any vector get a row
+    without one, so that what they had before is no longer read."""
+    good = rows.filter(F.col("vector").isNotNull())
+    if "metadata" not in rows.columns:
+        good = good.withColumn("metadata", F.lit(None).cast("string"))
+    good = good.withColumn("version", F.lit(session.seq)).select(*EMBEDDINGS.fieldNames())
+    if documents is not None:
+        made = F.size(F.filter("embedded", lambda e: e["vector"].isNotNull()))
+        emptied = documents.filter(F.coalesce(made, F.lit(0)) <= 0)
+        values = {"collection_name": F.lit(config.collection_name), "document_id": F.col("id"), "version": F.lit(session.seq)}
+        good = good.unionByName(
+            emptied.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EMBEDDINGS.fields])
+        )
+    try:
+        session.append(config.path, good, ("collection_name",))
+    except _FAILURES as error:
+        raise DatabaseConnectionError(f"Failed to connect to database: {error}") from error
+
+
 def write_vectors(rows: DataFrame, config: StoreConfig) -> None:
-    """Append the embedded rows to the vector table, by collection, under a
-    version that is newer than all before."""
-    version = F.lit(time.time_ns())
-    columns = {"metadata": F.lit(None).cast("string")} if "metadata" not in rows.columns else {}
-    good = rows.filter(F.col("vector").isNotNull()).withColumns(columns | {"version": version})
+    """Append the embedded rows to the vector table in a commit of their own."""
     try:
-        good.select(*EMBEDDINGS.fieldNames()).write.mode("append").partitionBy("collection_name").parquet(config.path)
+        catalog = Catalog(rows.sparkSession, f"{config.path}/_commits")
+        with session_scope(catalog) as session:
+            append_vectors(session, rows, config)
     except _FAILURES as error:
         raise DatabaseConnectionError(f"Failed to connect to database: {error}") from error
 
 
 def read_vectors(spark: SparkSession, config: StoreConfig) -> DataFrame:
-    """The collection's vectors: of each document those of the newest version,
-    so that embedding a document again replaces all that it had."""
+    """The collection's committed vectors: of each document those of the newest
+    version, so that embedding a document again replaces all that it had.
+
+    The newest versions are found without texts and vectors, by partial
+    aggregates, and only then joined."""
     try:
-        table = spark.read.schema(EMBEDDINGS).parquet(config.path)
+        table = read_table(spark, config.path, EMBEDDINGS)
     except _FAILURES as error:
         raise DatabaseConnectionError(f"Failed to connect to database: {error}") from error
-    newest = F.max("version").over(Window.partitionBy("document_id"))
-    rows = table.filter(F.col("collection_name") == config.collection_name).withColumn("_newest", newest)
-    return rows.filter(F.col("version").eqNullSafe(F.col("_newest"))).drop("_newest")
+    rows = table.filter(F.col("collection_name") == config.collection_name)
+    newest = rows.groupBy(F.col("document_id").alias("doc")).agg(F.max("version").alias("newest"))
+    same = F.col("document_id").eqNullSafe(F.col("doc")) & F.col("version").eqNullSafe(F.col("newest"))
+    return rows.join(newest, same, "left_semi").filter(F.col("vector").isNotNull())
 
 
 def collection_info(spark: SparkSession, config: StoreConfig) -> DataFrame:
-    row = (config.collection_name, config.model_name, config.batch_size, config.use_jsonb)
-    return spark.createDataFrame([row], "collection_name string, model_name string, batch_size int, use_jsonb boolean")
+    """The settings, and for each collection of the vector table what it holds:
+    vectors and documents, newest versions only."""
+    try:
+        table = read_table(spark, config.path, EMBEDDINGS)
+    except _FAILURES as error:
+        raise DatabaseConnectionError(f"Failed to connect to database: {error}") from error
+    # Two levels of partial sums: a document's vectors of each version, then the newest.
+    by_version = table.groupBy("collection_name", "document_id", "version").agg(F.count("vector").alias("n"))
+    newest = by_version.groupBy("collection_name", "document_id").agg(F.max_by("n", "version").alias("n"))
+    held = newest.groupBy("collection_name").agg(
+        F.sum("n").alias("n_vectors"), F.count_if(F.col("n") > 0).alias("n_documents")
+    )
+    return held.select(
+        "collection_name",
+        F.lit(config.model_name).alias("model_name"),
+        F.lit(config.batch_size).alias("batch_size"),
+        F.lit(config.use_jsonb).alias("use_jsonb"),
+        "n_vectors",
+        "n_documents",
+    )
 
 
 def collection_of(slug: Column | str) -> Column:

@@ -8,6 +8,7 @@ of turn with a code fence.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +18,19 @@ from ..functions import text as tx
 from ..functions.html import first_heading, html_to_markdown
 from ..functions.vector import cosine_similarity
 from ..operators import inspect, store
+from ..operators.breaks import vector_breaks
 from ..operators.chunking import as_chunks, chunk_stats, explode_chunks, with_chunks
 from ..operators.combine import combine_small, final_metadata
+from ..operators.commits import read_table
 from ..operators.experimental import chunk_text
 from ..operators.headers import header_context, split_by_headers
-from ..operators.semantic import split_oversized, vector_breaks
+from ..operators.semantic import split_oversized
 from ..schema import DOCUMENTS, STATUSES
+from ..session import shared_path
 from ..sources import documents as sources
 from ..sources.pdf import join_pages
 from ..sources.route import source_kind
-from .lifecycle import process, reopen, taken_by
+from .lifecycle import Work, chunk, embedded, embedding_status, parse, process, reopen, resume, taken_by
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -680,9 +684,92 @@ def embedding_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("SELECT 'documents' AS collection_name, 'hashing-64' AS model_name, 100 AS batch_size, true AS use_jsonb")
+def _stored_vectors(spark: SparkSession, sf_dir: str) -> StoreConfig:
+    """The stored embeddings as a vector table: a collection for each label, five
+    to a document; every document of an odd number is then written again with
+    two."""
+    rows = _table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("label_"), "label").alias("collection_name"),
+        F.col("vec_id").cast("string").alias("vector_id"),
+        F.floor(F.col("vec_id") / 5).alias("document_id"),
+        (F.col("vec_id") % 5).cast("int").alias("chunk_index"),
+        F.concat(F.lit("vector "), "vec_id").alias("chunk_text"),
+        F.col("embedding").alias("vector"),
+    )
+    config = StoreConfig(shared_path(spark, "vectors"))
+    store.write_vectors(rows, config)
+    store.write_vectors(rows.filter("document_id % 2 = 1 AND chunk_index < 2"), config)
+    return config
+
+
+_STORED_SQL = """
+    SELECT 'label_' || label AS collection_name, vec_id::VARCHAR AS vector_id, vec_id // 5 AS document_id, vec_id % 5 AS chunk_index,
+           'vector ' || vec_id AS chunk_text, embedding
+    FROM embeddings e
+    WHERE vec_id // 5 % 2 = 0 OR vec_id % 5 < 2
+       OR NOT EXISTS (SELECT 1 FROM embeddings f WHERE f.label = e.label AND f.vec_id // 5 = e.vec_id // 5 AND f.vec_id % 5 < 2)
+"""
+
+
+@_query(
+    f"""
+    SELECT collection_name, 'hashing-64' AS model_name, 100 AS batch_size, true AS use_jsonb, count(*) AS n_vectors,
+           count(DISTINCT document_id) AS n_documents
+    FROM ({_STORED_SQL}) GROUP BY collection_name
+    """
+)
 def collection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.collection_info(spark, StoreConfig("unused"))
+    """What each collection of a written and reread vector table holds."""
+    return store.collection_info(spark, _stored_vectors(spark, sf_dir))
+
+
+@_query(
+    f"""
+    SELECT vector_id, document_id, chunk_index, chunk_text, round(list_sum(embedding::DOUBLE[]), 5) AS total
+    FROM ({_STORED_SQL}) WHERE collection_name = 'label_1'
+    """
+)
+def stored_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One collection of a written and reread vector table, newest versions."""
+    config = replace(_stored_vectors(spark, sf_dir), collection_name="label_1")
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    rows = store.read_vectors(spark, config).select(
+        "vector_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text", total.alias("total")
+    )
+    return rows.withColumn("total", F.round("total", 5))
+
+
+@_query("SELECT vec_id, label FROM embeddings WHERE vec_id % 100 = 7")
+def embeddings_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings of one document, taking every hundredth vector as its."""
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("document_id", F.col("vec_id") % 100)
+    return sources.embeddings_of(vectors, 7).select("vec_id", "label")
+
+
+@_query(
+    """
+    SELECT turn % 2 AS half, count(*) AS n, count(*) AS ids,
+           1 + CASE WHEN turn % 2 = 0 THEN 0 ELSE (SELECT count(*) FROM conversations WHERE turn % 2 = 0) END AS lowest,
+           CASE WHEN turn % 2 = 0 THEN count(*) ELSE (SELECT count(*) FROM conversations) END AS highest,
+           sum(length(text))::BIGINT AS chars
+    FROM conversations GROUP BY turn % 2
+    """
+)
+def created_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two inserts of conversation turns; ids go on without gaps."""
+    path = shared_path(spark, "documents")
+    turns = _table(spark, sf_dir, "conversations")
+    for half in (0, 1):
+        rows = turns.filter(F.col("turn") % 2 == half)
+        sources.append_documents(rows.select(F.concat(F.lit("half "), F.col("turn") % 2).alias("title"), F.col("text").alias("markdown")), path)
+    docs = read_table(spark, path, DOCUMENTS)
+    return docs.groupBy(F.split_part("title", F.lit(" "), F.lit(2)).cast("long").alias("half")).agg(
+        F.count("*").alias("n"),
+        F.count_distinct("id").alias("ids"),
+        F.min("id").alias("lowest"),
+        F.max("id").alias("highest"),
+        F.sum(F.length("markdown")).cast("long").alias("chars"),
+    )
 
 
 @_query("SELECT DISTINCT source, source || '_vdb' AS collection_name FROM documents")
@@ -829,6 +916,101 @@ def retry_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reopen(docs).select("id", "status")
 
 
+_GUARD_SQL = "CASE WHEN turn % 4 = 0 THEN '' WHEN turn % 4 = 1 THEN NULL WHEN turn % 4 = 2 THEN '  ' ELSE text END"
+
+
+def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as documents, of every four one with an empty, one without a, and
+    one with a blank text."""
+    text = F.expr(_GUARD_SQL)
+    values = {
+        "id": F.col("conv_id") * 1000 + F.col("turn"),
+        "title": F.lit("t"),
+        "markdown": text,
+        "created_at": F.current_timestamp(),
+        "updated_at": F.current_timestamp(),
+        "file_path": F.concat(F.lit("http://x/"), "conv_id", F.lit("/"), "turn"),
+        "status": F.when(F.col("conv_id") % 3 == 0, "pending").when(F.col("conv_id") % 3 == 1, "parsed").otherwise("chunked"),
+    }
+    return _table(spark, sf_dir, "conversations").select(
+        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields]
+    )
+
+
+@_query(
+    f"""
+    WITH t AS (SELECT conv_id * 1000 + turn AS id, conv_id % 3 AS s, {_GUARD_SQL} AS m FROM conversations)
+    SELECT id, CASE s WHEN 0 THEN CASE WHEN coalesce(m, '') = '' THEN 'failed' ELSE 'parsed' END
+                      WHEN 1 THEN 'parsed' ELSE 'chunked' END AS status,
+           CASE WHEN s = 0 AND coalesce(m, '') = '' THEN 'Parsing failed: Parsing resulted in empty content.' END AS failure,
+           CASE WHEN s = 0 AND coalesce(m, '') = '' THEN NULL ELSE m END AS markdown
+    FROM t
+    """
+)
+def parse_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that are empty or missing fail; blank ones pass this stage."""
+    docs = _guarded(spark, sf_dir)
+    contents = docs.select("file_path", "markdown")
+    bare = docs.withColumn("markdown", F.when(F.col("status") != "pending", F.col("markdown")))
+    return parse(bare, contents).select("id", "status", F.col("status_details").alias("failure"), "markdown")
+
+
+@_query(
+    f"""
+    WITH t AS (SELECT conv_id * 1000 + turn AS id, conv_id % 3 AS s, {_GUARD_SQL} AS m FROM conversations)
+    SELECT id, CASE s WHEN 0 THEN 'pending' WHEN 1 THEN CASE WHEN regexp_matches(coalesce(m, ''), '\\S') THEN 'chunked' ELSE 'failed' END
+                      ELSE 'failed' END AS status,
+           CASE WHEN s = 2 THEN 'Cannot embed doc ' || id || ', chunks are missing.'
+                WHEN s = 1 AND coalesce(m, '') = '' THEN 'Cannot chunk doc ' || id || ', markdown content is missing.'
+                WHEN s = 1 AND NOT regexp_matches(m, '\\S') THEN 'Chunking failed: Text cannot be empty' END AS failure
+    FROM t
+    """
+)
+def stage_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing Markdown, blank text and missing chunks fail before their stage."""
+    docs = _guarded(spark, sf_dir)
+    chunked = chunk(docs.filter("status <> 'chunked'"), ChunkConfig(enable_semantic=False))
+    bare = docs.filter("status = 'chunked'")
+    done = embedding_status(embedded(bare, StoreConfig("unused")))
+    return chunked.unionByName(done).select("id", "status", F.col("status_details").alias("failure"))
+
+
+@_query(
+    """
+    SELECT conv_id, turn::INT AS chunk_index, conv_id AS original_doc_id, 'Talk ' || conv_id AS original_doc_title,
+           'Talk ' || conv_id || ' > Conversation ' || conv_id || ' > ' || role AS section_path
+    FROM conversations
+    """
+)
+def traced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored chunk's metadata names its document."""
+    title = F.concat(F.lit("Talk "), "conv_id")
+    rows = _turn_chunks(spark, sf_dir).select(
+        "conv_id", title.alias("title"), final_metadata(F.col("chunks"), title).alias("chunks")
+    )
+    vectors = store.embed_chunks(rows, StoreConfig("unused"), "conv_id", "title")
+    known = F.from_json("metadata", "original_doc_id long, original_doc_title string, section_path string")
+    return vectors.select(F.col("document_id").alias("conv_id"), "chunk_index", known.alias("m")).select("conv_id", "chunk_index", "m.*")
+
+
+@_query(
+    """
+    SELECT conv_id, turn, repeat('#', i::INT) AS mark, 'Header ' || i AS name
+    FROM (SELECT conv_id, turn, unnest(range(1, turn % 6 + 2)) AS i FROM conversations)
+    """
+)
+def header_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.inline(tx.header_keys((F.col("turn") % 6 + 1).cast("int")))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", keys)
+
+
+@_query("SELECT doc_id, length(replace(text, ' ', ''))::INT AS chars, md5(replace(text, ' ', '')) AS digest FROM documents")
+def nul_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a NUL for each space, without them."""
+    bare = tx.remove_nul(F.translate("text", " ", "\0"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length(bare).alias("chars"), F.md5(bare).alias("digest"))
+
+
 def _page_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every page as a pending document, and its Markdown.
 
@@ -976,6 +1158,39 @@ def ingest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("vector_id", "document_id", "chunk_index", F.length("chunk_text").alias("chars"), "error")
 
 
+@_query(
+    f"""
+    WITH RECURSIVE {_PAGE_SECTIONS_SQL}, {_CHUNKED_SQL}, counts AS (
+        SELECT conv_id AS page_id, count(*) AS n, sum(length(c.content))::BIGINT AS chars FROM merged GROUP BY conv_id
+    )
+    SELECT page_id AS id, CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status,
+           CASE WHEN page_id % 5 = 0 THEN 'Parsing failed: Unsupported file type for: note.docx'
+                ELSE 'Successfully embedded ' || n || ' chunks.' END AS details,
+           coalesce(n, 0) AS n_vectors, coalesce(chars, 0) AS chars
+    FROM pages LEFT JOIN counts USING (page_id)
+    """
+)
+def resume_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through a run that ends while it embeds, then through one that
+    goes on from its folder: every document's state, and the vectors committed
+    with it."""
+    docs, contents = _page_documents(spark, sf_dir)
+    path = shared_path(spark, "resumed")
+    config, work = StoreConfig(f"{path}/vectors"), Work(spark, f"{path}/work")
+    work.enter(docs, contents)
+    for stage in ("parsing", "chunking"):
+        work.run(stage, config, ChunkConfig())
+    work.mark("embedding")  # and there that run ends
+    done = resume(spark, config, work.path).documents
+    vectors = store.read_vectors(spark, config).groupBy(F.col("document_id").alias("id")).agg(
+        F.count("*").alias("n_vectors"), F.sum(F.length("chunk_text")).alias("chars")
+    )
+    zero = F.lit(0).cast("long")
+    return done.select("id", "status", F.col("status_details").alias("details")).join(vectors, "id", "left").select(
+        "id", "status", "details", F.coalesce("n_vectors", zero).alias("n_vectors"), F.coalesce("chars", zero).alias("chars")
+    )
+
+
 # -- alternative chunkers ---------------------------------------------------
 
 
@@ -1045,5 +1260,75 @@ def recursive_markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def budget_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = F.posexplode(chunk_text("text", "budget")).alias("ordinal", "piece")
+    return _table(spark, sf_dir, "documents").select("doc_id", pieces)
+
+
+#: A text's sentences, each with the whitespace after it.
+_WHOLE_SENTENCES_SQL = r"""
+    list_filter(string_split(regexp_replace(text, '([.?!][\s\x0b\x1c-\x1f\x{85}\x{a0}]+)', '\1' || chr(2), 'g'), chr(2)), lambda x: x <> '')
+"""
+
+#: Split sizes under a threshold: totals are counted up to each split.
+_SIZES_SQL = """
+    list_transform(range(1, len(list_filter(range(1, n), lambda i: sims[i] < {t})) + 2), lambda j:
+        cum[list_concat(list_filter(range(1, n), lambda i: sims[i] < {t}), [n])[j] + 1]
+        - cum[list_concat([0], list_filter(range(1, n), lambda i: sims[i] < {t}))[j] + 1])
+"""
+
+
+@_query(
+    rf"""
+    WITH RECURSIVE texts AS MATERIALIZED (
+        SELECT doc_id AS k, unnest({_WHOLE_SENTENCES_SQL}) AS txt, generate_subscripts({_WHOLE_SENTENCES_SQL}, 1) AS i FROM documents
+    ), dims AS (
+        SELECT k, i, ('0x' || substr(h, 15, 2))::INT & 63 AS d, sum(CASE WHEN substr(h, 1, 1) >= '8' THEN 1 ELSE -1 END)::DOUBLE AS x
+        FROM (SELECT k, i, md5(unnest(regexp_extract_all(lower(txt), '[\p{{L}}\p{{N}}_]+'))) AS h FROM texts) GROUP BY ALL
+    ), unit AS MATERIALIZED (
+        SELECT k, i, d, x / sqrt(sum(x * x) OVER (PARTITION BY k, i)) AS u FROM dims QUALIFY sum(x * x) OVER (PARTITION BY k, i) > 0
+    ), context AS (
+        SELECT k, i + s AS i, d, sum(u) AS u FROM unit, (VALUES (1), (2)) AS b(s) GROUP BY ALL
+    ), lengths AS (SELECT k, i, sqrt(sum(u * u)) AS norm FROM context GROUP BY k, i),
+    dots AS (
+        SELECT c.k, c.i, sum(c.u * v.u) AS dot FROM context c JOIN unit v ON v.k = c.k AND v.i = c.i AND v.d = c.d GROUP BY c.k, c.i
+    ), sims AS (
+        SELECT t.k, t.i, t.txt, len(regexp_extract_all(txt, '\S+')) AS words,
+               round(CASE WHEN norm > 1e-9 THEN coalesce(dot, 0) / norm ELSE 0 END, 9) AS sim
+        FROM texts t LEFT JOIN dots USING (k, i) LEFT JOIN lengths USING (k, i)
+    ), docs AS MATERIALIZED (
+        SELECT k, count(*) AS n, list(sim ORDER BY i)[2:] AS sims,
+               list_concat([0::BIGINT], list_transform(range(1, count(*) + 1), lambda j: list_sum(list(words ORDER BY i)[1:j])::BIGINT)) AS cum,
+               round(median(sim) FILTER (i > 1), 9) AS mid, round(stddev_pop(sim) FILTER (i > 1), 9) AS dev
+        FROM sims GROUP BY k
+    ), found AS (
+        SELECT k, n, sims, cum, greatest(0.0, mid - dev) AS low, least(1.0, mid + dev) AS high, NULL::DOUBLE AS thr, false AS done
+        FROM docs WHERE n > 1
+        UNION ALL
+        SELECT k, n, sims, cum, CASE WHEN m > 2010 OR m BETWEEN 200 AND 2010 THEN t + 0.01 ELSE low END,
+               CASE WHEN m < 200 THEN t - 0.01 ELSE high END, t, m BETWEEN 190 AND 2010
+        FROM (SELECT *, list_median({_SIZES_SQL.format(t="t")}) AS m
+              FROM (SELECT *, (low + high) / 2 AS t FROM found WHERE NOT done AND low <= high))
+    ), splits AS (
+        SELECT k, thr FROM found WHERE thr IS NOT NULL AND (done OR low > high)
+    ), s AS MATERIALIZED (
+        SELECT a.k, a.i, a.txt, a.words, coalesce(b.sim < thr, false) AS ends
+        FROM sims a LEFT JOIN sims b ON b.k = a.k AND b.i = a.i + 1 LEFT JOIN splits ON splits.k = a.k
+    ), walk AS (
+        SELECT k, i, 0 AS piece, CASE WHEN ends AND words BETWEEN 200 AND 1999 THEN 0 ELSE words END AS size,
+               ends AND words BETWEEN 200 AND 1999 AS closed
+        FROM s WHERE i = 1
+        UNION ALL
+        SELECT k, i, piece + over::INT,
+               CASE WHEN splits THEN 0 WHEN over THEN words ELSE size + words END, splits
+        FROM (SELECT *, NOT splits AND size + words > 2000 AND size >= 200 AS over
+              FROM (SELECT s.k, s.i, w.piece + w.closed::INT AS piece, w.size, s.words,
+                           s.ends AND w.size + s.words BETWEEN 200 AND 1999 AS splits
+                    FROM walk w JOIN s ON s.k = w.k AND s.i = w.i + 1))
+    )
+    SELECT k AS doc_id, piece AS ordinal, replace(string_agg(txt, '' ORDER BY i), chr(0), '') AS piece
+    FROM walk JOIN s USING (k, i) GROUP BY k, walk.piece
+    """
+)
+def statistical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.posexplode(chunk_text("text", "semantic")).alias("ordinal", "piece")
     return _table(spark, sf_dir, "documents").select("doc_id", pieces)

@@ -14,13 +14,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, StoreConfig
 from ..functions.text import title_anywhere
 from ..operators.chunking import unused, with_chunks
-from ..operators.store import embedded_rows, with_embeddings, write_vectors
+from ..operators.commits import Catalog, Session, read_table, session_scope
+from ..operators.store import append_vectors, embedded_rows, with_embeddings
 from ..schema import STATUS_LOG
 from ..sources.documents import latest_status, log_status
 from ..sources.route import source_kind
@@ -151,23 +152,27 @@ class StatusLog:
     """The append-only log of statuses in a folder."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self._spark, self._path = spark, path
+        self._spark, self.path = spark, path
 
-    def append(self, docs: DataFrame, status: str | None = None) -> None:
+    def append(self, session: Session, docs: DataFrame, status: str | None = None) -> None:
         """The documents' statuses, or the one given for all, as the newest."""
         rows = docs.withColumns({"status": F.lit(status), "status_details": F.lit(None).cast("string")}) if status else docs
-        log_status(rows, time.time_ns()).write.mode("append").parquet(self._path)
+        session.append(self.path, log_status(rows, session.seq))
+
+    def rows(self) -> DataFrame:
+        return read_table(self._spark, self.path, STATUS_LOG)
 
     def latest(self) -> DataFrame:
-        return latest_status(self._spark.read.schema(STATUS_LOG).parquet(self._path))
+        return latest_status(self.rows())
 
 
 @dataclass(frozen=True)
 class StageTime:
-    """How long a stage took, and over how many documents."""
+    """How long a stage took, over how many documents, and how many failed."""
 
     stage: str
     documents: int
+    failures: int
     seconds: float
 
 
@@ -178,6 +183,113 @@ class Outcome:
     times: list[StageTime]
 
 
+#: The column that tells of which commit a stored row is.
+_SEQ = "_docmill_seq"
+
+STAGES = ("parsing", "chunking", "embedding")
+
+
+class Work:
+    """The tables of a work folder: documents, their parsed contents, the status
+    log.  Each stage appends the new rows of the documents that it took, so a
+    document's row is the one of its newest commit.  ``catalog`` says where commits
+    are kept, by default in the folder itself."""
+
+    def __init__(self, spark: SparkSession, path: str, catalog: Catalog | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.catalog = catalog or Catalog(spark, f"{self.path}/_commits")
+        self.documents, self.contents = f"{self.path}/documents", f"{self.path}/contents"
+        self.log = StatusLog(spark, f"{self.path}/status_log")
+
+    def begun(self) -> bool:
+        return self.documents in self.catalog.manifest().tables
+
+    def enter(self, docs: DataFrame, contents: DataFrame) -> None:
+        """Store documents and what the sources parsed, so that the folder alone
+        is enough to go on from."""
+        with session_scope(self.catalog) as session:
+            seq = F.lit(session.seq)
+            session.append(self.documents, docs.withColumn(_SEQ, seq))
+            session.append(self.contents, contents.select("file_path", "markdown").withColumn(_SEQ, seq))
+
+    def newest_contents(self) -> DataFrame:
+        rows = self.catalog.read(self.contents)
+        newest = rows.groupBy("file_path").agg(F.max(_SEQ).alias(_SEQ))
+        return rows.join(newest, ["file_path", _SEQ], "left_semi").drop(_SEQ)
+
+    def current(self) -> DataFrame:
+        """The documents as the log and the stages' rows leave them, with
+        ``stopped``: whether a stage took the document and never came to its end;
+        its status is then that of the stage.
+
+        Which row is a document's newest is found from ids and numbers alone, by
+        partial aggregates; whole rows are joined once with the result."""
+        now = self.catalog.manifest()
+        rows = self.catalog.read(self.documents, at=now)
+        begun = self.catalog.read(self.log.path, STATUS_LOG, now).filter(F.col("status").isin(*STAGES))
+        seen = rows.select("id", F.col(_SEQ).alias("own"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("long").alias("at"))
+        marks = begun.select("id", F.lit(None).cast("long").alias("own"), F.col("status").alias("stage"), F.col("seq").alias("at"))
+        state = seen.union(marks).groupBy("id").agg(
+            F.max("own").alias(_SEQ), F.max_by("stage", "at").alias("stage"), F.max("at").alias("at")
+        )
+        stopped, stage = unused("stopped", rows.columns), unused("stage", rows.columns)
+        state = state.select("id", _SEQ, (F.coalesce(F.col("at") > F.col(_SEQ), F.lit(False))).alias(stopped), F.col("stage").alias(stage))
+        found = rows.join(state, ["id", _SEQ]).withColumn("status", F.when(F.col(stopped), F.col(stage)).otherwise(F.col("status")))
+        columns = [c for c in rows.columns if c != _SEQ]
+        return found.select(*columns, F.col(stopped).alias("stopped" if "stopped" not in columns else stopped))
+
+    def table(self) -> DataFrame:
+        """The current documents, in their own columns."""
+        now = self.current()
+        return now.drop(now.columns[-1])
+
+    def reopen(self, failed: bool = False) -> None:
+        """Put documents whose stage never came to its end back to its beginning,
+        with ``failed`` also those that failed."""
+        now = self.current()
+        stuck = F.col(now.columns[-1])
+        chosen = now.filter(stuck | (F.col("status") == "failed") if failed else stuck).drop(now.columns[-1])
+        begins = set_status(reopen(chosen), F.col("status") == "parsing", "pending")
+        with session_scope(self.catalog) as session:
+            stored = session.append(self.documents, begins.withColumn(_SEQ, F.lit(session.seq)))
+            self.log.append(session, stored)
+
+    def mark(self, stage: str) -> int:
+        """Log the documents that a stage takes as being in it; their number."""
+        seen = Observation()
+        opened = self.table().filter(taken_by(stage)).observe(seen, F.count("*").alias("n"))
+        with session_scope(self.catalog) as session:
+            self.log.append(session, opened, stage)
+        return seen.get["n"]
+
+    def run(self, stage: str, store: StoreConfig, config: ChunkConfig) -> StageTime:
+        """One stage over the documents that are open for it.
+
+        They are logged first; then the stage's rows, statuses and vectors are
+        written and committed together.  Counts are observed while rows are
+        written."""
+        start = time.monotonic()
+        # Of the commits up to now: the marks that follow don't change it.
+        opened = self.table().filter(taken_by(stage))
+        n = self.mark(stage)
+        if not n:
+            return StageTime(stage, 0, 0, time.monotonic() - start)
+        seen = Observation()
+        with session_scope(self.catalog) as session:
+            if stage == "parsing":
+                after = parse(opened, self.newest_contents())
+            elif stage == "chunking":
+                after = chunk(opened, config)
+            else:
+                done = session.scratch(embedded(opened, store), self.path)
+                append_vectors(session, embedded_rows(done, store), store, done)
+                after = embedding_status(done)
+            counted = after.observe(seen, F.count_if(F.col("status") == "failed").alias("failures"))
+            stored = session.append(self.documents, counted.withColumn(_SEQ, F.lit(session.seq)))
+            self.log.append(session, stored)
+        return StageTime(stage, n, seen.get["failures"], time.monotonic() - start)
+
+
 def ingest(
     docs: DataFrame,
     contents: DataFrame,
@@ -185,36 +297,38 @@ def ingest(
     work: str,
     config: ChunkConfig = ChunkConfig(),
     retry: bool = False,
+    catalog: Catalog | None = None,
 ) -> Outcome:
-    """All stages, each computed once, written under ``work`` and read again.
-
-    Before a stage, the documents that it takes are logged as being in it; after
-    it, with what came of them.  So a run that dies leaves them, in the log, in
-    the state that ``reopen`` knows.  Vectors are written before the statuses
-    that tell of them."""
-    spark = docs.sparkSession
-    log, times = StatusLog(spark, f"{work}/status_log"), []
-    now = reopen(docs) if retry else docs
-    taken = unused("taken", docs.columns)
-    now = _written(now, f"{work}/documents")
-    for name, run in (
-        ("parsing", lambda df: parse(df, contents)),
-        ("chunking", lambda df: chunk(df, config)),
-        ("embedding", lambda df: embedded(df, store)),
-    ):
-        start = time.monotonic()
-        opened = now.filter(taken_by(name))
-        log.append(opened, name)
-        after = _written(run(now.withColumn(taken, taken_by(name))), f"{work}/{name}")
-        if name == "embedding":
-            write_vectors(embedded_rows(after, store), store)
-            after = embedding_status(after)
-        log.append(after.filter(taken))
-        now = after.drop(taken)
-        times.append(StageTime(name, opened.count(), time.monotonic() - start))
-    return Outcome(now, log, times)
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Take documents into the work folder and through all stages.
+
+    Before a stage, the documents that it takes are logged as being in it; what
+    came of them is committed together with its vectors.  A run that dies leaves no
+    half of a stage, and ``resume`` goes on from the folder alone."""
+    place = Work(docs.sparkSession, work, catalog)
+    place.enter(reopen(docs) if retry else docs, contents)
+    return _advance(place, store, config)
+
+
+def resume(
+    spark: SparkSession,
+    store: StoreConfig,
+    work: str,
+    config: ChunkConfig = ChunkConfig(),
+    retry: bool = False,
+    catalog: Catalog | None = None,
+) -> Outcome:
+    """Go on with what a run left in its work folder.
+
+    Documents that it died with in the middle of a stage begin that stage again,
+    with ``retry`` those that failed begin anew; stages that were committed aren't
+    run again."""
+    place = Work(spark, work, catalog)
+    if not place.begun():
+        raise ValueError(f"no documents were taken into {work}")
+    place.reopen(retry)
+    return _advance(place, store, config)
+
+
+def _advance(place: Work, store: StoreConfig, config: ChunkConfig) -> Outcome:
+    times = [place.run(stage, store, config) for stage in STAGES]
+    return Outcome(place.table(), place.log, times)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -37,3 +39,15 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._docmill_shipped = True
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A path of its own in the folder that the driver and all executors share,
+    which a cluster names in ``spark.checkpoint.dir``; without it a local session
+    gets one of this machine, any other an error."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        given = f"file://{tempfile.gettempdir()}/docmill-shared"
+    return f"{given.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -1,7 +1,8 @@
 """Incremental ingestion: each micro-batch of new pages goes through the
 lifecycle, stage by stage.  Its documents are written under the batch's number
 and its vectors under a new version, so that a batch that runs again replaces its
-own output.  The status log of a batch stays beside its documents."""
+own output; a batch whose run died goes on where that one stopped.  The status
+log of a batch stays beside its documents."""
 
 from __future__ import annotations
 
@@ -11,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ChunkConfig, StoreConfig
 from ..functions.html import html_to_markdown
-from ..plans.lifecycle import ingest
+from ..operators.commits import Catalog
+from ..plans.lifecycle import Work, ingest, resume
 from ..schema import DOCUMENTS
 
 
@@ -37,7 +39,12 @@ def ingest_pages(
             *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields]
         )
         contents = rows.select(path.alias("file_path"), html_to_markdown("html").alias("markdown"))
-        outcome = ingest(docs, contents, store, f"{documents_path}/_work/batch={number}", config)
+        work, catalog = f"{documents_path}/_work/batch={number}", Catalog(rows.sparkSession, f"{documents_path}/_commits")
+        place = Work(rows.sparkSession, work, catalog)
+        if place.begun():
+            outcome = resume(rows.sparkSession, store, work, config, catalog=catalog)
+        else:
+            outcome = ingest(docs, contents, store, work, config, catalog=catalog)
         outcome.documents.write.mode("overwrite").parquet(f"{documents_path}/batch={number}")
 
     return (
