@@ -24,6 +24,7 @@ from ..operators.combine import combine_small, final_metadata
 from ..operators.commits import read_table
 from ..operators.experimental import chunk_text
 from ..operators.headers import header_context, split_by_headers
+from ..operators.index import build_index, search_index
 from ..operators.semantic import split_oversized
 from ..schema import DOCUMENTS, STATUSES
 from ..session import shared_path
@@ -807,6 +808,24 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
+@_query(
+    """
+    WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (
+        SELECT query, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], e) AS similarity FROM embeddings, q
+    )
+    SELECT query, id, round(similarity, 6) AS similarity,
+           row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id)::INT AS place
+    FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) <= 10
+    """
+)
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector asks an index of all, all of its lists."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    built = build_index(vectors, shared_path(spark, "vector-index"))
+    near = search_index(vectors.filter("vec_id % 100 = 0"), built, 10, probes=len(built.centroids))
+    return near.withColumn("similarity", F.round("similarity", 6))
+
+
 @_query(
     r"""
     SELECT doc_id, len(string_split(regexp_replace(text, '([.?!])\s+', '\1' || chr(31), 'g'), chr(31))) AS n_sentences
@@ -1176,7 +1195,7 @@ def resume_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     with it."""
     docs, contents = _page_documents(spark, sf_dir)
     path = shared_path(spark, "resumed")
-    config, work = StoreConfig(f"{path}/vectors"), Work(spark, f"{path}/work")
+    config, work = StoreConfig(f"{path}/vectors"), Work(spark, f"{path}/work", tidy=True)
     work.enter(docs, contents)
     for stage in ("parsing", "chunking"):
         work.run(stage, config, ChunkConfig())

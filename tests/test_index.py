@@ -1,0 +1,76 @@
+"""Search by inverted lists against full comparison."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docmill.operators import index as I
+
+
+def table(spark, n=3000, size=16, seed=2):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(25, size))
+    rows = centers[rng.integers(0, 25, n)] + 0.35 * rng.normal(size=(n, size))
+    rows[5] = rows[6]
+    data = [(int(i), [float(x) for x in r]) for i, r in enumerate(rows)]
+    data += [(n, None), (n + 1, [0.0] * size), (n + 2, [1.0] * (size - 1)), (7, data[7][1])]
+    return spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4), data
+
+
+def brute(data, queries, k, size=16):
+    fit = [(i, np.array(v)) for i, v in data if v is not None and len(v) == size and any(v)]
+    rows = np.array([v / np.linalg.norm(v) for _, v in fit])
+    out = {}
+    for q, v in queries:
+        s = rows @ (np.array(v) / np.linalg.norm(v))
+        order = sorted(range(len(fit)), key=lambda r: (-s[r], fit[r][0]))[:k]
+        out[q] = [(fit[r][0], s[r]) for r in order]
+    return out
+
+
+def by_query(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query"], r["place"])):
+        out.setdefault(r["query"], []).append((r["id"], r["similarity"]))
+    return out
+
+
+@pytest.mark.parametrize("block", [50_000, 40])
+def test_all_lists_give_the_full_answer(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(I, "BLOCK_ROWS", block)
+    df, data = table(spark, 600)
+    index = I.build_index(df, str(tmp_path / "i"), lists=9)
+    assert index.blocks.max() > 1 or block > 600
+    got = by_query(I.search_index(df.filter("vec_id % 50 = 0"), I.open_index(spark, index.path), 10, 9))
+    want = brute(data, [(i, v) for i, v in data if i % 50 == 0 and v is not None and any(v)], 10)
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-9)
+        assert {i for i, _ in got[q]} == {i for i, _ in want[q]}
+
+
+def test_recall_and_files_read(spark, tmp_path):
+    df, data = table(spark)
+    index = I.build_index(df, str(tmp_path / "i"))
+    queries = df.filter("vec_id % 100 = 0 AND vec_id < 3000")
+    want = brute(data, [(i, v) for i, v in data if i % 100 == 0 and i < 3000], 10)
+    got = by_query(I.search_index(queries, index, 10, 8))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert len(got) == 30 and hits >= 0.95 * 10 * len(want)
+    one = I.search_index(queries.filter("vec_id = 0"), index, 10, 2)
+    one.collect()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "list" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    named = [r["list"] for r in I._asked(queries.filter("vec_id = 0").selectExpr("vec_id query", "embedding vector"), index, 2).collect()]
+    rows = spark.read.parquet(f"{index.path}/lists")
+    files = rows.select(F.input_file_name()).distinct()
+    assert len(named) == 2 and files.count() >= len(index.centroids) > 40
+    assert rows.filter(F.col("list").isin(named)).select(F.input_file_name()).distinct().count() <= 2 * 2
+
+
+def test_nothing_to_find(spark, tmp_path):
+    df, _ = table(spark, 20)
+    index = I.build_index(df.limit(0), str(tmp_path / "e"))
+    assert I.search_index(df, index).count() == 0
+    full = I.build_index(df, str(tmp_path / "f"))
+    assert I.search_index(df.filter("vec_id >= 20"), full).count() == 0
