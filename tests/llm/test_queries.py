@@ -223,3 +223,22 @@ def test_op10_license_scan(spark, docs, tmp_path):
         assert r["labels"] == ",".join(sorted(base | labels)), text
         assert 0 <= r["score"] <= 1 and (r["score"] >= 0.8) == bool(r["labels"])
     assert got[60_000]["labels"] == "cc-by-sa" and named > 250
+
+
+@pytest.mark.parametrize("name", ["op11_merkle", "op13_fim"])
+def test_queries_match_their_sql(spark, tmp_path, name):
+    """Over the table's rows, and over made-up ones with nulls and marks."""
+    import duckdb
+
+    made = [(1, None, None, None, None), (2, "<P> x", "en", "s", 5), (3, "", "en", None, 0), (9, "a b\nc é<S", None, "s", 9), (9, "a b", "de", "s", 3)]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    for folder, files in ((DATA, f"{DATA}/documents.parquet"), (str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet")):
+        db = duckdb.connect()
+        db.sql(f"create view documents as select * from '{files}'")
+        found = queries.queries()[name](spark, folder)
+        want = db.sql(queries.ORACLE_SQL[name])
+        assert sorted(found.columns) == sorted(want.columns)
+        got = found.select(*want.columns).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
