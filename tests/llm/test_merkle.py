@@ -62,7 +62,7 @@ def run(spark, rows):
     return sorted(map(tuple, made.select(*cols).collect()), key=str)
 
 
-@pytest.mark.parametrize("levels", [1, 2, 10])
+@pytest.mark.parametrize("levels", [1, 10])
 def test_equals_plain_trees(spark, monkeypatch, levels):
     """Steps of one or two levels stand for groups of many blocks."""
     monkeypatch.setattr(M, "LEVELS", levels)
@@ -72,13 +72,16 @@ def test_equals_plain_trees(spark, monkeypatch, levels):
     assert run(spark, rows) == plain(rows)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 9])
-def test_sizes_of_one_group(spark, monkeypatch, n):
+def test_groups_of_many_sizes(spark, monkeypatch):
     monkeypatch.setattr(M, "LEVELS", 2)
-    rows = [(i, "s", "en", 1, "t" * i) for i in range(n)]
+    rows = [(i, "s", f"g{n}", 1, "t" * i) for n in (1, 2, 3, 4, 5, 8, 9, 16, 17) for i in range(n)]
     assert run(spark, rows) == plain(rows)
 
 
+def test_one_row(spark):
+    assert run(spark, [(1, "s", "en", 1, "t")]) == plain([(1, "s", "en", 1, "t")])
+
+
 def test_sort_merge_joins_and_many_groups(spark, monkeypatch):
     monkeypatch.setattr(M, "LEVELS", 1)
     monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
