@@ -29,6 +29,7 @@ from ..operators.semantic import split_oversized
 from ..schema import DOCUMENTS, STATUSES
 from ..session import shared_path
 from ..sources import documents as sources
+from ..sources.clustered import read_ids, write_clustered
 from ..sources.pdf import join_pages
 from ..sources.route import source_kind
 from .lifecycle import Work, chunk, embedded, embedding_status, parse, process, reopen, resume, taken_by
@@ -740,6 +741,14 @@ def stored_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("total", F.round("total", 5))
 
 
+@_query("SELECT * FROM documents WHERE doc_id IN (3, 42, 171)")
+def clustered_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three documents by their ids, from a table clustered by id."""
+    path = shared_path(spark, "clustered")
+    write_clustered(_table(spark, sf_dir, "documents"), path, "doc_id")
+    return read_ids(spark, path, "doc_id", [3, 42, 171])
+
+
 @_query("SELECT vec_id, label FROM embeddings WHERE vec_id % 100 = 7")
 def embeddings_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings of one document, taking every hundredth vector as its."""
