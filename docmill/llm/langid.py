@@ -51,7 +51,10 @@ BLOCK_UNITS = 200_000
 
 UNKNOWN = "und"
 
-_UNITS = re.compile(rf"[^\W\d_]{{1,{UNIT_LETTERS}}}").finditer
+_UNITS = re.compile(rf"[^\W\d_]{{1,{UNIT_LETTERS}}}")
+
+#: Characters of a text up to which its units are taken at once.
+_SHORT = 1 << 20
 
 
 def held_out(id_col: str) -> Column:
@@ -60,7 +63,18 @@ def held_out(id_col: str) -> Column:
 
 
 def units_of(text: str) -> Iterator[bytes]:
-    return (b" " + m.group().encode() for m in _UNITS(text.lower()))
+    return (b" " + m.group().encode() for m in _UNITS.finditer(text.lower()))
+
+
+def _blocks(text: str) -> Iterator[list[str]]:
+    """The units of a text, without the space, in blocks."""
+    if len(text) <= _SHORT:
+        if block := _UNITS.findall(text.lower()):
+            yield block
+        return
+    found = (m.group() for m in _UNITS.finditer(text.lower()))
+    while block := list(islice(found, BLOCK_UNITS)):
+        yield block
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -111,6 +125,101 @@ class Lattices:
         return counts
 
 
+class PieceTable:
+    """Piece numbers of many byte strings at once, by 64-bit hashes that roll over
+    a unit: a table of slots, and further ones for pieces whose slot was taken."""
+
+    _FACTOR = 0x9E3779B97F4A7C15
+    _BITS = 20
+
+    def __init__(self, pieces: dict[bytes, int]):
+        self.longest = max(map(len, pieces))
+        self.lengths = sorted({len(p) for p in pieces})
+        self._sizes = np.array([len(p) for p in pieces], float)
+        self.hashes = np.array([self._hash(p) for p in pieces], np.uint64)
+        self._powers = np.array([pow(self._FACTOR, k, 2**64) for k in range(self.longest + 1)], np.uint64)
+        self._tables: list[tuple[np.uint64, np.ndarray]] = []
+        left = np.arange(len(pieces), dtype=np.int32)
+        while len(left):
+            spread = np.uint64(pow(0xBF58476D1CE4E5B9, 2 * len(self._tables) + 1, 2**64))
+            slots = self._slots(self.hashes[left], spread)
+            table = np.full(1 << self._BITS, -1, np.int32)
+            table[slots] = left
+            self._tables.append((spread, table))
+            left = left[table[slots] != left]
+
+    def _hash(self, piece: bytes) -> int:
+        h = 0
+        for byte in piece:
+            h = (h * self._FACTOR + byte + 1) % 2**64
+        return h
+
+    def _slots(self, hashes: np.ndarray, spread: np.uint64) -> np.ndarray:
+        return (hashes * spread) >> np.uint64(64 - self._BITS)
+
+    def rolled(self, units: list[bytes], width: int) -> np.ndarray:
+        """The hashes of all beginnings (place, row) of units of at most ``width`` bytes."""
+        rows = np.frombuffer(b"".join(u.ljust(width, b"\0") for u in units), np.uint8).reshape(len(units), width)
+        out = np.zeros((width + 1, len(units)), np.uint64)
+        for k in range(width):
+            out[k + 1] = out[k] * np.uint64(self._FACTOR) + rows[:, k] + np.uint64(1)
+        return out
+
+    def find(self, rolled: np.ndarray, start: int, end: int) -> np.ndarray:
+        """For each row the number of the piece from ``start`` to ``end``, or -1."""
+        hashes = rolled[end] - rolled[start] * self._powers[end - start]
+        out = np.full(len(hashes), -1, np.int32)
+        for spread, table in self._tables:
+            found = table[self._slots(hashes, spread)]
+            hit = (self.hashes[found] == hashes) & (found >= 0)
+            out[hit] = found[hit]
+        return out
+
+    def scaled(self, logs: np.ndarray) -> np.ndarray:
+        """Probabilities times ``exp(SCALE)`` for each byte of a piece."""
+        return np.exp(logs + SCALE * self._sizes[:, None])
+
+
+#: By how much the sums are scaled up for each byte, so that those of long units
+#: don't vanish; where they do, they are taken again in logarithms.
+SCALE = 4.0
+
+#: Units up to these many bytes are worked on together.
+WIDTHS = [6, 8, 10, 12, 15, 19, 25, 34]
+
+
+def unit_sums(units: list[bytes], pieces: dict[bytes, int], table: PieceTable, scaled: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all cuts of each unit (unit, language)."""
+    sizes = np.array([len(u) for u in units])
+    out = np.empty((len(units), logs.shape[1]))
+    low = 0
+    while low < sizes.max():
+        width = next((w for w in WIDTHS if w > low), 0) or int(sizes[sizes > low].min())
+        rows = np.flatnonzero((sizes > low) & (sizes <= width))
+        low = width
+        if not len(rows):
+            continue
+        rolled = table.rolled([units[i] for i in rows], width)
+        sums = np.zeros((width + 1, len(rows), logs.shape[1]))
+        sums[0] = 1
+        for end in range(1, width + 1):
+            for size in table.lengths:
+                if size > end:
+                    break
+                ids = table.find(rolled, end - size, end)
+                at = np.flatnonzero(ids >= 0)
+                if len(at):
+                    sums[end, at] += sums[end - size, at] * scaled[ids[at]]
+        whole = sums[sizes[rows], np.arange(len(rows))]
+        with np.errstate(divide="ignore"):
+            out[rows] = np.log(whole) - SCALE * sizes[rows, None]
+    lost = np.flatnonzero(~np.isfinite(out).all(1))
+    for places in by_length([units[i] for i in lost]):
+        at = lost[places]
+        out[at] = Lattices([units[i] for i in at], pieces, table.longest).forward(logs)[-1]
+    return out
+
+
 def by_length(units: list[bytes]) -> list[list[int]]:
     places = defaultdict(list)
     for i, unit in enumerate(units):
@@ -130,38 +239,34 @@ class LanguageModel:
 
     def scorer(self) -> Callable[[list[str]], list[tuple[str, float]]]:
         pieces = read_vocabulary(self.vocabulary)
-        longest = max(map(len, pieces))
-        logs = self.logs.astype(float)
-        known: dict[bytes, int] = {}
-        table = np.empty((1024, len(self.languages)))
+        table, logs = PieceTable(pieces), self.logs.astype(float)
+        scaled = table.scaled(logs)
+        known: dict[str, int] = {}
+        found = np.empty((1024, len(self.languages)))
 
-        def learn(new: list[bytes]) -> None:
-            nonlocal table
+        def learn(new: list[str]) -> None:
+            nonlocal found
             at = len(known)
-            if at + len(new) > len(table):
-                table = np.concatenate([table, np.empty((max(len(table), len(new)), table.shape[1]))])
-            for places in by_length(new):
-                sums = Lattices([new[i] for i in places], pieces, longest).forward(logs)
-                table[np.array(places) + at] = sums[-1]
+            if at + len(new) > len(found):
+                found = np.concatenate([found, np.empty((max(len(found), len(new)), found.shape[1]))])
+            found[at : at + len(new)] = unit_sums([b" " + w.encode() for w in new], pieces, table, scaled, logs)
             known.update(zip(new, range(at, at + len(new))))
 
-        def text_sums(units: list[bytes], sizes: list[int]) -> np.ndarray:
+        def text_sums(units: list[str], sizes: list[int]) -> np.ndarray:
             if len(known) > REMEMBERED:
                 known.clear()
             new = list(set(units) - known.keys())
             if new:
                 learn(new)
-            rows = table[np.fromiter(map(known.__getitem__, units), np.int64, len(units))]
-            ends = np.cumsum(sizes)
-            sums = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
-            return sums[ends] - sums[ends - np.array(sizes)]
+            rows = found[np.fromiter(map(known.__getitem__, units), np.int64, len(units))]
+            return np.add.reduceat(rows, np.cumsum([0, *sizes[:-1]]), axis=0)
 
         def score(texts: list[str]) -> list[tuple[str, float]]:
             if not self.languages:
                 return [(UNKNOWN, 0.0)] * len(texts)
             total = np.zeros((len(texts), len(self.languages)))
             letters = np.zeros(len(texts), bool)
-            units: list[bytes] = []
+            units: list[str] = []
             sizes: list[int] = []
             owners: list[int] = []
 
@@ -171,8 +276,7 @@ class LanguageModel:
                     units.clear(), sizes.clear(), owners.clear()
 
             for i, text in enumerate(texts):
-                found = units_of(text)
-                while block := list(islice(found, BLOCK_UNITS)):
+                for block in _blocks(text):
                     letters[i] = True
                     units.extend(block)
                     sizes.append(len(block))
@@ -275,5 +379,5 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         return work
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = map_batches(rows, make, "id long, lang_pred string, score double", rows_at_once=512)
+    out = map_batches(rows, make, "id long, lang_pred string, score double", rows_at_once=2048)
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score")

@@ -46,6 +46,26 @@ def test_sums_over_all_cuts():
         assert np.allclose(counts, want)
 
 
+def test_sums_of_many_units_at_once():
+    """By hashes and scaled sums the same as by dictionary and logarithms, also
+    where scaled sums vanish."""
+    pieces = G.read_vocabulary(VOCABULARY)
+    table = G.PieceTable(pieces)
+    rng, pick = np.random.default_rng(5), random.Random(5)
+    logs = np.log(rng.dirichlet(np.ones(len(pieces)), 2).T + 1e-12)
+    logs[[i for p, i in pieces.items() if max(p) >= 0x80]] = -60  # no language has them
+    words = ["".join(pick.choice("etaoinéß中x") for _ in range(pick.randrange(1, 33))) for _ in range(300)] + ["\u4e2d" * 32, "a"]
+    units = [b" " + w.encode() for w in words]
+    got = G.unit_sums(units, pieces, table, table.scaled(logs), logs)
+    want = np.array([G.Lattices([u], pieces, 33).forward(logs)[-1, 0] for u in units])
+    assert np.allclose(got, want, rtol=1e-9) and got.min() < -1000
+    for unit in units[:40]:
+        rolled = table.rolled([unit], len(unit))
+        for end in range(1, len(unit) + 1):
+            for start in range(max(0, end - table.longest), end):
+                assert table.find(rolled, start, end)[0] == pieces.get(unit[start:end], -1)
+
+
 def test_a_step_raises_the_likelihood(spark):
     rows = [("x", b" abab", 3), ("x", b" bb", 1), ("y", b" aba", 2), ("y", b" b", 5)]
     units = spark.createDataFrame(rows, "lang string, unit binary, n long")
@@ -114,6 +134,7 @@ def test_edge_cases(spark, monkeypatch):
     model = G.train(twice, VOCABULARY)
     again = G.train(table(spark, rows), VOCABULARY)
     assert model.languages == again.languages == ["aa", "bb", "cc"] and np.allclose(model.logs, again.logs)
+    monkeypatch.setattr(G, "_SHORT", 5)
     monkeypatch.setattr(G, "BLOCK_UNITS", 3)
     monkeypatch.setattr(G, "REMEMBERED", 5)
     score = model.scorer()
