@@ -12,15 +12,16 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, StoreConfig
 from ..functions.text import title_anywhere
 from ..operators.chunking import unused, with_chunks
-from ..operators.commits import Catalog, Session, read_table, session_scope
+from ..operators.commits import Catalog, Manifest, Session, read_table, remove, session_scope
 from ..operators.store import append_vectors, embedded_rows, with_embeddings
 from ..schema import STATUS_LOG
 from ..sources.documents import latest_status, log_status
@@ -183,20 +184,29 @@ class Outcome:
     times: list[StageTime]
 
 
-#: The column that tells of which commit a stored row is.
-_SEQ = "_docmill_seq"
+#: Columns of stored documents: by which commit they were taken in, and their
+#: vectors as they were made, from which the vector table's rows are.
+_SEQ, _MADE = "_docmill_seq", "_docmill_embedded"
+
+#: What a document was that the log has in a stage.
+_BEFORE = {"parsing": "pending", "chunking": "parsed", "embedding": "chunked"}
 
 STAGES = ("parsing", "chunking", "embedding")
 
 
 class Work:
     """The tables of a work folder: documents, their parsed contents, the status
-    log.  Each stage appends the new rows of the documents that it took, so a
-    document's row is the one of its newest commit.  ``catalog`` says where commits
-    are kept, by default in the folder itself."""
+    log.  ``catalog`` says where commits are kept, by default in the folder itself.
+
+    Every document has one row.  A commit that changes documents writes the
+    folders anew that hold them, and leaves the others, of earlier intakes say, as
+    they are; so reading needs no join, whole rows are never shuffled, and which
+    folders are concerned is found from statuses and ids alone.  ``tidy`` deletes
+    the folders that a stage replaced as soon as it is committed, for work that
+    nobody else reads; else ``Catalog.vacuum`` does."""
 
-    def __init__(self, spark: SparkSession, path: str, catalog: Catalog | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, catalog: Catalog | None = None, tidy: bool = False):
+        self.spark, self.path, self.tidy = spark, path.rstrip("/"), tidy
         self.catalog = catalog or Catalog(spark, f"{self.path}/_commits")
         self.documents, self.contents = f"{self.path}/documents", f"{self.path}/contents"
         self.log = StatusLog(spark, f"{self.path}/status_log")
@@ -206,88 +216,139 @@ class Work:
 
     def enter(self, docs: DataFrame, contents: DataFrame) -> None:
         """Store documents and what the sources parsed, so that the folder alone
-        is enough to go on from."""
+        is enough to go on from.  Documents of known ids take the place of the old."""
         with session_scope(self.catalog) as session:
+            session.guard(self.documents)
             seq = F.lit(session.seq)
-            session.append(self.documents, docs.withColumn(_SEQ, seq))
+            stored = session.append(self.documents, docs.withColumn(_SEQ, seq))
             session.append(self.contents, contents.select("file_path", "markdown").withColumn(_SEQ, seq))
+            old = self.catalog.read(self.documents, at=session.base, named=True).drop(_MADE)
+            if old.columns:
+                ids = stored.select("id").distinct()
+                held = old.select("id", "txn").join(ids, "id", "left_semi").groupBy("txn").count().collect()
+                if held:
+                    rest = old.filter(F.col("txn").isin([r["txn"] for r in held])).join(ids, "id", "left_anti")
+                    session.append(self.documents, rest.select(*stored.columns))
+                    session.remove(self.documents, {f"txn={r['txn']}" for r in held})
+
+    def _current(self, at: Manifest) -> tuple[DataFrame, bool]:
+        """The documents with ``txn`` and ``stopped``: whether the log has them in a
+        stage that never came to its end; their status is then the stage's.  And
+        whether there are any."""
+        rows = self.catalog.read(self.documents, at=at, named=True).drop(_MADE)
+        stuck = self._stuck(at)
+        if stuck.isEmpty():
+            return rows.withColumn("stopped", F.lit(None).cast("string")), False
+        joined = rows.join(stuck, "id", "left").select(*rows.columns, "stopped")
+        return joined.withColumn("status", F.coalesce("stopped", "status")), True
 
-    def newest_contents(self) -> DataFrame:
-        rows = self.catalog.read(self.contents)
-        newest = rows.groupBy("file_path").agg(F.max(_SEQ).alias(_SEQ))
-        return rows.join(newest, ["file_path", _SEQ], "left_semi").drop(_SEQ)
-
-    def current(self) -> DataFrame:
-        """The documents as the log and the stages' rows leave them, with
-        ``stopped``: whether a stage took the document and never came to its end;
-        its status is then that of the stage.
-
-        Which row is a document's newest is found from ids and numbers alone, by
-        partial aggregates; whole rows are joined once with the result."""
-        now = self.catalog.manifest()
-        rows = self.catalog.read(self.documents, at=now)
-        begun = self.catalog.read(self.log.path, STATUS_LOG, now).filter(F.col("status").isin(*STAGES))
-        seen = rows.select("id", F.col(_SEQ).alias("own"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("long").alias("at"))
-        marks = begun.select("id", F.lit(None).cast("long").alias("own"), F.col("status").alias("stage"), F.col("seq").alias("at"))
-        state = seen.union(marks).groupBy("id").agg(
-            F.max("own").alias(_SEQ), F.max_by("stage", "at").alias("stage"), F.max("at").alias("at")
+    def table(self) -> DataFrame:
+        """The documents as the log and the stages leave them."""
+        return self._current(self.catalog.manifest())[0].drop("stopped", "txn", _SEQ)
+
+    def _rewrite(self, session: Session, rows: DataFrame, taken: Column, held: list[Row], after: DataFrame) -> DataFrame:
+        """Write what became of the ``taken`` documents of ``rows``, and the
+        others of their folders (``held``: txn, n of all, taken) as they were."""
+        stored = session.append(self.documents, after)
+        mixed = [r["txn"] for r in held if r["taken"] < r["n"]]
+        if mixed:
+            others = rows.filter(F.col("txn").isin(mixed) & ~taken)
+            session.append(self.documents, others.select(*[c for c in stored.columns if c != _MADE]))
+        session.remove(self.documents, {f"txn={r['txn']}" for r in held})
+        return stored
+
+    @staticmethod
+    def _held(rows: DataFrame, taken: Column) -> list[Row]:
+        """The folders that hold taken documents, with their intakes; a narrow scan."""
+        by_folder = rows.groupBy("txn").agg(
+            F.count("*").alias("n"),
+            F.count_if(taken).alias("taken"),
+            F.collect_set(F.when(taken, F.col(_SEQ))).alias("seqs"),
         )
-        stopped, stage = unused("stopped", rows.columns), unused("stage", rows.columns)
-        state = state.select("id", _SEQ, (F.coalesce(F.col("at") > F.col(_SEQ), F.lit(False))).alias(stopped), F.col("stage").alias(stage))
-        found = rows.join(state, ["id", _SEQ]).withColumn("status", F.when(F.col(stopped), F.col(stage)).otherwise(F.col("status")))
-        columns = [c for c in rows.columns if c != _SEQ]
-        return found.select(*columns, F.col(stopped).alias("stopped" if "stopped" not in columns else stopped))
+        return by_folder.filter("taken > 0").collect()
 
-    def table(self) -> DataFrame:
-        """The current documents, in their own columns."""
-        now = self.current()
-        return now.drop(now.columns[-1])
+    def _stuck(self, at: Manifest) -> DataFrame:
+        """(id, stopped): documents that the log has in a stage."""
+        log = latest_status(self.catalog.read(self.log.path, STATUS_LOG, at))
+        return log.filter(F.col("status").isin(*STAGES)).select("id", F.col("status").alias("stopped"))
 
     def reopen(self, failed: bool = False) -> None:
         """Put documents whose stage never came to its end back to its beginning,
-        with ``failed`` also those that failed."""
-        now = self.current()
-        stuck = F.col(now.columns[-1])
-        chosen = now.filter(stuck | (F.col("status") == "failed") if failed else stuck).drop(now.columns[-1])
-        begins = set_status(reopen(chosen), F.col("status") == "parsing", "pending")
-        with session_scope(self.catalog) as session:
-            stored = session.append(self.documents, begins.withColumn(_SEQ, F.lit(session.seq)))
-            self.log.append(session, stored)
+        with ``failed`` also those that failed.
 
-    def mark(self, stage: str) -> int:
-        """Log the documents that a stage takes as being in it; their number."""
-        seen = Observation()
-        opened = self.table().filter(taken_by(stage)).observe(seen, F.count("*").alias("n"))
+        What a stage doesn't commit leaves its documents' rows as they were, so
+        for the former it is enough that the log says so."""
         with session_scope(self.catalog) as session:
-            self.log.append(session, opened, stage)
-        return seen.get["n"]
+            before = F.create_map(*[F.lit(x) for pair in _BEFORE.items() for x in pair])
+            stuck = self._stuck(session.base).select("id", F.try_element_at(before, F.col("stopped")).alias("status"))
+            self.log.append(session, stuck.withColumn("status_details", F.lit(None).cast("string")))
+        if not failed:
+            return
+        rows, _ = self._current(self.catalog.manifest())
+        taken = F.coalesce(F.col("status") == "failed", F.lit(False))
+        held = self._held(rows, taken)
+        if held:
+            begins = reopen(rows.filter(taken).drop("stopped", "txn"))
+            with session_scope(self.catalog) as session:
+                self.log.append(session, self._rewrite(session, rows, taken, held, begins))
+
+    def mark(self, stage: str) -> None:
+        """Log the documents that a stage takes as being in it."""
+        with session_scope(self.catalog) as session:
+            self.log.append(session, self.table().filter(taken_by(stage)), stage)
 
     def run(self, stage: str, store: StoreConfig, config: ChunkConfig) -> StageTime:
         """One stage over the documents that are open for it.
 
         They are logged first; then the stage's rows, statuses and vectors are
-        written and committed together.  Counts are observed while rows are
+        written and committed together.  Failures are observed while rows are
         written."""
         start = time.monotonic()
-        # Of the commits up to now: the marks that follow don't change it.
-        opened = self.table().filter(taken_by(stage))
-        n = self.mark(stage)
-        if not n:
+        rows, _ = self._current(self.catalog.manifest())
+        taken = taken_by(stage)
+        held = self._held(rows, taken)
+        if not held:
             return StageTime(stage, 0, 0, time.monotonic() - start)
+        self.mark(stage)
+        opened = rows.filter(taken).drop("stopped", "txn")
         seen = Observation()
         with session_scope(self.catalog) as session:
             if stage == "parsing":
-                after = parse(opened, self.newest_contents())
+                after = self._parsed(opened, {seq for r in held for seq in r["seqs"]})
             elif stage == "chunking":
                 after = chunk(opened, config)
             else:
-                done = session.scratch(embedded(opened, store), self.path)
-                append_vectors(session, embedded_rows(done, store), store, done)
-                after = embedding_status(done)
+                done = embedded(opened, store)
+                after = embedding_status(done.withColumn(_MADE, F.col("embedded")))
             counted = after.observe(seen, F.count_if(F.col("status") == "failed").alias("failures"))
-            stored = session.append(self.documents, counted.withColumn(_SEQ, F.lit(session.seq)))
+            stored = self._rewrite(session, rows, taken, held, counted)
             self.log.append(session, stored)
-        return StageTime(stage, n, seen.get["failures"], time.monotonic() - start)
+            if stage == "embedding":
+                # Made once, with the documents, and read from there.
+                done = stored.withColumnRenamed(_MADE, "embedded")
+                append_vectors(session, embedded_rows(done, store), store, done)
+        if self.tidy:
+            for r in held:
+                remove(self.spark, f"{self.documents}/txn={r['txn']}")
+            if stage == "parsing":
+                self._forget_contents()
+        return StageTime(stage, sum(r["taken"] for r in held), seen.get["failures"], time.monotonic() - start)
+
+    def _forget_contents(self) -> None:
+        """Delete contents, which the documents that were waiting for them hold now."""
+        with session_scope(self.catalog) as session:
+            gone = session.folders(self.contents)
+            session.drop(self.contents)
+        for folder in gone:
+            remove(self.spark, f"{self.contents}/{folder}")
+
+    def _parsed(self, opened: DataFrame, seqs: set[int]) -> DataFrame:
+        """Each intake's documents with the contents that came with them."""
+        contents = self.catalog.read(self.contents)
+        parts = [
+            parse(opened.filter(F.col(_SEQ) == seq), contents.filter(F.col(_SEQ) == seq).drop(_SEQ)) for seq in sorted(seqs)
+        ]
+        return reduce(DataFrame.unionByName, parts)
 
 
 def ingest(
