@@ -255,3 +255,15 @@ def test_statistical_chunker():
     assert statistical_pieces("", embed) == [] and statistical_pieces("one", embed) == ["one"]
     long = statistical_pieces("same words here. " * 2000, embed, 200, 500)
     assert max(len(p.split()) for p in long) <= 500 and "".join(long) == "same words here. " * 2000
+
+
+def test_no_split_where_similarities_leave_no_threshold():
+    """Where median plus deviation is negative, no threshold is ever tried."""
+    import numpy as np
+
+    turning = lambda texts: [[[1.0, 0.0], [-1.0, 2.0], [-1.0, -2.2]][k % 3] for k in range(len(texts))]
+    text = " ".join("word " * 19 + "end." for _ in range(30))
+    similarity = context_similarities(turning([0] * 30))
+    assert np.median(similarity) + np.std(similarity) < 0
+    assert search_threshold(similarity, [20] * 30) == float("-inf")
+    assert statistical_pieces(text, turning, 200, 2000) == [text]
