@@ -11,20 +11,40 @@ a hot id makes a large one; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a file, about.
-FILE_ROWS = 1_000_000
+#: Rows and bytes of a file, about: whichever makes more files.  A file is sorted
+#: and written by one task.
+FILE_ROWS, FILE_BYTES = 1_000_000, 256 << 20
 
 #: Ids of one read; they stand in the plan.
 MOST_IDS = 1000
 
 
-def write_clustered(rows: DataFrame, path: str, id_col: str, file_rows: int = FILE_ROWS) -> None:
+def _row_bytes(schema: T.StructType) -> Column:
+    """About how long a row is: strings and what is nested by their bytes, as text,
+    others by eight."""
+
+    def of(field: T.StructField) -> Column:
+        value = F.col(f"`{field.name.replace('`', '``')}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0))
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(value.cast("string")), F.lit(0))
+        return F.lit(8)
+
+    return sum((of(f).cast("long") for f in schema.fields), F.lit(0).cast("long"))
+
+
+def write_clustered(
+    rows: DataFrame, path: str, id_col: str, file_rows: int = FILE_ROWS, file_bytes: int = FILE_BYTES
+) -> None:
     """``rows`` as a new table under ``path``, clustered by ``id_col``."""
     spark = rows.sparkSession
-    files = rows.count() // file_rows + 1
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(_row_bytes(rows.schema)), F.lit(0)).alias("bytes")).first()
+    files = max(total["n"] // file_rows, total["bytes"] // file_bytes) + 1
     ranges = rows.repartitionByRange(files, id_col).sortWithinPartitions(id_col)
     writer = ranges.write.option(f"parquet.bloom.filter.enabled#{id_col}", "true")
     writer.option(f"parquet.bloom.filter.expected.ndv#{id_col}", str(file_rows)).parquet(f"{path}/rows")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docmill.sources import clustered as C
 
@@ -28,3 +29,13 @@ def test_few_files_are_opened(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     C.write_clustered(spark.createDataFrame([], "id long, text string"), str(tmp_path / "e"), "id")
     assert C.read_ids(spark, str(tmp_path / "e"), "id", [1]).count() == 0
+
+
+def test_a_file_is_bounded_in_bytes(spark, tmp_path):
+    """Few rows of long texts make as many files as their bytes ask for."""
+    rows = spark.createDataFrame([(k, "x" * 1000, [f"tag {k}"], None) for k in range(400)], "id long, `a.b` string, tags array<string>, n int")
+    path = str(tmp_path / "t")
+    C.write_clustered(rows, path, "id", file_bytes=20_000)
+    sizes = [r["count"] for r in spark.read.parquet(f"{path}/rows").groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 60 and sum(sizes) == 400
+    assert [(r["id"], r["tags"]) for r in C.read_ids(spark, path, "id", [7]).collect()] == [(7, ["tag 7"])]
