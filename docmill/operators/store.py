@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..config import StoreConfig
 from ..errors import DatabaseConnectionError, EmbeddingError
+from ..functions.arrow import row_function
 from ..functions.embedding import model_of
 from ..functions.retry import retrying
 from ..functions.vector import cosine_similarity
@@ -80,10 +81,7 @@ def with_embeddings(docs: DataFrame, config: StoreConfig, when: Column | None =
     go on.  Rows where ``when`` doesn't hold aren't embedded."""
     size, model, attempts = config.batch_size, model_of(config.model_name), config.attempts
 
-    @F.udf(_EMBEDDED, useArrow=True)
-    def run(texts: list[str] | None) -> list[dict] | None:
-        if texts is None:
-            return None
+    def run(texts: list[str]) -> list[dict]:
         out = []
         for at in range(0, len(texts), size):
             batch = texts[at : at + size]
@@ -98,7 +96,8 @@ def with_embeddings(docs: DataFrame, config: StoreConfig, when: Column | None =
 
     texts = F.transform("chunks", lambda c: c["page_content"])
     # Marked as nondeterministic so that it is computed once, see split_by_headers.
-    return docs.withColumn("embedded", run.asNondeterministic()(texts if when is None else F.when(when, texts)))
+    embed = row_function(run, _EMBEDDED).asNondeterministic()
+    return docs.withColumn("embedded", embed(texts if when is None else F.when(when, texts)))
 
 
 def embedded_rows(docs: DataFrame, config: StoreConfig, id_col: str = "id", title_col: str = "title") -> DataFrame:
