@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow import row_function
 from ..functions.text import strip
 
 _LINE = r"(?mdU)^(#{1,6})\s+(.+)$"
@@ -116,18 +117,16 @@ def split_by_headers(c: Column | str, max_level: int = 6) -> Column:
     without headers of the split levels gets the context of its own text; so does
     the whole text where splitting fails."""
 
-    @F.udf(_SECTION, useArrow=True)
-    def run(text: str | None) -> list[dict] | None:
-        if text is None:
-            return None
+    def run(text: str) -> list[dict]:
         try:
-            return sections(text, max_level)
+            found = sections(text, max_level)
         except Exception:  # noqa: BLE001  a failed split keeps the text
-            return [{"content": text, "headers": {}}]
+            found = [{"content": text, "headers": {}}]
+        return [{"content": s["content"], "headers": list(s["headers"].items())} for s in found]
 
     # Marked as nondeterministic so that no later Python function is folded into
     # the same projection, where Spark 4.1 fails to take both out.
-    found = run.asNondeterministic()(F.col(c) if isinstance(c, str) else c)
+    found = row_function(run, _SECTION).asNondeterministic()(F.col(c) if isinstance(c, str) else c)
     return F.transform(
         found,
         lambda s: F.struct(

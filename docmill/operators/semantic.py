@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow import row_function
 from ..functions.embedding import Embedder, model_of
 
 
@@ -46,10 +47,7 @@ def split_oversized(chunks: Column | str, max_size: int, model: str = "hashing-6
     known = model_of(model)
     big = lambda c: F.length(c["content"]) > max_size
 
-    @F.udf(T.ArrayType(T.ArrayType(T.StringType())), useArrow=True)
-    def run(texts: list[str] | None) -> list[list[str] | None] | None:
-        if texts is None:
-            return None
+    def run(texts: list[str]) -> list[list[str] | None]:
         out = []
         for text in texts:
             try:
@@ -60,7 +58,8 @@ def split_oversized(chunks: Column | str, max_size: int, model: str = "hashing-6
 
     oversized = F.filter(array, big)
     texts = F.transform(oversized, lambda c: c["content"])
-    pieces = F.when(F.size(oversized) > 0, run.asNondeterministic()(texts)).otherwise(F.array().cast("array<array<string>>"))
+    split = row_function(run, T.ArrayType(T.ArrayType(T.StringType()))).asNondeterministic()
+    pieces = F.when(F.size(oversized) > 0, split(texts)).otherwise(F.array().cast("array<array<string>>"))
 
     def expand(pair: Column) -> Column:
         chunk, found = pair["chunk"], pair["pieces"]
