@@ -1,13 +1,19 @@
 """Functions of one column work on slices of an Arrow batch."""
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import PythonEvalType
 
 from docmill.config import StoreConfig
 from docmill.functions import embedding
 from docmill.functions.arrow import SLICE_ROWS, row_function, slices
+from docmill.functions.html import html_to_markdown
 from docmill.operators import store
+from docmill.plans.lifecycle import process
+from docmill.schema import DOCUMENTS
 
 
 def test_slices_are_bounded_in_rows_and_bytes():
@@ -50,3 +56,16 @@ def test_vectors_of_one_slice_are_held_at_a_time(spark, monkeypatch):
     vectors = store.embed_chunks(docs, StoreConfig("unused", model_name="counting"))
     n, most = vectors.agg(F.count("vector"), F.max(F.col("vector")[0])).first()
     assert n == 1000 and most <= 2 * SLICE_ROWS
+
+
+def test_the_lifecycle_calls_python_by_slices_only(spark):
+    """No stage has a function that Spark calls with a whole batch in Python values."""
+    text = F.concat(F.lit("<h1>T</h1>"), F.repeat(F.lit("<p>Some words here.</p>"), F.lit(200)))
+    ids = spark.range(20).coalesce(1).withColumn("file_path", F.concat(F.lit("https://a/"), F.col("id").cast("string")))
+    values = {"title": F.lit("t"), "status": F.lit("pending"), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()}
+    docs = ids.select(*[values.get(f.name, F.col(f.name) if f.name in ids.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields])
+    contents = ids.select("file_path", html_to_markdown(text).alias("markdown"))
+    _, vectors = process(docs, contents, StoreConfig("unused"), keep=lambda df: df)
+    kinds = re.findall(r"ArrowEvalPython \[.*\], (\d+)$", vectors._jdf.queryExecution().optimizedPlan().toString(), re.MULTILINE)
+    assert len(kinds) == 4 and set(kinds) == {str(PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)}
+    assert vectors.filter("vector IS NOT NULL").select("document_id").distinct().count() == 20
