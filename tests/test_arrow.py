@@ -1,6 +1,7 @@
 """Functions of one column work on slices of an Arrow batch."""
 
 import re
+import tracemalloc
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from docmill.functions import embedding
 from docmill.functions.arrow import SLICE_ROWS, row_function, slices
 from docmill.functions.html import html_to_markdown
 from docmill.operators import store
+from docmill.operators.headers import split_by_headers
+from docmill.operators.semantic import split_oversized
 from docmill.plans.lifecycle import process
 from docmill.schema import DOCUMENTS
 
@@ -69,3 +72,27 @@ def test_the_lifecycle_calls_python_by_slices_only(spark):
     kinds = re.findall(r"ArrowEvalPython \[.*\], (\d+)$", vectors._jdf.queryExecution().optimizedPlan().toString(), re.MULTILINE)
     assert len(kinds) == 4 and set(kinds) == {str(PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)}
     assert vectors.filter("vector IS NOT NULL").select("document_id").distinct().count() == 20
+
+
+def test_python_values_dont_grow_with_the_batch(spark, monkeypatch):
+    """Of a batch eight times as large, no function of the lifecycle holds more at once."""
+    functions, make = [], F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda work: functions.append(work) or make(kind)(work))
+    html_to_markdown("html"), split_by_headers("text"), split_oversized("chunks", 100)
+    docs = spark.range(1).select(F.array(F.struct(F.lit("text").alias("page_content"))).alias("chunks"))
+    store.with_embeddings(docs, StoreConfig("unused"))
+    text = "# T\n\n" + "Some words here. " * 20
+    values = "<h1>T</h1>" + "<p>Some words here.</p>" * 20, text, [text], [text]
+    assert len(functions) == len(values)
+
+    def peak(work, batch):
+        tracemalloc.start()
+        try:
+            assert sum(map(len, work(iter([batch])))) == len(batch)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    for work, value in zip(functions, values, strict=True):
+        peak(work, pa.array([value]))  # what is made once
+        assert peak(work, pa.array([value] * 2048)) < 1.5 * peak(work, pa.array([value] * 256))
