@@ -395,3 +395,12 @@ def test_vectors_of_cut_titles_are_as_in_sql(spark, tmp_path):
     got = catalogue.queries()["ingest_vectors"](spark, str(tmp_path))
     want = db.sql(catalogue.oracle_sql()["ingest_vectors"])
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_resumed_run_over_cut_titles_is_as_in_sql(spark, tmp_path):
+    from docmill.plans import catalogue
+
+    db = cut_pages(spark, tmp_path)
+    got = catalogue.queries()["resume_from_log"](spark, str(tmp_path))
+    want = db.sql(catalogue.oracle_sql()["resume_from_log"])
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
